@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bytebpe, decontaminate, secrets
+from quillspark.llm import brown, bytebpe, decontaminate, jaccard, langid, neighbours, secrets, substrings, tokenfiles, warc
+from quillspark.llm.sql import SQL
 
 
 def queries() -> dict:
     return {
+        "op1_token_files": tokenfiles.op1_token_files,
+        "op2_substrings": substrings.op2_substrings,
+        "op3_neighbours": neighbours.op3_neighbours,
+        "op4_language": langid.op4_language,
+        "op5_warc": warc.op5_warc,
+        "op6_jaccard": jaccard.op6_jaccard,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_byte_bpe": bytebpe.op8_byte_bpe,
         "op9_secrets": secrets.op9_secrets,
+        "op10_class_bigrams": brown.op10_class_bigrams,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

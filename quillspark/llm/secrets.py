@@ -132,6 +132,26 @@ def secret_scan(docs: DataFrame, scope: int = 400) -> DataFrame:
     )
 
 
+def masked(docs: DataFrame, scope: int = 400, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with each found span replaced by its kind in brackets (overlapping spans by the first one's) and ``n_chars`` counted anew."""
+    scan = written(scanned(docs, text, key), "secrets")
+    found = scan.join(linked(scan, scope), "row", "left").select("row", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
+    found = found.filter(F.size("spans") > 0).dropDuplicates(["row"]).withColumnRenamed("row", "masked_row")
+    t = F.col(text)
+    row = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" "), F.coalesce(t, F.lit(""))))
+    names = F.array(*map(F.lit, ORDER))
+
+    def step(acc, x):
+        fresh = F.concat(acc["out"], t.substr(acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.element_at(names, x["k"] + 1), F.lit("]"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    new = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], t.substr(acc["at"] + 1, F.length(t))))
+    out = docs.join(found, row == F.col("masked_row"), "left").withColumn("masked_text", F.when(F.col("masked_row").isNotNull(), new).otherwise(t))
+    cols = {text: F.col("masked_text"), "n_chars": F.when(F.col("masked_row").isNotNull(), F.length("masked_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*((cols.get(c) if cols.get(c) is not None else F.col(f"`{c}`")).alias(c) for c in docs.columns))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(table(spark, sf_dir, "documents"))
     return out.select(
