@@ -1,11 +1,339 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables; their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.config import VaultConfig
+from quillspark.functions import text as T
+from quillspark.operators import ai, audit, bridges, dashboard, edits, graph, hubs, inbox, links, tags
+from quillspark.operators.components import written
+from quillspark.plans.oracle import SQL
+from quillspark.sources import fixture
+from quillspark.sources.vault import count_notes
+from quillspark.streaming.inbox import event_windows, sync
+
+CONFIG = VaultConfig(concepts=fixture.CONCEPTS)
+PATH = "00-Inbox/note-0.md"
+
+
+def joined(c):
+    return F.array_join(c, ",")
+
+
+class Vault:
+    """The synthetic vault of one folder of tables; what several operators read is written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self.files = fixture.files(spark, sf_dir)
+        self.notes = graph.notes(self.files)
+
+    def edges(self, again: bool = False) -> DataFrame:
+        """``again``: for operators that read the edges more than once."""
+        out = graph.edges(self.notes)
+        return written(out, "edges") if again else out
+
+    def docs(self):
+        return bridges.project_docs(self.notes, CONFIG)
+
+    def hits(self):
+        return bridges.concept_hits(self.docs(), CONFIG.concepts)
+
+    def cards(self):
+        return dashboard.note_cards(self.files, graph.degrees(self.notes, self.edges()), fixture.AS_OF, CONFIG)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+
+def vault_notes(v):
+    return v.notes.select("path", "stem", "has_fm", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
+def wikilinks(v):
+    return graph.links(v.notes)
+
+
+def raw_targets(v):
+    return v.notes.select("path", F.explode(T.raw_targets(F.col("content"))).alias("target")).groupBy("target").agg(F.count("*").alias("n"))
+
+
+def link_edges(v):
+    return v.edges()
+
+
+def graph_health(v):
+    return graph.graph_health(v.notes, v.edges(True))
+
+
+def orphans(v):
+    return graph.orphans(v.notes, v.edges(), exclude_seeded=True, least_bytes=200)
+
+
+def broken_edges(v):
+    found = graph.resolved(graph.links(v.notes), v.notes)
+    return graph.broken_edges(found.select("src", F.coalesce("dst", "raw_target").alias("dst")).distinct(), v.notes)
+
+
+def hub_notes(v):
+    return graph.hub_notes(v.edges())
+
+
+def degrees(v):
+    return graph.degrees(v.notes, v.edges())
+
+
+def connected_components(v):
+    return graph.components(v.notes, v.edges(True))
+
+
+def two_hop_pairs(v):
+    return graph.two_hop_pairs(v.edges(True))
+
+
+def check_links(v):
+    return links.check_links(v.files, v.notes)
+
+
+def link_issue_counts(v):
+    return links.issue_counts(links.check_links(v.files, v.notes))
+
+
+def link_repair_plan(v):
+    checked = written(links.check_links(v.files, v.notes), "checked")
+    return links.repair_plan(checked, v.files, v.edges()).select("path", "action", "new_path", F.md5(F.coalesce("new_content", F.lit(""))).alias("digest"), "reason")
+
+
+def tags_exploded(v):
+    return tags.exploded(v.notes)
+
+
+def tag_counts(v):
+    return tags.counts(v.notes)
+
+
+def tag_docs(v):
+    return tags.doc_counts(tags.tag_docs(v.notes))
+
+
+def tag_jaccard(v):
+    return tags.jaccard(tags.tag_docs(v.notes))
+
+
+def tag_clusters(v):
+    return tags.clusters(tags.tag_docs(v.notes)).select("canonical", joined("aliases").alias("aliases"), "document_count")
+
+
+def tags_before_after(v):
+    return tags.before_after(v.notes)
+
+
+def tag_normalization_plan(v):
+    return tags.normalization_plan(v.notes, tags.membership(tags.tag_docs(v.notes))).select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def check_tags(v):
+    return audit.check_tags(v.notes)
+
+
+def check_tags_projects(v):
+    return audit.check_tags(v.notes, "project")
+
+
+def tag_fix_plan(v):
+    return audit.tag_fix_plan(v.notes).select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def check_frontmatter(v):
+    return audit.check_frontmatter(v.notes)
+
+
+def frontmatter_file_counts(v):
+    return audit.file_counts(audit.check_frontmatter(v.notes))
+
+
+def frontmatter_fix_plan(v):
+    return audit.frontmatter_fix_plan(v.notes).select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def project_docs(v):
+    return v.docs().select("project", "path")
+
+
+def concept_hits(v):
+    return v.hits()
+
+
+def bridge_concepts(v):
+    return bridges.bridges(v.hits(), CONFIG.concepts).select("concept", joined("tags").alias("tags"), joined("projects").alias("projects"), "docs")
+
+
+def project_adjacency(v):
+    return bridges.adjacency(bridges.bridges(v.hits(), CONFIG.concepts)).select("project", "other", joined("shared").alias("shared"))
+
+
+def related_projects(v):
+    found = bridges.bridges(v.hits(), CONFIG.concepts)
+    return bridges.related_plan(found, v.notes, CONFIG).select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def bridge_note_plan(v):
+    return bridges.bridge_note_plan(bridges.bridges(v.hits(), CONFIG.concepts), v.notes, CONFIG).select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def backlinks(v):
+    return bridges.backlinks(v.docs(), v.notes, CONFIG)
+
+
+def backlink_plan(v):
+    docs = v.docs()
+    return bridges.backlink_plan(docs, bridges.backlinks(docs, v.notes, CONFIG), CONFIG).select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def auto_tags(v):
+    return bridges.auto_tags(v.docs(), CONFIG.concepts).select("path", joined("tags").alias("tags"))
+
+
+def auto_tag_plan(v):
+    return bridges.auto_tag_plan(v.docs(), CONFIG.concepts).select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def zones(v):
+    return v.files.filter(F.col("path").endswith(".md")).select("path", dashboard.zone_label(dashboard.zone(F.col("path"))).alias("zone"))
+
+
+def zone_counts(v):
+    return dashboard.zone_counts(v.cards()).select("kind", "n")
+
+
+CARD = ["path", "title", "vitality", "layer", "word_count", "incoming_links", "outgoing_links", "has_mermaid", "is_orphan"]
+
+
+def day():
+    return F.col("modified_on").cast("string").alias("modified_on")
+
+
+def shown(cards):
+    return cards.select(*CARD, day(), joined("tags").alias("tags"), dashboard.zone_label(F.col("zone")).alias("zone"))
+
+
+def note_cards(v):
+    return shown(v.cards())
+
+
+def attention(kind):
+    return lambda v: dashboard.attention(v.cards(), kind).select("path", "vitality", day())
+
+
+def find_related(v):
+    return dashboard.find_related(v.cards(), v.edges(True), PATH)
+
+
+def search_cards(v):
+    return dashboard.search(v.cards(), ["lang/de", "lang/fr"], "NOTE 1", ["Areas", "Inbox", "Zettelkasten"]).select("path", "title")
+
+
+def recent_cards(v):
+    return dashboard.since(v.cards(), "this_month", fixture.AS_OF).select("path", day())
+
+
+def card_summaries(v):
+    return dashboard.scanned(v.files, CONFIG).select("path", F.md5(F.coalesce("summary", F.lit("none"))).alias("digest"), F.octet_length("summary").cast("long").alias("n_bytes"))
+
+
+def moc_groups(v):
+    return hubs.groups(v.notes, CONFIG).select("project", "grp", joined("links").alias("links"))
+
+
+def moc_plan(v):
+    return hubs.hub_plan(v.notes, CONFIG).select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def moc_files(v):
+    return hubs.hubs_present(v.notes)
+
+
+def project_links(v):
+    return hubs.project_links(v.notes, CONFIG)
+
+
+def index_sections(v):
+    return hubs.index_sections(v.notes, v.edges(), CONFIG)
+
+
+def index_plan(v):
+    return hubs.index_plan(v.notes, v.edges(), CONFIG).select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def inbox_routing(v):
+    return inbox.routing(v.files, CONFIG).select("path", "state", "new_path")
+
+
+def inbox_plan(v):
+    return inbox.process(v.files, fixture.AS_OF, lambda df: ai.candidates(df, "{content}"), CONFIG).select("path", "action", "new_path", F.md5("new_content").alias("digest"))
+
+
+def book_status(v):
+    return hubs.book_status(v.files)
+
+
+def book_sources(v):
+    return hubs.book_sources(v.files, "layer/raw")
+
+
+def note_count(v):
+    return count_notes(v.files, CONFIG.all_system_dirs())
+
+
+def commit_summary(v):
+    return hubs.commit_summary(v.files.select(F.col("path").alias("file")))
+
+
+def page_link_graph(v):
+    return graph.page_links(v.table("pages")).withColumn("target_id", F.coalesce("target_id", F.lit(-1)).cast("long"))
+
+
+def event_day_windows(v):
+    return event_windows(v.table("events")).withColumn("total", F.round("total", 2))
+
+
+def ai_relationships(v):
+    pairs = graph.two_hop_pairs(v.edges(True))
+    return ai.relationships(pairs, v.notes).select("source", "target", "relation", F.col("confidence").cast("double").alias("confidence"))
+
+
+def ai_candidates(v):
+    rows = inbox.routing(v.files, CONFIG).filter("state = 'analyse'")
+    return ai.candidates(rows, "{content}").select("path", F.col("proposed")["candidate_type"].alias("candidate_type"))
+
+
+def sync_round(v):
+    after, _ = sync(v.files.select("path", "content", "modified_on"), CONFIG)
+    before = v.files.select("path", F.md5("content").alias("old"))
+    return after.select("path", F.md5("content").alias("digest")).join(before, "path", "left").filter(~F.col("digest").eqNullSafe(F.col("old"))).select("path", "digest")
+
+
+def virtual_apply(v):
+    """The tag audit after its own fixes: what is left when a plan is applied in a frame."""
+    after = edits.applied(v.files.select("path", "content", "modified_on"), audit.tag_fix_plan(v.notes))
+    return audit.check_tags(graph.notes(after))
+
+
+NAMES = [
+    vault_notes, wikilinks, raw_targets, link_edges, graph_health, orphans, broken_edges, hub_notes, degrees, connected_components, two_hop_pairs, check_links, link_issue_counts,
+    link_repair_plan, tags_exploded, tag_counts, tag_docs, tag_jaccard, tag_clusters, tags_before_after, tag_normalization_plan, check_tags, check_tags_projects, tag_fix_plan,
+    check_frontmatter, frontmatter_file_counts, frontmatter_fix_plan, project_docs, concept_hits, project_adjacency, related_projects, bridge_note_plan, backlinks, backlink_plan,
+    auto_tags, auto_tag_plan, zones, zone_counts, note_cards, find_related, search_cards, recent_cards, card_summaries, moc_groups, moc_plan, moc_files, project_links, index_sections,
+    index_plan, inbox_routing, inbox_plan, book_status, book_sources, note_count, commit_summary, page_link_graph, ai_relationships, ai_candidates, sync_round, virtual_apply,
+]
+
 
 def queries() -> dict:
-    return {}
+    found = {f.__name__: f for f in NAMES} | {"bridges": bridge_concepts, "event_windows": event_day_windows} | {f"attention_{k}": attention(n) for k, n in (("orphans", "orphan"), ("stale", "stale"), ("untagged", "untagged"))}
+    return {name: (lambda spark, sf_dir, f=f: f(Vault(spark, sf_dir))) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
