@@ -14,12 +14,12 @@ from quillspark.llm import bytebpe, decontaminate, jaccard, langid, secrets
 from quillspark.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text is of no known language if its best one explains less than half of its words.
-LEAST_SCORE = 0.5
+#: A text is of no known language if its best one explains little of it; texts that mix two or three languages stay.
+LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language stay: those predicted one with a score of a half at least.
+    """Documents of a known language stay: those predicted one with a score of ``LEAST_SCORE`` at least.
 
     The model learns as in the operator's query. Where no row is labelled nothing can be rejected.
     """
