@@ -12,6 +12,7 @@ def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master(f"local[{os.environ.get('TEST_CORES', '8')}]")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.wholeStage", "false")  # small tables: compiling takes longer than running
         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
