@@ -260,20 +260,19 @@ def replaced_link(c: Column, old: Column, new: Column) -> Column:
 
 
 def link_encoded(c: Column) -> Column:
-    """Spaces, number signs and ampersands as an opener's address takes them."""
+    """Spaces, number signs and question marks as an opener's address takes them."""
     out = c
-    for x, y in ((" ", "%20"), ("#", "%23"), ("&", "%26")):
+    for x, y in ((" ", "%20"), ("#", "%23"), ("?", "%3F")):
         out = F.replace(out, F.lit(x), F.lit(y))
     return out
 
 
 def duration(seconds: Column) -> Column:
+    """The two largest units from hours down, a zero second one left out."""
     s = seconds.cast("long")
-    return (
-        F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %ds", (s / 60).cast("long"), s % 60))
-        .when(s < 86400, F.format_string("%dh %dm", (s / 3600).cast("long"), ((s % 3600) / 60).cast("long")))
-        .otherwise(F.format_string("%dd %dh", (s / 86400).cast("long"), ((s % 86400) / 3600).cast("long")))
-    )
+    two = lambda a, x, b, y: F.concat(a.cast("string"), F.lit(x), F.when(b > 0, F.concat(F.lit(" "), b.cast("string"), F.lit(y))).otherwise(F.lit("")))
+    whole = lambda e: F.floor(e).cast("long")
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, two(whole(s / 60), "m", s % 60, "s")).otherwise(two(whole(s / 3600), "h", whole(s % 3600 / 60), "m"))
 
 
 def byte_size(n: Column) -> Column:
@@ -284,8 +283,8 @@ def byte_size(n: Column) -> Column:
 
 
 def masked_key(c: Column) -> Column:
-    """First and last four characters of a key that is long enough."""
-    return F.when(F.length(c) > 8, F.concat(F.left(c, F.lit(4)), F.lit("..."), F.right(c, F.lit(4)))).otherwise(F.lit("****"))
+    """First and last four characters of a key that is long enough; ``missing`` without one."""
+    return F.when(F.coalesce(c, F.lit("")) == "", "missing").when(F.length(c) > 8, F.concat(F.left(c, F.lit(4)), F.lit("..."), F.right(c, F.lit(4)))).otherwise(F.lit("****"))
 
 
 def yaml_tags(c: Column) -> Column:

@@ -116,6 +116,8 @@ def test_malforms(one):
 def test_small_ones(one):
     swap = lambda c: T.replaced_link(c, F.lit("a.b"), F.lit("n$1"))
     assert one(swap, "[[a.b]] [[a.b|x]] [[axb]]") == "[[n$1]] [[n$1|x]] [[axb]]"
-    assert one(T.link_encoded, "a b#c&d/é") == "a%20b%23c%26d/é"
+    assert one(T.link_encoded, "a b#c?d/é") == "a%20b%23c%3Fd/é"
+    assert [one(lambda c, n=n: T.duration(F.lit(n)), "x") for n in (59, 60, 61, 3600, 3725, 90000)] == ["59s", "1m", "1m 1s", "1h", "1h 2m", "25h"]
+    assert [one(lambda c, n=n: T.byte_size(F.lit(n)), "x") for n in (5, 1536, 3 << 20)] == ["5 B", "1.5 KB", "3.0 MB"]
     assert one(T.masked_key, "sk-1234567890") == "sk-1...7890" and one(T.masked_key, "short") == "****"
     assert one(lambda c: T.reassembled(F.lit("a: 1\n \n"), c), "b") == "---\na: 1\n---\nb"

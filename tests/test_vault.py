@@ -150,6 +150,8 @@ def test_projects_and_plans(files):
     assert rows(docs.select("path")) == [("p/a.md",), ("q/sub/b.md",)]
     found = bridges.bridges(bridges.concept_hits(docs, CONCEPTS), CONCEPTS)
     assert [(r.concept, r.projects) for r in found.collect()] == [("async", ["p", "q"])]
+    note = bridges.bridge_note_plan(found, n, config).first()
+    assert (note.path, note.new_content) == ("10-Zettelkasten/async.md", "---\ntags: [concurrency, evergreen]\n---\n\n# async\n\n> Auto-generated bridge note.\n\n## Related Projects\n- [[p/p]]\n- [[q/q]]\n")
     assert rows(bridges.backlinks(docs, n, config)) == [("q/sub/b.md", "graph-theory")]
     text = {r.path: r.new_content for r in bridges.backlink_plan(docs, bridges.backlinks(docs, n, config), config).collect()}
     assert text["q/sub/b.md"].endswith("\n\n## See Also\n- [[q/q]]\n- [[10-Zettelkasten/graph-theory]]\n")
