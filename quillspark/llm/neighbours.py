@@ -101,16 +101,23 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("v") == (sizes.n if sizes else 0))
 
 
-def packed_blocks(rows: DataFrame, coder, queries: bool, block: int) -> DataFrame:
-    """Blocks of ids, vectors, codes, and (of index rows) lists by substring value, a substring a byte."""
+def packed_blocks(rows: DataFrame, coder, block: int, share: float | None = None, least: int = 0) -> DataFrame:
+    """Blocks of ids, vectors, codes, and lists by substring value, a substring a byte; of queries (``share`` given) their radii instead.
+
+    With a sample of under ``least`` codes the radii are the largest there are.
+    """
 
     def deal(batches):
         c = pickle.loads(coder.value)
 
         def made(ids, x):
-            codes = c.asked(x) if queries else c.codes(x)
-            lists = b"" if queries else np.stack([np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]).astype("<u4").tobytes()
-            return pa.RecordBatch.from_pydict({"ids": [ids.astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()], "codes": [codes.tobytes()], "lists": [lists]}, schema=BLOCK_ARROW)
+            if share is None:
+                codes = c.codes(x)
+                lists = np.stack([np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])])
+            else:
+                codes = c.asked(x)
+                lists = c.radii(codes, share) if len(c.sample) >= least else np.full(len(x), 8 * codes.shape[1])
+            return pa.RecordBatch.from_pydict({"ids": [ids.astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()], "codes": [codes.tobytes()], "lists": [lists.astype("<u4").tobytes()]}, schema=BLOCK_ARROW)
 
         ids, xs, n = [], [], 0
         for b in batches:
@@ -174,16 +181,15 @@ def nearest(vectors: DataFrame, query_ids, k: int = 20, bits: int = 256, share:
     top_norm = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     coder = learn(np.stack(sample["v"].to_numpy()), float(top_norm), bits)
     shared = spark.sparkContext.broadcast(pickle.dumps(coder))  # of fixed size: sample_rows codes and the rotations
-    index = packed_blocks(rows, shared, False, index_block)
-    queries = packed_blocks(rows.filter(query_ids), shared, True, query_block)
+    index = packed_blocks(rows, shared, index_block)
+    queries = packed_blocks(rows.filter(query_ids), shared, query_block, share, 50 * k)
     groups = max(1, index.count())
     index = index.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    queries = queries.select(F.struct("ids", "vectors", "codes").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    queries = queries.select(F.struct("ids", "vectors", "codes", F.col("lists").alias("radii")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
     pairs = queries.join(index, "g").select("q", "ids", "vectors", "codes", "lists")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(batches):
-        c = pickle.loads(shared.value)
         for b in batches:
             for n in range(b.num_rows):
                 q = b["q"][n]
@@ -192,7 +198,7 @@ def nearest(vectors: DataFrame, query_ids, k: int = 20, bits: int = 256, share:
                 ids = np.frombuffer(b["ids"][n].as_py(), "<i8")
                 x, codes = np.frombuffer(b["vectors"][n].as_py(), "<f8").reshape(len(ids), -1), np.frombuffer(b["codes"][n].as_py(), np.uint8).reshape(len(ids), -1)
                 lists = np.frombuffer(b["lists"][n].as_py(), "<u4").reshape(codes.shape[1], -1)
-                radii = c.radii(asked, share) if len(c.sample) >= 50 * k else np.full(len(q_ids), 8 * asked.shape[1])
+                radii = np.frombuffer(q["radii"].as_py(), "<u4").astype(np.int64)
                 i, j, s = best(q_ids, qs, ids, x, probed(asked, radii, codes, lists), k)
                 yield pa.RecordBatch.from_pydict({"query_id": i, "vec_id": j, "score": s}, schema=schema)
 
