@@ -47,7 +47,8 @@ def decided(pages: DataFrame, least: int = LEAST) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     groups = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
-    out = rows.join(groups, "digest", "left")
+    # Written, so that the join below reads it by an exchange of its own and Spark can split a very common payload's partition.
+    out = rows.join(written(groups, "payloads"), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return out.select("page_id", "url", "payload", "digest", "size", F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -208,7 +209,9 @@ def read_warc(archives: DataFrame, payload: bool = False, split: int = 8 << 20)
     kinds = KINDS + ", payload binary" * payload
     schema = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in kinds.split(", ")])
     ranges = archives.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # A given number of tasks: a range is a few bytes of row but megabytes of file, so rows must not be gathered by their size.
+    n = archives.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1
+    ranges = ranges.repartition(max(1, min(int(n), 10_000)))
 
     def scan(batches):
         for b in batches:
