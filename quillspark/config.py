@@ -7,12 +7,12 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
-# Directories that the link graph never enters.
-EXCLUDED_DIRS = [".obsidian", ".git", ".claude", ".alcove", ".obsidian-forge", "_template", "seeded", "harness-engineering", "01-Projects", "release"]
+# Directories that the link graph never enters; with ".obsidian" go all whose names begin with ".obsidian-".
+EXCLUDED_DIRS = [".obsidian", ".git", ".claude", ".alcove", "_template", "seeded", "harness-engineering", "01-Projects", "release"]
 # Top-level directories that are no projects, beside the five configured ones.
 SYSTEM_DIRS = ["01-Projects", "02-Areas", "03-Resources", "Chats", "Clippings", "temp_conversions", "logs", "target", ".obsidian", ".git", ".alcove", ".claude"]
-# Top-level directories that the dashboard leaves out.
-DASHBOARD_EXCLUDED = [".git", ".obsidian", ".obsidian-forge", ".alcove", ".claude", "target"]
+# Top-level directories that the dashboard leaves out, beside all others that begin with a dot.
+DASHBOARD_EXCLUDED = [".git", ".obsidian", ".alcove", ".claude", "target"]
 # Type tags by file name and by the name of the parent directory.
 TYPE_TAGS = {
     "PRD.md": "type/prd", "ARCHITECTURE.md": "type/architecture", "CONVENTIONS.md": "type/convention", "DECISIONS.md": "type/decision",

@@ -19,7 +19,10 @@ HUBS = 10
 
 
 def excluded(path, names: list[str]):
-    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, names)))
+    """Whether any part of a path is one of ``names``, or, where ``.obsidian`` is one, begins with it and a hyphen."""
+    parts = F.split(path, "/")
+    hit = F.arrays_overlap(parts, F.array(*map(F.lit, names)))
+    return hit | F.exists(parts, lambda x: x.startswith(".obsidian-")) if ".obsidian" in names else hit
 
 
 def outside_nested(files: DataFrame, repos: DataFrame | None) -> DataFrame:

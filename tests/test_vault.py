@@ -43,12 +43,12 @@ def test_hand_built_graph(spark, files):
 
 
 def test_exclusion_and_orphan_filters(files):
-    f = files({"_template/a.md": "", "x/seeded/b.md": "", "01-Projects/c.md": "", "ok/_n.md": "---\na: 1\n---\nhello", "z.txt": ""})
+    f = files({"_template/a.md": "", "x/seeded/b.md": "", "01-Projects/c.md": "", "ok/_n.md": "---\na: 1\n---\nhello", ".obsidian-x/d.md": "", "z.txt": ""})
     n = graph.notes(f)
     assert rows(n.select("path")) == [("ok/_n.md",)]
     e = graph.edges(n)
     assert graph.orphans(n, e, least_bytes=6).count() == 0 and graph.orphans(n, e, least_bytes=5).count() == 1
-    assert graph.notes(f, []).count() == 4
+    assert graph.notes(f, []).count() == 5
 
 
 def test_components_of_a_long_path_and_of_random_graphs(spark):
