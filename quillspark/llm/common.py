@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillspark.operators.components import connected_components, shared_folder, written
 
@@ -78,5 +77,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_hash(column: str):
-    return F.md5(F.coalesce(F.col(column), F.lit("")))
+def trim_memory() -> None:
+    """Give freed memory back to the system, where the C library can: workers live on from stage to stage."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        pa.default_memory_pool().release_unused()
+    except (OSError, AttributeError):
+        pass

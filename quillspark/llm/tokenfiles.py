@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batch, local_path, shared_folder, slices, table, written
+from quillspark.llm.common import batch, local_path, shared_folder, slices, table, trim_memory, written
 
 MAGIC = b"QSTOKEN1"
 END_ID = 1
@@ -47,7 +47,7 @@ PART = "\x01"
 class ChunkCoder:
     """ids of texts as little-endian uint32 bytes, by way of a table of chunks."""
 
-    def __init__(self, file: str, most: int = 200_000):
+    def __init__(self, file: str, most: int = 80_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,9 +61,9 @@ class ChunkCoder:
         """Ids of new chunks: many in one string, parted by a chunk that none of them can contain."""
         alone = [c for c in chunks if PART in c or "<|" in c]
         plain = [c for c in chunks if not (PART in c or "<|" in c)] if alone else chunks
-        groups = [plain[i : i + per_call] for i in range(0, len(plain), per_call)]
-        for g, e in zip(groups, self.lib.encode_batch_fast([f" {PART} ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
+        for i in range(0, len(plain), per_call):
+            g = plain[i : i + per_call]
+            ids = np.array(self.lib.encode_batch_fast([f" {PART} ".join(g)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.part[0]) if len(self.part) == 1 else ()
             if len(cuts) != len(g) - 1:
                 alone += g
@@ -106,9 +106,12 @@ def trained(samples: list[bytes], size: int = 112_640) -> bytes:
 
 
 def compressor(dictionary: bytes, level: int = 3):
+    """Digests the dictionary once; without that every frame would."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False)
+    data = zstandard.ZstdCompressionDict(dictionary)
+    data.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=data, write_checksum=False)
 
 
 def decompressor(dictionary: bytes):
@@ -134,6 +137,7 @@ def encoded(docs: DataFrame, file: str, dictionary: bytes | None, width: int, en
             for b in slices(whole, "text", 2 << 20):
                 ids = [np.frombuffer(x + end, "<u4") for x in c.block([x or "" for x in b["text"].to_pylist()])]
                 yield batch(schema, doc_id=b["doc_id"], n_tokens=[len(x) for x in ids], frame=[zip_(x.astype(f"<u{width}").tobytes()) for x in ids])
+        trim_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, frame binary")
 
@@ -172,6 +176,8 @@ def write_token_files(docs: DataFrame, folder: str, file: str, end_id: int = END
     def write(batches):
         from pyspark import TaskContext
 
+        _coders.clear()  # encoding is over in this worker
+        trim_memory()
         fs, path = local_path(folder)
         ids, sizes, counts, name = [], [], [], f"shard-{uuid.uuid4().hex}.qst"
         out = None
