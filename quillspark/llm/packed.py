@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import slices, strings, written
+from quillspark.llm.common import slices, strings, trim_memory, written
 
 SENT = "block string, part int, keys binary, n binary"
 SENT_ARROW = pa.schema([("block", pa.string()), ("part", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
@@ -47,6 +47,15 @@ def blocks(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
         spark.conf.unset("parquet.block.size") if held is None else spark.conf.set("parquet.block.size", held)
 
 
+def each(batches, *names: str):
+    """Rows as tuples, one at a time, so that a task holds one block's objects; lists of numbers as arrays."""
+    for b in batches:
+        for i in range(b.num_rows):
+            row = [b[n][i] for n in names]
+            yield tuple(x.values.to_numpy() if pa.types.is_list(x.type) and pa.types.is_integer(x.type.value_type) and x.is_valid else x.as_py() for x in row)
+    trim_memory()
+
+
 def parts_for(total_bytes: int, part_bytes: int = 8 << 20) -> int:
     """Hash ranges for a corpus of so many text bytes: in proportion, so a range's task has a bounded part."""
     return max(12, -(-int(total_bytes) // part_bytes))
