@@ -143,12 +143,11 @@ def suffixes(blocks: DataFrame, length: int, prefix: int) -> DataFrame:
 
     def run(batches):
         hasher = Hasher()
-        for b in batches:
-            for block, texts in zip(b["block"].to_pylist(), b["texts"].to_pylist()):
-                w = Windows(texts, length, prefix, hasher)
-                at, keys = w.anchors()
-                keys, first, n = np.unique(keys, return_index=True, return_counts=True)
-                yield batch(schema, block=[block] * len(keys), head=w.heads(at[first]) if len(at) else [], key=keys.view(np.int64), n=n)
+        for block, texts in packed.each(batches, "block", "texts"):
+            w = Windows(texts, length, prefix, hasher)
+            at, keys = w.anchors()
+            keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+            yield batch(schema, block=[block] * len(keys), head=w.heads(at[first]) if len(at) else [], key=keys.view(np.int64), n=n)
 
     return blocks.select("block", "texts").mapInArrow(run, "block string, head long, key long, n long")
 
@@ -158,12 +157,11 @@ def narrowed(blocks: DataFrame, keys: DataFrame, length: int, prefix: int) -> Da
 
     def run(batches):
         hasher = Hasher()
-        for b in batches:
-            for block, texts, keys in zip(b["block"].to_pylist(), b["texts"].to_pylist(), b["keys"]):
-                keys = np.sort(keys.values.to_numpy().view(np.uint64))
-                w = Windows(texts, length, prefix, hasher)
-                of = np.unique(np.searchsorted(w.ends, w.matched(keys), "right"))
-                yield pa.RecordBatch.from_pydict({"block": [block], "texts": [[texts[i] for i in of]], "keys": [keys.view(np.int64)]}, schema=pa.schema([("block", pa.string()), ("texts", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64()))]))
+        for block, texts, keys in packed.each(batches, "block", "texts", "keys"):
+            keys = np.sort(keys.view(np.uint64))
+            w = Windows(texts, length, prefix, hasher)
+            of = np.unique(np.searchsorted(w.ends, w.matched(keys), "right"))
+            yield pa.RecordBatch.from_pydict({"block": [block], "texts": [[texts[i] for i in of]], "keys": [keys.view(np.int64)]}, schema=pa.schema([("block", pa.string()), ("texts", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64()))]))
 
     joined = blocks.select("block", "texts").join(keys.hint("shuffle_hash"), "block")
     return written(joined.mapInArrow(run, "block string, texts array<binary>, keys array<long>"), "narrowed")
@@ -174,38 +172,36 @@ def repeated_spans(blocks: DataFrame, parts: int, length: int, prefix: int) -> D
 
     def send(batches):
         hasher = Hasher()
-        for b in batches:
-            for block, texts, keys in zip(b["block"].to_pylist(), b["texts"].to_pylist(), b["keys"]):
-                w = Windows(texts, length, prefix, hasher)
-                got, n = np.unique(hasher.of(w.sums, w.matched(keys.values.to_numpy().view(np.uint64)), length), return_counts=True)
-                yield packed.sent(block, got, n, parts, n_kind="u1")
+        for block, texts, keys in packed.each(batches, "block", "texts", "keys"):
+            w = Windows(texts, length, prefix, hasher)
+            got, n = np.unique(hasher.of(w.sums, w.matched(keys.view(np.uint64)), length), return_counts=True)
+            yield packed.sent(block, got, n, parts, n_kind="u1")
 
     got = packed.answers(blocks.mapInArrow(send, packed.SENT), lambda sums: sums > 1, "u1", n_kind="u1")
     schema = pa.schema([("sig", pa.string()), ("spans", pa.list_(pa.int32())), ("kept_sha256", pa.string())])
 
     def cut(batches):
         hasher = Hasher()
-        for b in batches:
-            for texts, keys, sums in zip(b["texts"].to_pylist(), b["keys"], b["got"].to_pylist()):
-                w = Windows(texts, length, prefix, hasher)
-                at = w.matched(keys.values.to_numpy().view(np.uint64))
-                hashes = hasher.of(w.sums, at, length)
-                at = at[packed.received(sums, "u1")[np.searchsorted(np.unique(hashes), hashes)] > 0]
-                of = np.searchsorted(w.ends, at, "right")
-                sig, spans, kept = [], [], []
-                for i, t in enumerate(texts):
-                    s = at[np.searchsorted(of, i) : np.searchsorted(of, i, "right")] - (w.ends[i] - w.sizes[i])
-                    new = np.flatnonzero(np.diff(s, prepend=-length - 1) > length)
-                    runs = [] if not len(s) else [x for p in zip(s[new].tolist(), (s[np.append(new[1:] - 1, len(s) - 1)] + length).tolist()) for x in p]
-                    sig.append(hashlib.sha256(t).hexdigest())
-                    spans.append(runs)
-                    kept.append(hashlib.sha256(b"".join(t[x:y] for x, y in zip([0, *runs[1::2]], [*runs[::2], len(t)]))).hexdigest())
-                yield batch(schema, sig=sig, spans=spans, kept_sha256=kept)
+        for texts, keys, sums in packed.each(batches, "texts", "keys", "got"):
+            w = Windows(texts, length, prefix, hasher)
+            at = w.matched(keys.view(np.uint64))
+            hashes = hasher.of(w.sums, at, length)
+            at = at[packed.received(sums, "u1")[np.searchsorted(np.unique(hashes), hashes)] > 0]
+            of = np.searchsorted(w.ends, at, "right")
+            sig, spans, kept = [], [], []
+            for i, t in enumerate(texts):
+                s = at[np.searchsorted(of, i) : np.searchsorted(of, i, "right")] - (w.ends[i] - w.sizes[i])
+                new = np.flatnonzero(np.diff(s, prepend=-length - 1) > length)
+                runs = [] if not len(s) else [x for p in zip(s[new].tolist(), (s[np.append(new[1:] - 1, len(s) - 1)] + length).tolist()) for x in p]
+                sig.append(hashlib.sha256(t).hexdigest())
+                spans.append(runs)
+                kept.append(hashlib.sha256(b"".join(t[x:y] for x, y in zip([0, *runs[1::2]], [*runs[::2], len(t)]))).hexdigest())
+            yield batch(schema, sig=sig, spans=spans, kept_sha256=kept)
 
     return packed.with_answers(blocks, got).mapInArrow(cut, "sig string, spans array<int>, kept_sha256 string")
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, batches: int = 4, block_bytes: int = 2 << 20) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, batches: int = 4, block_bytes: int = 1 << 20) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, spans (start, end, ... of what goes), kept_sha256."""
     sig = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     docs = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
@@ -222,7 +218,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
         found = new if found is None else found.union(new)
     keys = anchors.select("block", "key").join(found.distinct(), "key", "left_semi").groupBy("block").agg(F.collect_list("key").alias("keys"))
     cut = repeated_spans(narrowed(blocks, keys, length, prefix), packed.parts_for(total), length, prefix)
-    done = classes.join(cut.dropDuplicates(["sig"]), "sig", "left").select("sig", "m", "spans", "kept_sha256")
+    # Written, so that the join below can split the partition of a very common text.
+    done = written(classes.join(cut.dropDuplicates(["sig"]), "sig", "left").select("sig", "m", "spans", "kept_sha256"), "spans")
     out = signs.join(done, "sig", "left")
     whole = (F.col("m") > 1) & (F.col("n_bytes") >= length)
     none = F.expr("cast(array() as array<int>)")
