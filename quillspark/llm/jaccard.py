@@ -12,12 +12,14 @@ Sets are the distinct ``size``-word shingles of whole texts, hashed to 64 bits.
    set's.  Each document takes the ``l`` of least estimated cost - postings to
    read and candidates to verify, from the frequencies of its prefix - and two
    documents are candidates when they share ``min(l, l')`` prefix tokens.
-4. Large groups of copies: before pairs are made, documents of equal min-hash
-   are verified against the one of them with the largest share of shared tokens
-   (that nearest to what the others are copies of).  Postings whose documents
-   are all in one component already make no pairs, others only pairs across
-   components; this loses no link between components, and so none that matters.
-   Long postings are dealt as pairs of sub-blocks.
+4. Large groups of copies: before pairs are made, each document is compared with
+   a leader, of those of equal min-hash the one with the largest share of shared
+   tokens (that nearest to what the others are copies of).  Documents of one
+   leader are a family: held as their differences from it, they are compared
+   exactly by matrix products over blocks, and only one link of a document into
+   each other component leaves the task.  Prefix postings then make pairs across
+   families and components only; long ones are dealt as pairs of sub-blocks.
+   This loses no link between components, and so none that matters.
 5. Candidates that pass the size and shared-token bounds are verified on whole
    sets; links and earlier components give the components.
 
@@ -108,10 +110,9 @@ def sends(blocks: DataFrame, size: int, parts: int) -> DataFrame:
 
     def run(batches):
         cut = Shingler(size)
-        for b in batches:
-            for block, texts in zip(b["block"].to_pylist(), b["texts"].to_pylist()):
-                keys, n = np.unique(np.concatenate([cut(t) for t in texts]), return_counts=True)
-                yield packed.sent(block, keys, n, parts, half=True, n_kind="u1")
+        for block, texts in packed.each(batches, "block", "texts"):
+            keys, n = np.unique(np.concatenate([cut(t) for t in texts]), return_counts=True)
+            yield packed.sent(block, keys, n, parts, half=True, n_kind="u1")
 
     return blocks.select("block", "texts").mapInArrow(run, packed.SENT)
 
@@ -126,26 +127,25 @@ def prefixes(blocks: DataFrame, got: DataFrame, size: int, tenths: int) -> DataF
 
     def run(batches):
         cut = Shingler(size)
-        for b in batches:
-            for ids, texts, sums in zip(*(b[c].to_pylist() for c in ("ids", "texts", "got"))):
-                sets = [cut(t) for t in texts]
-                keys = np.unique(np.concatenate(sets))
-                counts = packed.received(sums, "u1")
-                rows: list[tuple] = []
-                for rid, x in zip(ids, sets):
-                    df = counts[np.searchsorted(keys, x)]
-                    n, s = len(x), int((df > 1).sum())
-                    if s < needed(n, tenths):
-                        continue
-                    order = np.lexsort((x, df))
-                    l, length = choose(n, df[order], tenths)
-                    tokens = x[order[n - s : length]]
-                    shared = x[df > 1]
-                    rows.append(("set", rid, n, s, l, None, shared.tobytes()))
-                    rows += [("token", rid, n, s, l, t, None) for t in tokens.view(np.int64).tolist()]
-                    rows += [("min", rid, n, s, i, int(mix64(shared ^ salt).min().view(np.int64)), None) for i, salt in enumerate(salts)]
-                if rows:
-                    yield batch(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
+        for ids, texts, sums in packed.each(batches, "ids", "texts", "got"):
+            sets = [cut(t) for t in texts]
+            keys = np.unique(np.concatenate(sets))
+            counts = packed.received(sums, "u1")
+            rows: list[tuple] = []
+            for rid, x in zip(ids.tolist(), sets):
+                df = counts[np.searchsorted(keys, x)]
+                n, s = len(x), int((df > 1).sum())
+                if s < needed(n, tenths):
+                    continue
+                order = np.lexsort((x, df))
+                l, length = choose(n, df[order], tenths)
+                tokens = x[order[n - s : length]]
+                shared = x[df > 1]
+                rows.append(("set", rid, n, s, l, None, shared.tobytes()))
+                rows += [("token", rid, n, s, l, t, None) for t in tokens.view(np.int64).tolist()]
+                rows += [("min", rid, n, s, i, int(mix64(shared ^ salt).min().view(np.int64)), None) for i, salt in enumerate(salts)]
+            if rows:
+                yield batch(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
 
     return packed.with_answers(blocks, got).select("ids", "texts", "got").mapInArrow(run, KEPT)
 
@@ -157,26 +157,137 @@ def may_link(nx, sx, ny, sy, tenths: int):
     return (10 * nx >= tenths * ny) & (10 * ny >= tenths * nx) & (10 * o >= tenths * (nx + ny - o))
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(x, y)`` with both sizes and both arrays of shared tokens."""
+    of = lambda side: sets.select(F.col("rid").alias(side), F.col("n").alias(f"n{side}"), F.col("hashes").alias(f"h{side}"))
+    return pairs.join(of("y"), "y").join(of("x"), "x").select("x", "y", "nx", "ny", "hx", "hy")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     """Those of distinct ``pairs(x, y)`` that link, as edges ``(u, v)``."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    of = lambda side: sets.select(F.col("rid").alias(side), F.col("n").alias(f"n{side}"), F.col("hashes").alias(f"h{side}"))
 
     def run(batches):
         for b in batches:
             u, v = [], []
             for x, y, nx, ny, hx, hy in zip(*(b[c].to_pylist() for c in ("x", "y", "nx", "ny", "hx", "hy"))):
-                a, c = np.frombuffer(hx, np.uint64), np.frombuffer(hy, np.uint64)
-                i = np.searchsorted(a, c)
-                i[i == len(a)] = 0
-                o = int((a[i] == c).sum()) if len(a) else 0
+                o = int(within(np.frombuffer(hx, np.uint64), np.frombuffer(hy, np.uint64)).sum())
                 if 10 * o >= tenths * (nx + ny - o):
                     u.append(x)
                     v.append(y)
             yield batch(schema, u=u, v=v)
 
-    joined = pairs.join(of("y"), "y").join(of("x"), "x")
-    return joined.select("x", "y", "nx", "ny", "hx", "hy").mapInArrow(run, "u long, v long")
+    return with_sets(pairs, sets).mapInArrow(run, "u long, v long")
+
+
+def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of ``b`` are in sorted ``a``."""
+    if not len(a):
+        return np.zeros(len(b), bool)
+    i = np.searchsorted(a, b)
+    i[i == len(a)] = 0
+    return a[i] == b
+
+
+def leaders(mins: DataFrame) -> DataFrame:
+    """``(x, y)``: for each document the most central of the leaders of its min-hash groups, the leader first; none for leaders themselves."""
+    lead = F.struct((F.col("s") / F.col("n")).alias("share"), (-F.col("rid")).alias("minus"))
+    groups = mins.groupBy("l", "token").agg(F.max(lead).alias("top"), F.count("*").alias("m")).filter("m > 1")
+    best = mins.join(groups, ["l", "token"]).groupBy("rid").agg(F.max("top").alias("top"))
+    return best.select((-F.col("top.minus")).alias("x"), F.col("rid").alias("y")).filter("x <> y")
+
+
+DELTA = "leader long, rid long, n int, common int, link boolean, missing array<long>, extra array<long>"
+
+
+def deltas(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """Documents as their difference from their leader: tokens of it that they lack, shared tokens that it lacks.
+
+    Kept where the two have half of their tokens together; others are no family.
+    ``common`` is the leader's number of shared tokens.
+    """
+    schema = pa.schema([("leader", pa.int64()), ("rid", pa.int64()), ("n", pa.int32()), ("common", pa.int32()), ("link", pa.bool_()), ("missing", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for x, y, nx, ny, hx, hy in zip(*(b[c].to_pylist() for c in ("x", "y", "nx", "ny", "hx", "hy"))):
+                a, c = np.frombuffer(hx, np.uint64), np.frombuffer(hy, np.uint64)
+                both = within(a, c)
+                o = int(both.sum())
+                if 2 * o >= nx + ny - o:
+                    rows.append((x, y, ny, len(a), 10 * o >= tenths * (nx + ny - o), a[~within(c, a)].view(np.int64), c[~both].view(np.int64)))
+            if rows:
+                yield batch(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
+
+    return written(with_sets(pairs, sets).mapInArrow(run, DELTA), "deltas")
+
+
+def own_families(family: DataFrame, sets: DataFrame) -> DataFrame:
+    """Leaders as members of their families, unless they follow another: nothing missing, nothing added."""
+    heads = family.select("leader").distinct().join(family.select(F.col("rid").alias("leader")), "leader", "left_anti")
+    none = F.array().cast("array<long>")
+    return heads.join(sets.select(F.col("rid").alias("leader"), "n", (F.length("hashes") / 8).cast("int").alias("common")), "leader").select("leader", F.col("leader").alias("rid"), "n", "common", none.alias("missing"), none.alias("extra"))
+
+
+def incidence(lists: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each of ``lists`` shares with each of ``others``."""
+    tokens, inverse = np.unique(np.concatenate([*lists, *others]) if lists or others else np.zeros(0, np.int64), return_inverse=True)
+    out = np.zeros((len(lists), len(others)), np.float32)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    col = np.repeat(np.arange(len(others)), [len(x) for x in others])
+    left, right = inverse[: len(row)], inverse[len(row) :]
+    used = np.flatnonzero((np.bincount(left, minlength=len(tokens)) > 0) & (np.bincount(right, minlength=len(tokens)) > 0))
+    place = np.full(len(tokens), -1)
+    for at in range(0, len(used), 4096):  # a bounded number of tokens at a time
+        part = used[at : at + 4096]
+        place[:] = -1
+        place[part] = np.arange(len(part))
+        a, b = np.zeros((len(lists), len(part)), np.float32), np.zeros((len(others), len(part)), np.float32)
+        i, j = place[left], place[right]
+        a[row[i >= 0], i[i >= 0]] = 1
+        b[col[j >= 0], j[j >= 0]] = 1
+        out += a @ b.T
+    return out
+
+
+def in_families(deltas: DataFrame, comps: DataFrame, tenths: int, most: int = 1024) -> DataFrame:
+    """Edges between documents of one leader, exact and without pairs as rows.
+
+    ``|x & y| = common - |Mx | My| + |Ex & Ey|`` from what each lacks and adds.
+    Families of several components are dealt as pairs of blocks of about
+    ``most`` documents; of a document's links into another component one is kept.
+    """
+    rows = labelled(deltas, comps)
+    groups = rows.groupBy("leader").agg(F.count("*").alias("m"), F.min("c").alias("c_min"), F.max("c").alias("c_max")).filter("c_min < c_max")
+    rows = rows.join(groups.select("leader", "m"), "leader")
+    blocks = F.ceil(F.col("m") / most).cast("int")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("leader", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "rid", "n", "common", "c", "missing", "extra")
+
+    def compare(t: pa.Table) -> pa.Table:
+        rid, n, c, i, common = (t[k].to_numpy().astype(np.int64) for k in ("rid", "n", "c", "i", "common"))
+        lists = lambda k: [np.asarray(x, np.int64) for x in t[k].to_pylist()]
+        missing, extra = lists("missing"), lists("extra")
+        size = np.array([len(x) for x in missing])
+        whole = t["a"][0].as_py() == t["b"][0].as_py()
+        left, right = (np.arange(len(rid)),) * 2 if whole else (np.flatnonzero(i == t["a"][0].as_py()), np.flatnonzero(i == t["b"][0].as_py()))
+        u, v = [], []
+        for at in range(0, len(left), most):
+            p = left[at : at + most]
+            for to in range(0, len(right), most):
+                q = right[to : to + most]
+                pick = lambda x, k: [x[y] for y in k]
+                lack = size[p][:, None] + size[q][None] - incidence(pick(missing, p), pick(missing, q))
+                o = common[0] - lack + incidence(pick(extra, p), pick(extra, q))
+                x, y = np.nonzero((10 * o >= tenths * (n[p][:, None] + n[q][None] - o)) & (c[p][:, None] != c[q][None]))
+                _, one = np.unique(np.stack([p[x], c[q[y]]], 1), axis=0, return_index=True) if len(x) else (None, [])
+                u.append(rid[p[x[one]]])
+                v.append(rid[q[y[one]]])
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table({"u": cat(u), "v": cat(v)})
+
+    return rows.groupBy("leader", "a", "b").applyInArrow(compare, "u long, v long")
 
 
 def labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -185,24 +296,18 @@ def labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps.select(F.col("node").alias("rid"), F.col("component").alias("c0")), "rid", "left").withColumn("c", F.coalesce("c0", "rid")).drop("c0")
 
 
-def to_leaders(mins: DataFrame, comps: DataFrame | None, salts: list[int], tenths: int) -> DataFrame:
-    """Pairs of each document with the leader of its min-hash group, unless one component holds both."""
-    rows = labelled(mins.filter(F.col("l").isin(salts)), comps)
-    lead = F.struct((F.col("s") / F.col("n")).alias("share"), (-F.col("rid")).alias("minus"), "n", "s", "c")
-    groups = rows.groupBy("l", "token").agg(F.max(lead).alias("top"), F.count("*").alias("m"), F.min("c").alias("c_min"), F.max("c").alias("c_max")).filter("m > 1 AND c_min < c_max")
-    pairs = rows.join(groups, ["l", "token"]).filter((F.col("c") != F.col("top.c")) & may_link(F.col("n"), F.col("s"), F.col("top.n"), F.col("top.s"), tenths))
-    x, y = F.col("rid"), -F.col("top.minus")
-    return pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
-
-
-def candidates(tokens: DataFrame, comps: DataFrame | None, tenths: int, most: int = 512) -> DataFrame:
-    """Pairs across components that share enough prefix tokens."""
+def candidates(tokens: DataFrame, comps: DataFrame | None, tenths: int, families: DataFrame | None = None, most: int = 512) -> DataFrame:
+    """Pairs across components, and across families where given as ``(rid, leader)``, that share enough prefix tokens."""
     rows = labelled(tokens, comps)
-    groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("c_min"), F.max("c").alias("c_max")).filter("c_min < c_max")
+    if families is None:
+        rows = rows.withColumn("f", F.col("rid"))
+    else:
+        rows = rows.join(families.select("rid", "leader"), "rid", "left").withColumn("f", F.coalesce("leader", "rid"))
+    groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.min("f").alias("f_min"), F.max("f").alias("f_max")).filter("c_min < c_max AND f_min < f_max")
     rows = rows.join(groups.select("token", "m"), "token")
     blocks = F.ceil(F.col("m") / most).cast("int")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("token", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "rid", "n", "s", "l", "c")
+    rows = rows.select("token", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "rid", "n", "s", "l", "c", "f")
     keys = ["token", "a", "b"]
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("need", pa.int32())])
 
@@ -226,8 +331,9 @@ def candidates(tokens: DataFrame, comps: DataFrame | None, tenths: int, most: in
         for s, e in zip(starts, ends):
             if e - s < 2:
                 continue
-            i, rid, n, sh, l, c = (cols[k][s:e] for k in ("i", "rid", "n", "s", "l", "c"))
-            ok = (rid[:, None] < rid[None]) & (c[:, None] != c[None]) & may_link(n[:, None].astype(np.int64), sh[:, None].astype(np.int64), n[None].astype(np.int64), sh[None].astype(np.int64), tenths)
+            i, rid, n, sh, l, c, f = (cols[k][s:e] for k in ("i", "rid", "n", "s", "l", "c", "f"))
+            ok = (rid[:, None] < rid[None]) & (c[:, None] != c[None]) & (f[:, None] != f[None])
+            ok &= may_link(n[:, None].astype(np.int64), sh[:, None].astype(np.int64), n[None].astype(np.int64), sh[None].astype(np.int64), tenths)
             if cols["a"][s] != cols["b"][s]:
                 ok &= i[:, None] != i[None]
             p, q = np.nonzero(ok)
@@ -239,7 +345,7 @@ def candidates(tokens: DataFrame, comps: DataFrame | None, tenths: int, most: in
     return found.groupBy("x", "y").agg(F.count("*").alias("k"), F.min("need").alias("need")).filter("k >= need").select("x", "y")
 
 
-def jaccard_groups(docs: DataFrame, size: int = 3, tenths: int = 9, block_bytes: int = 2 << 20, rounds: int = 2) -> DataFrame:
+def jaccard_groups(docs: DataFrame, size: int = 3, tenths: int = 9, block_bytes: int = 2 << 20) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, where sets of Jaccard similarity of ``tenths`` tenths link."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = signed(docs, size)
@@ -251,15 +357,16 @@ def jaccard_groups(docs: DataFrame, size: int = 3, tenths: int = 9, block_bytes:
     got = packed.answers(sends(blocks, size, packed.parts_for(total)), lambda sums: np.minimum(sums, 255), "u1", half=True, n_kind="u1")
     kept = written(prefixes(blocks, got, size, tenths), "prefixes")
     sets, tokens, mins = (kept.filter(F.col("kind") == k) for k in ("set", "token", "min"))
-    edges, comps = None, None
-    for r in range(rounds):
-        salts = list(range(r * SALTS // rounds, (r + 1) * SALTS // rounds))
-        new = verified(to_leaders(mins, comps, salts, tenths), sets, tenths)
-        edges = written(new if edges is None else edges.union(new), "links")
-        comps = written(connected_components(edges), "components")
-    edges = edges.union(verified(candidates(tokens, comps, tenths), sets, tenths))
+    family = deltas(leaders(mins), sets, tenths)
+    edges = written(family.filter("link").select(F.col("leader").alias("u"), F.col("rid").alias("v")), "links")
+    comps = written(connected_components(edges), "components")
+    members = written(family.select("leader", "rid", "n", "common", "missing", "extra").union(own_families(family, sets)), "families")
+    edges = written(edges.union(in_families(members, comps, tenths)), "links")
+    comps = written(connected_components(edges), "components")
+    edges = edges.union(verified(candidates(tokens, comps, tenths, members), sets, tenths))
     comps = connected_components(edges)
     named = classes.join(comps.select(F.col("node").alias("rid"), "component"), "rid", "left").select("sig", F.coalesce("component", "rid").alias("component_id"))
+    named = written(named, "named")  # so that the join below can split the partition of a very common set
     return signs.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
