@@ -47,7 +47,7 @@ PART = "\x01"
 class ChunkCoder:
     """ids of texts as little-endian uint32 bytes, by way of a table of chunks."""
 
-    def __init__(self, file: str, most: int = 80_000):
+    def __init__(self, file: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,7 +63,7 @@ class ChunkCoder:
         plain = [c for c in chunks if not (PART in c or "<|" in c)] if alone else chunks
         for i in range(0, len(plain), per_call):
             g = plain[i : i + per_call]
-            ids = np.array(self.lib.encode_batch_fast([f" {PART} ".join(g)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.lib.encode(f" {PART} ".join(g), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(ids == self.part[0]) if len(self.part) == 1 else ()
             if len(cuts) != len(g) - 1:
                 alone += g
