@@ -9,7 +9,8 @@ range that could start a record - the member magic or, in plain archives, the
 ``WARC/1.`` line - with what it parses there and the offset of the successor.
 Payloads may hold such places too.  From the start of each file the successors
 are followed by pointer jumping (log2 of the record count rounds over arrays),
-and only reached places are records.
+and only reached places are records.  Headers may be of any length.  A chain has
+to end where its archive ends; if it does not, reading fails.
 
 Defined cases: a null html is empty; rows are judged one by one, so repeated
 rows give repeated records; all rows of a payload's smallest page_id are
@@ -102,15 +103,17 @@ def write_warc(pages: DataFrame, folder: str, compress: bool = True, date: str =
 def parsed(raw: bytes) -> tuple[dict, bytes, int] | None:
     """Headers (names in lower case), block and length of a plain record at the start of ``raw``; None if it is none."""
     m = PLAIN.match(raw)
-    end = raw.find(b"\r\n\r\n", 0, 1 << 16) if m else -1
+    end = raw.find(b"\r\n\r\n") if m else -1
     if end < 0:
         return None
-    head = {}
-    for line in raw[m.end() : end].split(b"\r\n"):
-        k, colon, v = line.partition(b":")
+    head, at = {}, m.end()
+    while at < end:  # line by line, so that what is no record is left at its first wrong line
+        stop = raw.find(b"\r\n", at, end + 2)
+        k, colon, v = raw[at:stop].partition(b":")
         if not colon:
             return None
         head[k.decode("latin-1").lower()] = v.strip().decode("utf-8", "replace")
+        at = stop + 2
     if not head.get("content-length", "").isdigit():
         return None
     n = int(head["content-length"])
@@ -141,6 +144,14 @@ class Bytes:
             self.held += more
         return self.held
 
+    def find(self, what: bytes, start: int) -> int:
+        """Where ``what`` is first from ``start`` on, reading on as far as needed; -1 if nowhere."""
+        while (at := self.held.find(what, start)) < 0:
+            start, n = max(start, len(self.held) - len(what) + 1), len(self.held)
+            if len(self.upto(n + 1)) == n:
+                return -1
+        return at
+
     @property
     def size(self) -> int:
         return self.file.size()
@@ -160,11 +171,15 @@ def candidates(file, start: int, end: int):
                     yield start + at, start + at + n, fields(p[0], p[1])
             at = data.held.find(MEMBER, at + 1)
         return
+    head_end = -1
     for m in PLAIN.finditer(held):
         if m.start() >= end - start:
             break
-        raw = data.upto(min(m.start() + (1 << 16), size - start))[m.start() : m.start() + (1 << 16)]
-        p = parsed(raw)
+        if head_end < m.start():  # the next one is the same for all places before it
+            head_end = data.find(b"\r\n\r\n", m.start())
+            if head_end < 0:
+                break
+        p = parsed(data.held[m.start() : head_end + 4])
         if p and m.start() + p[2] <= size - start:
             raw = data.upto(m.start() + p[2])[m.start() : m.start() + p[2]]
             p = parsed(raw)
@@ -215,11 +230,12 @@ def read_warc(archives: DataFrame, payload: bool = False, split: int = 8 << 20)
 
     def scan(batches):
         for b in batches:
-            for path, start in zip(b["path"].to_pylist(), b["start"].to_pylist()):
+            for path, size, start in zip(b["path"].to_pylist(), b["size"].to_pylist(), b["start"].to_pylist()):
                 fs, name = local_path(path)
                 with fs.open_input_file(name) as f:
-                    rows, held = [], 0
-                    for at, after, x in candidates(f, start, min(start + split, f.size())):
+                    # The end of the file is the last place of a chain, its own successor.
+                    rows, held = [{c: None for c in names} | {"path": path, "at": size, "after": size}] if start + split >= size else [], 0
+                    for at, after, x in candidates(f, start, min(start + split, size, f.size())):
                         rows.append({"path": path, "at": at, "after": after} | x)
                         held += len(x["payload"] or b"") * payload
                         if len(rows) >= 2000 or held > 8 << 20:
@@ -231,7 +247,11 @@ def read_warc(archives: DataFrame, payload: bool = False, split: int = 8 << 20)
 
     def chain(t: pa.Table) -> pa.Table:
         t = t.sort_by("at")
-        return t.filter(pa.array(reached(t["at"].to_numpy(), t["after"].to_numpy())))
+        at, after = t["at"].to_numpy(), t["after"].to_numpy()
+        on = reached(at, after)
+        if not on[-1] or at[-1] != after[-1]:
+            raise ValueError(f"{t['path'][0]}: no record starts at byte {after[on].max(initial=0)}, before the end of the file")
+        return t.filter(pa.array(on)).slice(0, int(on.sum()) - 1)
 
     if not payload:
         return found.groupBy("path").applyInArrow(chain, KINDS)

@@ -59,3 +59,30 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     df = spark.createDataFrame([(2, "u", BIG), (2, "u", BIG), (None, "u", BIG), (4, "u", BIG)], "page_id long, url string, html string")
     got = sorted(((r.page_id, r.record_type, r.refers_to) for r in w.op5_warc(spark, saved(df, tmp_path, "pages")).collect()), key=str)
     assert got == [(2, "response", None), (2, "response", None), (4, "revisit", 2), (None, "revisit", 2)]
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_long_urls_lose_no_pages(spark, tmp_path, compress):
+    """Headers beyond 64 KiB, and of more than one step of reading, with other pages after them."""
+    long = {21: "data:text/html," + "".join(chr(97 + i * i % 23) for i in range(120_000)), 23: "http://a/?q=" + " " * 400_000}
+    rows = [(20, "u", "first"), (21, long[21], "long"), (22, "u", INSIDE), (23, long[23], BIG), (24, "u", BIG), (25, "u", "last")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    archives = w.write_warc(df, f"file://{tmp_path}/a", compress)
+    for split in (1 << 14, 8 << 20):
+        got = as_dict(w.read_warc(archives, split=split).filter("record_type in ('response', 'revisit')"), "page_id")
+        assert {i: {k: r[k] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")} for i, r in got.items()} == brute(rows)
+        assert got[21]["url"] == long[21] and got[23]["url"] == long[23].replace(" ", "%20")
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_a_broken_chain_fails(spark, tmp_path, compress):
+    archives = w.write_warc(spark.createDataFrame([(i, "u", f"page {i}") for i in range(9)], "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/a", compress)
+    path = archives.first().path.removeprefix("file://")
+    with open(path, "rb") as f:
+        whole = f.read()
+    assert w.read_warc(archives).count() == 10
+    for bad in (whole[: len(whole) // 2] + b"?" * 40 + whole[len(whole) // 2 :], b"?" * len(whole), whole[:-7]):
+        with open(path, "wb") as f:
+            f.write(bad)
+        with pytest.raises(Exception, match="no record starts at byte"):
+            w.read_warc(spark.createDataFrame([(f"file://{path}", len(whole))], "path string, size long"), split=50).count()
