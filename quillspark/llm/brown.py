@@ -1,15 +1,22 @@
 """Language-model scores by class-based bigrams (Brown's model with exchange clustering).
 
-The commonest ``top`` words of the training texts are put into ``classes``
-classes by exchange: each word in turn moves to the class that raises the
-likelihood of the class bigrams most.  All other words share a few tail classes
-by their look.  A text's score sums log10 of class transition and of word
-emission probabilities over its words and its end.
+Every word of the training texts is put into one of ``classes`` classes by
+exchange.  The commonest ``top`` words come first, in several sweeps: each in
+turn moves to the class that raises the likelihood of the class bigrams most.
+Then every other word is placed by the same measure in one pass against the
+classes so found, by the classes of its neighbours throughout the corpus (those
+outside the ``top`` count there by their look).  A text's score sums log10 of
+class transition and of word emission probabilities over its words and its end.
+
+Words not seen in training have tail classes by their look.  What precedes and
+follows them, and how many there may be, is taken from words seen once, which
+count in their own class and in their look's tail.
 
 Counts cover every training text: words are hashed (64 bits) and counted by
-packed exchange, each block getting the counts of just its own words; bigrams of
-the ``top`` words and tails are summed in each task before they are shuffled.
-Only the ``top`` words and their bigram matrix, of fixed size, reach the driver.
+packed exchange, each block getting the counts of just its own words; their
+neighbours' classes go the same way, and the classes come back.  Bigrams of the
+``top`` words and of classes are summed in each task before they are shuffled;
+only these matrices, of fixed size, and the ``top`` words reach the driver.
 
 Defined cases: null and empty texts hold the end alone; rows are scored one by
 one, so repeated rows repeat (and count as often in training); a null doc_id
@@ -28,9 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import packed
-from quillspark.llm.common import batch, fold_words, table, written
+from quillspark.llm.common import batch, fold_words, slices, table, written
 
 END = b" end"  # no word holds a space
+END_KEY = np.uint64(xxhash.xxh3_64_intdigest(END))
+UNSEEN, ONCE = 255, 128  # as a placed word's class: none, and a flag on it
 TAILS = 4
 ADD = 0.1
 
@@ -44,6 +53,16 @@ def tail_of(word: bytes) -> int:
     return 3 if word.isalpha() else 2
 
 
+def looks(words: list[bytes]) -> np.ndarray:
+    """``tail_of`` each word."""
+    if not words:
+        return np.zeros(0, np.int64)
+    flat, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    some = lambda x: np.logical_or.reduceat(x, np.cumsum(sizes) - sizes)
+    low = flat | 0x20
+    return np.where(some((flat >= 0x30) & (flat <= 0x39)), 0, np.where(some(flat >= 0x80), 1, np.where(some((low < 0x61) | (low > 0x7A)), 2, 3)))
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Of a block: each token's place among its sorted distinct hashes, tokens a text, the hashes, and the words in that order."""
     place: dict[bytes, int] = {}
@@ -92,7 +111,6 @@ def bigrams(blocks: DataFrame, vocabulary: np.ndarray, top: int) -> np.ndarray:
     """Counts of neighbours in training texts: vocabulary (by hash), tails, start and end; a matrix of fixed size."""
     size = top + TAILS + 2
     shared = blocks.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = pa.schema([("row", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
 
     def run(batches):
         known, m = shared.value, np.zeros(size * size, np.int64)
@@ -105,10 +123,24 @@ def bigrams(blocks: DataFrame, vocabulary: np.ndarray, top: int) -> np.ndarray:
             before[np.cumsum(sizes)[:-1]] = top + TAILS
             pair, n = np.unique(before * size + ids, return_counts=True)
             m[pair] += n
-        m = m.reshape(size, size)
-        rows = np.flatnonzero(m.any(1))
-        at = [np.flatnonzero(m[r]) for r in rows]
-        yield batch(schema, row=rows, at=[a.astype("<u4").tobytes() for a in at], n=[m[r][a].astype("<i8").tobytes() for r, a in zip(rows, at)])
+        yield from by_row(m.reshape(size, size))
+
+    return summed(blocks.select("texts", "extra").mapInArrow(run, ROW), size)
+
+
+ROW = "row int, at binary, n binary"
+ROW_ARROW = pa.schema([("row", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
+
+
+def by_row(m: np.ndarray):
+    """A task's matrix, sparse, a row each."""
+    rows = np.flatnonzero(m.any(1))
+    at = [np.flatnonzero(m[r]) for r in rows]
+    yield batch(ROW_ARROW, row=rows, at=[a.astype("<u4").tobytes() for a in at], n=[m[r][a].astype("<i8").tobytes() for r, a in zip(rows, at)])
+
+
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of the tasks' matrices."""
 
     def add(t: pa.Table) -> pa.Table:
         at = np.frombuffer(b"".join(t["at"].to_pylist()), "<u4")
@@ -117,9 +149,8 @@ def bigrams(blocks: DataFrame, vocabulary: np.ndarray, top: int) -> np.ndarray:
         np.add.at(sums, at, n)
         return pa.table({"row": t["row"][:1], "at": pa.array([b""], pa.binary()), "n": pa.array([sums.astype("<i8").tobytes()], pa.binary())})
 
-    rows = blocks.select("texts", "extra").mapInArrow(run, "row int, at binary, n binary").groupBy("row").applyInArrow(add, "row int, at binary, n binary")
     out = np.zeros((size, size), np.int64)
-    for r in rows.toLocalIterator():
+    for r in rows.groupBy("row").applyInArrow(add, ROW).toLocalIterator():
         out[r.row] = np.frombuffer(r.n, "<i8")
     return out
 
@@ -134,8 +165,8 @@ def symbol_of(keys, words, known: np.ndarray, top: int) -> np.ndarray:
     i = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
     hit = known[i] == keys if len(known) else np.zeros(len(keys), bool)
     out = np.where(hit, i, 0).astype(np.int64)
-    for j in np.flatnonzero(~hit).tolist():
-        out[j] = top + TAILS + 1 if words[j] == END else top + tail_of(words[j])
+    rest = np.flatnonzero(~hit)
+    out[rest] = np.where(keys[rest] == END_KEY, top + TAILS + 1, top + looks([words[j] for j in rest.tolist()]))
     return out
 
 
@@ -192,36 +223,152 @@ def exchange(m: np.ndarray, top: int, classes: int = 48, sweeps: int = 4) -> np.
     return cls
 
 
+class Seeds:
+    """The ``top`` words' classes, and the bigrams of those classes, tails, start and end."""
+
+    def __init__(self, known: np.ndarray, m: np.ndarray, top: int, classes: int):
+        if not 0 < classes * (TAILS + 1) + TAILS + 2 <= 256:
+            raise ValueError("classes and looks have to fit a byte")
+        self.known, self.top, self.classes = known, top, classes
+        self.cls = exchange(m, top, classes)
+        self.size, self.start = classes + TAILS + 2, classes + TAILS
+        one = np.zeros((len(m), self.size))
+        one[np.arange(len(m)), self.cls] = 1
+        self.big = one.T @ m.astype(float) @ one
+
+    def of(self, keys: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of a block's words their classes, tails where not of the ``top``; and which of them are still to be placed."""
+        sym = symbol_of(keys, words, self.known, self.top)
+        return self.cls[sym], (sym >= self.top) & (keys != END_KEY)
+
+
+def contexts(blocks: DataFrame, seeds, parts: int) -> DataFrame:
+    """What a block knows of its words to be placed, by hash range: key (the lowest 40 bits, more are the same in a range), occurrences in training, and the classes before and after each."""
+    schema = pa.schema([("block", pa.string()), ("part", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("n", pa.binary()), ("near", pa.binary())])
+
+    def run(batches):
+        s = pickle.loads(seeds.value)
+        for block, texts, train in packed.each(batches, "block", "texts", "extra"):
+            at, sizes, keys, words = tokens(texts)
+            c, rare = s.of(keys, words)
+            c_at = c[at]
+            before = np.concatenate([[s.start], c_at[:-1]])
+            before[np.cumsum(sizes)[:-1]] = s.start
+            after = np.concatenate([c_at[1:], [s.start]])  # only of an end
+            some = np.flatnonzero(np.repeat(train > 0, sizes) & rare[at])
+            n = np.bincount(at[some], minlength=len(keys))[rare]
+            some = some[np.argsort(at[some], kind="stable")]
+            near = np.stack([before[some], after[some]], 1).astype(np.uint8)
+            keys, ends = keys[rare], np.concatenate([[0], np.cumsum(n)])
+            edges = np.searchsorted(packed.part_of(keys, parts), np.arange(parts + 1))
+            used = [i for i in range(parts) if edges[i] < edges[i + 1]]
+            cut = lambda a, kind: [a[edges[i] : edges[i + 1]].astype(kind).tobytes() for i in used]
+            yield batch(
+                schema, block=[block] * len(used), part=used, low=cut(keys & np.uint64(0xFFFFFFFF), "<u4"), high=cut(keys >> np.uint64(32) & np.uint64(0xFF), "u1"), n=cut(n, "<u4"),
+                near=[near[ends[edges[i]] : ends[edges[i + 1]]].tobytes() for i in used],
+            )
+
+    return blocks.select("block", "texts", "extra").mapInArrow(run, "block string, part int, low binary, high binary, n binary, near binary")
+
+
+def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, big: np.ndarray, classes: int, most: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
+    """Of words given by sorted ``(word, code, n)`` - neighbours of class ``code`` before, or ``code - len(big)`` after - the classes that raise the likelihood of ``big`` most."""
+    beside = np.vstack([big[:, :classes], big[:classes].T])
+    held, all_out, all_in = xlogx(beside), big[:classes].sum(1), big[:, :classes].sum(0)
+    once = xlogx(beside + 1) - held
+    words, starts = np.unique(word, return_index=True)
+    ends = np.append(starts[1:], len(word))
+    out, i = np.zeros(len(words), np.int64), 0
+    while i < len(words):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right")))
+        a, b = starts[i], ends[j - 1]
+        gain = once[code[a:b]]
+        more = np.flatnonzero(n[a:b] > 1)
+        if len(more):
+            x = code[a:b][more]
+            gain[more] = xlogx(beside[x] + n[a:b][more][:, None]) - held[x]
+        gain = np.add.reduceat(gain, starts[i:j] - a, axis=0)
+        total = np.add.reduceat(n[a:b], starts[i:j] - a)[:, None] / 2  # a neighbour on either side
+        gain -= xlogx(all_out + total) - xlogx(all_out) + xlogx(all_in + total) - xlogx(all_in)
+        out[i:j] = gain.argmax(1)
+        i = j
+    return words, out
+
+
+def placed(sent: DataFrame, seeds) -> DataFrame:
+    """Answers to blocks: a byte a word, its class (flagged if it was seen once) or ``UNSEEN``; and per range how many words each class got."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        s = pickle.loads(seeds.value)
+        join = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
+        sizes, n = [len(x) for x in t["high"].to_pylist()], join("n", "<u4").astype(np.int64)
+        distinct, at = np.unique(join("low", "<u4").astype(np.uint64) | join("high", "u1").astype(np.uint64) << np.uint64(32), return_inverse=True)
+        near, word = join("near", "u1").reshape(-1, 2).astype(np.int64), np.repeat(at, n)
+        pair, m = np.unique(np.concatenate([word * 2 * s.size + near[:, 0], word * 2 * s.size + s.size + near[:, 1]]), return_counts=True)
+        words, cls = best_classes(pair // (2 * s.size), pair % (2 * s.size), m, s.big, s.classes)
+        out = np.full(len(distinct), UNSEEN, np.uint8)
+        out[words] = cls
+        out[np.bincount(at, n, len(distinct)) == 1] |= ONCE
+        out, ends = out[at], np.cumsum(sizes)
+        packed.trim_memory()
+        rows = [{"block": b, "part": p, "n": out[e - k : e].tobytes()} for b, p, k, e in zip(t["block"].to_pylist(), t["part"].to_pylist(), sizes, ends)]
+        return pa.Table.from_pylist([*rows, {"types": np.bincount(cls, minlength=s.classes).tolist()}], schema=pa.schema([("block", pa.string()), ("part", pa.int32()), ("n", pa.binary()), ("types", pa.list_(pa.int64()))]))
+
+    return written(sent.groupBy("part").applyInArrow(answer, "block string, part int, n binary, types array<long>"), "classes")
+
+
 class ClassModel:
-    """Log10 probabilities of class transitions and of words in their classes."""
-
-    def __init__(self, known: np.ndarray, m: np.ndarray, top: int, total: int, types: int, classes: int = 48):
-        self.known, self.top, self.total, self.types = known, top, total, types
-        cls = exchange(m, top, classes)
-        k = int(cls.max()) + 1
-        one = np.zeros((len(m), k))
-        one[np.arange(len(m)), cls] = 1
-        big = one.T @ m.astype(float) @ one
+    """Log10 probabilities of class transitions and of words in their classes.
+
+    ``big``: bigrams of classes, tails, start and end, where words seen once count as their tails too; ``types``: words a class.
+    """
+
+    def __init__(self, seeds: Seeds, big: np.ndarray, tokens: np.ndarray, types: np.ndarray):
+        k, c = seeds.size, seeds.classes
+        self.classes, self.size, self.start = c, k, seeds.start
         self.trans = np.log10((big + ADD) / (big.sum(1, keepdims=True) + ADD * k))
-        size = one[: len(known)].sum(0)  # words in a class; a tail may hold any word that is not of the vocabulary
-        size[cls[top : top + TAILS]] = max(0, types - len(known)) + 1
-        size[cls[-1]] = 0  # the end is its class' only token
-        self.cls, self.start = cls, int(cls[top + TAILS])
-        self.below = big.sum(0) + ADD * size
-
-    def score(self, texts: list[bytes], sums: np.ndarray, tok) -> dict[str, np.ndarray]:
-        at, sizes, keys, words = tok
-        sym = symbol_of(keys, words, self.known, self.top)
-        c = self.cls[sym]
-        base = np.log10((sums + ADD) / (self.total + ADD * (self.types + 1)))
-        below = np.where(self.below[c] > 0, self.below[c], 1.0)
-        word = np.log10(np.where(sym == len(self.cls) - 1, 1.0, (sums + ADD) / below))
-        c = c[at]
+        below = np.ones(k)  # the end is its class' only token
+        below[:c] = tokens[:c] + ADD * types
+        below[c : c + TAILS] = ADD * (1 + big[:, c : c + TAILS].sum(0))  # as many may come anew as were seen once, and one
+        self.below = np.log10(np.where(below > 0, below, 1.0))
+
+    def score(self, seq: np.ndarray) -> float:
+        """Of a text's marked classes, without the words' own counts."""
+        c = own(seq, self.classes, self.size)
         before = np.concatenate([[self.start], c[:-1]])
-        starts = np.cumsum(sizes) - sizes
-        before[starts] = self.start
-        add = lambda x: np.add.reduceat(x, starts)
-        return {"n_tokens": sizes, "n_known": add((sums > 0).astype(np.int64)[at]), "base_score": add(base[at]), "score": add(word[at] + self.trans[before, c])}
+        return float((self.trans[before, c] - self.below[c]).sum())
+
+
+def own(seq: np.ndarray, classes: int, size: int) -> np.ndarray:
+    """Classes of marked ones: from ``size`` on they are of words seen once, by look and class."""
+    return np.where(seq < size, seq, (seq - size) % classes)
+
+
+def transitions(rows: DataFrame, size: int, start: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams of training texts' classes, and tokens a class. A word seen once counts again as its look's tail, before and after."""
+
+    def run(batches):
+        m, tokens = np.zeros((size, size), np.int64), np.zeros(size, np.int64)
+        for b in (b for whole in batches for b in slices(whole, "seq", 128 << 10)):
+            seq = [np.frombuffer(x, np.uint8).astype(np.int64) for x in b["seq"].to_pylist()]
+            sizes, seq = np.array([len(x) for x in seq]), np.concatenate(seq)
+            c = own(seq, classes, size)
+            once = seq >= size
+            tail = np.where(once, classes + (seq - size) // classes, c)
+            tokens += np.bincount(c, minlength=size)
+            starts = np.cumsum(sizes) - sizes
+            first = np.zeros(len(seq), bool)
+            first[starts] = True
+            prior = lambda x, edge: np.where(first, edge, np.concatenate([[edge], x[:-1]]))
+            c_, tail_, once_ = prior(c, start), prior(tail, start), prior(once, False)
+            for which, x, y in ((slice(None), c_, c), (once, c_, tail), (once_, tail_, c), (once & once_, tail_, tail)):
+                m += np.bincount((x * size + y)[which], minlength=size * size).reshape(size, size)
+        packed.trim_memory()
+        whole = np.vstack([np.hstack([m, np.zeros((size, 1), np.int64)]), np.append(tokens, 0)])
+        yield from by_row(whole)
+
+    out = summed(rows.filter("extra > 0").select("seq").mapInArrow(run, ROW), size + 1)
+    return out[:size, :size], out[size, :size]
 
 
 def score_texts(docs: DataFrame, top: int = 1000, classes: int = 48, block_bytes: int = 1 << 20) -> DataFrame:
@@ -229,25 +376,48 @@ def score_texts(docs: DataFrame, top: int = 1000, classes: int = 48, block_bytes
     spark = docs.sparkSession
     blocks = packed.blocks(docs, block_bytes)
     size = blocks.select(F.expr("aggregate(texts, 0L, (a, x) -> a + octet_length(x))").alias("n")).agg(F.sum("n")).first()[0] or 0
-    counts = counted(sends(blocks, packed.parts_for(size)), top)
+    parts = packed.parts_for(size)
+    counts = counted(sends(blocks, parts), top)
     total, types = (int(x or 0) for x in counts.agg(F.sum("tokens"), F.sum("types")).first())
-    end = np.array([xxhash.xxh3_64_intdigest(END)], np.uint64).view(np.int64)[0]
-    common = counts.filter(F.col("key").isNotNull() & (F.col("key") != int(end))).orderBy(F.desc("count"), "key").limit(top).select("key").collect()
+    common = counts.filter(F.col("key").isNotNull() & (F.col("key") != int(END_KEY.view(np.int64)))).orderBy(F.desc("count"), "key").limit(top).select("key").collect()
     known = np.sort(np.array([r.key for r in common], np.int64).view(np.uint64))
-    model = ClassModel(known, bigrams(blocks, known, top), top, total, types, classes)
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
-    got = counts.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "n")).alias("got"))
-    schema = pa.schema([("id", pa.int64()), ("extra", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    seeds = Seeds(known, bigrams(blocks, known, top), top, classes)
+    shared = spark.sparkContext.broadcast(pickle.dumps(seeds))  # of fixed size
+    answers = placed(contexts(blocks, shared, parts), shared)
+    got = lambda rows, name: rows.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "n")).alias(name))
+    schema = pa.schema([("id", pa.int64()), ("extra", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("words", pa.float64()), ("seq", pa.binary())])
+
+    def mark(batches):
+        s = pickle.loads(shared.value)
+        for ids, texts, train, sums, cls in packed.each(batches, "ids", "texts", "extra", "got", "cls"):
+            sums = packed.received(sums, "<u8").astype(np.float64)
+            at, sizes, keys, words = tokens(texts)
+            c, rare = s.of(keys, words)
+            given, tail = packed.received(cls, "u1").astype(np.int64), c[rare] - s.classes
+            c[rare] = np.where(given == UNSEEN, c[rare], np.where(given >= ONCE, s.size + tail * s.classes + given - ONCE, given))
+            starts = np.cumsum(sizes) - sizes
+            add = lambda x: np.add.reduceat(x[at], starts)
+            counted_ = np.where(keys == END_KEY, 0.0, np.log10(sums + ADD))
+            seq = c[at].astype(np.uint8)
+            yield batch(
+                schema, id=ids, extra=train, n_tokens=sizes, n_known=add((sums > 0).astype(np.int64)), base_score=add(np.log10((sums + ADD) / (total + ADD * (types + 1)))), words=add(counted_),
+                seq=[seq[i : i + n].tobytes() for i, n in zip(starts.tolist(), sizes.tolist())],
+            )
+
+    both = packed.with_answers(packed.with_answers(blocks, got(counts, "got")), got(answers, "cls"))
+    rows = written(both.select("ids", "texts", "extra", "got", "cls").mapInArrow(mark, "id long, extra long, n_tokens long, n_known long, base_score double, words double, seq binary"), "marked")
+    in_class = np.zeros(classes) + np.bincount(seeds.cls[: len(known)], minlength=classes)
+    for r in answers.filter("types IS NOT NULL").select(F.posexplode("types").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect():
+        in_class[r.c] += r.n
+    model = spark.sparkContext.broadcast(pickle.dumps(ClassModel(seeds, *transitions(rows, seeds.size, seeds.start, classes), in_class)))
 
     def run(batches):
-        m = pickle.loads(shared.value)
-        for ids, texts, train, sums in packed.each(batches, "ids", "texts", "extra", "got"):
-            made = m.score(texts, packed.received(sums, "<u8").astype(np.float64), tokens(texts))
-            yield batch(schema, id=ids, extra=train, train_tokens=[total] * len(texts), **made)
-
-    return packed.with_answers(blocks, got).select("ids", "texts", "extra", "got").mapInArrow(
-        run, "id long, extra long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+        m = pickle.loads(model.value)
+        for b in batches:
+            score = [w + m.score(np.frombuffer(x, np.uint8).astype(np.int64)) for w, x in zip(b["words"].to_pylist(), b["seq"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("id", "extra", "n_tokens", "n_known")), pa.array([total] * b.num_rows, pa.int64()), b["base_score"], pa.array(score, pa.float64())], names=["id", "extra", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return rows.mapInArrow(run, "id long, extra long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

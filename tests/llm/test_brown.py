@@ -71,3 +71,46 @@ def test_probabilities_of_known_tokens_sum_to_at_most_one(spark):
     docs = spark.createDataFrame([(i, f"a b c d{i % 4} a", 1) for i in range(20)], "id long, text string, extra long")
     got = b.score_texts(docs, top=3, classes=2).collect()
     assert all(r.score < 0 for r in got)
+
+
+def test_looks_of_many_words():
+    words = [b"a1", b"\xc3\xa91", "é".encode(), b"x-y", b"word", b" end", b"{", b"`", b"z", b"7"]
+    assert b.looks(words).tolist() == [b.tail_of(w) for w in words] and len(b.looks([])) == 0
+
+
+def test_every_training_word_gets_a_learned_class(spark):
+    """Words beyond the commonest ones, all of one look: those like nouns stand after "the", those like verbs after "to"."""
+    letters = "abcdefghijklmnopqrst"
+    nouns, verbs = [f"n{a}{c}" for a in letters for c in "xyz"], [f"v{a}{c}" for a in letters for c in "xyz"]
+    train = [f"the {n} to {v} the {a} to {c}" for i, (n, v) in enumerate(zip(nouns, verbs)) for a, c in [(("no", "na")[i % 2], ("vo", "va")[i // 2 % 2])]] * 2
+    asked = [f"the {n} to {v}" for n, v in zip(nouns, verbs[1:])] + [f"the {v} to {n}" for n, v in zip(nouns, verbs[1:])]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(train)] + [(1000 + i, t, 0) for i, t in enumerate(asked)], "id long, text string, extra long")
+    got = {r.id: r.score for r in b.score_texts(docs, top=6, classes=4).collect()}
+    half = len(asked) // 2
+    assert all(got[1000 + i] > got[1000 + half + i] + 1 for i in range(half))
+
+
+def test_placing_equals_exchange_gain_by_brute_force():
+    rng = np.random.default_rng(3)
+    classes, size = 3, 3 + b.TAILS + 2
+    big = rng.integers(0, 30, (size, size)).astype(float)
+    want, rows = [], []
+    for w in range(40):
+        n = int(rng.integers(1, 6))
+        left, right = rng.integers(0, size, n), rng.integers(0, size, n)
+        rows += [(w, int(x)) for x in left] + [(w, size + int(x)) for x in right]
+        gains = []
+        for c in range(classes):
+            out_, in_ = big.sum(1), big.sum(0)
+            gain = 0.0
+            for side, x in ((0, left), (1, right)):
+                for k, m in zip(*np.unique(x, return_counts=True)):
+                    old = big[k, c] if side == 0 else big[c, k]
+                    gain += b.xlogx(old + m) - b.xlogx(old)
+            gains.append(gain - b.xlogx(out_[c] + n) + b.xlogx(out_[c]) - b.xlogx(in_[c] + n) + b.xlogx(in_[c]))
+        want.append(int(np.argmax(gains)))
+    keys = sorted(Counter(rows).items())
+    word, code, n = (np.array(x) for x in zip(*((w, c, m) for (w, c), m in keys)))
+    for most in (1, 10, 10_000):
+        words, got = b.best_classes(word, code, n, big, classes, most)
+        assert words.tolist() == list(range(40)) and got.tolist() == want
