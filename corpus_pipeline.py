@@ -14,20 +14,18 @@ from quillspark.llm import bytebpe, decontaminate, jaccard, langid, secrets
 from quillspark.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text is of no known language if its best one explains little of it; texts that mix two or three languages stay.
-LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language stay: those predicted one with a score of ``LEAST_SCORE`` at least.
+    """Documents of a known language stay, also those that mix several: those whose n-grams are known as often as labelled texts' are.
 
     The model learns as in the operator's query. Where no row is labelled nothing can be rejected.
     """
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
     if not model.languages:
         return docs.select(*COLUMNS)
-    known = langid.identify(docs.select(*COLUMNS), model)
-    return known.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    known = langid.identify(docs.select(*COLUMNS), model, fits=True)
+    return known.filter((F.col("lang_pred") != langid.UND) & F.col("fits")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,11 @@ text and id, in runs from all of each text.  Prediction covers every word of
 every text: forward-backward marginals, summed over words with letters; the
 language of largest mean marginal is the answer and that mean its score.
 
+Whether a text is of a learned language at all is another question, which
+marginals between languages cannot answer: its share of 4-byte n-grams known
+from the language of each word (as predicted, so mixed texts are spared) is held
+against that of labelled texts left out when the n-grams were gathered.
+
 Defined cases: ``und`` with score 0 for null, empty and letterless texts and
 where nothing could be learned (no labelled text); rows are judged one by one;
 ties go to the language first by name; extra columns are ignored.
@@ -165,23 +170,69 @@ def labelled(docs: DataFrame, per_language: int = 250, most_languages: int = 64)
     return out
 
 
+def fours(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed 4-byte n-grams of words with their edges marked, and where each word's begin; shorter ones are filled up."""
+    marked = [(b"\x02" + w + b"\x03").ljust(4, b"\0") for w in words]
+    sizes = np.array([len(w) for w in marked], np.int64)
+    flat = np.frombuffer(b"".join(marked) + b"\0" * 3, np.uint8).astype(np.uint64)
+    code = sum(flat[i : i + sizes.sum()] << np.uint64(8 * i) for i in range(4))
+    ends = np.cumsum(sizes)
+    keep = np.repeat(ends, sizes) - np.arange(len(code)) >= 4
+    n = sizes - 3
+    return (mix64(code[keep]) >> np.uint64(64 - BITS)).astype(np.int64), np.cumsum(n) - n
+
+
 class Model:
-    """Languages, hashed weights and transitions; predicts blocks of texts."""
+    """Languages, hashed weights and transitions; predicts blocks of texts.
+
+    ``known``: hashed n-grams of each language; ``least``: the share of them below which a text is of none (None: cannot be told).
+    """
 
     def __init__(self, languages: list[str], weights: np.ndarray, trans: np.ndarray):
         self.languages, self.weights, self.trans = languages, weights, trans
-
-    def predict(self, texts: list[bytes], most_cells: int = 400_000) -> list[tuple[str, float]]:
+        self.known, self.least = np.zeros((1 << BITS, len(languages)), bool), None
+
+    def gather(self, samples: list[tuple[str, bytes]], least_texts: int = 5, least_grams: int = 100) -> None:
+        """Known n-grams of four texts in five of each language, and what share of them the others have."""
+        apart, at = [], dict.fromkeys(self.languages, 0)
+        seen = [np.zeros(1 << BITS, np.int64) for _ in self.languages]
+        for lang, text in samples:
+            at[lang] += 1
+            words = fold_words(text)
+            if at[lang] % 5 == 0:
+                apart.append(text)
+            elif words:
+                seen[self.languages.index(lang)] += np.bincount(fours(words)[0], minlength=1 << BITS)
+        self.known = np.stack([x > 1 for x in seen], 1)
+        shares = [have / n for *_, have, n in self.judged(apart) if n >= least_grams]
+        if len(shares) >= least_texts:
+            low = float(np.quantile(shares, 0.01))
+            self.least = max(0.0, low - (1 - low) / 2)
+
+    def fits(self, have: float, n: float) -> bool:
+        """Whether a text with so many known of ``n`` n-grams may be of a learned language; short ones have the benefit of the doubt."""
+        if self.least is None:
+            return n > 0
+        return n > 0 and have / n + 2 * float(np.sqrt(self.least * (1 - self.least) / n)) >= self.least
+
+    def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        return [x[:2] for x in self.judged(texts)]
+
+    def judged(self, texts: list[bytes], most_cells: int = 400_000) -> list[tuple[str, float, float, float]]:
+        """Language, score, known n-grams and all n-grams of each text."""
         cut = [fold_words(t) for t in texts]
         place: dict[bytes, int] = {}
         index = [[place.setdefault(w, len(place)) for w in c] for c in cut]
         letters = np.array([any(map(str.isalpha, w.decode("utf-8", "replace"))) for w in place], bool)
-        out: list[tuple[str, float]] = [(UND, 0.0)] * len(texts)
+        out: list[tuple[str, float, float, float]] = [(UND, 0.0, 0.0, 0.0)] * len(texts)
         index = [np.array(x, np.int64) for x in index]
         todo = [i for i, x in enumerate(index) if len(x) and letters[x].any()]
         if not self.languages or not todo:
             return out
         rows = emissions(list(place), self.weights)
+        grams, starts = fours(list(place))
+        have = np.add.reduceat(self.known[grams].astype(np.int32), starts, axis=0)
+        n_grams = np.diff(np.append(starts, len(grams)))
         todo.sort(key=lambda i: len(index[i]))
         while todo:
             n = len(index[todo[-1]])
@@ -195,9 +246,12 @@ class Model:
             counted[mask] = letters[all_]
             post, _, _ = marginals(e, self.trans.astype(np.float32), lengths)
             mean = (post * counted[..., None]).sum(1) / counted.sum(1, keepdims=True)
-            for i, m in zip(part, mean.astype(float)):
+            with_letters, row = letters[all_], np.repeat(np.arange(len(part)), lengths)
+            found = np.bincount(row, have[all_, post[mask].argmax(1)] * with_letters, len(part))
+            total = np.bincount(row, n_grams[all_] * with_letters, len(part))
+            for i, m, h, t in zip(part, mean.astype(float), found.tolist(), total.tolist()):
                 best = int(np.argmax(m))
-                out[i] = self.languages[best], float(min(1.0, m[best]))
+                out[i] = self.languages[best], float(min(1.0, m[best])), h, t
         return out
 
 
@@ -206,23 +260,26 @@ def train(labelled_docs: DataFrame, per_language: int = 250) -> Model:
     languages = sorted({x for x, _ in samples})
     if not languages:
         return Model([], np.zeros((1, 0), np.float32), np.zeros((0, 0)))
-    return Model(languages, *learn(samples, languages))
+    model = Model(languages, *learn(samples, languages))
+    model.gather(samples)
+    return model
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to every row of ``docs``, by its text alone; columns of these names are replaced."""
+def identify(docs: DataFrame, model: Model, fits: bool = False) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` (and ``fits``, whether any learned language does) to every row of ``docs``, by its text alone; columns of these names are replaced."""
     from pyspark.sql import types as T
 
-    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score", *["fits"] * fits)]
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("fits", T.BooleanType())] * fits])
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # of fixed size: 2 ** BITS weights a language
 
     def run(batches):
         m = pickle.loads(shared.value)
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                got = m.predict(strings(b["text"]))
-                yield pa.RecordBatch.from_arrays([*(b[f.name] for f in kept), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=schema.names)
+                got = m.judged(strings(b["text"]))
+                told = [pa.array([m.fits(h, n) for *_, h, n in got], pa.bool_())] if fits else []
+                yield pa.RecordBatch.from_arrays([*(b[f.name] for f in kept), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), *told], names=schema.names)
 
     return docs.select(*(docs[f"`{f.name}`"] for f in kept)).mapInArrow(run, schema)
 

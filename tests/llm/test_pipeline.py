@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -70,3 +71,24 @@ def test_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "人人 生而 自由 在 尊严 和 权利 上 一律 平等 他们 赋有 理性 和 良心 并 应以 兄弟 关系 的 精神 相 对待",
+    "xqzk vbnmw tgrfk zzxcv plkjh qwrtp bvcxz mnbtr kjhgf wqrtz xcvbn lkjhg ptrwq zxcvb nmlkj hgfds qwxzt rtplk bnmvc xzqwk",
+]
+
+
+@pytest.mark.parametrize("languages", [("de",), ("de", "fr"), ("de", "en", "es", "fr")])
+def test_foreign_texts_and_gibberish_go_and_mixed_texts_stay(spark, languages):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS).filter(F.col("lang").isin(*languages))
+    some = {r.lang: r.text for r in docs.filter("n_chars BETWEEN 1000 AND 3000").orderBy("doc_id").collect()}
+    mixed = " ".join(some[x][:800] for x in languages)
+    planted = spark.createDataFrame([(10**6 + i, t, None, "x", len(t)) for i, t in enumerate([*FOREIGN, mixed])], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(planted), SF).select("doc_id").collect()}
+    assert [i for i in range(len(FOREIGN)) if 10**6 + i in kept] == [] and 10**6 + len(FOREIGN) in kept
+    print(languages, docs.count(), len(kept) - 1)
+    assert len(kept) - 1 > 0.95 * docs.count()
