@@ -310,7 +310,9 @@ def ai_candidates(v):
 
 
 def sync_round(v):
-    after, _ = sync(v.files.select("path", "content", "modified_on"), CONFIG)
+    after, failed = sync(v.files.select("path", "content", "modified_on"), CONFIG)
+    if failed:
+        raise RuntimeError("steps failed: " + "; ".join(failed))
     before = v.files.select("path", F.md5("content").alias("old"))
     return after.select("path", F.md5("content").alias("digest")).join(before, "path", "left").filter(~F.col("digest").eqNullSafe(F.col("old"))).select("path", "digest")
 

@@ -274,3 +274,14 @@ def test_queries_equal_their_sql(spark):
         want = c.sql(sql[name]).df()[list(got.columns)]
         text = lambda d: sorted(map(str, d.astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
         assert len(got) and text(got) == text(want), name
+
+
+def test_sync_round_fails_with_a_step(spark, monkeypatch):
+    from quillspark.plans import registry
+
+    def lost(*_):
+        raise OSError("lost task")
+
+    monkeypatch.setattr(bridges, "backlinks", lost)
+    with pytest.raises(RuntimeError, match="backlinks: lost task"):
+        registry.queries()["sync_round"](spark, "/root/testdata/sf0.001")
