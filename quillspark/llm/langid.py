@@ -9,7 +9,10 @@ likelihood, by forward-backward.
 
 Training takes a bounded sample: at most ``per_language`` labelled documents of
 each of the ``most_languages`` commonest languages, those first by a hash of
-text and id, in runs from all of each text.  Prediction covers every word of
+text and id; and of these texts, cut into runs of 12 words, random runs of at
+most ``most_words`` words in all, the same number a language, so with 64
+languages 3,750 words each.  Languages beyond the commonest ones are never
+predicted.  Prediction covers every word of
 every text: forward-backward marginals, summed over words with letters; the
 language of largest mean marginal is the answer and that mean its score.
 
