@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,11 +99,14 @@ def insights(notes: DataFrame, question: str, client: Callable[[str], str] = stu
     return answers(notes.select("path", F.concat(F.lit(question + "\n"), T.cut(F.col("content"), most_bytes)).alias("prompt")), "prompt", client).select("path", "answer")
 
 
-def suggested_hierarchy(tag_docs: DataFrame, client: Callable[[str], str] = stub, least: int = 2) -> list[dict]:
-    """Clusters proposed for tags of ``least`` documents; none where the answer is no list. One call, on the driver."""
-    tags = [r.tag for r in tag_docs.groupBy("tag").count().filter(F.col("count") >= least).orderBy("tag").limit(10_000).collect()]
-    try:
-        got = json.loads(extract_json(client("Group these tags as JSON [{canonical, aliases}].\n" + "\n".join(tags))) or "[]")
-    except Exception:
-        return []
-    return [x for x in got if isinstance(x, dict) and "canonical" in x] if isinstance(got, list) else []
+def suggested_hierarchy(tag_docs: DataFrame, client: Callable[[str], str] = stub, least: int = 2, batch: int = 10_000) -> list[dict]:
+    """Clusters proposed for all tags of ``least`` documents, asked ``batch`` at a time by name, on the driver; none from an answer that is no list."""
+    rows = tag_docs.groupBy("tag").count().filter(F.col("count") >= least).orderBy("tag").toLocalIterator()
+    out: list[dict] = []
+    while tags := [r.tag for r in islice(rows, batch)]:
+        try:
+            got = json.loads(extract_json(client("Group these tags as JSON [{canonical, aliases}].\n" + "\n".join(tags))) or "[]")
+        except Exception:
+            continue
+        out += [x for x in got if isinstance(x, dict) and "canonical" in x] if isinstance(got, list) else []
+    return out

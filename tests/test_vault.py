@@ -285,3 +285,15 @@ def test_sync_round_fails_with_a_step(spark, monkeypatch):
     monkeypatch.setattr(bridges, "backlinks", lost)
     with pytest.raises(RuntimeError, match="backlinks: lost task"):
         registry.queries()["sync_round"](spark, "/root/testdata/sf0.001")
+
+
+def test_hierarchy_asks_for_all_tags(spark):
+    asked = []
+
+    def client(prompt):
+        asked.append(prompt.split("\n")[1:])
+        return '[{"canonical": "%s", "aliases": []}]' % asked[-1][0]
+
+    tags = [f"t{i:05d}" for i in range(10_003)]
+    got = ai.suggested_hierarchy(spark.range(10_003).selectExpr("format_string('t%05d', id) AS tag"), client, least=1)
+    assert sum(asked, []) == tags and [x["canonical"] for x in got] == ["t00000", "t10000"]
