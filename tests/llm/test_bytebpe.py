@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -33,10 +34,20 @@ def test_equals_library(spark, tmp_path):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=40), st.text("ab e", max_size=60)), max_size=8))
 def test_blocks_of_any_texts(texts):
-    for text, pieces in zip(texts, REPLAY.block(texts)):
-        ids = [i for p in pieces for i in p[0]]
+    cut, ids_of = REPLAY.block(texts)
+    for text, pieces in zip(texts, cut):
+        ids = [i for p in pieces for i in ids_of[p]]
         assert ids == LIBRARY.encode_ordinary(text)
-        assert b"".join(p[2] for p in pieces) == text.encode()
+        assert b"".join(REPLAY.replay.token[i] for i in ids) == text.encode()
+
+
+def test_runs_of_few_letters_and_long_texts():
+    rnd = random.Random(3)
+    texts = ["a" * n for n in range(1, 50)] + ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 200))) for letters in ("ab", " \n\t=-#", "xX1.") for _ in range(200)]
+    texts += ["q" * 50_000, " ".join(f"w{i}" for i in range(400_000)), "\n" * 5000 + "x"]
+    cut, ids_of = REPLAY.block(texts)
+    for text, pieces in zip(texts, cut):
+        assert [i for p in pieces for i in ids_of[p]] == LIBRARY.encode_ordinary(text), text[:50]
 
 
 def test_lower_ranks_made_by_a_merge_go_first():
