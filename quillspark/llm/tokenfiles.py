@@ -12,9 +12,10 @@ in ascending doc_id order by a range partitioning of the compressed frames;
 texts are never shuffled.
 
 Encoding calls the tokenizers library once for each distinct white-space-free
-chunk of a block: the tokenizer drops white space and nothing in it reaches
-across, so a text's ids are its chunks' ids in a row (tests compare with whole
-texts).  A bounded two-generation table keeps chunks between blocks.
+chunk of a block where the tokenizer drops white space and nothing in it reaches
+across (tried on probes when it is loaded), so that a text's ids are its chunks'
+ids in a row; tests compare with whole texts.  Other tokenizers get whole texts.
+A bounded two-generation table keeps chunks between blocks.
 
 Defined cases: a null text is empty and holds the end id alone; null doc ids
 come first; rows of equal doc_id follow by their number of ids and their bytes;
@@ -44,46 +45,88 @@ NULL_ID = -(1 << 63)  # stands for a null doc_id in an index
 PART = "\x01"
 
 
+#: What the fast way below stands in for: composition, white space to one space, lower case.
+FOLDS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
 class ChunkCoder:
-    """ids of texts as little-endian uint32 bytes, by way of a table of chunks."""
+    """ids of texts as little-endian uint32 bytes, by way of a table of chunks.
+
+    Where the tokenizer's normalizer is ``FOLDS``, texts of characters below U+0100
+    (which composition leaves alone) are put in lower case before they are cut, and
+    their chunks encoded without a normalizer.  A tokenizer that keeps white space,
+    or joins across it, gets whole texts.
+    """
 
     def __init__(self, file: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(file, encoding="utf-8") as f:
+            raw = json.load(f)
         self.lib = Tokenizer.from_file(file)
-        self.part = self.lib.encode(PART, add_special_tokens=False).ids
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.folds = (raw.get("normalizer") or {}).get("normalizers") == FOLDS
+        self.plain = Tokenizer.from_str(json.dumps(raw | {"normalizer": None})) if self.folds else self.lib
+        self.part = self._ids(self.lib, PART)
+        self.marks = [t["content"] for t in raw.get("added_tokens") or []]
+        ab, a, b = (self._ids(self.lib, x) for x in ("Ab, \n\n cd", "Ab,", "cd"))
+        self.cuts = ab == a + b and not self._ids(self.lib, " \n ") and self._ids(self.lib, " Ab, ") == a
         self.most = most
+        self.tables: dict[bool, list[dict[str, bytes]]] = {x: [{}, {}] for x in (False, True)}  # young and old chunks, by whether they are folded
+
+    @staticmethod
+    def _ids(lib, text: str) -> list[int]:
+        return lib.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _encode(self, chunks: list[str], per_call: int = 500) -> None:
+    def _encode(self, chunks: list[str], folded: bool, young: dict[str, bytes], per_call: int = 200) -> None:
         """Ids of new chunks: many in one string, parted by a chunk that none of them can contain."""
-        alone = [c for c in chunks if PART in c or "<|" in c]
-        plain = [c for c in chunks if not (PART in c or "<|" in c)] if alone else chunks
-        for i in range(0, len(plain), per_call):
-            g = plain[i : i + per_call]
-            ids = np.array(self.lib.encode(f" {PART} ".join(g), add_special_tokens=False).ids, "<u4")
+        lib = self.plain if folded else self.lib
+        whole = lambda c: PART in c or any(m in c for m in self.marks)
+        alone = [c for c in chunks if whole(c)] if not folded else []  # texts with either are not folded
+        rest = [c for c in chunks if not whole(c)] if alone else chunks
+        for i in range(0, len(rest), per_call):
+            g = rest[i : i + per_call]
+            ids = np.array(self._ids(lib, f" {PART} ".join(g)), "<u4")
             cuts = np.flatnonzero(ids == self.part[0]) if len(self.part) == 1 else ()
             if len(cuts) != len(g) - 1:
                 alone += g
                 continue
             raw, edges = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
             ends = [*(4 * cuts).tolist(), len(raw)] if len(g) > 1 else [len(raw)]
-            self.young.update(zip(g, [raw[s:t] for s, t in zip(edges, ends)]))
-        for c, e in zip(alone, self.lib.encode_batch_fast(alone, add_special_tokens=False)):
-            self.young[c] = np.array(e.ids, "<u4").tobytes()
+            young.update(zip(g, [raw[s:t] for s, t in zip(edges, ends)]))
+        for c in alone:
+            young[c] = np.array(self._ids(lib, c), "<u4").tobytes()
+
+    def _folds(self, text: str) -> bool:
+        if not self.folds or PART in text or any(m.lower() in text.lower() for m in self.marks):
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
 
     def block(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut).difference(self.young)
-        kept = new & self.old.keys()
-        self.young.update((c, self.old[c]) for c in kept)
-        self._encode(list(new - kept))
-        get = self.young.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        if not self.cuts:
+            return [np.array(self._ids(self.lib, t), "<u4").tobytes() for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        folds = [self._folds(t) for t in texts]
+        for folded in (False, True):
+            which = [i for i, x in enumerate(folds) if x == folded]
+            if not which:
+                continue
+            if len(self.tables[folded][0]) > self.most:
+                self.tables[folded] = [{}, self.tables[folded][0]]
+            young, old = self.tables[folded]
+            cut = [(texts[i].lower() if folded else texts[i]).replace("\n", " ").split(" ") for i in which]
+            new = set().union(*cut).difference(young)
+            kept = new & old.keys()
+            young.update((c, old[c]) for c in kept)
+            self._encode(list(new - kept), folded, young)
+            get = young.__getitem__
+            for i, c in zip(which, cut):
+                out[i] = b"".join(map(get, c))
+        return out
 
 
 _coders: dict[str, ChunkCoder] = {}

@@ -9,7 +9,7 @@ from tests.llm.helpers import AWKWARD, SF, as_dict, documents, saved
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(FILE)
-TEXTS = [*AWKWARD, "a<|endoftext|>b <|startoftext|>", "x \x01 y\x01z", "it's we'll DON'T", "é é ́ x", "a\u0085b c　d", "İstanbul ΣΑΣ ﬁ", "\x01", "1234 ½ ²"]
+TEXTS = [*AWKWARD, "a<|endoftext|>b <|startoftext|>", "x \x01 y\x01z", "it's we'll DON'T", "é é ́ x", "a\u0085b c　d", "İstanbul ΣΑΣ ﬁ", "\x01", "1234 ½ ²", "<|STARTOFTEXT|> É", "ÀÖ×Þ\xa0\x85x", "Latin é " * 200_000]
 
 
 def brute(text):
@@ -49,3 +49,10 @@ def test_null_and_repeated_ids(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (None, "x y z"), (2, "b"), (1, None)], "doc_id long, text string")
     got = [(r.doc_id, r.start, r.n_tokens) for r in t.op1_token_files(spark, saved(df, tmp_path)).orderBy("start").collect()]
     assert got == [(None, 0, 4), (1, 4, 1), (2, 5, 2), (2, 7, 2)]
+
+
+def test_tokenizers_that_keep_white_space_get_whole_texts():
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    lib, coder = Tokenizer.from_file(file), t.ChunkCoder(file)
+    for text in TEXTS:
+        assert coder.block([text or ""])[0] == np.array(lib.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
