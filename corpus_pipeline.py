@@ -57,7 +57,7 @@ def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, with the digest of what they decode to."""
-    return bytebpe.encode_decode(docs.select(*COLUMNS), ("n_tokens", "ids", "decoded_sha256")).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded_sha256")
+    return bytebpe.encode_decode(docs.select(*COLUMNS), ("n_tokens", "ids", "decoded_sha256"), keep=["doc_id", "lang", "source", "n_chars"])
 
 
 STAGES = [
