@@ -3,31 +3,39 @@
 Codes: vectors are made comparable by angle (scaled by the largest norm, with
 one more component filling each up to it), centred, and turned by several
 rotations learned by iterative quantization on a bounded sample; the signs are
-``bits`` bits.  Each code is cut into substrings, and every index block lists
-its rows by the value of each substring.
-
-Search: a query takes the radius within which ``share`` of the sample's codes
-lie.  By the pigeonhole principle a code within radius ``r = s * k + a`` of ``s``
-substrings differs by at most ``k`` bits in one of the first ``a + 1``
-substrings or by at most ``k - 1`` in one of the others, so probing the buckets
-of those values finds every code within the radius.  Codes found are checked
-by their whole distance, and those within it are ranked by inner products of
-the original vectors in double precision.
-
-The query set is joined to the index by blocks: a pair of blocks is one task
-row of bounded size, and each gives ``k`` neighbours a query at most.
+``bits`` bits, cut into substrings of 16.
+
+Radius: a query takes that within which a share of the sample's codes lie.  The
+share is learned too: the least that finds ``recall`` of the neighbours of up to
+256 sample vectors within the sample, where a neighbour's rank is scaled to the
+sample's part of the table.  The radius holds ``k`` rows of the sample at least,
+so it never ends with fewer than there are.  One rule for tables of all sizes.
+
+Search: by the pigeonhole principle a code within radius ``r = s * m + a`` of
+``s`` substrings differs by at most ``m`` bits in one of the first ``a + 1``
+substrings or by at most ``m - 1`` in one of the others, so the buckets of those
+values hold every code within the radius.  There are two plans for finding them,
+with the same candidates: where probing is estimated to touch under an eighth of
+the table, every code is entered into the buckets of its substrings and a join on
+(substring, value) meets the queries' probes; else - the radii of vectors without
+structure, around two fifths of all bits, leave no bucket out - codes are scanned in
+blocks of bounded size by their whole Hamming distance.  Either way only the codes
+within the radius have their inner products taken, on the original vectors in
+double precision.  ``exact=True`` takes the largest radius there is.
 
 Defined cases: vectors that are null, empty, zero, of another than the
 commonest length, or with null or non-finite components take no part, nor do
 rows without an id; repeated rows are candidates each, but never of their own
-id; with fewer candidates all are given, for tables of under 50 times ``k`` rows
-are probed with the full radius.
+id; with fewer candidates than ``k`` all are given; ties go to the smaller id;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +44,29 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import table, written
 
-ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-BLOCK_ARROW = pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("lists", pa.binary())])
-BLOCK = "ids binary, vectors binary, codes binary, lists binary"
+WIDTH = 16  # bits of a substring
+BLOCK_ARROW = pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("radii", pa.binary())])
+BLOCK = "ids binary, vectors binary, codes binary, radii binary"
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of packed codes, a row of ``a`` by a row of ``b``."""
+    x, y = np.ascontiguousarray(a).view("<u8"), np.ascontiguousarray(b).view("<u8")
+    d = np.zeros((len(a), len(b)), np.uint16)
+    for j in range(x.shape[1]):
+        d += np.bitwise_count(x[:, j : j + 1] ^ y[None, :, j])
+    return d
 
 
 @dataclass
 class Coder:
-    """Learned rotations, and the sample's codes for the choice of radii."""
+    """Learned rotations, the sample's codes, and the share of them that a radius takes in."""
 
-    dim: int
     top_norm: float
     mean: np.ndarray
     turns: np.ndarray
     sample: np.ndarray
+    share: float = 1.0
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """Packed bits, a row a vector."""
@@ -64,19 +81,19 @@ class Coder:
         y = np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))])
         return np.packbits((y - self.mean) @ self.turns > 0, axis=1)
 
-    def radii(self, asked: np.ndarray, share: float) -> np.ndarray:
-        """Per query the distance within which ``share`` of the sample's codes lie."""
-        d = np.zeros((len(asked), len(self.sample)), np.int32)
-        for j in range(asked.shape[1]):
-            d += ONES[asked[:, j : j + 1] ^ self.sample[None, :, j]]
-        i = min(len(self.sample) - 1, int(np.ceil(share * len(self.sample))))
-        return np.partition(d, i, axis=1)[:, i]
+    def radii(self, asked: np.ndarray, k: int) -> np.ndarray:
+        """Per query the distance within which the share of the sample's codes lie, ``k`` and itself at least."""
+        n = len(self.sample)
+        if self.share >= 1 or n <= k + 1:
+            return np.full(len(asked), 8 * asked.shape[1])
+        i = min(n - 1, max(k, int(np.ceil(self.share * n)) - 1))
+        return np.partition(distances(asked, self.sample), i, axis=1)[:, i].astype(np.int64)
 
 
-def learn(sample: np.ndarray, top_norm: float, bits: int = 256, rounds: int = 12, seed: int = 5) -> Coder:
-    """Rotations by iterative quantization from random starts, as many as give ``bits`` bits."""
+def learn(sample: np.ndarray, top_norm: float, rows: int, k: int, bits: int = 256, recall: float = 0.97, rounds: int = 12, seed: int = 5) -> Coder:
+    """Rotations by iterative quantization from random starts, as many as give ``bits`` bits, and the share for ``recall`` of ``k`` neighbours among ``rows``."""
     rng = np.random.default_rng(seed)
-    c = Coder(sample.shape[1], top_norm, np.zeros(sample.shape[1] + 1), np.zeros((0, 0)), np.zeros((0, 0), np.uint8))
+    c = Coder(top_norm, np.zeros(sample.shape[1] + 1), np.zeros((0, 0)), np.zeros((0, 0), np.uint8))
     y = c.lifted(sample)
     c.mean = y.mean(0)
     y = y - c.mean
@@ -87,8 +104,19 @@ def learn(sample: np.ndarray, top_norm: float, bits: int = 256, rounds: int = 12
             u, _, vt = np.linalg.svd(y.T @ np.sign(y @ turn))
             turn = u @ vt
         turns.append(turn)
-    c.turns = np.hstack(turns)[:, : -(-bits // 8) * 8]
+    c.turns = np.hstack(turns)[:, : -(-bits // 64) * 64]
     c.sample = c.codes(sample)
+    n = len(sample)
+    near = min(n - 1, max(1, round(k * n / max(rows, n))))  # the rank that k-th has in a sample of this part
+    if n <= k + 1 or near < 1:
+        return c
+    some = rng.permutation(n)[:256]
+    score = sample[some] @ sample.T
+    score[np.arange(len(some)), some] = -np.inf
+    true = np.argpartition(-score, near - 1, axis=1)[:, :near]
+    dist = distances(c.asked(sample[some]), c.sample)
+    needed = np.array([np.searchsorted(np.sort(r), r[t], "right") for r, t in zip(dist, true)])  # codes as near as that neighbour's
+    c.share = float(min(1.0, np.quantile(needed, recall) / n))
     return c
 
 
@@ -101,23 +129,16 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("v") == (sizes.n if sizes else 0))
 
 
-def packed_blocks(rows: DataFrame, coder, block: int, share: float | None = None, least: int = 0) -> DataFrame:
-    """Blocks of ids, vectors, codes, and lists by substring value, a substring a byte; of queries (``share`` given) their radii instead.
-
-    With a sample of under ``least`` codes the radii are the largest there are.
-    """
+def packed_blocks(rows: DataFrame, coder, block: int, k: int | None = None) -> DataFrame:
+    """Blocks of ids, vectors and codes; those of queries (``k`` given) with their radii."""
 
     def deal(batches):
         c = pickle.loads(coder.value)
 
         def made(ids, x):
-            if share is None:
-                codes = c.codes(x)
-                lists = np.stack([np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])])
-            else:
-                codes = c.asked(x)
-                lists = c.radii(codes, share) if len(c.sample) >= least else np.full(len(x), 8 * codes.shape[1])
-            return pa.RecordBatch.from_pydict({"ids": [ids.astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()], "codes": [codes.tobytes()], "lists": [lists.astype("<u4").tobytes()]}, schema=BLOCK_ARROW)
+            codes = c.codes(x) if k is None else c.asked(x)
+            radii = b"" if k is None else c.radii(codes, k).astype("<i8").tobytes()
+            return pa.RecordBatch.from_pydict({"ids": [ids.astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()], "codes": [codes.tobytes()], "radii": [radii]}, schema=BLOCK_ARROW)
 
         ids, xs, n = [], [], 0
         for b in batches:
@@ -136,73 +157,142 @@ def packed_blocks(rows: DataFrame, coder, block: int, share: float | None = None
     return written(rows.mapInArrow(deal, BLOCK), "vectors")
 
 
-def probed(asked: np.ndarray, radii: np.ndarray, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
-    """Rows of a block within each query's radius, found by way of the substring lists; a boolean matrix."""
-    q, s = asked.shape
-    k, a = np.divmod(radii, s)
-    near = ONES[np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None]]
-    found = np.zeros((q, len(codes)), bool)
-    for j in range(s):
-        bound = np.where(j <= a, k, k - 1)
-        probe = near[asked[:, j]] <= bound[:, None]  # which of the 256 values
-        rows = lists[j]
-        found[:, rows] |= probe[:, codes[rows, j]]
-    words = lambda x: x.view("<u8") if x.shape[1] % 8 == 0 else np.pad(x, ((0, 0), (0, -x.shape[1] % 8))).view("<u8")
-    x, y = words(np.ascontiguousarray(asked)), words(np.ascontiguousarray(codes))
-    d = np.zeros(found.shape, np.uint16)
-    for j in range(x.shape[1]):
-        d += np.bitwise_count(x[:, j : j + 1] ^ y[None, :, j])
-    return found & (d <= radii[:, None])
+def unpacked(b, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and codes of a block."""
+    ids = np.frombuffer(b["ids"][n].as_py(), "<i8")
+    return ids, np.frombuffer(b["vectors"][n].as_py(), "<f8").reshape(len(ids), -1), np.frombuffer(b["codes"][n].as_py(), np.uint8).reshape(len(ids), -1)
+
 
+def bounds(radii: np.ndarray, s: int) -> np.ndarray:
+    """Bits by which each of ``s`` substrings may differ in a probe, a row a radius; -1: not probed."""
+    m, a = np.divmod(radii, s)
+    return np.where(np.arange(s) <= a[:, None], m[:, None], m[:, None] - 1)
 
-def best(q_ids, q, x_ids, x, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` of largest inner product among each query's found rows: query ids, row ids, scores."""
-    found = found & (q_ids[:, None] != x_ids[None])
-    s = np.where(found, q @ x.T, -np.inf)
-    least = np.partition(s, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(q), -np.inf)
-    slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-    i, j = np.nonzero(found & (s >= (least - slack)[:, None]))
-    score = (q[i] * x[j]).sum(1)  # in one order of addition, so that equal vectors tie
+
+def ball(m: int) -> np.ndarray:
+    """Values of a substring with at most ``m`` bits set."""
+    out = [0]
+    for n in range(1, min(m, WIDTH) + 1):
+        out += [sum(1 << i for i in c) for c in combinations(range(WIDTH), n)]
+    return np.array(out if m >= 0 else [], np.int64)
+
+
+def probed_share(coder: Coder, k: int, some: int = 256) -> tuple[float, float]:
+    """Estimated part of a table's rows that a query's probes touch, and the number of its probes."""
+    asked = coder.sample[:some]
+    s = asked.shape[1] * 8 // WIDTH
+    may = bounds(coder.radii(asked, k), s)
+    x, y = asked.view("<u2"), np.ascontiguousarray(coder.sample).view("<u2")
+    touched = sum(float((np.bitwise_count(x[:, j : j + 1] ^ y[None, :, j]) <= may[:, j : j + 1]).mean()) for j in range(s))
+    probes = float(np.mean([[sum(comb(WIDTH, i) for i in range(m + 1)) for m in r.tolist()] for r in may]) * s)
+    return touched, probes
+
+
+def best(q_ids, q, x_ids, x, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` of largest inner product among the pairs (i, j) of each query: query ids, row ids, scores."""
+    other = q_ids[i] != x_ids[j]
+    i, j = i[other], j[other]
+    score = np.empty(len(i))
+    for at in range(0, len(i), 50_000):
+        score[at : at + 50_000] = (q[i[at : at + 50_000]] * x[j[at : at + 50_000]]).sum(1)  # in one order of addition, so that equal vectors tie
     order = np.lexsort((x_ids[j], -score, i))
     i, j, score = i[order], j[order], score[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    keep = rank < k
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
     return q_ids[i[keep]], x_ids[j[keep]], score[keep]
 
 
-def nearest(vectors: DataFrame, query_ids, k: int = 20, bits: int = 256, share: float = 0.12, sample_rows: int = 8192, index_block: int = 8192, query_block: int = 256) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for rows of ``vectors`` where the column ``query_ids`` holds, their ``k`` nearest others."""
+FOUND = "query_id long, vec_id long, score double"
+FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def by_blocks(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Candidates by scanning codes: every pair of a query block and an index block is a row of bounded size."""
+    groups = max(1, index.count())
+    index = index.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    queries = queries.select(F.struct("ids", "vectors", "codes", "radii").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+
+    def search(batches):
+        for b in batches:
+            for n in range(b.num_rows):
+                q = {c: [b["q"][n][c]] for c in ("ids", "vectors", "codes")}
+                q_ids, qs, asked = unpacked(q, 0)
+                ids, x, codes = unpacked(b, n)
+                radii = np.frombuffer(b["q"][n]["radii"].as_py(), "<i8")
+                i, j = np.nonzero(distances(asked, codes) <= radii[:, None])
+                yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "vec_id", "score"), best(q_ids, qs, ids, x, i, j, k))), schema=FOUND_ARROW)
+
+    return queries.join(index, "g").select("q", "ids", "vectors", "codes").mapInArrow(search, FOUND)
+
+
+def by_buckets(index: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Candidates by probing: codes and probes meet on (substring, value), then on the whole distance, then on the vectors.
+
+    Codes travel as numbers of 64 bits; a pair found in several substrings counts once.
+    """
+    kind = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("code", pa.list_(pa.int64())), ("radius", pa.int64())])
+
+    def entries(probing: bool):
+        def run(batches):
+            balls: dict[int, np.ndarray] = {}
+            for b in batches:
+                for n in range(b.num_rows):
+                    ids, _, codes = unpacked(b, n)
+                    s = codes.shape[1] * 8 // WIDTH
+                    whole, parts = codes.view("<i8"), codes.view("<u2").astype(np.int64)
+                    radii = np.frombuffer(b["radii"][n].as_py(), "<i8") if probing else np.zeros(len(ids), np.int64)
+                    may = bounds(radii, s)
+                    balls.update((m, ball(m)) for m in set(np.unique(may).tolist() if probing else ()) - balls.keys())
+                    for at in range(0, len(ids), 64):
+                        key, owner = [], []
+                        for i in range(at, min(at + 64, len(ids))):
+                            for j in range(s):
+                                values = parts[i, j] ^ balls[int(may[i, j])] if probing else parts[i, j : j + 1]
+                                key.append(j << WIDTH | values)
+                                owner.append(np.full(len(values), i))
+                        key, owner = np.concatenate(key), np.concatenate(owner)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(key, pa.int64()), pa.array(ids[owner]), pa.FixedSizeListArray.from_arrays(pa.array(whole[owner].ravel()), whole.shape[1]).cast(pa.list_(pa.int64())), pa.array(radii[owner])], schema=kind)
+
+        return run
+
+    form = "key long, id long, code array<long>, radius long"
+    held = index.mapInArrow(entries(False), form).select("key", F.col("id").alias("vec_id"), F.col("code").alias("held"))
+    asked = queries.mapInArrow(entries(True), form).select("key", F.col("id").alias("query_id"), F.col("code").alias("asked"), "radius")
+    apart = F.aggregate(F.zip_with("asked", "held", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    pairs = held.join(asked, "key").filter((F.col("vec_id") != F.col("query_id")) & (apart <= F.col("radius"))).select("query_id", "vec_id").distinct()
+    vectors = rows.select("id", "v")
+    both = pairs.join(vectors.select(F.col("id").alias("vec_id"), F.col("v").alias("x")), "vec_id").join(vectors.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+
+    def scored(batches):
+        for b in batches:
+            q, x = (b[c].flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1)) for c in ("q", "x"))
+            yield pa.RecordBatch.from_arrays([b["query_id"], b["vec_id"], pa.array((q * x).sum(1))], schema=FOUND_ARROW)
+
+    return both.select("query_id", "vec_id", "q", "x").mapInArrow(scored, FOUND)
+
+
+def nearest(vectors: DataFrame, query_ids, k: int = 20, bits: int = 256, recall: float = 0.97, exact: bool = False, plan: str | None = None, sample_rows: int = 8192, index_block: int = 8192, query_block: int = 256) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: for rows of ``vectors`` where the column ``query_ids`` holds, their ``k`` nearest others.
+
+    ``recall``: of neighbours within the sample, from which radii are learned; ``plan``: ``buckets`` or ``blocks``, else by estimate.
+    """
     spark = vectors.sparkSession
     rows = usable(vectors)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sample.empty:
         return empty
-    top_norm = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    coder = learn(np.stack(sample["v"].to_numpy()), float(top_norm), bits)
+    top_norm, n, ids = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count("*"), F.count_distinct("id")).first()
+    coder = learn(np.stack(sample["v"].to_numpy()), float(top_norm), n, k, bits, recall)
+    if exact:
+        coder.share = 1.0
+    if plan is None:
+        touched, probes = probed_share(coder, k)
+        plan = "buckets" if touched * n + probes < n / 8 and ids == n else "blocks"  # repeated ids have several vectors
     shared = spark.sparkContext.broadcast(pickle.dumps(coder))  # of fixed size: sample_rows codes and the rotations
     index = packed_blocks(rows, shared, index_block)
-    queries = packed_blocks(rows.filter(query_ids), shared, query_block, share, 50 * k)
-    groups = max(1, index.count())
-    index = index.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    queries = queries.select(F.struct("ids", "vectors", "codes", F.col("lists").alias("radii")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-    pairs = queries.join(index, "g").select("q", "ids", "vectors", "codes", "lists")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def search(batches):
-        for b in batches:
-            for n in range(b.num_rows):
-                q = b["q"][n]
-                q_ids, asked = np.frombuffer(q["ids"].as_py(), "<i8"), np.frombuffer(q["codes"].as_py(), np.uint8)
-                qs, asked = np.frombuffer(q["vectors"].as_py(), "<f8").reshape(len(q_ids), -1), asked.reshape(len(q_ids), -1)
-                ids = np.frombuffer(b["ids"][n].as_py(), "<i8")
-                x, codes = np.frombuffer(b["vectors"][n].as_py(), "<f8").reshape(len(ids), -1), np.frombuffer(b["codes"][n].as_py(), np.uint8).reshape(len(ids), -1)
-                lists = np.frombuffer(b["lists"][n].as_py(), "<u4").reshape(codes.shape[1], -1)
-                radii = np.frombuffer(q["radii"].as_py(), "<u4").astype(np.int64)
-                i, j, s = best(q_ids, qs, ids, x, probed(asked, radii, codes, lists), k)
-                yield pa.RecordBatch.from_pydict({"query_id": i, "vec_id": j, "score": s}, schema=schema)
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+    queries = packed_blocks(rows.filter(query_ids), shared, query_block, k)
+    found = by_blocks(index, queries, k) if plan == "blocks" else by_buckets(index, queries, rows)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

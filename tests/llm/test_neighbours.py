@@ -45,7 +45,52 @@ def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 256, (500, 8), np.uint8)
     asked = codes[:40] ^ np.packbits(rng.random((40, 64)) < 0.15, axis=1)
-    lists = np.stack([np.argsort(codes[:, i], kind="stable") for i in range(8)])
     radii = rng.integers(0, 30, 40)
-    distance = n.ONES[asked[:, None] ^ codes[None]].sum(2)
-    assert (n.probed(asked, radii, codes, lists) == (distance <= radii[:, None])).all()
+    bits = lambda x: np.unpackbits(x, axis=-1).sum(-1)
+    distance = bits(asked[:, None] ^ codes[None])
+    assert (n.distances(asked, codes) == distance).all()
+    may, x, y = n.bounds(radii, 4), asked.view("<u2"), codes.view("<u2")
+    probed = np.zeros(distance.shape, bool)
+    for i in range(40):
+        for j in range(4):
+            probed[i] |= np.isin(y[:, j], x[i, j] ^ n.ball(int(may[i, j])))
+    assert probed[distance <= radii[:, None]].all()
+
+
+def clustered(spark, count, seed=4):
+    """Vectors around ``count / 25`` centres."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((count // 25, 48)).repeat(25, 0) + 0.05 * rng.standard_normal((count // 25 * 25, 48))
+    return np.arange(len(x)), x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_both_plans_and_the_exact_search(spark):
+    from pyspark.sql import functions as F
+
+    ids, x, df = clustered(spark, 3000)
+    want = exact(ids, x)
+    one, two, whole = (found(n.nearest(df, F.col("id") % 20 == 0, **how)) for how in ({"plan": "buckets"}, {"plan": "blocks"}, {"exact": True, "plan": "blocks"}))
+    assert one == two and {q: [i for i, _ in v] for q, v in whole.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert np.mean([len({a for a, _ in want[q]} & {a for a, _ in one[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_recall_and_candidates_by_size(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    for count in (400, 900, 1100, 6000):
+        x = rng.standard_normal((count, 24))
+        x[5] *= 30  # one norm far above the others
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        want, got = exact(np.arange(count), x), found(n.nearest(df, F.col("id") % 20 == 0))
+        assert all(len(v) == 20 for v in got.values())
+        assert np.mean([len({a for a, _ in want[q]} & {a for a, _ in got[q]}) / 20 for q in want]) >= 0.9, count
+
+
+def test_probes_touch_few_rows_of_clusters():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((320, 48)).repeat(25, 0) + 0.05 * rng.standard_normal((8000, 48))
+    coder = n.learn(x, float(np.linalg.norm(x, axis=1).max()), 100_000, 20)
+    touched, probes = n.probed_share(coder, 20)
+    within = (n.distances(coder.asked(x[:200]), coder.sample) <= coder.radii(coder.asked(x[:200]), 20)[:, None]).mean()
+    assert within < 0.02 and touched * 100_000 + probes < 100_000 / 8
