@@ -12,7 +12,8 @@ complement stands within ``scope`` code points in the same document:
 The link is an interval join: parts are binned by position, complements are
 offered to three bins, and a left semi join keeps weak parts with a partner, so
 no pairs are made.  Parts are far smaller than the texts; they are written once
-to the shared folder and the patterns run once over each text.
+to the shared folder and the patterns run once over each text.  A text of many
+matches (a dump of keys) costs their number times its root.
 
 Defined cases: a null or empty text has no spans; rows are judged one by one,
 so repeated rows give repeated results and a null doc_id stays null; positions
@@ -42,6 +43,44 @@ ORDER = ["assign", "access", "hex", "ident", "bare", "endpoint"]
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once a row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(items: Column, value, join, emit, kind: str, base: Column | None = None) -> Column:
+    """``emit(item, state)`` of every item in order, ``state`` being ``join`` of 0 and the values of those before it.
+
+    Arrays grow by copying, so items are taken in chunks of about the root of
+    their number: a text of n matches costs n times that root, not n squared.
+    With ``base`` (a text) ``emit`` gets two more: its part that begins at the
+    state before the chunk, up to the state after it, and where that part begins.
+    """
+    n = F.ceil(F.sqrt(F.size(items))).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / n).cast("int")), lambda i: F.slice(items, i * n + 1, n))
+    none = F.array().cast(f"array<{kind}>")
+
+    def whole(chunks):
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: join(a, value(x))))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,t:int>>").alias("out"))
+        edges = F.aggregate(sums, first, lambda a, x: F.struct(join(a["at"], x).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), join(a["at"], x).alias("t")))).alias("out")), lambda a: a["out"])
+
+        def one(z):
+            def inner(part):
+                more = (part, z["e"]["s"]) if base is not None else ()
+                start = F.struct(z["e"]["s"].alias("at"), none.alias("out"))
+                return F.aggregate(z["c"], start, lambda a, x: F.struct(join(a["at"], value(x)).alias("at"), F.concat(a["out"], F.array(emit(x, a["at"], *more))).alias("out")), lambda a: a["out"])
+
+            return inner(None) if base is None else let(base.substr(z["e"]["s"] + 1, z["e"]["t"] - z["e"]["s"]), inner)
+
+        return F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), edges.alias("e")), one))
+
+    return F.when(F.size(items) > 0, let(chunks, whole)).otherwise(none)
+
+
+ITEM = "struct<s:int,k:int,e:int>"
+
+
 def found(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Spans of all leftmost non-overlapping matches, from the lengths of gaps and matches.
 
@@ -49,22 +88,21 @@ def found(text: Column, pattern: str, kind: str, keep=None) -> Column:
     running sums of both lengths are the positions.
     """
     k = ORDER.index(kind)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc, x):
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        span = F.struct(s.alias("s"), F.lit(k).alias("k"), e.alias("e"))
-        more = F.concat(acc["out"], F.array(span))
-        return F.struct(e.alias("at"), (F.when(keep(x["m"]), more).otherwise(acc["out"]) if keep else more).alias("out"))
-
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-        F.split(text, pattern, -1).alias("g"),
-    )
-    pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
-    out = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(SPAN))
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.length(m).alias("m"), (keep(m) if keep else F.lit(True)).alias("kept")))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    pairs = F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull())
+    span = lambda x, at: F.struct((at + x["g"]).alias("s"), F.when(x["m"]["kept"], F.lit(k)).otherwise(-1).alias("k"), (at + x["g"] + x["m"]["m"]).alias("e"))
+    out = let(pairs, lambda p: running(p, lambda x: x["g"] + x["m"]["m"], lambda a, b: a + b, span, ITEM))
+    return F.when(text.rlike(pattern), F.filter(out, lambda x: x["k"] >= 0)).otherwise(F.array().cast(SPAN))
+
+
+def apart(weak: Column, base: Column) -> Column:
+    """Weak spans that lie in no base span: one pass over both by their starts, with the farthest end of a base span so far."""
+    first = len(ORDER[:3])
+    both = F.array_sort(F.transform(F.concat(base, weak), lambda x: F.struct(x["s"].alias("s"), (x["k"] >= first).alias("late"), x["k"].alias("k"), x["e"].alias("e"))))
+    told = lambda x, at: F.struct(x["s"].alias("s"), F.when(x["late"] & (at < x["e"]), x["k"]).otherwise(-1).alias("k"), x["e"].alias("e"))
+    out = let(both, lambda b: running(b, lambda x: F.when(x["late"], 0).otherwise(x["e"]), F.greatest, told, ITEM))
+    return F.when(F.size(weak) > 0, F.filter(out, lambda x: x["k"] >= 0)).otherwise(F.array().cast(SPAN))
 
 
 def scanned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -84,9 +122,7 @@ def scanned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return one.select(
         "doc_id", "row", "assign", "access", "hex",
         # A weak part inside a base span is that span, not another.
-        F.expr(
-            "filter(concat(ident, bare, endpoint), w -> not exists(concat(assign, access, hex), b -> b.s <= w.s and w.e <= b.e))"
-        ).alias("weak"),
+        apart(F.concat("ident", "bare", "endpoint"), base).alias("weak"),
         F.array_sort(base).alias("base"),
     )
 
@@ -141,12 +177,14 @@ def masked(docs: DataFrame, scope: int = 400, text: str = "text", key: str = "do
     row = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" "), F.coalesce(t, F.lit(""))))
     names = F.array(*map(F.lit, ORDER))
 
-    def step(acc, x):
-        fresh = F.concat(acc["out"], t.substr(acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.element_at(names, x["k"] + 1), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def piece(x, at, part, start):
+        """What stands between the spans so far and this one, and its mark; nothing where it begins within them."""
+        return F.when(x["s"] >= at, F.concat(part.substr(at - start + 1, x["s"] - at), F.lit("["), F.element_at(names, x["k"] + 1), F.lit("]"))).otherwise(F.lit(""))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], t.substr(acc["at"] + 1, F.length(t))))
+    new = F.concat(
+        F.array_join(running(F.col("spans"), lambda x: x["e"], F.greatest, piece, "string", t), ""),
+        t.substr(F.array_max(F.transform("spans", lambda x: x["e"])) + 1, F.length(t)),
+    )
     out = docs.join(found, row == F.col("masked_row"), "left").withColumn("masked_text", F.when(F.col("masked_row").isNotNull(), new).otherwise(t))
     cols = {text: F.col("masked_text"), "n_chars": F.when(F.col("masked_row").isNotNull(), F.length("masked_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*((cols.get(c) if cols.get(c) is not None else F.col(f"`{c}`")).alias(c) for c in docs.columns))

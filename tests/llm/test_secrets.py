@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from quillspark.llm import secrets
@@ -52,3 +53,56 @@ def test_empty_table_and_repeated_rows(spark, tmp_path):
     assert secrets.op9_secrets(spark, saved(docs.limit(0), tmp_path / "e")).count() == 0
     got = secrets.op9_secrets(spark, saved(docs.union(docs), tmp_path / "r")).collect()
     assert len(got) == 2 and got[0] == got[1] and got[0].n_assign == 1
+
+
+def weak_brute(text):
+    """Linked spans by comparing every two parts."""
+    text = text or ""
+    spans = {k: [(m.start(), m.end()) for m in p.finditer(text) if keep(m)] for k, (p, keep) in PATTERNS.items()}
+    base = [x for v in spans.values() for x in v]
+    for kind, pattern in (("ident", secrets.IDENT), ("bare", secrets.BARE), ("endpoint", secrets.ENDPOINT)):
+        spans[kind] = [m.span() for m in re.finditer(pattern, text) if not any(b[0] <= m.start() and m.end() <= b[1] for b in base)]
+    near = lambda x, *kinds: any(abs(x[0] - y[0]) <= 400 for k in kinds for y in spans[k])
+    ids, keys = ("access", "ident"), ("assign", "bare")
+    keep = {"ident": lambda x: near(x, *keys), "bare": lambda x: near(x, *ids), "endpoint": lambda x: near(x, *ids) and near(x, *keys)}
+    out = [(s, secrets.ORDER.index(k), e) for k, v in spans.items() for s, e in v if k not in keep or keep[k]((s, e))]
+    return sorted(out)
+
+
+def shown(spans):
+    return ",".join(f"{secrets.ORDER[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def masked_brute(text):
+    out, at = [], 0
+    for s, k, e in weak_brute(text):
+        if s >= at:
+            out += [text[at:s], f"[{secrets.ORDER[k]}]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def parts(count, seed):
+    rnd = random.Random(seed)
+    kinds = ["username: someone", KEY, "https://host/x?é", "token=abcdefgh9", "AKIAABCDEFGHIJKLMN", "0f" * 17, "漢字 words", "secret: " + "0a" * 20, "é" * 30, "client_id=ab12"]
+    return " ".join(rnd.choice(kinds) + " " * rnd.choice([0, 1, 5, 300]) for _ in range(count))
+
+
+def test_linked_spans_and_masks_equal_comparing_every_two_parts(spark, tmp_path):
+    texts = [*TEXTS, *(parts(n, n) for n in range(1, 60)), parts(700, 1)]
+    docs = documents(spark, texts)
+    got = as_dict(secrets.op9_secrets(spark, saved(docs, tmp_path)))
+    hidden = as_dict(secrets.masked(docs))
+    for i, t in enumerate(texts):
+        assert got[i]["spans"] == shown(weak_brute(t)), t
+        assert hidden[i]["text"] == (masked_brute(t) if t else t) and hidden[i]["n_chars"] == len(hidden[i]["text"] or "")
+
+
+def test_a_document_of_a_hundred_thousand_matches(spark, tmp_path):
+    text = "\n".join(f"{i:040x} é token=abcdefgh{i}" for i in range(50_000))
+    docs = documents(spark, [text, None], extra=False)
+    got = as_dict(secrets.op9_secrets(spark, saved(docs, tmp_path)))
+    assert (got[0]["n_hex"], got[0]["n_assign"], got[1]["n_hex"]) == (50_000, 50_000, 0)
+    assert got[0]["base_sha256"] == brute(text)[0]["base_sha256"]
+    hidden = as_dict(secrets.masked(docs))
+    assert hidden[0]["text"] == "\n".join(["[hex] é [assign]"] * 50_000)
