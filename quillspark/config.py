@@ -7,7 +7,7 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
-# Directories that the link graph never enters; with ".obsidian" go all whose names begin with ".obsidian-".
+# Directories that the link graph never enters, beside the folders of the tool in use (``VaultConfig.tool_dirs``).
 EXCLUDED_DIRS = [".obsidian", ".git", ".claude", ".alcove", "_template", "seeded", "harness-engineering", "01-Projects", "release"]
 # Top-level directories that are no projects, beside the five configured ones.
 SYSTEM_DIRS = ["01-Projects", "02-Areas", "03-Resources", "Chats", "Clippings", "temp_conversions", "logs", "target", ".obsidian", ".git", ".alcove", ".claude"]
@@ -46,6 +46,7 @@ class VaultConfig:
     system_dirs: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
     excluded_dirs: list[str] = field(default_factory=lambda: list(EXCLUDED_DIRS))
+    tool_dirs: list[str] = field(default_factory=list)
     protected_files: list[str] = field(default_factory=lambda: ["index.md"])
     concepts: list[Concept] = field(default_factory=list)
     sync_minutes: int | None = None
@@ -55,8 +56,11 @@ class VaultConfig:
         own = [self.inbox_dir, self.zettelkasten_dir, self.archive_dir, self.attachments_dir, self.templates_dir]
         return list(dict.fromkeys([*own, *SYSTEM_DIRS, *self.system_dirs]))
 
+    def graph_excluded(self) -> list[str]:
+        return list(dict.fromkeys([*self.excluded_dirs, *self.tool_dirs]))
+
     def dashboard_excluded(self) -> list[str]:
-        return list(dict.fromkeys([*DASHBOARD_EXCLUDED, *(d for d in (self.attachments_dir, self.templates_dir) if d), *self.system_dirs]))
+        return list(dict.fromkeys([*DASHBOARD_EXCLUDED, *self.tool_dirs, *(d for d in (self.attachments_dir, self.templates_dir) if d), *self.system_dirs]))
 
     def interval_seconds(self, cli: int | None = None) -> int:
         """Seconds between sync rounds: given, else the daemon's, else sync minutes, else 300."""
@@ -97,6 +101,7 @@ def load_prompts(paths: list[str]) -> dict[str, str]:
     out = {
         "category_template": "Classify the note as JSON with candidate_type, candidate_project, candidate_area, candidate_concepts, recommended_action, reasoning, subcategory, detail.\n{content}",
         "summary_template": "Summarize the note in one sentence.\n{content}",
+        "summarize_template": "Summarize the text in at most {length} characters, key points only.\n{content}",
         "relations_template": "Name the relation of each pair as JSON.\n{content}",
     }
     for p in paths:

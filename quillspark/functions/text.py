@@ -154,10 +154,17 @@ def summary(yaml: Column, rest: Column, most: int = 200) -> Column:
 
 def digest_lines(c: Column) -> Column:
     """First three lines of content, joined, at most 150 characters."""
-    kept = F.filter(lines(c), lambda x: ~x.startswith("---") & ~x.startswith("#") & (trim(x) != ""))
+    kept = F.filter(lines(c), lambda x: ~x.startswith("---") & ~x.startswith("#") & (x != ""))
     return F.left(F.array_join(F.slice(kept, 1, 3), " "), F.lit(150))
 
 
+def opening(c: Column) -> Column:
+    """Five lines from the first that is neither empty nor a heading, joined, at most 200 characters."""
+    arr = lines(c)
+    at = F.array_position(F.transform(arr, lambda x: ~x.startswith("#") & (x != "")), F.lit(True))
+    return F.left(F.when(at > 0, F.array_join(F.slice(arr, at.cast("int"), 5), " ")).otherwise(F.lit("")), F.lit(200))
+
+
 def capitalized(c: Column) -> Column:
     return F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 1 << 30))
 
@@ -287,6 +294,16 @@ def masked_key(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", "missing").when(F.length(c) > 8, F.concat(F.left(c, F.lit(4)), F.lit("..."), F.right(c, F.lit(4)))).otherwise(F.lit("****"))
 
 
+#: YAML of plain one-line fields and at most inline tags, of which any reader makes the same.
+PLAIN = r"(?d)\A(?:(?!tags:)[A-Za-z_]+: [A-Za-z][\w/ -]*(?:\n|\z)|tags: \[(?:[A-Za-z][\w/-]*(?:, [A-Za-z][\w/-]*)*)?\](?:\n|\z))*\z"
+
+
+def note_tags(yaml: Column) -> Column:
+    """Tags as a YAML parser has them; only what is not ``PLAIN``, and has any, goes through it."""
+    odd = F.when(~yaml.rlike(PLAIN) & yaml.contains("tags"), yaml)
+    return F.when(odd.isNull(), inline_tags(yaml)).otherwise(yaml_tags(odd))
+
+
 def yaml_tags(c: Column) -> Column:
     """Tags by a real YAML parser (Arrow): items of a ``tags`` sequence that are strings."""
     @pandas_udf("array<string>")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable
 from itertools import islice
 
@@ -16,15 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.config import VaultConfig
 from quillspark.functions import text as T
+from quillspark.operators import graph as G
+from quillspark.operators import hubs as H
+from quillspark.operators import tags
+from quillspark.operators.audit import edits
 
 BATCH, LEAST_CONFIDENCE, CONCURRENCY = 15, 0.5, 5
-RELATIONS = ["supports", "contradicts", "extends", "depends-on", "example-of", "related-to"]
+# How notes can be related.
+RELATIONS = ["extends", "depends-on", "contradicts", "similar-to", "references", "related-to"]
 
 
 def stub(prompt: str) -> str:
     """An answer fixed by the prompt, in fenced JSON."""
     n = sum(prompt.encode()) % 1000
+    hubs = re.findall(r"^HUB (.+)$", prompt, re.M)
+    if hubs:
+        return "```json\n" + json.dumps({"suggested_links": [hubs[n % len(hubs)]]}) + "\n```"
     pairs = re.findall(r"^PAIR (\d+)", prompt, re.M)
     if pairs:
         return "```json\n" + json.dumps([{"pair": int(p), "relation": RELATIONS[(n + int(p)) % len(RELATIONS)], "confidence": ((n + 7 * int(p)) % 11) / 10} for p in pairs]) + "\n```"
@@ -52,8 +62,8 @@ def extract_json(text: str) -> str | None:
     return balanced(text or "")
 
 
-def answers(df: DataFrame, prompt: str, client: Callable[[str], str] = stub, concurrency: int = CONCURRENCY) -> DataFrame:
-    """``df`` with ``answer``, the JSON of the client's answer to the column ``prompt``; null where it fails."""
+def answers(df: DataFrame, prompt: str, client: Callable[[str], str] = stub, concurrency: int = CONCURRENCY, read: Callable[[str], str | None] = extract_json) -> DataFrame:
+    """``df`` with ``answer``, what ``read`` makes of the client's answer to the column ``prompt`` (its JSON, if not given); null where it fails."""
     names = df.columns
 
     def ask(batches):
@@ -61,7 +71,7 @@ def answers(df: DataFrame, prompt: str, client: Callable[[str], str] = stub, con
             out = []
             for p in b[prompt].to_pylist():
                 try:
-                    out.append(extract_json(client(p)))
+                    out.append(read(client(p)))
                 except Exception:  # one note's failure is not the batch's
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(out, pa.string())], names=[*names, "answer"])
@@ -99,6 +109,54 @@ def insights(notes: DataFrame, question: str, client: Callable[[str], str] = stu
     return answers(notes.select("path", F.concat(F.lit(question + "\n"), T.cut(F.col("content"), most_bytes)).alias("prompt")), "prompt", client).select("path", "answer")
 
 
+def orphan_link_plan(notes: DataFrame, edges: DataFrame, config: VaultConfig | None = None, client: Callable[[str], str] = stub) -> DataFrame:
+    """Orphans with links to the project hubs that a client names for them; without hubs, or where it names none, nothing changes.
+
+    Every question lists all hubs: they are as many as top-level project folders.
+    """
+    p = F.split("path", "/")
+    config = config or VaultConfig()
+    left_out = config.all_system_dirs() + config.exclude
+    hubs = H.hubs_present(notes).filter(~p[0].isin(left_out) & ~p[0].startswith("."))
+    listed = hubs.agg(F.array_join(F.array_sort(F.collect_list(F.expr("concat('HUB ', left(path, length(path) - 3))"))), "\n").alias("hubs")).filter("hubs <> ''")
+    own = notes.join(G.orphans(notes, edges), "path", "left_semi").select("path", "content", T.title(F.col("content"), F.col("stem")).alias("title"), T.opening(F.col("content")).alias("opening"))
+    prompt = F.concat(F.lit("Which hubs should this note be linked to? Answer {\"suggested_links\": [...]}.\nNote: "), "title", F.lit("\nSummary: "), "opening", F.lit("\n"), "hubs")
+    got = answers(own.join(F.broadcast(listed), F.lit(True)).withColumn("prompt", prompt), "prompt", client)
+    found = F.from_json("answer", "suggested_links array<string>")["suggested_links"]
+    lines = F.array_join(F.transform(found, lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))), "\n")
+    new = F.concat(F.regexp_replace("content", r"(?U)\s+\z", ""), F.lit("\n\n## See Also\n"), lines, F.lit("\n"))
+    return edits(got.filter(F.size(found) > 0).withColumn("new_content", new), "orphan linked")
+
+
+def summarize(notes: DataFrame, most: int = 200, client: Callable[[str], str] = stub, template: str = "Summarize the text in at most {length} characters, key points only.\n{content}") -> DataFrame:
+    """``(path, answer)``: a client's answer as it is for every note's body."""
+    prompt = F.replace(F.lit(template.replace("{length}", str(most))), F.lit("{content}"), F.col("body"))
+    return answers(notes.select("path", prompt.alias("prompt")), "prompt", client, read=str).select("path", "answer")
+
+
+def ping(client: Callable[[str], str], prompt: str = "Reply with OK.") -> dict:
+    """Whether a client answers, how long it takes, and what it says or how it fails; asked once, on the driver."""
+    began = time.monotonic()
+    try:
+        said, ok = client(prompt), True
+    except Exception as e:
+        said, ok = f"{type(e).__name__}: {e}", False
+    return {"ok": ok, "seconds": time.monotonic() - began, "answer": said}
+
+
+def normalized_tags(notes: DataFrame, client: Callable[[str], str] | None = None) -> DataFrame:
+    """The plan of a whole tag normalization: clusters of tags, those a client adds, and the lines rewritten by them."""
+    docs = tags.tag_docs(notes)
+    member = tags.membership(docs).select("tag", "canonical")
+    if client is not None:
+        spark = notes.sparkSession
+        rows = [(x["canonical"], [a for a in x.get("aliases") or [] if isinstance(a, str)]) for x in suggested_hierarchy(docs, client) if isinstance(x["canonical"], str)]
+        more = tags.merged_suggestions(tags.clusters(docs), spark.createDataFrame(rows, "canonical string, aliases array<string>"))
+        added = more.select("canonical", F.explode("aliases").alias("tag")).groupBy("tag").agg(F.min("canonical").alias("named"))
+        member = member.join(added, "tag", "left").select("tag", F.coalesce("named", "canonical").alias("canonical"))
+    return tags.normalization_plan(notes, member)
+
+
 def suggested_hierarchy(tag_docs: DataFrame, client: Callable[[str], str] = stub, least: int = 2, batch: int = 10_000) -> list[dict]:
     """Clusters proposed for all tags of ``least`` documents, asked ``batch`` at a time by name, on the driver; none from an answer that is no list."""
     rows = tag_docs.groupBy("tag").count().filter(F.col("count") >= least).orderBy("tag").toLocalIterator()

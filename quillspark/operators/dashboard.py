@@ -40,7 +40,7 @@ def scanned(files: DataFrame, config: VaultConfig | None = None) -> DataFrame:
     out = files.filter(F.col("path").endswith(".md") & ~(nested & (top.isin(config.dashboard_excluded()) | top.startswith("."))) & ~(~nested & top.startswith(".")))
     c, yaml = F.col("content"), T.frontmatter(F.col("content"))
     stem = F.expr("left(element_at(split(path, '/'), -1), length(element_at(split(path, '/'), -1)) - 3)")
-    tags = T.inline_tags(yaml)
+    tags = T.note_tags(yaml)
     return out.select(
         "path", T.title(c, stem).alias("title"), T.summary(yaml, T.body(c)).alias("summary"), tags.alias("tags"), zone(F.col("path")).alias("zone"),
         F.get(F.filter(tags, lambda t: t.startswith("layer/")), F.lit(0)).alias("layer"), F.size(T.words(T.body(c))).cast("long").alias("word_count"),

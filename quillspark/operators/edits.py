@@ -1,7 +1,7 @@
 """Edit plans: made as DataFrames, looked at, applied to a frame or to disk.
 
 ``(path, action, new_path, new_content, reason)``; actions are ``write``,
-``rename`` and ``move`` (rename with new content).  Applying a plan twice
+``rename`` and ``move`` (rename with new content), ``copy`` and ``link``.  Applying a plan twice
 changes nothing more.
 """
 
@@ -10,10 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.components import written
+
+
+def settled(plan: DataFrame) -> DataFrame:
+    """``(path, np, nc)``: one edit a file; fails where a plan has two different ones for it, or two files for one new path."""
+    one = plan.groupBy("path").agg(F.max("new_content").alias("nc"), F.max("new_path").alias("np"), F.min("new_content").alias("lc"), F.min("new_path").alias("lp"))
+    clash = (F.col("nc") != F.col("lc")) | (F.col("np") != F.col("lp"))
+    one = one.select("path", "nc", F.when(clash, F.raise_error(F.concat(F.lit("edits that differ for "), "path")).cast("string")).otherwise(F.col("np")).alias("np"))
+    ends = one.filter("np IS NOT NULL").groupBy("np").agg(F.count("*").alias("n"))
+    out = one.join(ends, "np", "left")
+    return out.select("path", "nc", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two files for "), "np")).cast("string")).otherwise(F.col("np")).alias("np"))
+
 
 def applied(files: DataFrame, plan: DataFrame) -> DataFrame:
-    """``files`` as they would be: the next step of a sequence plans on this, no disk involved."""
-    one = plan.groupBy("path").agg(F.max("new_content").alias("nc"), F.max("new_path").alias("np"))
+    """``files`` as they would be: the next step of a sequence plans on this, no disk involved.
+
+    Fails on edits that contradict each other, and on a new path that a file has which does not itself move away.
+    """
+    one = written(settled(plan.filter("action IN ('write', 'rename', 'move')")), "edits")  # copies and links leave the files as they are
+    taken = files.select(F.col("path").alias("np")).join(one.filter("np IS NOT NULL").select(F.col("path").alias("np")), "np", "left_anti").withColumn("taken", F.lit(True))
+    one = one.join(taken, "np", "left").select("path", "nc", F.when(F.col("taken") & (F.col("np") != F.col("path")), F.raise_error(F.concat(F.lit("there is a file "), "np")).cast("string")).otherwise(F.col("np")).alias("np"))
     out = files.join(one, "path", "full")
     cols = {"path": F.coalesce("np", "path"), "content": F.coalesce("nc", "content")}
     return out.select(*(cols.get(c, F.col(c)).alias(c) for c in files.columns))
@@ -24,14 +41,20 @@ def apply_to_disk(plan: DataFrame, root: str) -> int:
 
     def write(batches):
         import os
+        import shutil
 
         import pyarrow as pa
 
         for b in batches:
             n = 0
-            for path, new_path, content in zip(*(b[c].to_pylist() for c in ("path", "new_path", "new_content"))):
+            for path, action, new_path, content in zip(*(b[c].to_pylist() for c in ("path", "action", "new_path", "new_content"))):
                 old, new = os.path.join(root, path), os.path.join(root, new_path or path)
                 os.makedirs(os.path.dirname(new) or ".", exist_ok=True)
+                if action in ("link", "copy"):
+                    if not os.path.lexists(new):
+                        os.symlink(os.path.relpath(old, os.path.dirname(new)), new) if action == "link" else shutil.copyfile(old, new)
+                        n += 1
+                    continue
                 if new != old and os.path.exists(old) and not os.path.exists(new):
                     os.rename(old, new)
                     n += 1
@@ -45,7 +68,7 @@ def apply_to_disk(plan: DataFrame, root: str) -> int:
                         n += 1
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    return plan.select("path", "new_path", "new_content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return plan.select("path", "action", "new_path", "new_content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def manifest(relationships: DataFrame, path: str) -> None:

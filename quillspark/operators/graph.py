@@ -13,16 +13,14 @@ from pyspark.sql import functions as F
 
 from quillspark.config import EXCLUDED_DIRS
 from quillspark.functions import text as T
-from quillspark.operators.components import connected_components
+from quillspark.operators.components import connected_components, written
 
 HUBS = 10
 
 
 def excluded(path, names: list[str]):
-    """Whether any part of a path is one of ``names``, or, where ``.obsidian`` is one, begins with it and a hyphen."""
-    parts = F.split(path, "/")
-    hit = F.arrays_overlap(parts, F.array(*map(F.lit, names)))
-    return hit | F.exists(parts, lambda x: x.startswith(".obsidian-")) if ".obsidian" in names else hit
+    """Whether any part of a path is one of ``names``."""
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, names)))
 
 
 def outside_nested(files: DataFrame, repos: DataFrame | None) -> DataFrame:
@@ -121,18 +119,27 @@ def components(notes: DataFrame, edges: DataFrame) -> DataFrame:
     return notes.select("path").join(found.withColumnRenamed("node", "path"), "path", "left").select("path", F.coalesce("component", "path").alias("component"))
 
 
-def two_hop_pairs(edges: DataFrame) -> DataFrame:
-    """Unordered pairs at distance 1 or 2 along the links; ``source`` is the side the way starts from, the smaller if both do."""
+def two_hop_pairs(edges: DataFrame, salts: int = 16) -> DataFrame:
+    """Unordered pairs at distance 1 or 2 along the links; ``source`` is the side the way starts from, the smaller if both do.
+
+    The notes that link to a middle one are dealt to ``salts`` keys and meet all
+    that it links to there, so that one with very many links is no single task.
+    """
     one = edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    step = one.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    two = one.join(step, "b").filter("a <> c").select("a", F.col("c").alias("b"))
-    pairs = one.union(two).distinct()
+    into = one.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    step = one.select(F.col("a").alias("b"), F.col("b").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    two = into.join(step, ["b", "salt"]).filter("a <> c").select("a", F.col("c").alias("b"))
+    pairs = one.union(two)
     low, high = F.least("a", "b"), F.greatest("a", "b")
     return pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min("a").alias("source")).select("source", F.when(F.col("source") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("target"))
 
 
 def graph_health(notes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: notes, links, average, orphans, components, broken edges, and the hubs."""
+    """One row: notes, links, average, orphans, components, broken edges, and the hubs.
+
+    The names of the notes are written once, so that no figure reads texts.
+    """
+    notes = written(notes.select("path"), "names")
     n = notes.agg(F.count("*").alias("total_notes"))
     e = edges.agg(F.count("*").alias("total_links"))
     o = orphans(notes, edges).agg(F.count("*").alias("orphan_count"))

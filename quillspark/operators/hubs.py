@@ -120,6 +120,48 @@ def book_sources(files: DataFrame, tag: str) -> DataFrame:
     return files.filter(F.col("path").endswith(".md") & has_tag(F.col("content"), tag)).select("path")
 
 
+def book_source_plan(files: DataFrame, name: str) -> DataFrame:
+    """Notes tagged ``book/name`` outside the book as links in its ``sources``, one a file name (the smallest path) and none that is there."""
+    root = f"01-Projects/{name}/"
+    found = book_sources(files.filter(~F.col("path").startswith(root)), f"book/{name}")
+    target = F.concat(F.lit(root + "sources/"), F.element_at(F.split("path", "/"), -1))
+    links = found.groupBy(target.alias("new_path")).agg(F.min("path").alias("path"))
+    links = links.join(files.select(F.col("path").alias("new_path")), "new_path", "left_anti")
+    return links.select("path", F.lit("link").alias("action"), "new_path", F.lit(None).cast("string").alias("new_content"), F.lit("book source").alias("reason"))
+
+
+def book_export_plan(files: DataFrame, name: str, folder: str) -> DataFrame:
+    """A book's files but hidden ones and sources, at any depth, as copies under ``folder``."""
+    root = f"01-Projects/{name}/"
+    rest = F.substring("path", len(root) + 1, 1 << 30)
+    kept = files.filter(F.col("path").startswith(root) & ~F.exists(F.split(rest, "/"), lambda x: x.startswith(".") | (x == "sources")))
+    return kept.select("path", F.lit("copy").alias("action"), F.concat(F.lit(f"{folder}/{name}/"), rest).alias("new_path"), F.col("content").alias("new_content"), F.lit("book export").alias("reason"))
+
+
+def book_init_plan(files: DataFrame, name: str, genre: str = "", lang: str = "en") -> DataFrame:
+    """A book's two notes where they are absent."""
+    heads = lambda *h: "".join(f"\n## {x}\n" for x in h)
+    texts = {
+        "PRD.md": f"---\ntitle: {name}\ngenre: {genre}\nlanguage: {lang}\ntarget_audience: \nword_count_goal: 0\n---\n\n# {name}\n" + heads("Overview", "Target Audience", "Goals", "Word Count Target"),
+        "STYLE.md": "---\ntype: style-guide\n---\n\n# Style Guide\n" + heads("Voice", "Tone", "Forbidden Patterns"),
+    }
+    new = files.sparkSession.createDataFrame([(f"01-Projects/{name}/{f}", t) for f, t in texts.items()], "path string, new_content string")
+    out = new.join(files.select("path"), "path", "left_anti")
+    return out.select("path", F.lit("write").alias("action"), F.lit(None).cast("string").alias("new_path"), "new_content", F.lit("book").alias("reason"))
+
+
+def folder_status(files: DataFrame, folders: list[str], names: list[str]) -> DataFrame:
+    """``(name, present, items)``: entries right in each folder (null for an absent one), and whether each file is there (0 items)."""
+    spark = files.sparkSession
+    asked = spark.createDataFrame([(x, True) for x in folders] + [(x, False) for x in names], "name string, folder boolean")
+    within = F.explode(F.array(*(F.when(F.col("path").startswith(d + "/"), F.struct(F.lit(d).alias("name"), F.split(F.substring("path", len(d) + 2, 1 << 30), "/")[0].alias("entry"))) for d in folders))) if folders else None
+    found = spark.createDataFrame([], "name string, items long")
+    if folders:
+        found = files.select(within.alias("x")).filter("x IS NOT NULL").select("x.*").distinct().groupBy("name").agg(F.count("*").alias("items"))
+    there = files.filter(F.col("path").isin(names)).select(F.col("path").alias("name"), F.lit(0).cast("long").alias("items")).distinct()
+    return asked.join(found.union(there), "name", "left").select("name", F.col("items").isNotNull().alias("present"), "items")
+
+
 def commit_summary(changes: DataFrame) -> DataFrame:
     """One line for a set of changed files ``(file)``: hubs, bridge notes and sources are named."""
     f = F.col("file")

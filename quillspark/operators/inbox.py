@@ -29,6 +29,12 @@ def inbox(files: DataFrame, config: VaultConfig | None = None) -> DataFrame:
     return files.filter(right | (F.col("path").startswith("temp_conversions/") & F.col("path").endswith(".md")))
 
 
+def inbox_count(files: DataFrame, config: VaultConfig | None = None) -> DataFrame:
+    """Entries right in the inbox, folders among them."""
+    p = F.split("path", "/")
+    return files.filter((p[0] == (config or VaultConfig()).inbox_dir) & (F.size(p) > 1)).agg(F.count_distinct(p[1]).alias("inbox_count"))
+
+
 def targets(fm: str = "fm"):
     """Category, subcategory and detail of a confirmed note, with their fallbacks."""
     kind = F.col(f"{fm}.candidate_type")

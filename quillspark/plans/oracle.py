@@ -23,6 +23,27 @@ INLINE = r"(?m)^tags:\s*\[(.*?)\]"
 TAGS = f"list_filter(list_transform(string_split(regexp_extract({{0}}, '{INLINE}', 1), ','), lambda x: trim(trim(trim(x), '\"'), '''')), lambda x: x <> '')"
 ITEMS = r"list_filter(list_transform(regexp_extract_all({0}, '(?m)^\s+-\s+(.+)$', 1), lambda x: trim(trim(trim(x), '" + '"' + r"'), '''')), lambda x: x <> '')"
 
+#: As a YAML parser has them: nothing where the text is no YAML, else the inline or the block list.
+CARD_TAGS = f"CASE WHEN contains(fm_yaml, ']project:') THEN [] WHEN regexp_matches(fm_yaml, '{INLINE}') THEN {TAGS.format('fm_yaml')} WHEN regexp_matches(fm_yaml, '(?m)^tags:[ \t]*$') THEN {ITEMS.format('fm_yaml')} ELSE [] END"
+LINE = r"(?m)^tags:\s*\[[^\n]*?\]"
+
+
+def rtrim(c: str) -> str:
+    return rf"regexp_replace({c}, '\s+\z', '')"
+
+
+def field_set(content: str, name: str, value: str) -> str:
+    """A frontmatter line set, in SQL, of content that begins with a closed frontmatter or has none."""
+    return rf"""CASE WHEN NOT regexp_matches({content}, '(?s)\A---\n(.*?)\n---\n?') THEN '---' || chr(10) || '{name}: {value}' || chr(10) || '---' || chr(10) || {content}
+      WHEN regexp_matches(regexp_extract({content}, '(?s)\A---\n(.*?)\n---', 1), '(?m)^{name}:') THEN '---' || chr(10) || regexp_replace(regexp_extract({content}, '(?s)\A---\n(.*?)\n---\n?(.*)\z', 1), '(?m)^{name}:[^\n]*$', '{name}: {value}', 'g')
+        || chr(10) || '---' || chr(10) || regexp_extract({content}, '(?s)\A---\n(.*?)\n---\n?(.*)\z', 2)
+      ELSE '---' || chr(10) || regexp_extract({content}, '(?s)\A---\n(.*?)\n---\n?(.*)\z', 1) || chr(10) || '{name}: {value}' || chr(10) || '---' || chr(10) || regexp_extract({content}, '(?s)\A---\n(.*?)\n---\n?(.*)\z', 2) END"""
+
+
+PATH_PARTS = "string_split(path, '/')"
+WORD = "upper(x[1]) || x[2:]"
+SECTION = "string_split('Areas|Active Projects|Zettelkasten (Wiki Layer)|Key Concepts|Governance', '|')"
+NONE = "string_split('No area notes found|No active projects found|No zettelkasten notes found|Build vault graph first to see key concepts|', '|')"
 CTES = {
     "files": DUCK_SQL,
     "notes": f"""SELECT *, left(path, length(path) - 3) AS stem_path, regexp_extract(path, '([^/]*)\\.md$', 1) AS stem, regexp_matches(content, '{FM}') AS has_fm,
@@ -76,7 +97,7 @@ CTES = {
         CASE WHEN path LIKE '02-Areas/%' THEN '/' || string_split(path, '/')[2] WHEN path LIKE '99-Archives/projects/%' THEN '/' || string_split(path, '/')[3] ELSE '' END AS zname FROM files WHERE path LIKE '%.md'""",
     "scan": f"""SELECT z.*, regexp_extract(path, '([^/]*)\\.md$', 1) AS stem, regexp_matches(content, '{FM}') AS has_fm, regexp_extract(content, '{FM}', 1) AS fm_yaml,
         CASE WHEN regexp_matches(content, '{FM}') THEN regexp_extract(content, '{FM}', 2) ELSE content END AS body FROM zoned z""",
-    "cards0": f"""SELECT path, kind || zname AS zone, kind, modified_on, {TAGS.format('fm_yaml')} AS tl,
+    "cards0": f"""SELECT path, kind || zname AS zone, kind, modified_on, {CARD_TAGS} AS tl,
         CASE WHEN regexp_matches(content, '(?m)^# ') THEN trim(regexp_replace(regexp_extract(content, '(?m)^# [^\\n]*$'), '^(# )+', '')) ELSE stem END AS title,
         CAST(len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) AS BIGINT) AS word_count, contains(body, '```mermaid') AS has_mermaid FROM scan""",
     "cards1": """SELECT c.*, coalesce(d.incoming, 0) AS incoming_links, coalesce(d.outgoing, 0) AS outgoing_links, greatest(DATE '2024-01-31' - modified_on, 0) AS age FROM cards0 c LEFT JOIN deg d USING (path)""",
@@ -84,8 +105,47 @@ CTES = {
         + least(len(tl) / 7.0::DOUBLE, 1.0::DOUBLE) * 0.20::DOUBLE + least(word_count / 1000.0::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE + CASE WHEN incoming_links >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * 0.10::DOUBLE) * 5.0::DOUBLE), 5), 1) AS INTEGER) AS vitality,
         list_filter(tl, lambda t: starts_with(t, 'layer/'))[1] AS layer, array_to_string(tl, ',') AS tags FROM cards1""",
     "plinks": "SELECT name, max(path = '99-Archives/projects/' || name || '/' || name || '.md') AS hub FROM (SELECT path, string_split(path, '/')[3] AS name FROM notes WHERE path LIKE '99-Archives/projects/%/%') GROUP BY 1",
+    "needed": f"""SELECT *, CASE WHEN path LIKE '99-Archives/projects/%' THEN ['layer/raw', tt, {PATH_PARTS}[3]] ELSE ['layer/raw', 'type/reference'] END AS needs,
+        path LIKE '99-Archives/projects/%' AND has_fm AND contains(fm_yaml, ']project:') AS bad
+      FROM checkdocs WHERE (path LIKE '99-Archives/projects/%' AND tt IS NOT NULL) OR path LIKE '03-Resources/Laws-Of-Software-Engineering/%'""",
+    "lacking": """SELECT *, list_filter(needs, lambda x: NOT list_contains(have, x)) AS miss, CASE WHEN bad THEN replace(fm_yaml, ']project:', ']' || chr(10) || 'project:') ELSE fm_yaml END AS y FROM needed""",
+    "lined": f"""SELECT *, CASE WHEN regexp_matches(y, '{INLINE}') THEN {TAGS.format('y')} WHEN regexp_matches(y, '(?m)^tags:\\s*$') THEN {ITEMS.format('y')} ELSE [] END AS old FROM lacking""",
+    "tagline": "SELECT *, 'tags: [' || array_to_string(old || list_filter(miss, lambda x: NOT list_contains(old, x)), ', ') || ']' AS line FROM lined",
+    "tagfixed": f"""SELECT path, content, CASE WHEN NOT has_fm THEN CASE WHEN len(miss) > 0 THEN '---' || chr(10) || 'tags: [' || array_to_string(miss, ', ') || ']' || chr(10) || '---' || chr(10) || content ELSE content END
+        ELSE '---' || chr(10) || {rtrim(f"CASE WHEN len(miss) = 0 THEN y WHEN regexp_matches(y, '{INLINE}') THEN regexp_replace(y, '{LINE}', line) WHEN regexp_matches(y, '(?m)^tags:" + chr(92) + "s*$') THEN regexp_replace(regexp_replace(y, '(?m)^" + chr(92) + "s+-" + chr(92) + "s+(.+)$', '', 'g'), '(?m)^tags:" + chr(92) + "s*$', line) ELSE line || chr(10) || y END")} || chr(10) || '---' || chr(10) || body END AS new
+      FROM tagline WHERE len(miss) > 0 OR bad""",
+    "unglued": r"""SELECT *, CASE WHEN regexp_matches(content, '\A---[ \t]*project:[^\n]*') THEN '---' || chr(10) || 'project: ' || trim(regexp_extract(content, '\A---[ \t]*project:([^\n]*)', 1)) || chr(10) || regexp_replace(content, '\A[^\n]*\n?', '') ELSE content END AS one FROM notes""",
+    "mended": r"""SELECT *, CASE WHEN regexp_matches(one, '(?m)^[ \t]*tags:[ \t]*\n[ \t]*([^-\[\s]|-[^ ])') THEN regexp_replace(replace(one, chr(13) || chr(10), chr(10)), '(?m)^[ \t]*tags:[ \t]*\n([ \t]*(?:[^-\[\s]|-[^ ]))', 'tags: []' || chr(10) || '\1', 'g') ELSE one END AS two FROM unglued""",
+    "fmfixed": f"""SELECT path, content, CASE WHEN path LIKE '99-Archives/projects/%' AND list_contains({listed(TYPE_TAGS)}, {PATH_PARTS}[-1]) AND NOT regexp_matches(two, '{FM}')
+        THEN '---' || chr(10) || 'tags: [layer/raw, ' || {case(PATH_PARTS + '[-1]', TYPE_TAGS)} || ', ' || {PATH_PARTS}[3] || ']' || chr(10) || '---' || chr(10) || content ELSE two END AS new FROM mended""",
+    "retagged": f"SELECT path, content, regexp_replace(content, '{LINE}', 'tags: [' || array_to_string(names, ', ') || ']') AS new FROM notes JOIN (SELECT path, list_sort(list(DISTINCT canonical)) AS names FROM td JOIN canon USING (tag) GROUP BY 1) t USING (path)",
+    "zback": r"""SELECT d.path, z.stem AS zettel FROM pdocs d JOIN notes z ON regexp_matches(z.path, '^10-Zettelkasten/[^/]*$') AND len(string_split(lower(replace(z.stem, '-', ' ')), ' ')) >= 2
+        AND len(list_filter(string_split(lower(replace(z.stem, '-', ' ')), ' '), lambda w: NOT contains(lower(d.content), w))) = 0
+        WHERE len(string_split(rtrim(d.content, chr(10)), chr(10))) + len(d.content) - len(rtrim(d.content, chr(10))) - CASE WHEN d.content LIKE '%' || chr(10) THEN 1 ELSE 0 END >= 3""",
+    "linked": f"""SELECT d.path, content, {rtrim('content')} || chr(10) || chr(10) || '## See Also' || chr(10) || '- [[' || project || '/' || project || ']]' || coalesce(z.l, '') || chr(10) AS new
+      FROM pdocs d LEFT JOIN (SELECT path, array_to_string(list_transform(list_sort(list(DISTINCT zettel)), lambda x: chr(10) || '- [[10-Zettelkasten/' || x || ']]'), '') AS l FROM zback GROUP BY 1) z USING (path)
+      WHERE len(string_split(content, chr(10))) - CASE WHEN content LIKE '%' || chr(10) THEN 1 ELSE 0 END >= 3""",
+    "bridged": f"""SELECT path, content, CASE WHEN content IS NULL THEN fresh ELSE {rtrim('content')} || chr(10) || section || chr(10) END AS new FROM (
+        SELECT '10-Zettelkasten/' || concept || '.md' AS path, section, '---' || chr(10) || 'tags: [' || replace(tags, ',', ', ') || ']' || chr(10) || '---' || chr(10) || chr(10) || '# ' || replace(concept, '-', ' ') || chr(10) || chr(10)
+          || '> Auto-generated bridge note.' || chr(10) || chr(10) || section || chr(10) AS fresh FROM (SELECT *, '## Related Projects' || chr(10) || array_to_string(list_transform(string_split(projects, ','), lambda p: '- [[' || p || '/' || p || ']]'), chr(10)) AS section FROM br)) b LEFT JOIN notes USING (path)""",
+    "shared": "SELECT DISTINCT h.project, h.concept FROM hits h JOIN br USING (concept)",
+    "near": "SELECT project, string_agg('- [[' || other || '/' || other || ']] — shared: ' || c || chr(10), '' ORDER BY other) AS n FROM (SELECT x.project, y.project AS other, string_agg(x.concept, ', ' ORDER BY x.concept) AS c FROM shared x JOIN shared y ON x.concept = y.concept AND x.project <> y.project GROUP BY 1, 2) GROUP BY 1",
+    "kept": "SELECT project, string_agg('- [[10-Zettelkasten/' || concept || ']]' || chr(10), '' ORDER BY concept) AS k FROM shared GROUP BY 1",
+    "related": f"""SELECT path, content, {rtrim('content')} || chr(10) || chr(10) || '## Related Projects' || chr(10) || coalesce(n, '') || chr(10) || '## Key Concepts' || chr(10) || k || chr(10) AS new
+      FROM notes JOIN kept ON path = project || '/' || project || '.md' LEFT JOIN near USING (project)""",
+    "grouped": f"SELECT project, CASE WHEN len({PATH_PARTS}) = 2 THEN 'Core Docs' ELSE array_to_string({PATH_PARTS}[2:-2], '/') END AS grp, string_agg('- [[' || stem_path || ']]' || chr(10), '' ORDER BY stem_path) AS l FROM pdocs GROUP BY 1, 2",
+    "hubtext": f"""SELECT project, string_agg('## ' || CASE WHEN grp = 'Core Docs' THEN grp ELSE array_to_string(list_transform(string_split(grp, '/'), lambda x: {WORD}), ' / ') END || chr(10) || l || chr(10), '' ORDER BY grp <> 'Core Docs', grp) AS t FROM grouped GROUP BY 1""",
+    "hubnew": """SELECT h.project || '/' || h.project || '.md' AS path, n.content, '---' || chr(10) || 'project: ' || h.project || chr(10) || 'type: moc' || chr(10) || 'tags: [' || h.project || ']' || chr(10) || '---' || chr(10) || chr(10)
+        || '# ' || upper(h.project[1]) || h.project[2:] || ' MOC' || chr(10) || chr(10) || t AS new FROM hubtext h LEFT JOIN notes n ON n.path = h.project || '/' || h.project || '.md'""",
+    "isec": r"""SELECT CAST(0 AS INTEGER) AS section, stem_path AS pos, '- [[' || stem_path || ']]' AS line FROM notes WHERE path LIKE '02-Areas/%'
+        UNION ALL SELECT 1, l, '- [[' || l || ']]' FROM (SELECT '99-Archives/projects/' || name || '/' || CASE WHEN hub THEN name ELSE '' END AS l FROM plinks)
+        UNION ALL SELECT 2, stem_path, '- [[' || stem_path || ']]' FROM notes WHERE path LIKE '10-Zettelkasten/%'
+        UNION ALL SELECT 3, lpad(CAST(100000000000 - incoming AS VARCHAR), 12, '0') || ' ' || path, '- [[' || regexp_replace(path, '\.[^./]*$', '') || ']] (' || incoming || ' incoming)' FROM hubs
+        UNION ALL SELECT 4, '0', '- [[TAGGING]]' UNION ALL SELECT 4, '1', '- [[Home]]'""",
+    "itext": f"""SELECT i, '## ' || {SECTION}[i + 1] || chr(10) || coalesce((SELECT string_agg(line || chr(10), '' ORDER BY pos, line) FROM isec WHERE section = i), '<!-- ' || {NONE}[i + 1] || ' -->' || chr(10)) || chr(10) AS t FROM (SELECT unnest(range(5)) AS i)""",
     "inb": r"""SELECT path, regexp_extract(content, '(?s)\A---\n(.*?)\n---\n?(.*)\z', 1) AS y FROM files WHERE (regexp_matches(path, '^00-Inbox/[^/]*$') AND (path LIKE '%.md' OR path LIKE '%.pdf')) OR (path LIKE 'temp_conversions/%' AND path LIKE '%.md')""",
     "inb2": r"SELECT path, regexp_extract(y, '(?m)^status:[ \t]*([^\n]*)$', 1) AS status, nullif(regexp_extract(y, '(?m)^category:[ \t]*([^\n]*)$', 1), '') AS cat FROM inb",
+    "said": "SELECT path, f.content, CASE (list_sum(list_transform(regexp_extract_all(hex(encode(rest)), '..'), lambda x: CAST('0x' || x AS INTEGER))) % 1000) % 4 WHEN 0 THEN 'ConceptSeed' WHEN 1 THEN 'Project' WHEN 2 THEN 'Area' WHEN 3 THEN 'Resource' ELSE 'ConceptSeed' END AS kind FROM (SELECT path, unix AS content, CASE WHEN regexp_matches(unix, '(?s)\\A---\\n(.*?)\\n---\\n?(.*)\\z') THEN regexp_extract(unix, '(?s)\\A---\\n(.*?)\\n---\\n?(.*)\\z', 2) ELSE raw END AS rest FROM (SELECT path, content AS raw, CASE WHEN content LIKE '---%' THEN replace(content, chr(13) || chr(10), chr(10)) ELSE content END AS unix FROM files)) f JOIN inb2 USING (path) WHERE NOT (status IN ('confirmed', 'needs_review', 'processed'))",
 }
 
 
@@ -114,7 +174,42 @@ EARNED = " UNION ".join(
     + [f"SELECT path, '{t}' FROM pdocs WHERE {UNTAGGED} AND (" + " OR ".join(f"contains(lower(content), '{k}')" for k in c.keywords) + ")" for c in CONCEPTS for t in c.tags if t != "evergreen"]
     + [f"SELECT path, '{t}' FROM pdocs WHERE {UNTAGGED} AND stem = '{s}'" for s, tags in STEM_TAGS.items() for t in tags]
 )
+PLAN = "SELECT path, 'write' AS action, md5(new) AS digest FROM {0} WHERE new IS DISTINCT FROM content"
+RULE = r"\A---\n(.*?\n)---\n"
 QUERIES = {
+    "tag_fix_plan": PLAN.format("tagfixed"),
+    "virtual_apply": "SELECT n.path, md5(coalesce(t.new, n.content)) AS digest FROM needed n LEFT JOIN tagfixed t USING (path)",
+    "frontmatter_fix_plan": PLAN.format("fmfixed"),
+    "tag_normalization_plan": PLAN.format("retagged"),
+    "backlink_plan": PLAN.format("linked"),
+    "bridge_note_plan": PLAN.format("bridged"),
+    "related_projects": PLAN.format("related"),
+    "moc_plan": PLAN.format("hubnew"),
+    "auto_tag_plan": f"""SELECT path, 'write' AS action, md5(CASE WHEN has_fm THEN '---' || chr(10) || fm_yaml || chr(10) || line || chr(10) || '---' || chr(10) || body ELSE '---' || chr(10) || line || chr(10) || '---' || chr(10) || chr(10) || content END) AS digest
+      FROM notes JOIN (SELECT path, 'tags: [' || string_agg(tag, ', ' ORDER BY tag) || ']' AS line FROM ({EARNED}) GROUP BY 1) e USING (path)""",
+    "index_plan": """SELECT 'index.md' AS path, 'write' AS action, md5('---' || chr(10) || 'project: root' || chr(10) || 'type: agent-index' || chr(10) || 'tags: [agent-entry, layer/raw]' || chr(10) || '---' || chr(10) || chr(10) || '# vault -- Agent Index' || chr(10) || chr(10) || string_agg(t, '' ORDER BY i)) AS digest FROM itext""",
+    "card_summaries": r"""SELECT path, md5(coalesce(s, 'none')) AS digest, CAST(coalesce(strlen(s), -1) AS BIGINT) AS n_bytes FROM (SELECT path, CASE WHEN own <> '' THEN trim(trim(own), '"') WHEN strlen(p) > 200 THEN left(p, list_filter(range(0, 201), lambda i: strlen(left(p, CAST(i AS INTEGER))) <= 200)[-1]) || '...' ELSE p END AS s
+      FROM (SELECT path, regexp_extract(fm_yaml, '(?m)^summary:[ \t]*(\S[^\n]*)$', 1) AS own, regexp_replace(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '\S') AND NOT starts_with(x, '#'))[1], '^\s+|\s+$', '', 'g') AS p FROM scan))""",
+    "inbox_plan": f"""SELECT f.path, 'move' AS action, r.new_path, md5({field_set('(' + field_set("replace(f.content, chr(13) || chr(10), chr(10))", 'status', 'processed') + ')', 'processed_at', '2024-01-31')}) AS digest FROM files f JOIN (SELECT path,
+          CASE lower(coalesce(cat, 'Resources')) WHEN 'projects' THEN '01-Projects' WHEN 'areas' THEN '02-Areas' WHEN 'archive' THEN '99-Archives' WHEN 'zettelkasten' THEN '10-Zettelkasten/fleeting'
+          WHEN 'resources' THEN '03-Resources/Reference/Articles-Papers' ELSE '99-Archives' END || '/' || {PATH_PARTS}[-1] AS new_path FROM inb2 WHERE status = 'confirmed') r USING (path)
+      UNION ALL SELECT path, 'write', NULL, md5(regexp_replace(base, '{RULE}', '---' || chr(10) || '\\1candidate_type: ' || kind || chr(10) || 'reasoning: stub' || chr(10) || '---' || chr(10), 's')) FROM (SELECT path, kind, {field_set('content', 'status', 'needs_review')} AS base FROM said)""",
+    "ai_candidates": "SELECT path, kind AS candidate_type FROM said",
+    "link_repair_plan": r"""SELECT path, 'rename' AS action, new_path, md5('') AS digest, 'link target' AS reason FROM (SELECT path, min(new_path) AS new_path FROM (
+        SELECT match AS path, left(match, length(match) - 4) || '.md' AS new_path FROM checked WHERE issue = 'extension_mismatch'
+        UNION ALL SELECT match, regexp_extract(match, '^(.*/)?[^/]*$', 1) || regexp_extract(regexp_replace(target, '\.md$', ''), '[^/]*$') || '.md' FROM checked WHERE issue = 'filename_mismatch' AND match NOT IN (SELECT dst FROM edges)) GROUP BY 1) WHERE new_path NOT IN (SELECT path FROM files)
+      UNION ALL SELECT f.path, 'write', NULL, md5(list_reduce(list_prepend(f.content, p.pairs), lambda c, x: replace(replace(c, '[[' || split_part(x, chr(1), 1) || ']]', '[[' || split_part(x, chr(1), 2) || ']]'), '[[' || split_part(x, chr(1), 1) || '|', '[[' || split_part(x, chr(1), 2) || '|'))), 'link rewritten'
+      FROM files f JOIN (SELECT source, list(DISTINCT target || chr(1) || regexp_replace(match, '\.md$', '') ORDER BY target || chr(1) || regexp_replace(match, '\.md$', '')) AS pairs FROM checked WHERE issue = 'filename_mismatch' AND match IN (SELECT dst FROM edges) GROUP BY 1) p ON f.path = p.source""",
+    "inbox_count": "SELECT count(DISTINCT string_split(path, '/')[2]) AS inbox_count FROM files WHERE path LIKE '00-Inbox/%'",
+    "folder_status": """SELECT name, n > 0 AS present, CAST(CASE WHEN n = 0 THEN -1 WHEN folder THEN n ELSE 0 END AS BIGINT) AS items FROM (
+        SELECT d AS name, true AS folder, (SELECT count(DISTINCT string_split(substr(path, length(d) + 2), '/')[1]) FROM files WHERE starts_with(path, d || '/')) AS n FROM (SELECT unnest(['00-Inbox', '02-Areas', '01-Projects/book0', 'none']) AS d)
+        UNION ALL SELECT d, false, (SELECT count(*) FROM files WHERE path = d) FROM (SELECT unnest(['01-Projects/book0/PRD.md', 'none.md']) AS d))""",
+    "book_source_plan": """SELECT min(path) AS path, 'link' AS action, '01-Projects/book0/sources/' || regexp_extract(path, '[^/]*$') AS new_path FROM files
+      WHERE path LIKE '%.md' AND path NOT LIKE '01-Projects/book0/%' AND starts_with(content, '---' || chr(10)) AND contains(string_split(substr(content, 5), chr(10) || '---')[1], 'layer/raw') GROUP BY 3""",
+    "book_export_plan": "SELECT path, 'copy' AS action, '/out/' || substr(path, 13) AS new_path FROM files WHERE path LIKE '01-Projects/book0/%' AND NOT regexp_matches(substr(path, 19), '(^|/)(\\.|sources(/|$))')",
+    "book_init_plan": """SELECT '01-Projects/book7/' || f AS path, 'write' AS action, md5(t) AS digest FROM (SELECT 'PRD.md' AS f, array_to_string(['---', 'title: book7', 'genre: essay', 'language: en', 'target_audience: ', 'word_count_goal: 0', '---', '', '# book7', '', '## Overview', '', '## Target Audience', '', '## Goals', '', '## Word Count Target', ''], chr(10)) AS t
+      UNION ALL SELECT 'STYLE.md', array_to_string(['---', 'type: style-guide', '---', '', '# Style Guide', '', '## Voice', '', '## Tone', '', '## Forbidden Patterns', ''], chr(10)))
+      UNION ALL SELECT '01-Projects/book0/' || f, 'write', md5('') FROM (SELECT unnest(['PRD.md', 'STYLE.md']) AS f) WHERE '01-Projects/book0/' || f NOT IN (SELECT path FROM files)""",
     "vault_notes": "SELECT path, stem, has_fm, CAST(strlen(content) AS BIGINT) AS n_bytes, md5(content) AS digest FROM notes",
     "wikilinks": "SELECT * FROM links",
     "raw_targets": "SELECT raw_target AS target, count(*) AS n FROM links GROUP BY 1",

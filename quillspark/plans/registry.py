@@ -240,7 +240,7 @@ def recent_cards(v):
 
 
 def card_summaries(v):
-    return dashboard.scanned(v.files, CONFIG).select("path", F.md5(F.coalesce("summary", F.lit("none"))).alias("digest"), F.octet_length("summary").cast("long").alias("n_bytes"))
+    return dashboard.scanned(v.files, CONFIG).select("path", F.md5(F.coalesce("summary", F.lit("none"))).alias("digest"), F.coalesce(F.octet_length("summary"), F.lit(-1)).cast("long").alias("n_bytes"))
 
 
 def moc_groups(v):
@@ -318,9 +318,33 @@ def sync_round(v):
 
 
 def virtual_apply(v):
-    """The tag audit after its own fixes: what is left when a plan is applied in a frame."""
+    """The checked documents after the fixes of their tags, applied in a frame."""
     after = edits.applied(v.files.select("path", "content", "modified_on"), audit.tag_fix_plan(v.notes))
-    return audit.check_tags(graph.notes(after))
+    return audit.required(graph.notes(after)).select("path", F.md5("content").alias("digest"))
+
+
+def orphan_link_plan(v):
+    return ai.orphan_link_plan(v.notes, v.edges(True), CONFIG).select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def inbox_count(v):
+    return inbox.inbox_count(v.files, CONFIG)
+
+
+def folder_status(v):
+    return hubs.folder_status(v.files, ["00-Inbox", "02-Areas", "01-Projects/book0", "none"], ["01-Projects/book0/PRD.md", "none.md"]).withColumn("items", F.coalesce("items", F.lit(-1).cast("long")))
+
+
+def book_source_plan(v):
+    return hubs.book_source_plan(v.files.withColumn("content", F.replace("content", F.lit("layer/raw"), F.lit("layer/raw, book/book0"))), "book0").select("path", "action", "new_path")
+
+
+def book_export_plan(v):
+    return hubs.book_export_plan(v.files, "book0", "/out").select("path", "action", "new_path")
+
+
+def book_init_plan(v):
+    return hubs.book_init_plan(v.files, "book7", "essay").unionByName(hubs.book_init_plan(v.files, "book0")).select("path", "action", F.md5("new_content").alias("digest"))
 
 
 NAMES = [
@@ -329,6 +353,7 @@ NAMES = [
     check_frontmatter, frontmatter_file_counts, frontmatter_fix_plan, project_docs, concept_hits, project_adjacency, related_projects, bridge_note_plan, backlinks, backlink_plan,
     auto_tags, auto_tag_plan, zones, zone_counts, note_cards, find_related, search_cards, recent_cards, card_summaries, moc_groups, moc_plan, moc_files, project_links, index_sections,
     index_plan, inbox_routing, inbox_plan, book_status, book_sources, note_count, commit_summary, page_link_graph, ai_relationships, ai_candidates, sync_round, virtual_apply,
+    orphan_link_plan, inbox_count, folder_status, book_source_plan, book_export_plan, book_init_plan,
 ]
 
 

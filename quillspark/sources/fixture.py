@@ -14,10 +14,10 @@ CONCEPTS = [
 
 #: {S}: the string type; {day}: a date so many days before AS_OF.
 VAULT = """
-SELECT CASE doc_id % 6 WHEN 0 THEN '00-Inbox' WHEN 1 THEN '02-Areas/' || lang WHEN 2 THEN '03-Resources/Technical'
+SELECT CASE doc_id % 6 WHEN 0 THEN '00-Inbox' WHEN 1 THEN CASE WHEN doc_id % 30 = 13 THEN '02-Areas/.obsidian-x' ELSE '02-Areas/' || lang END WHEN 2 THEN '03-Resources/Technical'
     WHEN 3 THEN '10-Zettelkasten' WHEN 4 THEN '99-Archives/projects/' || source ELSE source || CASE WHEN doc_id % 7 = 0 THEN '/deep' ELSE '' END END
     || '/note-' || CAST(doc_id AS {S}) || '.md' AS path,
-  CASE WHEN doc_id % 10 = 9 THEN '' ELSE '---' || chr(10) || 'tags: [' || source || ', lang/' || lang || CASE WHEN doc_id % 3 = 0 THEN ', layer/raw' ELSE '' END
+  CASE WHEN doc_id % 10 = 9 THEN '' WHEN doc_id % 10 = 8 THEN '---' || chr(10) || 'tags:' || chr(10) || '  - ' || source || chr(10) || '  - layer/wiki' || chr(10) || 'summary: "About ' || source || '"' || chr(10) || '---' || chr(10) ELSE '---' || chr(10) || 'tags: [' || source || ', lang/' || lang || CASE WHEN doc_id % 3 = 0 THEN ', layer/raw' ELSE '' END
     || CASE WHEN doc_id % 9 <> 4 THEN ', topic-' || source ELSE '' END || CASE WHEN doc_id % 8 = 1 THEN ', ' || upper(source) ELSE '' END || ']' || chr(10) || CASE doc_id % 4 WHEN 1 THEN 'status: confirmed' || chr(10) || 'category: '
     || CASE doc_id % 5 WHEN 0 THEN 'projects' WHEN 1 THEN 'Zettelkasten' WHEN 2 THEN 'Resources' WHEN 3 THEN 'Odd' ELSE 'Areas' END || chr(10)
     WHEN 2 THEN 'status: needs_review' || chr(10) ELSE '' END || '---' || chr(10) END

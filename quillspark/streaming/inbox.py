@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,29 +15,65 @@ from quillspark.operators import graph as G
 from quillspark.operators import hubs as H
 from quillspark.operators import inbox as I
 
-LANDED = "path string, content string, modified_on date"
+LANDED = "path string, content string, modified_on timestamp, version long"
+SEEN = "path string, modified_on timestamp, version long"
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
-    """Inbox versions landed as Parquet, append only: an edited note is a new row, so no change is missed."""
+    """Inbox versions landed as Parquet, append only: an edited note is a new row of a later time or, within one time, of a higher ``version``."""
     return spark.readStream.schema(LANDED).parquet(folder)
 
 
+def newest(versions: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """The last version of every path, by time, version and content; without those that are older than what ``seen`` has."""
+    last = versions.groupBy("path").agg(F.max(F.struct("modified_on", "version", "content")).alias("v")).select("path", "v.*")
+    if seen is None:
+        return last
+    had = seen.groupBy("path").agg(F.max(F.struct("modified_on", "version")).alias("had"))
+    return last.join(had, "path", "left").filter(F.col("had").isNull() | (F.struct("modified_on", "version") >= F.col("had"))).drop("had")
+
+
 def watch(stream: DataFrame, apply: Callable[[DataFrame], None], as_of: str, checkpoint: str, analyse=None, config: VaultConfig | None = None, once: bool = True):
-    """Plan each micro-batch's newest versions and hand the edits to ``apply``; a batch that is redone plans the same again."""
+    """Plan each micro-batch's newest versions and hand the edits to ``apply``; a batch that is redone plans the same again.
+
+    Times of planned versions are kept beside the checkpoint, a folder a batch, so
+    that an older version which comes in a later batch is left alone.
+    """
+    spark = stream.sparkSession
 
-    def one(batch: DataFrame, _: int) -> None:
-        newest = batch.groupBy("path").agg(F.max_by(F.struct("content", "modified_on"), "modified_on").alias("v")).select("path", "v.content", "v.modified_on")
-        apply(I.process(newest, as_of, analyse, config))
+    def one(batch: DataFrame, n: int) -> None:
+        folder = f"{checkpoint}-seen"
+        spark.createDataFrame([], SEEN).write.mode("overwrite").parquet(f"{folder}/batch=-1")
+        before = spark.read.schema(SEEN + ", batch long").parquet(folder).filter(F.col("batch") < n).drop("batch")
+        last = newest(batch, before)
+        last.select("path", "modified_on", "version").write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        apply(I.process(last.withColumn("modified_on", F.to_date("modified_on")), as_of, analyse, config))
 
     out = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime="5 seconds")).start()
 
 
-def sync(files: DataFrame, config: VaultConfig | None = None) -> tuple[DataFrame, list[str]]:
+def rounds(load: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame], None], config: VaultConfig | None = None, times: int | None = None, wait: Callable[[float], None] = time.sleep, steps: list[str] | None = None) -> list[list[str]]:
+    """The sync loop: load, plan a round, hand ``apply`` the files as they are and would be, wait the interval; ``times`` rounds, or without end.
+
+    Returns the failed steps of every round.
+    """
+    config, failed = config or VaultConfig(), []
+    while times is None or len(failed) < times:
+        if failed:
+            wait(config.interval_seconds())
+        files = load()
+        after, bad = sync(files, config, steps)
+        apply(files, after)
+        failed.append(bad)
+    return failed
+
+
+def sync(files: DataFrame, config: VaultConfig | None = None, only: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """A sync round without disk: hubs, home, index, then bridge notes, backlinks, related projects, auto tags, each planned on what the ones before wrote.
 
-    Returns the files as they would be and the steps that failed; a failing step does not stop the next.
+    ``only`` names the steps to take (all, if not given). Returns the files as they
+    would be and the steps that failed; a failing step does not stop the next.
     """
     config = config or VaultConfig()
 
@@ -55,8 +92,10 @@ def sync(files: DataFrame, config: VaultConfig | None = None) -> tuple[DataFrame
     from quillspark.operators.components import written
 
     for name, step in steps.items():
+        if only is not None and name not in only:
+            continue
         try:
-            files = written(E.applied(files, step(G.notes(files, config.excluded_dirs))), "sync")
+            files = written(E.applied(files, step(G.notes(files, config.graph_excluded()))), "sync")
         except Exception as e:
             failed.append(f"{name}: {e}")
     return files, failed

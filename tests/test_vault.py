@@ -45,6 +45,8 @@ def test_hand_built_graph(spark, files):
 def test_exclusion_and_orphan_filters(files):
     f = files({"_template/a.md": "", "x/seeded/b.md": "", "01-Projects/c.md": "", "ok/_n.md": "---\na: 1\n---\nhello", ".obsidian-x/d.md": "", "z.txt": ""})
     n = graph.notes(f)
+    assert rows(n.select("path")) == [(".obsidian-x/d.md",), ("ok/_n.md",)]
+    n = graph.notes(f, VaultConfig(tool_dirs=[".obsidian-x"]).graph_excluded())
     assert rows(n.select("path")) == [("ok/_n.md",)]
     e = graph.edges(n)
     assert graph.orphans(n, e, least_bytes=6).count() == 0 and graph.orphans(n, e, least_bytes=5).count() == 1
@@ -215,16 +217,78 @@ def test_stream_equals_batch(spark, files, tmp_path):
     from quillspark.streaming import inbox as S
 
     f = files({"00-Inbox/a.md": "---\nstatus: confirmed\n---\nx", "00-Inbox/c.md": "new"})
-    f.select("path", "content", "modified_on").write.parquet(f"{tmp_path}/in")
+    f.select("path", "content", F.col("modified_on").cast("timestamp").alias("modified_on"), F.lit(0).cast("long").alias("version")).write.parquet(f"{tmp_path}/in")
     seen = []
-    S.watch(S.landed(spark, f"{tmp_path}/in"), lambda plan: seen.extend(rows(plan)), "2024-01-31", f"{tmp_path}/ck").awaitTermination()
+    watch = lambda: S.watch(S.landed(spark, f"{tmp_path}/in"), lambda plan: seen.extend(rows(plan)), "2024-01-31", f"{tmp_path}/ck").awaitTermination()
+    watch()
     assert seen == rows(inbox.process(f, "2024-01-31"))
+    # Two versions of one time, and one that is older than what was planned.
+    spark.createDataFrame(
+        [("00-Inbox/c.md", "second", "2024-02-01", 1), ("00-Inbox/c.md", "third", "2024-02-01", 2), ("00-Inbox/a.md", "late", "2023-01-01", 0)], "path string, content string, t string, version long"
+    ).select("path", "content", F.to_timestamp("t").alias("modified_on"), "version").write.mode("append").parquet(f"{tmp_path}/in")
+    seen.clear()
+    watch()
+    assert [r[0] for r in seen] == ["00-Inbox/c.md"] and seen[0][3].endswith("---\nthird")
+
+
+def test_sync_loop_and_step_flags(files):
+    from quillspark.streaming import inbox as S
+
+    f, applied, waits = files({"p/a.md": "text\n\nmore\n", "q/b.md": "x"}), [], []
+    failed = S.rounds(lambda: f, lambda before, after: applied.append(after.count()), times=2, wait=waits.append, steps=["hubs"])
+    assert failed == [[], []] and applied == [4, 4] and waits == [300]
+
+
+def test_edits_that_contradict_each_other_fail(files, spark):
+    f = files({"a.md": "a", "b.md": "b"})
+    plan = lambda *rows: spark.createDataFrame(rows, "path string, action string, new_path string, new_content string, reason string")
+    with pytest.raises(Exception, match="edits that differ for a.md"):
+        edits.applied(f, plan(("a.md", "write", None, "AAA", ""), ("a.md", "write", None, "zzz", ""))).collect()
+    with pytest.raises(Exception, match="two files for c.md"):
+        edits.applied(f, plan(("a.md", "rename", "c.md", None, ""), ("b.md", "rename", "c.md", None, ""))).collect()
+    with pytest.raises(Exception, match="there is a file b.md"):
+        edits.applied(f, plan(("a.md", "rename", "b.md", None, ""))).collect()
+    swapped = edits.applied(f, plan(("a.md", "rename", "b.md", None, ""), ("b.md", "rename", "a.md", None, ""), ("a.md", "copy", "z.md", None, "")))
+    assert rows(swapped.select("path", "content")) == [("a.md", "b"), ("b.md", "a")]
+
+
+def test_tags_of_cards_are_those_of_yaml(files):
+    f = files({
+        "a.md": "---\ntags:\n  - layer/wiki\n  - x\nother:\n  - y\n---\nt", "b.md": "---\ntags: [p, q]\n---\nt", "c.md": "---\ntags: [p, 7]\n---\nt", "d.md": "---\ntags: [p]bad: x\n---\nt", "e.md": "no",
+    })
+    got = {r.path: (r.tags, r.layer) for r in dashboard.scanned(f).collect()}
+    assert got == {"a.md": (["layer/wiki", "x"], "layer/wiki"), "b.md": (["p", "q"], None), "c.md": (["p"], None), "d.md": ([], None), "e.md": ([], None)}
+
+
+def test_orphans_are_linked_to_hubs(files):
+    f = files({"p/p.md": "# P", "lone.md": "# One\n\nfirst\nsecond\n\n", "a.md": "[[p/p]]", "99-Archives/99-Archives.md": "no hub"})
+    n = graph.notes(f)
+    plan = ai.orphan_link_plan(n, graph.edges(n), client=lambda p: '{"suggested_links": ["p/p", "%s"]}' % ("first second" in p and "HUB p/p" in p and "HUB 99" not in p))
+    assert {r.path: r.new_content for r in plan.collect()}["lone.md"] == "# One\n\nfirst\nsecond\n\n## See Also\n- [[p/p]]\n- [[True]]\n"
+    assert ai.orphan_link_plan(n, graph.edges(n), client=lambda p: "none").count() == 0
+    assert ai.orphan_link_plan(graph.notes(files({"lone.md": "x"})), graph.edges(n)).count() == 0
+    assert {r.path: r.answer for r in ai.summarize(n, 50, str.upper).collect()}["p/p.md"].endswith("# P")
+    assert ai.ping(lambda p: "OK")["ok"] and ai.ping(lambda p: 1 / 0)["answer"].startswith("ZeroDivisionError")
+
+
+def test_tag_normalization_with_a_client(files):
+    n = graph.notes(files({"a.md": "---\ntags: [Py, x]\n---\n", "b.md": "---\ntags: [py]\n---\n", "c.md": "---\ntags: [python, x]\n---\n", "d.md": "---\ntags: [python]\n---\n", "e.md": "---\ntags: [x]\n---\n"}))
+    plan = {r.path: r.new_content for r in ai.normalized_tags(n, lambda p: '[{"canonical": "python", "aliases": ["py"]}]').collect()}
+    assert plan == {"a.md": "---\ntags: [python, x]\n---\n", "b.md": "---\ntags: [python]\n---\n"}
+    assert {r.path for r in ai.normalized_tags(n).collect()} == {"a.md"}
 
 
 def test_book_projects(files):
     f = files({"01-Projects/b/PRD.md": "---\ngenre: essay\n---\n", "01-Projects/b/STYLE.md": "", "01-Projects/b/drafts/1.md": "", "01-Projects/c/PRD.md": "", "n.md": "---\ntags: [book/b, status/draft]\n---\n"})
     assert rows(hubs.book_status(f)) == [("b", "essay", True, False, False, False)]
     assert rows(hubs.book_sources(f, "book/b")) == [("n.md",)] and hubs.book_sources(f, "book/other").count() == 0
+    assert rows(hubs.book_source_plan(f, "b").select("path", "action", "new_path")) == [("n.md", "link", "01-Projects/b/sources/n.md")]
+    f = f.union(files({"01-Projects/b/sources/n.md": "", "01-Projects/b/.x/y.md": "", "01-Projects/b/a/sources/z.md": ""}))
+    assert hubs.book_source_plan(f, "b").count() == 0
+    assert rows(hubs.book_export_plan(f, "b", "/o").select("new_path")) == [("/o/b/PRD.md",), ("/o/b/STYLE.md",), ("/o/b/drafts/1.md",)]
+    assert rows(hubs.book_init_plan(f, "c").select("path")) == [("01-Projects/c/STYLE.md",)]
+    assert rows(hubs.folder_status(f, ["01-Projects/b", "no"], ["n.md", "no.md"])) == [("01-Projects/b", True, 6), ("n.md", True, 0), ("no", False, None), ("no.md", False, None)]
+    assert inbox.inbox_count(files({"00-Inbox/a.md": "", "00-Inbox/d/x.md": "", "00-Inbox/d/y.md": "", "b.md": ""})).first()[0] == 2
 
 
 def test_model_hooks(spark, files):
@@ -269,7 +333,7 @@ def test_queries_equal_their_sql(spark):
 
     queries, sql = registry.queries(), registry.oracle_sql()
     assert set(sql) <= set(queries) and set(queries) <= set(e.queries())
-    for name in ("graph_health", "check_links", "tag_clusters", "tag_jaccard", "check_tags", "note_cards", "index_sections"):
+    for name in ("graph_health", "check_links", "tag_clusters", "tag_jaccard", "check_tags", "note_cards", "index_sections", "tag_fix_plan", "frontmatter_fix_plan", "moc_plan", "inbox_plan", "link_repair_plan"):
         got = queries[name](spark, sf).toPandas()
         want = c.sql(sql[name]).df()[list(got.columns)]
         text = lambda d: sorted(map(str, d.astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
