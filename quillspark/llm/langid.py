@@ -8,12 +8,10 @@ documents of several languages, and the gradient is that of the conditional
 likelihood, by forward-backward.
 
 Training takes a bounded sample: at most ``per_language`` labelled documents of
-each of the ``most_languages`` commonest languages, those first by a hash of
-text and id; and of these texts, cut into runs of 12 words, random runs of at
-most ``most_words`` words in all, the same number a language, so with 64
-languages 3,750 words each.  Languages beyond the commonest ones are never
-predicted.  Prediction covers every word of
-every text: forward-backward marginals, summed over words with letters; the
+every language, those first by a hash of text and id, of a very long one the first
+``most_chars`` characters; and of these texts, cut into runs of 12 words, random
+runs of at most ``most_words`` words a language.
+Every labelled language is learned.  Prediction covers every word of every text: forward-backward marginals, summed over words with letters; the
 language of largest mean marginal is the answer and that mean its score.
 
 Whether a text is of a learned language at all is another question, which
@@ -33,10 +31,10 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import batch, fold_words, mix64, slices, strings, table
+from quillspark.llm.common import batch, fold_words, mix64, slices, strings, table, trim_memory
 
 UND = "und"
 BITS = 18
@@ -91,14 +89,14 @@ def marginals(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> tuple[np
     return post / post.sum(2, keepdims=True), fwd, bwd
 
 
-def learn(samples: list[tuple[str, bytes]], languages: list[str], bits: int = BITS, run: int = 24, most_words: int = 240_000, epochs: int = 3, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions from labelled texts by AdaGrad on the conditional likelihood."""
+def learn(samples: list[tuple[str, bytes]], languages: list[str], bits: int = BITS, run: int = 24, most_words: int = 60_000, epochs: int = 3, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions from labelled texts, at most ``most_words`` words a language, by AdaGrad on the conditional likelihood."""
     k, rng = len(languages), np.random.default_rng(seed)
     runs: dict[int, list[list[bytes]]] = {i: [] for i in range(k)}
     for lang, text in samples:
         w = fold_words(text)
         runs[languages.index(lang)] += [w[i : i + run // 2] for i in range(0, len(w), run // 2)]
-    quota = max(1, most_words // (run // 2) // max(1, k))
+    quota = max(1, most_words // (run // 2))
     halves = []
     for i, r in runs.items():
         picked = rng.permutation(len(r))[:quota]
@@ -154,23 +152,19 @@ def learn(samples: list[tuple[str, bytes]], languages: list[str], bits: int = BI
     return weights, trans
 
 
-def labelled(docs: DataFrame, per_language: int = 250, most_languages: int = 64) -> list[tuple[str, bytes]]:
-    """At most ``per_language`` texts of each of the commonest languages, first by a hash of id and text."""
-    some = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("n"))
-    counts = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    out: list[tuple[str, bytes]] = []
-    if not counts:
-        return out
-    # About three times as many as needed by a threshold on the hash, so that nothing large is sorted or sent.
-    share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 3.0 * per_language / r["count"])))])
-    near = some.filter(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).limit(5 * per_language * len(counts))
-    by: dict[str, list] = {r.lang: [] for r in counts}
-    for x in near.toLocalIterator():
-        if x.lang in by:
-            by[x.lang].append((x.h, x.text))
-    for lang, rows in by.items():
-        out += [(lang, t.encode("utf-8", "surrogatepass")) for _, t in sorted(rows)[:per_language]]
-    return out
+def labelled(docs: DataFrame, per_language: int = 250, most_chars: int = 200_000) -> list[tuple[str, bytes]]:
+    """At most ``per_language`` texts of every language, first by a hash of id and text, then by text; of each its first ``most_chars`` characters.
+
+    Labels are names of languages, some hundreds at most: their counts are broadcast, and each has a megabyte of weights.
+    """
+    some = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = some.groupBy("lang").count()
+    # About three times as many as needed by a threshold on the hash, so that little is sorted.
+    place = F.pmod("h", F.lit(1_000_003))
+    near = some.join(F.broadcast(counts), "lang").filter(place * F.col("count") < F.lit(3 * per_language * 1_000_003)).select("lang", F.left("text", F.lit(most_chars)).alias("text"), "h")
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    first = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    return [(r.lang, r.text.encode("utf-8", "surrogatepass")) for r in first.orderBy("lang", "n").select("lang", "text").toLocalIterator()]
 
 
 def fours(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -283,6 +277,7 @@ def identify(docs: DataFrame, model: Model, fits: bool = False) -> DataFrame:
                 got = m.judged(strings(b["text"]))
                 told = [pa.array([m.fits(h, n) for *_, h, n in got], pa.bool_())] if fits else []
                 yield pa.RecordBatch.from_arrays([*(b[f.name] for f in kept), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), *told], names=schema.names)
+        trim_memory()  # workers live on from stage to stage
 
     return docs.select(*(docs[f"`{f.name}`"] for f in kept)).mapInArrow(run, schema)
 

@@ -51,3 +51,13 @@ def test_edge_cases(spark, tmp_path):
     none = as_dict(g.op4_language(spark, saved(docs.withColumn("lang", F.lit(None).cast("string")), tmp_path / "n")))
     assert {r["lang_pred"] for r in none.values()} == {"und"}
     assert g.op4_language(spark, saved(docs.limit(0), tmp_path / "e")).count() == 0
+
+
+def test_every_language_is_learned_from_an_ordered_sample(spark):
+    rows = [(i, f"w{i % 70}a w{i % 70}b w{i % 70}c " * 5 + f"n{i}", f"l{i % 70:02d}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = g.labelled(df, 4), g.labelled(df.repartition(7), 4)
+    assert one == two and len(one) == 280 and len({x for x, _ in one}) == 70
+    model = g.train(df, 4)
+    assert len(model.languages) == 70 and model.predict([b"w69a w69b w69c w69a w69b"])[0][0] == "l69"
+    assert max(len(t) for _, t in g.labelled(spark.createDataFrame([(1, "x " * 300_000, "en")], "doc_id long, text string, lang string"))) == 200_000
