@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in tests, a temporary one is made and set.
+    Where a local session names none, as in tests, a temporary one is made and
+    set; on a cluster its executors could not see that, so it has to be named.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        import re
         import tempfile
 
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+
         folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
