@@ -106,13 +106,14 @@ def choose(n: int, df: np.ndarray, tenths: int) -> tuple[int, int]:
 
 
 def sends(blocks: DataFrame, size: int, parts: int) -> DataFrame:
-    """Distinct shingles of each block; the range is by the upper half of the hash, so the lower one is sent."""
+    """Distinct shingles of each block; the range is by the upper half of the hash, so where it is the last one, the lower half is sent."""
+    half, parts = parts <= packed.FAN, min(parts, packed.FAN)
 
     def run(batches):
         cut = Shingler(size)
         for block, texts in packed.each(batches, "block", "texts"):
             keys, n = np.unique(np.concatenate([cut(t) for t in texts]), return_counts=True)
-            yield packed.sent(block, keys, n, parts, half=True, n_kind="u1")
+            yield packed.sent(block, keys, n, parts, half=half, n_kind="u1")
 
     return blocks.select("block", "texts").mapInArrow(run, packed.SENT)
 
@@ -260,7 +261,7 @@ def in_families(deltas: DataFrame, comps: DataFrame, tenths: int, most: int = 10
     """
     rows = labelled(deltas, comps)
     groups = rows.groupBy("leader").agg(F.count("*").alias("m"), F.min("c").alias("c_min"), F.max("c").alias("c_max")).filter("c_min < c_max")
-    rows = rows.join(groups.select("leader", "m"), "leader")
+    rows = rows.join(written(groups.select("leader", "m"), "groups"), "leader")  # written, so that the join can split a large family's partition
     blocks = F.ceil(F.col("m") / most).cast("int")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("leader", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "rid", "n", "common", "c", "missing", "extra")
@@ -304,7 +305,7 @@ def candidates(tokens: DataFrame, comps: DataFrame | None, tenths: int, families
     else:
         rows = rows.join(families.select("rid", "leader"), "rid", "left").withColumn("f", F.coalesce("leader", "rid"))
     groups = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.min("f").alias("f_min"), F.max("f").alias("f_max")).filter("c_min < c_max AND f_min < f_max")
-    rows = rows.join(groups.select("token", "m"), "token")
+    rows = rows.join(written(groups.select("token", "m"), "groups"), "token")  # written, so that the join can split a common token's partition
     blocks = F.ceil(F.col("m") / most).cast("int")
     rows = rows.withColumn("i", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("token", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "rid", "n", "s", "l", "c", "f")
@@ -354,7 +355,11 @@ def jaccard_groups(docs: DataFrame, size: int = 3, tenths: int = 9, block_bytes:
     reps = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text", F.lit(0).alias("extra"))
     blocks = packed.blocks(reps, block_bytes)
     total = blocks.select(F.expr("aggregate(texts, 0L, (a, x) -> a + octet_length(x))").alias("n")).agg(F.sum("n")).first()[0] or 0
-    got = packed.answers(sends(blocks, size, packed.parts_for(total)), lambda sums: np.minimum(sums, 255), "u1", half=True, n_kind="u1")
+    parts, most = packed.parts_for(total), lambda sums: np.minimum(sums, 255)
+    if parts <= packed.FAN:
+        got = packed.answers(sends(blocks, size, parts), most, "u1", half=True, n_kind="u1")
+    else:
+        got = packed.merged_answers(sends(blocks, size, parts), most, "u1", parts, -(-int(total) // block_bytes), n_kind="u1")
     kept = written(prefixes(blocks, got, size, tenths), "prefixes")
     sets, tokens, mins = (kept.filter(F.col("kind") == k) for k in ("set", "token", "min"))
     family = deltas(leaders(mins), sets, tenths)

@@ -26,6 +26,10 @@ BLOCKS = "block string, ids array<long>, texts array<binary>, extra array<long>"
 BLOCKS_ARROW = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())), ("extra", pa.list_(pa.int64()))])
 
 
+#: Ranges that a block sends to at most; finer ones are reached through merges of as many blocks.
+FAN = 512
+
+
 def blocks(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
     """``docs(id long, text, extra long)`` as rows of about ``block_bytes`` of text, written to the shared folder."""
 
@@ -102,6 +106,57 @@ def answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], kind: st
     return rows.groupBy("block").agg(F.collect_list(F.struct("part", "n")).alias("got"))
 
 
+def levels(parts: int, blocks: int, fan: int = FAN) -> list[tuple[int, int, int]]:
+    """Merges on the way to ``parts`` ranges: groups of blocks, ranges that they come from, and ranges that they go to.
+
+    A level sends at most a row for each of its groups and ranges, ``fan`` a block.
+    """
+    out, at = [], min(parts, fan)
+    while at < parts:
+        blocks, to = max(1, -(-blocks // fan)), at * min(fan, -(-parts // at))
+        out.append((blocks, at, to))
+        at = to
+    return out
+
+
+def merged_answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], kind: str, parts: int, blocks: int, n_kind: str = "<u4", fan: int = FAN, way: list | None = None) -> DataFrame:
+    """``answers`` for any number of ranges and blocks, where whole keys were sent to at most ``fan`` coarse ranges.
+
+    What ``fan`` blocks send to a coarse range is merged, sent on to the finer
+    ranges within it as one block's, and so forth; answers come back the same way.
+    So rows grow with blocks and levels, not with blocks times ranges.  A merge
+    holds what ``fan`` blocks have in one range, about a block's keys.
+    """
+    way = levels(parts, blocks, fan) if way is None else way
+    if not way:
+        return answers(sends, give, kind, n_kind=n_kind)
+    groups, coarse, to = way[0]
+    fine = to // coarse
+    sends = written(sends.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))), "sent")
+
+    def merge(t: pa.Table) -> pa.Table:
+        distinct, sums, _, _ = totals(t, False, n_kind)
+        c = int(t["part"][0].as_py())
+        rest = part_of(distinct, coarse * fine) - np.uint64(c * fine)  # place within the coarse range
+        edges = np.searchsorted(rest, np.arange(fine + 1))
+        used = [i for i in range(fine) if edges[i] < edges[i + 1]]
+        cut = lambda x, k: [x[edges[i] : edges[i + 1]].astype(k).tobytes() for i in used]
+        return pa.Table.from_pydict({"block": [f"{t['g'][0].as_py()} {c}"] * len(used), "part": [c * fine + i for i in used], "keys": cut(distinct, "<u8"), "n": cut(np.minimum(sums, np.iinfo(n_kind).max), n_kind)}, schema=SENT_ARROW)
+
+    got = merged_answers(sends.groupBy("g", "part").applyInArrow(merge, SENT), give, kind, parts, groups, n_kind, fan, way[1:])
+    got = got.select(F.split("block", " ")[0].cast("long").alias("g"), F.split("block", " ")[1].cast("int").alias("part"), F.transform("got", lambda x: x["part"]).alias("at"), F.transform("got", lambda x: x["n"]).alias("n"))
+
+    def back(t: pa.Table, found: pa.Table) -> pa.Table:
+        _, _, at, sizes = totals(t, False, n_kind)
+        order = np.argsort(np.array(found["at"][0].as_py())) if found.num_rows else []
+        data = found["n"][0].as_py() if found.num_rows else []
+        out, ends = np.frombuffer(b"".join(data[i] for i in order), kind)[at], np.cumsum(sizes)
+        return pa.table({"block": t["block"], "part": t["part"], "n": pa.array([out[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())})
+
+    rows = sends.groupBy("g", "part").cogroup(got.groupBy("g", "part")).applyInArrow(back, "block string, part int, n binary")
+    return rows.groupBy("block").agg(F.collect_list(F.struct("part", "n")).alias("got"))
+
+
 def received(got: list[dict] | None, kind: str) -> np.ndarray:
     """A block's answers in the order of its sorted keys."""
     return np.frombuffer(b"".join(x["n"] for x in sorted(got or [], key=lambda x: x["part"])), kind)

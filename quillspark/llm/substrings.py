@@ -167,17 +167,17 @@ def narrowed(blocks: DataFrame, keys: DataFrame, length: int, prefix: int) -> Da
     return written(joined.mapInArrow(run, "block string, texts array<binary>, keys array<long>"), "narrowed")
 
 
-def repeated_spans(blocks: DataFrame, parts: int, length: int, prefix: int) -> DataFrame:
-    """``(sig, spans array<int>, kept_sha256)`` of each text of narrowed blocks: repeated runs as start, end, ..."""
+def repeated_spans(blocks: DataFrame, parts: int, number: int, length: int, prefix: int) -> DataFrame:
+    """``(sig, spans array<int>, kept_sha256)`` of each text of narrowed blocks, about ``number`` of them: repeated runs as start, end, ..."""
 
     def send(batches):
         hasher = Hasher()
         for block, texts, keys in packed.each(batches, "block", "texts", "keys"):
             w = Windows(texts, length, prefix, hasher)
             got, n = np.unique(hasher.of(w.sums, w.matched(keys.view(np.uint64)), length), return_counts=True)
-            yield packed.sent(block, got, n, parts, n_kind="u1")
+            yield packed.sent(block, got, n, min(parts, packed.FAN), n_kind="u1")
 
-    got = packed.answers(blocks.mapInArrow(send, packed.SENT), lambda sums: sums > 1, "u1", n_kind="u1")
+    got = packed.merged_answers(blocks.mapInArrow(send, packed.SENT), lambda sums: sums > 1, "u1", parts, number, n_kind="u1")
     schema = pa.schema([("sig", pa.string()), ("spans", pa.list_(pa.int32())), ("kept_sha256", pa.string())])
 
     def cut(batches):
@@ -217,7 +217,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
         new = family.add(anchors.filter(F.pmod(F.xxhash64("block"), F.lit(batches)) == i))
         found = new if found is None else found.union(new)
     keys = anchors.select("block", "key").join(found.distinct(), "key", "left_semi").groupBy("block").agg(F.collect_list("key").alias("keys"))
-    cut = repeated_spans(narrowed(blocks, keys, length, prefix), packed.parts_for(total), length, prefix)
+    cut = repeated_spans(narrowed(blocks, keys, length, prefix), packed.parts_for(total), -(-int(total) // block_bytes), length, prefix)
     # Written, so that the join below can split the partition of a very common text.
     done = written(classes.join(cut.dropDuplicates(["sig"]), "sig", "left").select("sig", "m", "spans", "kept_sha256"), "spans")
     out = signs.join(done, "sig", "left")
