@@ -194,6 +194,7 @@ def leaders(mins: DataFrame) -> DataFrame:
     """``(x, y)``: for each document the most central of the leaders of its min-hash groups, the leader first; none for leaders themselves."""
     lead = F.struct((F.col("s") / F.col("n")).alias("share"), (-F.col("rid")).alias("minus"))
     groups = mins.groupBy("l", "token").agg(F.max(lead).alias("top"), F.count("*").alias("m")).filter("m > 1")
+    groups = written(groups, "groups")  # so that the join can split a large group's partition
     best = mins.join(groups, ["l", "token"]).groupBy("rid").agg(F.max("top").alias("top"))
     return best.select((-F.col("top.minus")).alias("x"), F.col("rid").alias("y")).filter("x <> y")
 
