@@ -2,7 +2,10 @@
 
 Every document's ids are serialized (little-endian, two bytes where the
 vocabulary allows, else four) and compressed as a frame of its own against one
-zstandard dictionary, trained on a bounded sample of such arrays.  A shard holds
+zstandard dictionary, trained on a bounded sample of such arrays: of at most 1,500
+documents of 1 to 20,000 characters, first by a hash of the id, and 8 MB of ids.
+Where a table has too few of them to train on, the dictionary is their plain
+content; files are read back the same way.  A shard holds
 
     magic, sha-256 of the dictionary, bytes per id, frames ..., index, footer
 
