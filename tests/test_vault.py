@@ -361,3 +361,17 @@ def test_hierarchy_asks_for_all_tags(spark):
     tags = [f"t{i:05d}" for i in range(10_003)]
     got = ai.suggested_hierarchy(spark.range(10_003).selectExpr("format_string('t%05d', id) AS tag"), client, least=1)
     assert sum(asked, []) == tags and [x["canonical"] for x in got] == ["t00000", "t10000"]
+
+
+def test_backlinks_equal_all_documents_against_all_names(files):
+    """Words of any length, inside longer ones and over characters beyond the basic plane; empty texts and names of one word give nothing."""
+    names = ["graph-theory", "a-b", "of x", "naïve-été", "\U0001f600-ok", "single", "zz-zz", "graph-xyzzy", "the-the"]
+    texts = ["Graphs: theoryless\nl\nl", "b\na\nc", "xoF\n\n-", "NAÏVE ÉTÉ\n1\n2", "so \U0001f600ok\n1\n2", "", "one line of x", "zzz\nzz\n-", "été naïve\n1\n2", "theory\nof\nthe graph x"]
+    f = files({**{f"p/{i}.md": t for i, t in enumerate(texts)}, **{f"10-Zettelkasten/{n}.md": "" for n in names}})
+    n = graph.notes(f)
+    found = rows(bridges.backlinks(bridges.project_docs(n), n))
+    wanted = [
+        (f"p/{i}.md", name) for i, t in enumerate(texts) for name in names
+        if t.count("\n") >= 2 and len(name.replace("-", " ").split()) >= 2 and all(w in t.lower() for w in name.replace("-", " ").lower().split())
+    ]
+    assert found == sorted(wanted) and len(found) > 5
