@@ -13,8 +13,10 @@ follows them, and how many there may be, is taken from words seen once, which
 count in their own class and in their look's tail.
 
 Counts cover every training text: words are hashed (64 bits) and counted by
-packed exchange, each block getting the counts of just its own words; their
-neighbours' classes go the same way, and the classes come back.  Bigrams of the
+packed exchange, each block getting the counts of just its own words; how often
+each class is beside them goes the same way (at most two numbers a class, however
+common a word is), and their classes come back.  Beyond ``packed.FAN`` hash
+ranges both are merged by levels on the way.  Bigrams of the
 ``top`` words and of classes are summed in each task before they are shuffled;
 only these matrices, of fixed size, and the ``top`` words reach the driver.
 
@@ -81,22 +83,29 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     return at[np.array(flat, np.int64)], np.array(sizes, np.int64), keys, [words[i] for i in first]
 
 
+def count_kind(parts: int) -> str:
+    """Of counts sent: a block's fit 32 bits, those merged of many blocks need not."""
+    return "<i8" if parts > packed.FAN else "<u4"
+
+
 def sends(blocks: DataFrame, parts: int) -> DataFrame:
+    kind, coarse = count_kind(parts), min(parts, packed.FAN)
+
     def run(batches):
         for block, texts, train in packed.each(batches, "block", "texts", "extra"):
             at, sizes, keys, _ = tokens(texts)
             learned = np.repeat(train > 0, sizes)
-            yield packed.sent(block, keys, np.bincount(at[learned], minlength=len(keys)), parts)
+            yield packed.sent(block, keys, np.bincount(at[learned], minlength=len(keys)), coarse, n_kind=kind)
 
     return blocks.select("block", "texts", "extra").mapInArrow(run, packed.SENT)
 
 
-def counted(sent: DataFrame, top: int) -> DataFrame:
+def counted(sent: DataFrame, top: int, kind: str) -> DataFrame:
     """Answers to blocks, and per range its sum, number of known words and commonest words."""
     out = pa.schema([("block", pa.string()), ("part", pa.int32()), ("n", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("key", pa.int64()), ("count", pa.int64())])
 
     def answer(t: pa.Table) -> pa.Table:
-        keys, sums, at, sizes = packed.totals(t)
+        keys, sums, at, sizes = packed.totals(t, False, kind)
         given, ends = sums.astype("<u8")[at], np.cumsum(sizes)
         rows = [{"block": b, "part": p, "n": given[e - s : e].tobytes()} for b, p, s, e in zip(t["block"].to_pylist(), t["part"].to_pylist(), sizes, ends)]
         rows.append({"tokens": int(sums.sum()), "types": int((sums > 0).sum())})
@@ -227,7 +236,7 @@ class Seeds:
     """The ``top`` words' classes, and the bigrams of those classes, tails, start and end."""
 
     def __init__(self, known: np.ndarray, m: np.ndarray, top: int, classes: int):
-        if not 0 < classes * (TAILS + 1) + TAILS + 2 <= 256:
+        if not 0 < classes * (TAILS + 1) + TAILS + 2 <= 256:  # then codes of neighbours are below SEVERAL
             raise ValueError("classes and looks have to fit a byte")
         self.known, self.top, self.classes = known, top, classes
         self.cls = exchange(m, top, classes)
@@ -242,9 +251,65 @@ class Seeds:
         return self.cls[sym], (sym >= self.top) & (keys != END_KEY)
 
 
+CONTEXT = "block string, part int, keys binary, n binary, near binary, more binary"
+CONTEXT_ARROW = pa.schema([("block", pa.string()), ("part", pa.int32()), *((c, pa.binary()) for c in ("keys", "n", "near", "more"))])
+SEVERAL = 128  # a flag on a neighbour's code: its count is among those in ``more``
+
+
+class Near:
+    """Words to be placed and the classes beside them: a code is the class before, or ``size`` more than the one after.
+
+    ``keys`` are sorted hashes; ``word`` (a place among them), ``code`` and ``count`` list each word's distinct codes in order.
+    """
+
+    def __init__(self, keys: np.ndarray, word: np.ndarray, code: np.ndarray, count: np.ndarray, size: int):
+        self.keys = keys
+        pair, at = np.unique(word * 2 * size + code, return_inverse=True)
+        self.word, self.code = pair // (2 * size), pair % (2 * size)
+        self.count = np.bincount(at, count, len(pair)).astype(np.int64)
+
+    def cut(self, edges: np.ndarray, used: list[int], whole: bool) -> dict[str, list[bytes]]:
+        """Columns of rows with keys from ``edges[i]`` to ``edges[i + 1]``: the keys, codes a word, the codes, and counts above 1."""
+        ends = np.searchsorted(self.word, np.arange(len(self.keys) + 1))
+        several = self.count > 1
+        ends_more = np.concatenate([[0], np.cumsum(several)])
+        code, more = (self.code | several * SEVERAL).astype(np.uint8), self.count[several].astype("<u8" if whole else "<u4")
+        n, keys = np.diff(ends).astype(np.uint8), key_bytes(self.keys, whole)
+        spans = [(edges[i], edges[i + 1], ends[edges[i]], ends[edges[i + 1]]) for i in used]
+        return {
+            "keys": [keys[i:j].tobytes() for i, j, _, _ in spans], "n": [n[i:j].tobytes() for i, j, _, _ in spans],
+            "near": [code[i:j].tobytes() for _, _, i, j in spans], "more": [more[ends_more[i] : ends_more[j]].tobytes() for _, _, i, j in spans],
+        }
+
+
+def key_bytes(keys: np.ndarray, whole: bool) -> np.ndarray:
+    """Rows of bytes: whole hashes, or their lowest 40 bits where keys are not sent on to other ranges (more are the same in a range)."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if whole else 5]
+
+
+def sent_keys(t: pa.Table, whole: bool) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Of one range: distinct keys, each sent key's place among them, and how many each row sent."""
+    width = 8 if whole else 5
+    raw = t["keys"].to_pylist()
+    flat = np.zeros((sum(map(len, raw)) // width, 8), np.uint8)
+    flat[:, :width] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
+    distinct, at = np.unique(flat.view("<u8").ravel(), return_inverse=True)
+    return distinct, at, [len(x) // width for x in raw]
+
+
+def all_near(t: pa.Table, size: int, whole: bool) -> tuple[Near, np.ndarray, list[int]]:
+    """What a range's rows say together, with places and sizes as ``sent_keys`` gives."""
+    distinct, at, sizes = sent_keys(t, whole)
+    join = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
+    code = join("near", "u1").astype(np.int64)
+    count = np.ones(len(code), np.int64)
+    count[code >= SEVERAL] = join("more", "<u8" if whole else "<u4")
+    return Near(distinct, np.repeat(at, join("n", "u1")), code % SEVERAL, count, size), at, sizes
+
+
 def contexts(blocks: DataFrame, seeds, parts: int) -> DataFrame:
-    """What a block knows of its words to be placed, by hash range: key (the lowest 40 bits, more are the same in a range), occurrences in training, and the classes before and after each."""
-    schema = pa.schema([("block", pa.string()), ("part", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("n", pa.binary()), ("near", pa.binary())])
+    """What a block knows of its words to be placed, by hash range: key, and in training how often each class is before and after it."""
+    whole, parts = parts > packed.FAN, min(parts, packed.FAN)
 
     def run(batches):
         s = pickle.loads(seeds.value)
@@ -256,19 +321,23 @@ def contexts(blocks: DataFrame, seeds, parts: int) -> DataFrame:
             before[np.cumsum(sizes)[:-1]] = s.start
             after = np.concatenate([c_at[1:], [s.start]])  # only of an end
             some = np.flatnonzero(np.repeat(train > 0, sizes) & rare[at])
-            n = np.bincount(at[some], minlength=len(keys))[rare]
-            some = some[np.argsort(at[some], kind="stable")]
-            near = np.stack([before[some], after[some]], 1).astype(np.uint8)
-            keys, ends = keys[rare], np.concatenate([[0], np.cumsum(n)])
-            edges = np.searchsorted(packed.part_of(keys, parts), np.arange(parts + 1))
+            word = (np.cumsum(rare) - 1)[at[some]]
+            near = Near(keys[rare], np.concatenate([word, word]), np.concatenate([before[some], s.size + after[some]]), np.ones(2 * len(some)), s.size)
+            edges = np.searchsorted(packed.part_of(near.keys, parts), np.arange(parts + 1))
             used = [i for i in range(parts) if edges[i] < edges[i + 1]]
-            cut = lambda a, kind: [a[edges[i] : edges[i + 1]].astype(kind).tobytes() for i in used]
-            yield batch(
-                schema, block=[block] * len(used), part=used, low=cut(keys & np.uint64(0xFFFFFFFF), "<u4"), high=cut(keys >> np.uint64(32) & np.uint64(0xFF), "u1"), n=cut(n, "<u4"),
-                near=[near[ends[edges[i]] : ends[edges[i + 1]]].tobytes() for i in used],
-            )
+            yield batch(CONTEXT_ARROW, block=[block] * len(used), part=used, **near.cut(edges, used, whole))
+
+    return blocks.select("block", "texts", "extra").mapInArrow(run, CONTEXT)
+
+
+def merging(size: int):
+    """``fold`` and ``places`` of the packed exchange for what ``contexts`` sends."""
+
+    def fold(t: pa.Table):
+        near, _, _ = all_near(t, size, True)
+        return near.keys, lambda edges, used: near.cut(edges, used, True)
 
-    return blocks.select("block", "texts", "extra").mapInArrow(run, "block string, part int, low binary, high binary, n binary, near binary")
+    return fold, lambda t: sent_keys(t, True)[1:]
 
 
 def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, big: np.ndarray, classes: int, most: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
@@ -295,20 +364,16 @@ def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, big: np.ndar
     return words, out
 
 
-def placed(sent: DataFrame, seeds) -> DataFrame:
+def placed(sent: DataFrame, seeds, whole: bool) -> DataFrame:
     """Answers to blocks: a byte a word, its class (flagged if it was seen once) or ``UNSEEN``; and per range how many words each class got."""
 
     def answer(t: pa.Table) -> pa.Table:
         s = pickle.loads(seeds.value)
-        join = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
-        sizes, n = [len(x) for x in t["high"].to_pylist()], join("n", "<u4").astype(np.int64)
-        distinct, at = np.unique(join("low", "<u4").astype(np.uint64) | join("high", "u1").astype(np.uint64) << np.uint64(32), return_inverse=True)
-        near, word = join("near", "u1").reshape(-1, 2).astype(np.int64), np.repeat(at, n)
-        pair, m = np.unique(np.concatenate([word * 2 * s.size + near[:, 0], word * 2 * s.size + s.size + near[:, 1]]), return_counts=True)
-        words, cls = best_classes(pair // (2 * s.size), pair % (2 * s.size), m, s.big, s.classes)
-        out = np.full(len(distinct), UNSEEN, np.uint8)
+        near, at, sizes = all_near(t, s.size, whole)
+        words, cls = best_classes(near.word, near.code, near.count, s.big, s.classes)
+        out = np.full(len(near.keys), UNSEEN, np.uint8)
         out[words] = cls
-        out[np.bincount(at, n, len(distinct)) == 1] |= ONCE
+        out[np.bincount(near.word, near.count, len(near.keys)) == 2] |= ONCE  # one neighbour on either side
         out, ends = out[at], np.cumsum(sizes)
         packed.trim_memory()
         rows = [{"block": b, "part": p, "n": out[e - k : e].tobytes()} for b, p, k, e in zip(t["block"].to_pylist(), t["part"].to_pylist(), sizes, ends)]
@@ -371,20 +436,26 @@ def transitions(rows: DataFrame, size: int, start: int, classes: int) -> tuple[n
     return out[:size, :size], out[size, :size]
 
 
-def score_texts(docs: DataFrame, top: int = 1000, classes: int = 48, block_bytes: int = 1 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, top: int = 1000, classes: int = 48, block_bytes: int = 1 << 20, part_bytes: int = 8 << 20) -> DataFrame:
     """``docs(id, text, extra)``, extra 1 for training texts: id, extra, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     blocks = packed.blocks(docs, block_bytes)
     size = blocks.select(F.expr("aggregate(texts, 0L, (a, x) -> a + octet_length(x))").alias("n")).agg(F.sum("n")).first()[0] or 0
-    parts = packed.parts_for(size)
-    counts = counted(sends(blocks, parts), top)
+    parts = packed.parts_for(size, part_bytes)
+    way, kind = packed.levels(parts, -(-int(size) // block_bytes), packed.FAN), count_kind(parts)
+    fold, places = packed.summing(kind)
+    last, steps = packed.climbed(sends(blocks, parts), way, fold, packed.SENT)
+    counts = counted(last, top, kind)
+    sums = packed.descended(counts.filter("block IS NOT NULL").select("block", "part", "n"), steps, places, "<u8")
     total, types = (int(x or 0) for x in counts.agg(F.sum("tokens"), F.sum("types")).first())
     common = counts.filter(F.col("key").isNotNull() & (F.col("key") != int(END_KEY.view(np.int64)))).orderBy(F.desc("count"), "key").limit(top).select("key").collect()
     known = np.sort(np.array([r.key for r in common], np.int64).view(np.uint64))
     seeds = Seeds(known, bigrams(blocks, known, top), top, classes)
     shared = spark.sparkContext.broadcast(pickle.dumps(seeds))  # of fixed size
-    answers = placed(contexts(blocks, shared, parts), shared)
-    got = lambda rows, name: rows.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "n")).alias(name))
+    fold, places = merging(seeds.size)
+    last, steps = packed.climbed(contexts(blocks, shared, parts), way, fold, CONTEXT)
+    answers = placed(last, shared, bool(way))
+    found = packed.descended(answers.filter("block IS NOT NULL").select("block", "part", "n"), steps, places, "u1")
     schema = pa.schema([("id", pa.int64()), ("extra", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("words", pa.float64()), ("seq", pa.binary())])
 
     def mark(batches):
@@ -404,7 +475,7 @@ def score_texts(docs: DataFrame, top: int = 1000, classes: int = 48, block_bytes
                 seq=[seq[i : i + n].tobytes() for i, n in zip(starts.tolist(), sizes.tolist())],
             )
 
-    both = packed.with_answers(packed.with_answers(blocks, got(counts, "got")), got(answers, "cls"))
+    both = packed.with_answers(packed.with_answers(blocks, packed.gathered(sums, "got")), packed.gathered(found, "cls"))
     rows = written(both.select("ids", "texts", "extra", "got", "cls").mapInArrow(mark, "id long, extra long, n_tokens long, n_known long, base_score double, words double, seq binary"), "marked")
     in_class = np.zeros(classes) + np.bincount(seeds.cls[: len(known)], minlength=classes)
     for r in answers.filter("types IS NOT NULL").select(F.posexplode("types").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect():

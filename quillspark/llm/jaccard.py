@@ -358,7 +358,7 @@ def jaccard_groups(docs: DataFrame, size: int = 3, tenths: int = 9, block_bytes:
     total = blocks.select(F.expr("aggregate(texts, 0L, (a, x) -> a + octet_length(x))").alias("n")).agg(F.sum("n")).first()[0] or 0
     parts, most = packed.parts_for(total), lambda sums: np.minimum(sums, 255)
     if parts <= packed.FAN:
-        got = packed.answers(sends(blocks, size, parts), most, "u1", half=True, n_kind="u1")
+        got = packed.gathered(packed.answers(sends(blocks, size, parts), most, "u1", half=True, n_kind="u1"))
     else:
         got = packed.merged_answers(sends(blocks, size, parts), most, "u1", parts, -(-int(total) // block_bytes), n_kind="u1")
     kept = written(prefixes(blocks, got, size, tenths), "prefixes")

@@ -94,7 +94,7 @@ def totals(t: pa.Table, half: bool = False, n_kind: str = "<u4") -> tuple[np.nda
 
 
 def answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], kind: str, half: bool = False, n_kind: str = "<u4") -> DataFrame:
-    """``(block, got array<struct<part, n>>)``: per block the answers of all ranges; ``give`` makes them of the sums."""
+    """``(block, part, n)``: the ranges' answers to blocks; ``give`` makes them of the sums."""
 
     def answer(t: pa.Table) -> pa.Table:
         _, sums, at, sizes = totals(t, half, n_kind)
@@ -102,8 +102,7 @@ def answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], kind: st
         ends = np.cumsum(sizes)
         return pa.table({"block": t["block"], "part": t["part"], "n": pa.array([out[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())})
 
-    rows = sends.groupBy("part").applyInArrow(answer, "block string, part int, n binary")
-    return rows.groupBy("block").agg(F.collect_list(F.struct("part", "n")).alias("got"))
+    return sends.groupBy("part").applyInArrow(answer, "block string, part int, n binary")
 
 
 def levels(parts: int, blocks: int, fan: int = FAN) -> list[tuple[int, int, int]]:
@@ -119,42 +118,77 @@ def levels(parts: int, blocks: int, fan: int = FAN) -> list[tuple[int, int, int]
     return out
 
 
-def merged_answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], kind: str, parts: int, blocks: int, n_kind: str = "<u4", fan: int = FAN, way: list | None = None) -> DataFrame:
-    """``answers`` for any number of ranges and blocks, where whole keys were sent to at most ``fan`` coarse ranges.
+def climbed(sends: DataFrame, way: list[tuple[int, int, int]], fold: Callable, schema: str) -> tuple[DataFrame, list[DataFrame]]:
+    """What arrives at the finest ranges, and the sends of each level on the way.
 
-    What ``fan`` blocks send to a coarse range is merged, sent on to the finer
-    ranges within it as one block's, and so forth; answers come back the same way.
-    So rows grow with blocks and levels, not with blocks times ranges.  A merge
-    holds what ``fan`` blocks have in one range, about a block's keys.
+    ``fold(table)`` gives the sorted distinct keys (uint64) of what a group of
+    blocks sends to a range, and ``cut(edges, used)`` with the columns of the rows
+    that go on: of keys from ``edges[i]`` to ``edges[i + 1]`` for each i in ``used``.
     """
-    way = levels(parts, blocks, fan) if way is None else way
-    if not way:
-        return answers(sends, give, kind, n_kind=n_kind)
-    groups, coarse, to = way[0]
-    fine = to // coarse
-    sends = written(sends.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))), "sent")
-
-    def merge(t: pa.Table) -> pa.Table:
-        distinct, sums, _, _ = totals(t, False, n_kind)
-        c = int(t["part"][0].as_py())
-        rest = part_of(distinct, coarse * fine) - np.uint64(c * fine)  # place within the coarse range
-        edges = np.searchsorted(rest, np.arange(fine + 1))
-        used = [i for i in range(fine) if edges[i] < edges[i + 1]]
-        cut = lambda x, k: [x[edges[i] : edges[i + 1]].astype(k).tobytes() for i in used]
-        return pa.Table.from_pydict({"block": [f"{t['g'][0].as_py()} {c}"] * len(used), "part": [c * fine + i for i in used], "keys": cut(distinct, "<u8"), "n": cut(np.minimum(sums, np.iinfo(n_kind).max), n_kind)}, schema=SENT_ARROW)
 
-    got = merged_answers(sends.groupBy("g", "part").applyInArrow(merge, SENT), give, kind, parts, groups, n_kind, fan, way[1:])
-    got = got.select(F.split("block", " ")[0].cast("long").alias("g"), F.split("block", " ")[1].cast("int").alias("part"), F.transform("got", lambda x: x["part"]).alias("at"), F.transform("got", lambda x: x["n"]).alias("n"))
+    def merging(fine: int, to: int):
+        def merge(t: pa.Table) -> pa.Table:
+            keys, cut = fold(t)
+            c = int(t["part"][0].as_py())
+            edges = np.searchsorted(part_of(keys, to) - np.uint64(c * fine), np.arange(fine + 1))  # by the place within the coarse range
+            used = [i for i in range(fine) if edges[i] < edges[i + 1]]
+            rows = {"block": pa.array([f"{t['g'][0].as_py()} {c}"] * len(used), pa.string()), "part": pa.array([c * fine + i for i in used], pa.int32())}
+            return pa.table(rows | {name: pa.array(x, pa.binary()) for name, x in cut(edges, used).items()})
+
+        return merge
+
+    steps = []
+    for groups, coarse, to in way:
+        sends = written(sends.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))), "sent")
+        steps.append(sends)
+        sends = sends.groupBy("g", "part").applyInArrow(merging(to // coarse, to), schema)
+    return sends, steps
+
+
+def descended(rows: DataFrame, steps: list[DataFrame], places: Callable, kind: str) -> DataFrame:
+    """Answers ``(block, part, n)`` of the finest ranges, brought back to the blocks that asked; ``places(table)`` as ``climbed`` folds."""
 
     def back(t: pa.Table, found: pa.Table) -> pa.Table:
-        _, _, at, sizes = totals(t, False, n_kind)
+        at, sizes = places(t)
         order = np.argsort(np.array(found["at"][0].as_py())) if found.num_rows else []
         data = found["n"][0].as_py() if found.num_rows else []
         out, ends = np.frombuffer(b"".join(data[i] for i in order), kind)[at], np.cumsum(sizes)
         return pa.table({"block": t["block"], "part": t["part"], "n": pa.array([out[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())})
 
-    rows = sends.groupBy("g", "part").cogroup(got.groupBy("g", "part")).applyInArrow(back, "block string, part int, n binary")
-    return rows.groupBy("block").agg(F.collect_list(F.struct("part", "n")).alias("got"))
+    for sends in reversed(steps):
+        got = rows.groupBy("block").agg(F.collect_list(F.struct("part", "n")).alias("got"))
+        got = got.select(F.split("block", " ")[0].cast("long").alias("g"), F.split("block", " ")[1].cast("int").alias("part"), F.transform("got", lambda x: x["part"]).alias("at"), F.transform("got", lambda x: x["n"]).alias("n"))
+        rows = sends.groupBy("g", "part").cogroup(got.groupBy("g", "part")).applyInArrow(back, "block string, part int, n binary")
+    return rows
+
+
+def summing(n_kind: str) -> tuple[Callable, Callable]:
+    """``fold`` and ``places`` for keys with counts of type ``n_kind``."""
+
+    def fold(t: pa.Table):
+        distinct, sums, _, _ = totals(t, False, n_kind)
+        n = np.minimum(sums, np.iinfo(n_kind).max)
+        return distinct, lambda edges, used: {c: [x[edges[i] : edges[i + 1]].astype(k).tobytes() for i in used] for c, x, k in (("keys", distinct, "<u8"), ("n", n, n_kind))}
+
+    return fold, lambda t: totals(t, False, n_kind)[2:]
+
+
+def merged_answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], kind: str, parts: int, blocks: int, n_kind: str = "<u4", fan: int = FAN) -> DataFrame:
+    """``answers`` for any number of ranges and blocks, where whole keys were sent to at most ``fan`` coarse ranges.
+
+    What ``fan`` blocks send to a coarse range is merged, sent on to the finer
+    ranges within it as one block's, and so forth; answers come back the same way.
+    So rows grow with blocks and levels, not with blocks times ranges.  A merge
+    holds what ``fan`` blocks have in one range, about a block's keys.
+    """
+    fold, places = summing(n_kind)
+    last, steps = climbed(sends, levels(parts, blocks, fan), fold, SENT)
+    return gathered(descended(answers(last, give, kind, n_kind=n_kind), steps, places, kind))
+
+
+def gathered(rows: DataFrame, name: str = "got") -> DataFrame:
+    """``(block, name array<struct<part, n>>)`` of answers ``(block, part, n)``."""
+    return rows.groupBy("block").agg(F.collect_list(F.struct("part", "n")).alias(name))
 
 
 def received(got: list[dict] | None, kind: str) -> np.ndarray:

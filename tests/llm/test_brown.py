@@ -114,3 +114,36 @@ def test_placing_equals_exchange_gain_by_brute_force():
     for most in (1, 10, 10_000):
         words, got = b.best_classes(word, code, n, big, classes, most)
         assert words.tolist() == list(range(40)) and got.tolist() == want
+
+
+def test_merges_by_levels_give_the_same_scores(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 500) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t, int(i % 5 > 0)) for i, t in enumerate(texts)], "id long, text string, extra long").repartition(6)
+    score = lambda: {r.id: r.asDict() for r in b.score_texts(docs, top=20, classes=4, block_bytes=2000, part_bytes=1000).collect()}
+    direct = score()
+    monkeypatch.setattr(b.packed, "FAN", 3)
+    assert len(b.packed.levels(-(-sum(map(len, texts)) // 1000), 13, 3)) == 2
+    merged = score()
+    assert merged.keys() == direct.keys() == set(range(120))
+    for i, r in direct.items():
+        assert merged[i] == pytest.approx(r, rel=1e-12)
+
+
+def test_near_counts_survive_packing():
+    rng = np.random.default_rng(6)
+    size, keys = 9, np.sort(rng.integers(0, 1 << 64, 50, np.uint64))
+    word, code = rng.integers(0, 40, 3000), rng.integers(0, 2 * size, 3000)  # ten words without neighbours
+    want = Counter(zip(word.tolist(), code.tolist()))
+    near = b.Near(keys, word, code, np.ones(3000), size)
+    for whole, parts in ((True, 5), (False, 1)):
+        edges = np.searchsorted(b.packed.part_of(keys, parts), np.arange(parts + 1))
+        rows = b.pa.table({c: b.pa.array(v, b.pa.binary()) for c, v in near.cut(edges, range(parts), whole).items()})
+        got, at, sizes = b.all_near(b.pa.concat_tables([rows, rows]), size, whole)  # two blocks alike
+        mask = np.uint64((1 << (64 if whole else 40)) - 1)
+        assert sum(sizes) == 100 and got.keys[at].tolist() == (np.concatenate([keys, keys]) & mask).tolist()
+        total = Counter()
+        for j in range(len(got.word)):
+            w = int(np.flatnonzero(keys & mask == got.keys[got.word[j]])[0])
+            total[w, int(got.code[j])] += int(got.count[j])
+        assert total == {k: 2 * n for k, n in want.items()}
