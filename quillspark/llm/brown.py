@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import packed
-from quillspark.llm.common import batch, fold_words, slices, table, written
+from quillspark.llm.common import batch, fold_words, settings, slices, table, written
 
 END = b" end"  # no word holds a space
 END_KEY = np.uint64(xxhash.xxh3_64_intdigest(END))
@@ -111,6 +111,7 @@ def counted(sent: DataFrame, top: int, kind: str) -> DataFrame:
         rows.append({"tokens": int(sums.sum()), "types": int((sums > 0).sum())})
         order = np.lexsort((keys, -sums))[:top]
         rows += [{"key": int(k), "count": int(n)} for k, n in zip(keys[order].view(np.int64), sums[order]) if n]
+        packed.trim_memory()
         return pa.Table.from_pylist(rows, schema=out)
 
     return written(sent.groupBy("part").applyInArrow(answer, "block string, part int, n binary, tokens long, types long, key long, count long"), "counts")
@@ -438,8 +439,14 @@ def transitions(rows: DataFrame, size: int, start: int, classes: int) -> tuple[n
 
 def score_texts(docs: DataFrame, top: int = 1000, classes: int = 48, block_bytes: int = 1 << 20, part_bytes: int = 8 << 20) -> DataFrame:
     """``docs(id, text, extra)``, extra 1 for training texts: id, extra, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     blocks = packed.blocks(docs, block_bytes)
+    with settings(docs.sparkSession, packed.FEW_BLOCKS):
+        return block_scores(blocks, top, classes, block_bytes, part_bytes)
+
+
+def block_scores(blocks: DataFrame, top: int, classes: int, block_bytes: int, part_bytes: int) -> DataFrame:
+    """``score_texts`` of what is dealt into blocks."""
+    spark = blocks.sparkSession
     size = blocks.select(F.expr("aggregate(texts, 0L, (a, x) -> a + octet_length(x))").alias("n")).agg(F.sum("n")).first()[0] or 0
     parts = packed.parts_for(size, part_bytes)
     way, kind = packed.levels(parts, -(-int(size) // block_bytes), packed.FAN), count_kind(parts)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import slices, strings, trim_memory, written
+from quillspark.llm.common import settings, slices, strings, trim_memory, written
 
 SENT = "block string, part int, keys binary, n binary"
 SENT_ARROW = pa.schema([("block", pa.string()), ("part", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
@@ -28,6 +28,8 @@ BLOCKS_ARROW = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())),
 
 #: Ranges that a block sends to at most; finer ones are reached through merges of as many blocks.
 FAN = 512
+#: For stages over blocks: both sides of a Python task hold a batch, so one is made of few blocks.
+FEW_BLOCKS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 
 
 def blocks(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
@@ -42,13 +44,8 @@ def blocks(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
                 )
 
     rows = docs.select(F.col("id").cast("long").alias("id"), "text", F.col("extra").cast("long").alias("extra")).mapInArrow(deal, BLOCKS)
-    spark = docs.sparkSession
-    held = spark.conf.get("parquet.block.size", None)
-    spark.conf.set("parquet.block.size", str(8 << 20))  # blocks can then be dealt to many tasks when read again
-    try:
+    with settings(docs.sparkSession, {"parquet.block.size": str(8 << 20)}):  # blocks can then be dealt to many tasks when read again
         return written(rows, "blocks")
-    finally:
-        spark.conf.unset("parquet.block.size") if held is None else spark.conf.set("parquet.block.size", held)
 
 
 def each(batches, *names: str):
