@@ -8,6 +8,7 @@ driver but one changed-edges count per round.
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +34,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Where frames that were written lie.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Delete what ``written`` made for these frames; nothing that is still to be run may read them."""
+    for df in frames:
+        path = _PLACES.pop(df, None)
+        if path:
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def _larger_star(edges: DataFrame) -> DataFrame:
@@ -73,7 +90,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     mark = None
     for _ in range(max_rounds):
-        current = written(_smaller_star(_larger_star(current)), "edges")
+        before, current = current, written(_smaller_star(_larger_star(current)), "edges")
+        discarded(before)
         seen = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
