@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import brown, bytebpe, decontaminate, jaccard, langid, neighbours, secrets, substrings, tokenfiles, warc
+from quillspark.llm import balls, brown, bytebpe, decontaminate, dialogue, jaccard, langid, mixing, neighbours, secrets, substrings, tokenfiles, warc
 from quillspark.llm.sql import SQL
 
 
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_byte_bpe": bytebpe.op8_byte_bpe,
         "op9_secrets": secrets.op9_secrets,
         "op10_class_bigrams": brown.op10_class_bigrams,
+        "op11_conversations": dialogue.op11_conversations,
+        "op12_balls": balls.op12_balls,
+        "op13_mixing": mixing.op13_mixing,
     }
 
 
