@@ -26,6 +26,8 @@ BLOCKS = "block string, ids array<long>, texts array<binary>, extra array<long>"
 BLOCKS_ARROW = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())), ("extra", pa.list_(pa.int64()))])
 
 
+#: Keys of 128 bits, where a rare clash of 64 would make a wrong result.
+WIDE = np.dtype([("high", "<u8"), ("low", "<u8")])
 #: Ranges that a block sends to at most; finer ones are reached through merges of as many blocks.
 FAN = 512
 #: For stages over blocks: both sides of a Python task hold a batch, so one is made of few blocks.
@@ -62,13 +64,27 @@ def parts_for(total_bytes: int, part_bytes: int = 8 << 20) -> int:
     return max(12, -(-int(total_bytes) // part_bytes))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, each key's place among them, and their counts; wide ones by both halves."""
+    if keys.dtype != WIDE:
+        return np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.lexsort((keys["low"], keys["high"]))
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (ranked["high"][1:] != ranked["high"][:-1]) | (ranked["low"][1:] != ranked["low"][:-1])
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ranked[new], at, np.bincount(at, minlength=int(new.sum()))
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Ranges by the upper 32 bits."""
+    keys = keys["high"] if keys.dtype == WIDE else keys
     return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
 def sent(block: str, keys: np.ndarray, n: np.ndarray | None, parts: int, half: bool = False, n_kind: str = "<u4") -> pa.RecordBatch:
-    """Rows for sorted distinct uint64 ``keys`` of a block with their counts there (of type ``n_kind``, at most its largest value; left out where all are 1).
+    """Rows for sorted distinct ``keys`` of a block, uint64 or ``WIDE``, with their counts there (of type ``n_kind``, at most its largest value; left out where all are 1).
 
     ``half`` sends the lower 32 bits: fit where a rare excess in a sum does no harm.
     """
@@ -77,24 +93,24 @@ def sent(block: str, keys: np.ndarray, n: np.ndarray | None, parts: int, half: b
     cut = lambda a, kind: [a[edges[i] : edges[i + 1]].astype(kind).tobytes() for i in used]
     n = None if n is None or (n == 1).all() else n
     return pa.RecordBatch.from_pydict(
-        {"block": [block] * len(used), "part": used, "keys": cut(keys, "<u4" if half else "<u8"), "n": [None] * len(used) if n is None else cut(np.minimum(n, np.iinfo(n_kind).max), n_kind)}, schema=SENT_ARROW
+        {"block": [block] * len(used), "part": used, "keys": cut(keys, "<u4" if half else keys.dtype), "n": [None] * len(used) if n is None else cut(np.minimum(n, np.iinfo(n_kind).max), n_kind)}, schema=SENT_ARROW
     )
 
 
-def totals(t: pa.Table, half: bool = False, n_kind: str = "<u4") -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def totals(t: pa.Table, half: bool = False, n_kind: str = "<u4", wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """Of one range: distinct keys, their sums, each sent key's place among them, and how many each row sent."""
-    raw, kind = t["keys"].to_pylist(), np.dtype("<u4" if half else "<u8")
+    raw, kind = t["keys"].to_pylist(), WIDE if wide else np.dtype("<u4" if half else "<u8")
     keys, sizes = np.frombuffer(b"".join(raw), kind), [len(x) // kind.itemsize for x in raw]
     n = np.concatenate([np.ones(s, np.int64) if x is None else np.frombuffer(x, n_kind).astype(np.int64) for s, x in zip(sizes, t["n"].to_pylist())])
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(at, n, len(distinct)).astype(np.int64), at, sizes
+    found, at, _ = distinct(keys)
+    return found, np.bincount(at, n, len(found)).astype(np.int64), at, sizes
 
 
-def answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], kind: str, half: bool = False, n_kind: str = "<u4") -> DataFrame:
+def answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], kind: str, half: bool = False, n_kind: str = "<u4", wide: bool = False) -> DataFrame:
     """``(block, part, n)``: the ranges' answers to blocks; ``give`` makes them of the sums."""
 
     def answer(t: pa.Table) -> pa.Table:
-        _, sums, at, sizes = totals(t, half, n_kind)
+        _, sums, at, sizes = totals(t, half, n_kind, wide)
         out = give(sums).astype(kind)[at]
         ends = np.cumsum(sizes)
         return pa.table({"block": t["block"], "part": t["part"], "n": pa.array([out[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())})
@@ -118,7 +134,7 @@ def levels(parts: int, blocks: int, fan: int = FAN) -> list[tuple[int, int, int]
 def climbed(sends: DataFrame, way: list[tuple[int, int, int]], fold: Callable, schema: str) -> tuple[DataFrame, list[DataFrame]]:
     """What arrives at the finest ranges, and the sends of each level on the way.
 
-    ``fold(table)`` gives the sorted distinct keys (uint64) of what a group of
+    ``fold(table)`` gives the sorted distinct keys (uint64 or ``WIDE``) of what a group of
     blocks sends to a range, and ``cut(edges, used)`` with the columns of the rows
     that go on: of keys from ``edges[i]`` to ``edges[i + 1]`` for each i in ``used``.
     """
@@ -159,18 +175,18 @@ def descended(rows: DataFrame, steps: list[DataFrame], places: Callable, kind: s
     return rows
 
 
-def summing(n_kind: str) -> tuple[Callable, Callable]:
+def summing(n_kind: str, wide: bool = False) -> tuple[Callable, Callable]:
     """``fold`` and ``places`` for keys with counts of type ``n_kind``."""
 
     def fold(t: pa.Table):
-        distinct, sums, _, _ = totals(t, False, n_kind)
+        keys, sums, _, _ = totals(t, False, n_kind, wide)
         n = np.minimum(sums, np.iinfo(n_kind).max)
-        return distinct, lambda edges, used: {c: [x[edges[i] : edges[i + 1]].astype(k).tobytes() for i in used] for c, x, k in (("keys", distinct, "<u8"), ("n", n, n_kind))}
+        return keys, lambda edges, used: {c: [x[edges[i] : edges[i + 1]].astype(k).tobytes() for i in used] for c, x, k in (("keys", keys, keys.dtype), ("n", n, n_kind))}
 
-    return fold, lambda t: totals(t, False, n_kind)[2:]
+    return fold, lambda t: totals(t, False, n_kind, wide)[2:]
 
 
-def merged_answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], kind: str, parts: int, blocks: int, n_kind: str = "<u4", fan: int = FAN) -> DataFrame:
+def merged_answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], kind: str, parts: int, blocks: int, n_kind: str = "<u4", fan: int = FAN, wide: bool = False) -> DataFrame:
     """``answers`` for any number of ranges and blocks, where whole keys were sent to at most ``fan`` coarse ranges.
 
     What ``fan`` blocks send to a coarse range is merged, sent on to the finer
@@ -178,9 +194,9 @@ def merged_answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], k
     So rows grow with blocks and levels, not with blocks times ranges.  A merge
     holds what ``fan`` blocks have in one range, about a block's keys.
     """
-    fold, places = summing(n_kind)
+    fold, places = summing(n_kind, wide)
     last, steps = climbed(sends, levels(parts, blocks, fan), fold, SENT)
-    return gathered(descended(answers(last, give, kind, n_kind=n_kind), steps, places, kind))
+    return gathered(descended(answers(last, give, kind, n_kind=n_kind, wide=wide), steps, places, kind))
 
 
 def gathered(rows: DataFrame, name: str = "got") -> DataFrame:

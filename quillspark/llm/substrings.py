@@ -13,14 +13,18 @@ is merge-scanned against every level, which gives the long matches, and levels
 of equal rank are merged into one of the next, so there are at most log2 of the
 number of batches.
 
-*Verification.*  Windows whose anchors matched are compared whole, by 64-bit
-hashes of their bytes, with those of all other texts by packed exchange.  Of
-equal texts one stands for all and every window of it is repeated.
+*Verification.*  Matching anchors only name windows to look at.  These are compared
+whole, by 128-bit hashes of their bytes under a secret drawn anew for each run,
+with those of all other texts by packed exchange; texts cannot be made to clash
+without the secret, and a clash by chance is not to be expected at any size that
+can be stored.  Of equal texts one stands for all and every window of it is
+repeated; texts are equal by SHA-256.
 
 Anchors are about one in a hundred bytes and windows are looked at only near
 long matches; very common passages take part once a block of texts.
 
-Defined cases: a null text is empty; texts shorter than ``length`` keep all;
+Defined cases: an empty table gives no rows; a text of any length is one row of a
+block and taken whole; a null text is empty; texts shorter than ``length`` keep all;
 rows are judged one by one, so rows of equal text repeat each other, whatever
 their ids; a null doc_id stays null; extra columns are ignored.
 """
@@ -28,14 +32,17 @@ their ids; a null doc_id stays null; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from secrets import randbits
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import packed
-from quillspark.llm.common import batch, mix64, table, written
+from quillspark.llm.common import batch, discarded, mix64, table, written
 
 LENGTH, PREFIX, GRAM = 400, 208, 16
 
@@ -103,6 +110,11 @@ class Windows:
         """First eight bytes as signed numbers in the order of the bytes."""
         return (loads(self.raw, len(self.raw))[at].astype("<u8").byteswap() ^ np.uint64(1 << 63)).view(np.int64)
 
+    def digests(self, at: np.ndarray, secret: int) -> np.ndarray:
+        """128-bit hashes of the windows from ``at``."""
+        view, digest, length = memoryview(self.raw), xxhash.xxh3_128_digest, self.length
+        return np.frombuffer(b"".join([digest(view[i : i + length], secret) for i in at.tolist()]), packed.WIDE)
+
     def matched(self, keys: np.ndarray) -> np.ndarray:
         """Windows whose anchor's prefix is among ``keys``."""
         at, own = self.anchors()
@@ -132,7 +144,9 @@ class SuffixFamily:
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
             _, old = self.levels.pop()
-            new, rank = self.array(old.union(new)), rank + 1
+            both = self.array(old.union(new))
+            discarded(old, new)
+            new, rank = both, rank + 1
         self.levels.append((rank, new))
         return found
 
@@ -169,15 +183,16 @@ def narrowed(blocks: DataFrame, keys: DataFrame, length: int, prefix: int) -> Da
 
 def repeated_spans(blocks: DataFrame, parts: int, number: int, length: int, prefix: int) -> DataFrame:
     """``(sig, spans array<int>, kept_sha256)`` of each text of narrowed blocks, about ``number`` of them: repeated runs as start, end, ..."""
+    secret = randbits(64)
 
     def send(batches):
         hasher = Hasher()
         for block, texts, keys in packed.each(batches, "block", "texts", "keys"):
             w = Windows(texts, length, prefix, hasher)
-            got, n = np.unique(hasher.of(w.sums, w.matched(keys.view(np.uint64)), length), return_counts=True)
+            got, _, n = packed.distinct(w.digests(w.matched(keys.view(np.uint64)), secret))
             yield packed.sent(block, got, n, min(parts, packed.FAN), n_kind="u1")
 
-    got = packed.merged_answers(blocks.mapInArrow(send, packed.SENT), lambda sums: sums > 1, "u1", parts, number, n_kind="u1")
+    got = packed.merged_answers(blocks.mapInArrow(send, packed.SENT), lambda sums: sums > 1, "u1", parts, number, n_kind="u1", wide=True)
     schema = pa.schema([("sig", pa.string()), ("spans", pa.list_(pa.int32())), ("kept_sha256", pa.string())])
 
     def cut(batches):
@@ -185,8 +200,8 @@ def repeated_spans(blocks: DataFrame, parts: int, number: int, length: int, pref
         for texts, keys, sums in packed.each(batches, "texts", "keys", "got"):
             w = Windows(texts, length, prefix, hasher)
             at = w.matched(keys.view(np.uint64))
-            hashes = hasher.of(w.sums, at, length)
-            at = at[packed.received(sums, "u1")[np.searchsorted(np.unique(hashes), hashes)] > 0]
+            _, place, _ = packed.distinct(w.digests(at, secret))
+            at = at[packed.received(sums, "u1")[place] > 0]
             of = np.searchsorted(w.ends, at, "right")
             sig, spans, kept = [], [], []
             for i, t in enumerate(texts):
@@ -212,14 +227,16 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     blocks = packed.blocks(reps.select(F.col("node").alias("id"), "text", F.lit(0).alias("extra")), block_bytes)
     total = signs.agg(F.sum("n_bytes")).first()[0] or 0
     anchors = written(suffixes(blocks, length, prefix), "anchors")
-    family, found = SuffixFamily(), None
-    for i in range(batches):
-        new = family.add(anchors.filter(F.pmod(F.xxhash64("block"), F.lit(batches)) == i))
-        found = new if found is None else found.union(new)
-    keys = anchors.select("block", "key").join(found.distinct(), "key", "left_semi").groupBy("block").agg(F.collect_list("key").alias("keys"))
-    cut = repeated_spans(narrowed(blocks, keys, length, prefix), packed.parts_for(total), -(-int(total) // block_bytes), length, prefix)
+    family = SuffixFamily()
+    found = [family.add(anchors.filter(F.pmod(F.xxhash64("block"), F.lit(batches)) == i)) for i in range(batches)]
+    matches = reduce(DataFrame.union, found).distinct()
+    keys = anchors.select("block", "key").join(matches, "key", "left_semi").groupBy("block").agg(F.collect_list("key").alias("keys"))
+    near = narrowed(blocks, keys, length, prefix)
+    discarded(blocks, anchors, *found, *(level for _, level in family.levels))
+    cut = repeated_spans(near, packed.parts_for(total), -(-int(total) // block_bytes), length, prefix)
     # Written, so that the join below can split the partition of a very common text.
     done = written(classes.join(cut.dropDuplicates(["sig"]), "sig", "left").select("sig", "m", "spans", "kept_sha256"), "spans")
+    discarded(near)
     out = signs.join(done, "sig", "left")
     whole = (F.col("m") > 1) & (F.col("n_bytes") >= length)
     none = F.expr("cast(array() as array<int>)")

@@ -51,3 +51,20 @@ def test_many_levels(spark):
     got = as_dict(packed.merged_answers(rows, lambda s: s, "<u4", 30, 40, n_kind="u1", fan=2), "block")
     for b, k in of.items():
         assert packed.received([x.asDict() for x in got[b]["got"]], "<u4").tolist() == [total[x] for x in k.tolist()]
+
+
+def test_wide_keys_differ_by_either_half(spark):
+    keys = np.array([(1 << 60, 5), (1 << 60, 6), (7, 5), (1 << 60, 5)], packed.WIDE)
+    got, at, n = packed.distinct(keys)
+    assert got.tolist() == [(7, 5), (1 << 60, 5), (1 << 60, 6)] and at.tolist() == [1, 2, 0, 1] and n.tolist() == [1, 2, 1]
+    rng = np.random.default_rng(3)
+    pool = np.array([(int(a), int(b)) for a in rng.integers(0, 1 << 64, 60, np.uint64) for b in rng.integers(0, 3, 2)], packed.WIDE)
+    of = {f"b{i}": packed.distinct(rng.choice(pool, 40))[0] for i in range(20)}
+    total = {}
+    for k in of.values():
+        for x in k.tolist():
+            total[x] = total.get(x, 0) + 1
+    rows = spark.createDataFrame([r for b, k in of.items() for r in packed.sent(b, k, None, 4, n_kind="u1").to_pylist()], packed.SENT)
+    got = as_dict(packed.merged_answers(rows, lambda s: s, "u1", 37, 20, n_kind="u1", fan=4, wide=True), "block")
+    for b, k in of.items():
+        assert packed.received([x.asDict() for x in got[b]["got"]], "u1").tolist() == [total[x] for x in k.tolist()]

@@ -78,3 +78,43 @@ def test_other_lengths(spark, length, prefix):
     for i, w in enumerate(brute(texts, length)):
         spans = got[i]["spans"]
         assert (sum(spans[1::2]) - sum(spans[::2]), len(spans) // 2, got[i]["kept_sha256"]) == (w["n_removed"], w["n_spans"], w["kept_sha256"])
+
+
+def alike():
+    """Two different texts of 400 letters that sums of letters times powers of an odd base, modulo 2 ** 64, cannot tell apart."""
+    h = s.Hasher()
+    rng = np.random.default_rng(8)
+    words = rng.integers(97, 123, (1 << 19, 12)).astype(np.uint8)
+    powers = np.array([pow(int(h.base), i, 1 << 64) for i in range(12)], np.uint64)
+    low = (h.value[words] * powers).sum(1, dtype=np.uint64)
+    factor = 1
+    for i in range(5):
+        factor = factor * (pow(int(h.base), 12 << i, 1 << 64) - 1) % (1 << 64)
+    bits = 64 - ((factor & -factor).bit_length() - 1)
+    low &= np.uint64((1 << bits) - 1)
+    order = np.argsort(low, kind="stable")
+    at = np.flatnonzero(low[order][1:] == low[order][:-1])[0]
+    a, b = words[order[at]].tobytes(), words[order[at + 1]].tobytes()
+    odd = [bin(i).count("1") % 2 for i in range(32)]
+    x, y = (b"".join([p, q][o] for o in odd) + b"common end 12345" for p, q in ((a, b), (b, a)))
+    assert x != y and len(x) == 400
+    one, two = (h.of(h.sums(np.frombuffer(t, np.uint8)), np.array([0]), 400) for t in (x, y))
+    assert one == two
+    return x.decode(), y.decode()
+
+
+def test_texts_made_to_clash(spark, tmp_path):
+    """Nothing goes that repeats nowhere, whatever the hash of the anchors takes for equal."""
+    x, y = alike()
+    texts = [x, y, x[:-1] + "6", y[:-1] + "6", x[:399], y[1:]]
+    got = as_dict(s.op2_substrings(spark, saved(documents(spark, texts), tmp_path)))
+    compare(got, texts)
+    assert all(r["n_removed"] == 0 for r in got.values())
+
+
+def test_a_long_text(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    part = "".join(rng.choice(list("abcdefgh "), 5000))
+    texts = ["".join(rng.choice(list("abcdefgh "), 3_000_000)) + part, "x" + part + "y", "short"]
+    got = as_dict(s.op2_substrings(spark, saved(documents(spark, texts), tmp_path)))
+    assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in range(3)] == [(5000, 1), (5000, 1), (0, 0)]
