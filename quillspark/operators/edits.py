@@ -7,6 +7,12 @@ changes nothing more.
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import os
+import shutil
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,39 +42,209 @@ def applied(files: DataFrame, plan: DataFrame) -> DataFrame:
     return out.select(*(cols.get(c, F.col(c)).alias(c) for c in files.columns))
 
 
-def apply_to_disk(plan: DataFrame, root: str) -> int:
-    """Write a plan into a folder the executors share; files are written only where they differ. Returns how many."""
+#: Where a folder keeps the journals of plans that are applied to it; no note is ever read from there.
+JOURNALS = ".edits"
+JOURNAL = "path string, action string, new_path string, new_content string, staged string, before string, after string, done boolean"
+
+
+class Conflict(ValueError):
+    """A plan that the folder as it is does not allow; nothing was written."""
+
 
-    def write(batches):
-        import os
-        import shutil
+def plan_digest(plan: DataFrame) -> str:
+    """Of the edits, whatever their order."""
+    sums = plan.select(F.xxhash64("path", "action", "new_path", "new_content").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("h")).first()
+    return hashlib.sha256(f"{sums.n} {sums.h}".encode()).hexdigest()[:24]
 
+
+def file_digest(path: str) -> str | None:
+    """SHA-256 of a file, in slices; null where there is none."""
+    out = hashlib.sha256()
+    try:
+        with open(path, "rb") as f:
+            while part := f.read(1 << 20):
+                out.update(part)
+    except (FileNotFoundError, NotADirectoryError):
+        return None
+    return out.hexdigest()
+
+
+def _inspected(plan: DataFrame, root: str) -> DataFrame:
+    """The plan with what its files are and will be, and a ``conflict`` where they do not allow it."""
+    schema = f"{JOURNAL}, conflict string"
+
+    def look(batches):
+        import pyarrow as pa
+
+        def one(path, action, new_path, content, leaves, expects):
+            old, new = os.path.join(root, path), os.path.join(root, new_path or path)
+            before, there = file_digest(old), file_digest(new) if new_path else None
+            after = hashlib.sha256(content.encode()).hexdigest() if content is not None and action in ("write", "move") else before
+            staged, done, why = hashlib.sha256(path.encode()).hexdigest()[:40], False, None
+            outside = [p for p in (path, new_path if action not in ("copy",) else None) if p and (os.path.isabs(p) or os.path.normpath(p).split(os.sep)[0] in ("..", JOURNALS))]
+            if outside:
+                why = f"{outside[0]} is outside the folder"
+            elif action in ("copy", "link"):
+                done = os.path.lexists(new)
+                why = None if done or before else f"{path} is gone"
+            elif new_path in (None, path):
+                done = before == after
+                if not done and expects is not None and before != expects:
+                    why = f"{path} is not what was planned on"
+            elif before is None:
+                done = there is not None and (content is None or there == after)
+                why = None if done else f"{path} is gone"
+            elif there is not None and not leaves:
+                why = f"there is a file {new_path}"
+            elif expects is not None and before != expects:
+                why = f"{path} is not what was planned on"
+            return path, action, new_path, content, staged, before, after, done, why
+
+        for b in batches:
+            rows = [one(*r) for r in zip(*(b[c].to_pylist() for c in ("path", "action", "new_path", "new_content", "leaves", "expects")))]
+            kinds = [pa.string()] * 7 + [pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in schema.split(", ")]) if rows else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names=[f.split()[0] for f in schema.split(", ")])
+
+    moved = plan.filter("new_path IS NOT NULL AND new_path <> path AND action IN ('rename', 'move')").select(F.col("path").alias("np")).distinct().withColumn("leaves", F.lit(True))
+    expects = F.col("expects") if "expects" in plan.columns else F.lit(None).cast("string")
+    rows = plan.withColumn("expects", expects).join(moved, F.col("new_path") == F.col("np"), "left")
+    return rows.select("path", "action", "new_path", "new_content", F.coalesce("leaves", F.lit(False)).alias("leaves"), "expects").mapInArrow(look, schema)
+
+
+def _whole(plan: DataFrame) -> DataFrame:
+    """Fails where two edits of a plan contradict each other; each edit once."""
+    one = plan.groupBy("path", "action", "new_path", "new_content").agg(*([F.max("expects").alias("expects")] if "expects" in plan.columns else [F.count("*").alias("n")]))
+    own = one.filter("action IN ('write', 'rename', 'move')")
+    twice = own.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select(F.concat(F.lit("edits that differ for "), "path").alias("why"))
+    ends = one.groupBy(F.coalesce("new_path", "path").alias("end")).agg(F.count("*").alias("n")).filter("n > 1").select(F.concat(F.lit("two files for "), "end").alias("why"))
+    why = [r.why for r in twice.union(ends).orderBy("why").limit(20).collect()]
+    if why:
+        raise Conflict("; ".join(why))
+    return one
+
+
+def _put(source: str, target: str) -> None:
+    """``source`` as ``target`` where there is none, in one step; never over another file."""
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    try:
+        os.link(source, target)
+    except FileExistsError:
+        if file_digest(target) != file_digest(source):
+            raise
+    os.unlink(source)
+
+
+def _fill(path: str, content: str) -> None:
+    part = f"{path}.{os.getpid()}.{uuid.uuid4().hex[:8]}"
+    with open(part, "w", encoding="utf-8", newline="") as f:
+        f.write(content)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(part, path)
+
+
+def _staging(root: str, folder: str, path, action, new_path, content, staged, before, after):
+    """First phase: new texts are written aside, files that move are taken aside. Nothing that stays is touched."""
+    old, aside = os.path.join(root, path), os.path.join(folder, staged)
+    if action in ("write", "move") and content is not None and file_digest(aside + ".new") != after and file_digest(os.path.join(root, new_path or path)) != after:
+        _fill(aside + ".new", content)
+    if action in ("rename", "move") and new_path not in (None, path) and not os.path.exists(aside + ".old") and file_digest(old) == before:
+        with contextlib.suppress(FileNotFoundError):  # another attempt at this task was first
+            os.rename(old, aside + ".old")
+
+
+def _placing(root: str, folder: str, path, action, new_path, content, staged, before, after):
+    """Second phase: what was put aside goes where it belongs."""
+    old, new, aside = os.path.join(root, path), os.path.join(root, new_path or path), os.path.join(folder, staged)
+    if action in ("copy", "link"):
+        os.makedirs(os.path.dirname(new) or ".", exist_ok=True)
+        if not os.path.lexists(new):
+            if action == "link":
+                os.symlink(os.path.relpath(old, os.path.dirname(new)), new)
+            else:
+                shutil.copyfile(old, f"{aside}.copy")
+                _put(f"{aside}.copy", new)
+    elif new_path in (None, path):
+        if os.path.exists(aside + ".new"):
+            if file_digest(new) not in (before, after):
+                raise Conflict(f"{path} has changed meanwhile")
+            os.makedirs(os.path.dirname(new) or ".", exist_ok=True)
+            os.replace(aside + ".new", new)
+    else:
+        part = aside + (".new" if action == "move" and content is not None else ".old")
+        if os.path.exists(part):
+            _put(part, new)
+        elif file_digest(new) != after:
+            raise Conflict(f"{new_path} is not there and nothing is kept for it")
+        with contextlib.suppress(FileNotFoundError):
+            os.unlink(aside + ".old")
+
+
+PHASES = (_staging, _placing)
+
+
+def _run(journal: DataFrame, root: str, folder: str, phase) -> int:
+    def work(batches):
         import pyarrow as pa
 
         for b in batches:
             n = 0
-            for path, action, new_path, content in zip(*(b[c].to_pylist() for c in ("path", "action", "new_path", "new_content"))):
-                old, new = os.path.join(root, path), os.path.join(root, new_path or path)
-                os.makedirs(os.path.dirname(new) or ".", exist_ok=True)
-                if action in ("link", "copy"):
-                    if not os.path.lexists(new):
-                        os.symlink(os.path.relpath(old, os.path.dirname(new)), new) if action == "link" else shutil.copyfile(old, new)
-                        n += 1
-                    continue
-                if new != old and os.path.exists(old) and not os.path.exists(new):
-                    os.rename(old, new)
-                    n += 1
-                if content is not None:
-                    had = open(new, encoding="utf-8", newline="").read() if os.path.exists(new) else None
-                    if had != content:
-                        part = f"{new}.{os.getpid()}.part"
-                        with open(part, "w", encoding="utf-8", newline="") as f:
-                            f.write(content)
-                        os.replace(part, new)
-                        n += 1
+            for path, action, new_path, *rest, before, after in zip(*(b[c].to_pylist() for c in ("path", "action", "new_path", "new_content", "staged", "before", "after"))):
+                phase(root, folder, path, action, new_path, *rest, before, after)
+                n += 2 if action == "move" and new_path not in (None, path) and after != before else 1
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    return plan.select("path", "action", "new_path", "new_content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return journal.filter("NOT done").mapInArrow(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _finish(spark, root: str, folder: str) -> int:
+    journal = spark.read.schema(JOURNAL).parquet(f"file://{folder}/journal")
+    n = 0
+    for phase in PHASES:
+        n = _run(journal, root, folder, phase)
+    shutil.rmtree(folder)
+    return n
+
+
+def apply_to_disk(plan: DataFrame, root: str) -> int:
+    """Write a plan into a folder the executors share. Returns the number of changes; a move with a new text is two.
+
+    Before anything is written, the plan is held against itself (``edits that
+    differ``, ``two files for``) and against the folder (a file that is gone, a new
+    path that another file has, a path outside the folder, or, where the plan has a
+    column ``expects``, a file whose SHA-256 is another); what contradicts it raises
+    ``Conflict``.  Then a journal of the edits with the digests of every file before
+    and after goes to ``.edits`` in the folder, and two phases run over it: new
+    texts and moving files are put aside, then placed, never over a file that the
+    journal does not know.  Each edit sees by the digests how far it came, so a lost
+    task is simply done again, and a run that was killed goes on where it stopped,
+    by the same call or by ``resume``.  A plan that is applied again changes nothing.
+    """
+    root = os.path.abspath(root)
+    spark, folder = plan.sparkSession, os.path.join(root, JOURNALS, plan_digest(plan))
+    if not os.path.exists(os.path.join(folder, "journal", "_SUCCESS")):
+        found = written(_inspected(_whole(plan), root), "inspected")
+        why = [r.conflict for r in found.filter("conflict IS NOT NULL").orderBy("conflict").limit(20).collect()]
+        if why:
+            raise Conflict("; ".join(why))
+        if not found.filter("NOT done").limit(1).count():
+            return 0
+        os.makedirs(folder, exist_ok=True)
+        found.drop("conflict").write.mode("overwrite").parquet(f"file://{folder}/journal")
+    return _finish(spark, root, folder)
+
+
+def resume(spark, root: str) -> int:
+    """Finish what applied plans were killed in a folder; a journal that was not whole had written nothing yet and goes. Returns the changes of these plans."""
+    root, n = os.path.abspath(root), 0
+    top = os.path.join(root, JOURNALS)
+    for name in sorted(os.listdir(top)) if os.path.isdir(top) else []:
+        folder = os.path.join(top, name)
+        if os.path.exists(os.path.join(folder, "journal", "_SUCCESS")):
+            n += _finish(spark, root, folder)
+        else:
+            shutil.rmtree(folder)
+    return n
 
 
 def manifest(relationships: DataFrame, path: str) -> None:

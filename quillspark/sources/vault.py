@@ -14,6 +14,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillspark.operators.edits import JOURNALS
+
 SCHEMA = "path string, ext string, size_bytes long, modified_at timestamp, modified_on date, content string"
 
 
@@ -26,7 +28,7 @@ def listed(root: str, exclude: list[str], extensions: list[str]) -> tuple[list[s
             nested.append(rel.replace(os.sep, "/"))
             dirs[:] = []
             continue
-        dirs[:] = sorted(d for d in dirs if d not in exclude)
+        dirs[:] = sorted(d for d in dirs if d not in exclude and d != JOURNALS)
         found += [os.path.relpath(os.path.join(folder, f), root).replace(os.sep, "/") for f in sorted(files) if f not in exclude and (not extensions or f.rsplit(".", 1)[-1] in extensions)]
     return found, nested
 
