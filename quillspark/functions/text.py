@@ -146,10 +146,15 @@ def cut(c: Column, most: int) -> Column:
 
 
 def summary(yaml: Column, rest: Column, most: int = 200) -> Column:
-    """The frontmatter's one-line ``summary``, else the first body line that is neither blank nor a heading."""
-    own = F.regexp_extract(yaml, r"(?dm)^summary:[^\S\n]*(\S[^\n]*)$", 1)
+    """The frontmatter's ``summary`` where it is a string to a YAML parser, else the first body line that is neither blank nor a heading.
+
+    What is not ``PLAIN``, and says ``summary``, goes through the parser.
+    """
+    own = F.regexp_extract(yaml, r"(?dm)^summary: ([^\n]*)$", 1)
+    odd = F.when(~yaml.rlike(PLAIN) & yaml.contains("summary"), yaml)
+    said = F.when(odd.isNull(), F.when(own.rlike(PLAIN_TEXT), F.regexp_replace(own, r" +\z", ""))).otherwise(yaml_summary(odd))
     para = F.filter(lines(rest), lambda x: (trim(x) != "") & ~x.startswith("#"))
-    return F.when(own != "", unquoted(own)).otherwise(cut(trim(F.get(para, F.lit(0))), most))
+    return F.coalesce(said, cut(trim(F.get(para, F.lit(0))), most))
 
 
 def digest_lines(c: Column) -> Column:
@@ -304,6 +309,46 @@ def note_tags(yaml: Column) -> Column:
     return F.when(odd.isNull(), inline_tags(yaml)).otherwise(yaml_tags(odd))
 
 
+#: A plain value that is a string to any reader: words, but none that YAML takes for a truth value or nothing.
+PLAIN_TEXT = r"\A(?!(?:true|True|TRUE|false|False|FALSE|null|Null|NULL) *\z)[A-Za-z][\w/ -]*\z"
+#: Plain scalars that are no strings in YAML's core schema: nothing, truth values, numbers.
+NO_TEXT = r"(?:~|null|Null|NULL|true|True|TRUE|false|False|FALSE|[-+]?(?:[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+)|[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))?\Z"
+
+
+def yaml_fields(text: str | None) -> dict:
+    """A mapping's fields as parsed nodes; none of what is no YAML, no mapping, or names a field twice."""
+    import yaml
+
+    try:
+        node = yaml.compose(text or "", Loader=yaml.SafeLoader)
+    except Exception:
+        return {}
+    if not isinstance(node, yaml.MappingNode):
+        return {}
+    out = {k.value: v for k, v in node.value if isinstance(k, yaml.ScalarNode)}
+    return out if len(out) == len(node.value) else {}
+
+
+def yaml_text(node) -> str | None:
+    """A scalar's text where the core schema has it as a string."""
+    import re
+
+    import yaml
+
+    if not isinstance(node, yaml.ScalarNode):
+        return None
+    return None if not node.style and re.match(NO_TEXT, node.value) else node.value
+
+
+def yaml_summary(c: Column) -> Column:
+    """``summary`` by a real YAML parser (Arrow) where it is a string, null else."""
+    @pandas_udf("string")
+    def read(col: pd.Series) -> pd.Series:
+        return col.map(lambda t: yaml_text(yaml_fields(t).get("summary")))
+
+    return read(c)
+
+
 def yaml_tags(c: Column) -> Column:
     """Tags by a real YAML parser (Arrow): items of a ``tags`` sequence that are strings."""
     @pandas_udf("array<string>")
@@ -311,12 +356,8 @@ def yaml_tags(c: Column) -> Column:
         import yaml
 
         def one(text):
-            try:
-                got = yaml.safe_load(text or "")
-            except Exception:  # what is no YAML has no tags
-                return []
-            tags = got.get("tags") if isinstance(got, dict) else None
-            return [t for t in tags if isinstance(t, str)] if isinstance(tags, list) else []
+            node = yaml_fields(text).get("tags")
+            return [t for t in map(yaml_text, node.value) if t is not None] if isinstance(node, yaml.SequenceNode) else []
 
         return col.map(one)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable
 from itertools import islice
 
@@ -62,23 +63,86 @@ def extract_json(text: str) -> str | None:
     return balanced(text or "")
 
 
-def answers(df: DataFrame, prompt: str, client: Callable[[str], str] = stub, concurrency: int = CONCURRENCY, read: Callable[[str], str | None] = extract_json) -> DataFrame:
-    """``df`` with ``answer``, what ``read`` makes of the client's answer to the column ``prompt`` (its JSON, if not given); null where it fails."""
-    names = df.columns
+def _asking(prompt: str, client: Callable[[str], str], read: Callable[[str], str | None], concurrency: int, per_second: float | None):
+    """Asks a batch's prompts, ``concurrency`` at a time in a task; ``failed`` says how one failed."""
 
     def ask(batches):
-        for b in batches:
-            out = []
-            for p in b[prompt].to_pylist():
-                try:
-                    out.append(read(client(p)))
-                except Exception:  # one note's failure is not the batch's
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(out, pa.string())], names=[*names, "answer"])
-
+        from concurrent.futures import ThreadPoolExecutor
+
+        def one(p):
+            try:
+                return read(client(p)), None
+            except Exception as e:  # one note's failure is not the batch's
+                return None, f"{type(e).__name__}: {e}"[:300]
+
+        began, spent = time.monotonic(), 0
+        with ThreadPoolExecutor(concurrency) as pool:
+            for b in batches:
+                for at in range(0, b.num_rows, concurrency):
+                    part = b.slice(at, concurrency)
+                    texts = part[prompt].to_pylist()
+                    if per_second:
+                        spent += sum(len(t or "") // 4 + 1 for t in texts)
+                        time.sleep(max(0.0, spent / per_second - (time.monotonic() - began)))
+                    got = list(pool.map(one, texts))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([a for a, _ in got], pa.string()), pa.array([f for _, f in got], pa.string())], names=[*part.schema.names, "answer", "failed"])
+
+    return ask
+
+
+def answers(
+    df: DataFrame, prompt: str, client: Callable[[str], str] = stub, concurrency: int = CONCURRENCY, read: Callable[[str], str | None] = extract_json, store: AnswerStore | None = None, per_second: float | None = None,
+) -> DataFrame:
+    """``df`` with ``answer``, what ``read`` makes of the client's answer to the column ``prompt`` (its JSON, if not given); null where it fails.
+
+    The rows stay in their partitions; in each task ``concurrency`` questions are out
+    at a time, and no more than ``per_second`` tokens (a quarter of the characters)
+    are sent.  With a ``store`` only prompts are asked that it has no answer to.
+    """
     from pyspark.sql import types as S
 
-    return df.repartition(concurrency).mapInArrow(ask, S.StructType([*df.schema, S.StructField("answer", S.StringType())]))
+    if store is not None:
+        return store.answered(df, prompt, client, concurrency, read, per_second)
+    schema = S.StructType([*df.schema, S.StructField("answer", S.StringType()), S.StructField("failed", S.StringType())])
+    return df.mapInArrow(_asking(prompt, client, read, concurrency, per_second), schema).drop("failed")
+
+
+class AnswerStore:
+    """Answers kept in a folder of the shared file system, by digest of client name and prompt.
+
+    What is asked is written partition by partition as new files of the store, so a
+    run that is killed has kept the tasks that were done; questions that failed are
+    not kept and are asked again.
+    """
+
+    SCHEMA = "digest string, answer string"
+
+    def __init__(self, spark, folder: str, client_name: str):
+        self.spark, self.folder, self.name = spark, folder, client_name
+        #: Of the last call: how many were asked, and how many of them failed.
+        self.asked = self.failed = 0
+
+    def kept(self) -> DataFrame:
+        """``(digest, answer)``, one a digest."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        rows = self.spark.read.schema(self.SCHEMA + ", failed string").parquet(f"{self.folder}/*")
+        return rows.filter("failed IS NULL").groupBy("digest").agg(F.max("answer").alias("answer"))
+
+    def answered(self, df: DataFrame, prompt: str, client, concurrency: int = CONCURRENCY, read=extract_json, per_second: float | None = None) -> DataFrame:
+        """``df`` with ``answer``; each distinct prompt that has none yet is asked once."""
+        sign = F.sha2(F.concat(F.lit(self.name + "\0"), prompt).cast("binary"), 256)
+        rows = df.withColumn("_digest", sign)
+        new = rows.select(F.col("_digest").alias("digest"), F.col(prompt).alias("prompt")).filter("prompt IS NOT NULL").join(self.kept().select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+        schema = "digest string, prompt string, answer string, failed string"
+        asked = new.mapInArrow(_asking("prompt", client, read, concurrency, per_second), schema).select("digest", "answer", "failed")
+        batch = f"{self.folder}/batch={uuid.uuid4().hex}"
+        asked.write.parquet(batch)
+        told = self.spark.read.schema(self.SCHEMA + ", failed string").parquet(batch).agg(F.count("*"), F.count("failed")).first()
+        self.asked, self.failed = told
+        kept = self.kept().withColumnRenamed("digest", "_digest")
+        return rows.join(kept, "_digest", "left").drop("_digest")
 
 
 def candidates(notes: DataFrame, template: str, client: Callable[[str], str] = stub) -> DataFrame:

@@ -104,6 +104,36 @@ def file_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("issue").agg(F.count("*").alias("issues"), F.count_distinct("file").alias("files"))
 
 
+def totals(check: str, scanned: DataFrame, issues, fixed) -> DataFrame:
+    """``(check, scanned, issues, fixed)`` by one aggregation over the rows a check looks at: how many, their issues, and how many of these a fix mends."""
+    return scanned.agg(F.lit(check).alias("check"), F.count("*").alias("scanned"), F.coalesce(F.sum(issues), F.lit(0)).cast("long").alias("issues"), F.coalesce(F.sum(fixed), F.lit(0)).cast("long").alias("fixed"))
+
+
+def tag_totals(notes: DataFrame, scope: str = "vault") -> DataFrame:
+    """Totals of the tag check; a fix of a file mends all its issues."""
+    n = F.size("missing") + F.col("bad_line").isNotNull().cast("int")
+    return totals("tags", with_tag_issues(notes, scope), n, n)
+
+
+def frontmatter_totals(notes: DataFrame) -> DataFrame:
+    """Totals of the frontmatter check; ``fixed`` counts files that a fix changes, and empty tags are never mended."""
+    flags = frontmatter_flags(notes)
+    on = [F.coalesce(F.col(k), F.lit(False)).cast("int") for k in ("closing_brace_malform", "broken_yaml_list", "missing_frontmatter", "empty_tags")]
+    return totals("frontmatter", flags, on[0] + on[1] + on[2] + on[3], ((on[0] + on[1] + on[2]) > 0).cast("int"))
+
+
+def watched_totals(plan: DataFrame, notes: DataFrame, name: str) -> tuple[DataFrame, DataFrame, object, object]:
+    """A plan and what it reads, with observers that count both as they pass: ``(notes, plan, scanned, fixed)``.
+
+    The counts come with the action that writes the plan, so nothing is read a
+    second time: ``scanned.get`` and ``fixed.get`` hold them when it is done.
+    """
+    from pyspark.sql import Observation
+
+    scanned, fixed = Observation(f"{name} scanned"), Observation(f"{name} fixed")
+    return notes.observe(scanned, F.count("*").alias("scanned")), plan.observe(fixed, F.count("*").alias("fixed")), scanned, fixed
+
+
 def edits(df: DataFrame, reason: str) -> DataFrame:
     """Rows whose ``new_content`` differs, as edits."""
     return df.filter(~F.col("new_content").eqNullSafe(F.col("content"))).select(

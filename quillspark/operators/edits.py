@@ -1,7 +1,7 @@
 """Edit plans: made as DataFrames, looked at, applied to a frame or to disk.
 
 ``(path, action, new_path, new_content, reason)``; actions are ``write``,
-``rename`` and ``move`` (rename with new content), ``copy`` and ``link``.  Applying a plan twice
+``rename`` and ``move`` (rename with new content), ``copy``, ``link`` and ``folder``.  Applying a plan twice
 changes nothing more.
 """
 
@@ -64,7 +64,7 @@ def file_digest(path: str) -> str | None:
         with open(path, "rb") as f:
             while part := f.read(1 << 20):
                 out.update(part)
-    except (FileNotFoundError, NotADirectoryError):
+    except (FileNotFoundError, NotADirectoryError, IsADirectoryError):
         return None
     return out.hexdigest()
 
@@ -84,9 +84,12 @@ def _inspected(plan: DataFrame, root: str) -> DataFrame:
             outside = [p for p in (path, new_path if action not in ("copy",) else None) if p and (os.path.isabs(p) or os.path.normpath(p).split(os.sep)[0] in ("..", JOURNALS))]
             if outside:
                 why = f"{outside[0]} is outside the folder"
+            elif action == "folder":
+                done = os.path.isdir(old)
+                why = f"there is a file {path}" if before is not None else None
             elif action in ("copy", "link"):
                 done = os.path.lexists(new)
-                why = None if done or before else f"{path} is gone"
+                why = None if done or before or (action == "link" and os.path.isdir(old)) else f"{path} is gone"
             elif new_path in (None, path):
                 done = before == after
                 if not done and expects is not None and before != expects:
@@ -156,7 +159,9 @@ def _staging(root: str, folder: str, path, action, new_path, content, staged, be
 def _placing(root: str, folder: str, path, action, new_path, content, staged, before, after):
     """Second phase: what was put aside goes where it belongs."""
     old, new, aside = os.path.join(root, path), os.path.join(root, new_path or path), os.path.join(folder, staged)
-    if action in ("copy", "link"):
+    if action == "folder":
+        os.makedirs(old, exist_ok=True)
+    elif action in ("copy", "link"):
         os.makedirs(os.path.dirname(new) or ".", exist_ok=True)
         if not os.path.lexists(new):
             if action == "link":
@@ -248,4 +253,16 @@ def resume(spark, root: str) -> int:
 
 
 def manifest(relationships: DataFrame, path: str) -> None:
+    """The relationships as JSON lines in a folder."""
     relationships.write.mode("overwrite").json(path)
+
+
+#: Where the manifest note of a vault lies, in the tool's own folder.
+MANIFEST = "relationships.json"
+
+
+def manifest_plan(relationships: DataFrame, folder: str) -> DataFrame:
+    """One JSON file of all relationships, in order of source, target and relation: a small report, made of what passed the confidence cut."""
+    row = F.struct("source", "target", "relation", F.col("confidence").cast("float").alias("confidence"))
+    text = relationships.agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("relationships"))).alias("new_content"))
+    return text.select(F.lit(f"{folder}/{MANIFEST}").alias("path"), F.lit("write").alias("action"), F.lit(None).cast("string").alias("new_path"), "new_content", F.lit("manifest").alias("reason"))

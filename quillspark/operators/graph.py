@@ -23,11 +23,28 @@ def excluded(path, names: list[str]):
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, names)))
 
 
+def ancestors(path):
+    """The folders that a path lies in, from the top down."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, n), "/")))
+
+
+def nested_repos(files: DataFrame) -> DataFrame:
+    """``(root)``: folders below the top that hold ``.git``, a file or a folder."""
+    hit = F.regexp_extract("path", r"\A(.+?)/\.git(?:/|\z)", 1)
+    return files.filter(F.col("path").contains("/.git")).select(hit.alias("root")).filter("root <> ''").distinct()
+
+
 def outside_nested(files: DataFrame, repos: DataFrame | None) -> DataFrame:
-    """Without files under a nested repository; ``repos(root)`` lists their folders."""
+    """Without files under a nested repository; ``repos(root)`` lists their folders.
+
+    Each path asks for its folders, an equi-join on them: only the paths that a
+    repository holds are looked up by path again, so no text is copied a folder.
+    """
     if repos is None:
         return files
-    return files.join(repos.select("root"), F.col("path").startswith(F.concat("root", F.lit("/"))), "left_anti")
+    inside = files.select("path", F.explode(F.array_compact(ancestors(F.col("path")))).alias("root")).join(repos.select("root").distinct(), "root", "left_semi")
+    return files.join(inside.select("path").distinct(), "path", "left_anti")
 
 
 def notes(files: DataFrame, exclude: list[str] | None = None, repos: DataFrame | None = None) -> DataFrame:
@@ -119,21 +136,52 @@ def components(notes: DataFrame, edges: DataFrame) -> DataFrame:
     return notes.select("path").join(found.withColumnRenamed("node", "path"), "path", "left").select("path", F.coalesce("component", "path").alias("component"))
 
 
-def two_hop_pairs(edges: DataFrame, salts: int = 16) -> DataFrame:
+#: A middle note of more ways through it than this is heavy: its ways are dealt to several tasks.
+HEAVY = 1 << 20
+
+
+def two_hop_pairs(edges: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Unordered pairs at distance 1 or 2 along the links; ``source`` is the side the way starts from, the smaller if both do.
 
-    The notes that link to a middle one are dealt to ``salts`` keys and meet all
-    that it links to there, so that one with very many links is no single task.
+    A note with very many links in and out has their product of ways: its incoming
+    links are dealt to as many keys as bound a key's ways, and meet a copy of its
+    outgoing ones on each.  All others keep one key and are not copied.
     """
     one = edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    into = one.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
-    step = one.select(F.col("a").alias("b"), F.col("b").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    two = into.join(step, ["b", "salt"]).filter("a <> c").select("a", F.col("c").alias("b"))
+    ends = one.select(F.col("b").alias("m"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(one.select("a", F.lit(0), F.lit(1)))
+    ways = ends.groupBy("m").agg(F.sum("i").cast("double").alias("i"), F.sum("o").cast("double").alias("o")).filter("i * o > 0")
+    keys = written(ways.filter(F.col("i") * F.col("o") > heavy).select(F.col("m").alias("b"), F.ceil(F.col("i") * F.col("o") / heavy).cast("int").alias("keys")), "heavy")
+    into = one.join(keys, "b", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("keys")), F.lit(0)).cast("int"))
+    out = one.select(F.col("a").alias("b"), F.col("b").alias("c")).join(keys, "b", "left")
+    step = out.select("b", "c", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("keys"), F.lit(1)) - 1)).alias("salt"))
+    two = into.select("a", "b", "salt").join(step, ["b", "salt"]).filter("a <> c").select("a", F.col("c").alias("b"))
     pairs = one.union(two)
     low, high = F.least("a", "b"), F.greatest("a", "b")
     return pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min("a").alias("source")).select("source", F.when(F.col("source") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("target"))
 
 
+def two_hop_classes(edges: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """The same ways in bounded rows: pairs through notes of at most ``most`` ways, and for the others who is on which side.
+
+    ``(source, target)`` as ``two_hop_pairs`` makes them of all links and light
+    middles; ``(middle, path, side)`` with side ``in`` or ``out``: every ``in`` member
+    of a middle is two steps from every ``out`` member but itself.  Rows grow with
+    links, not with their products.
+    """
+    one = edges.filter("src <> dst").distinct()
+    ends = one.select(F.col("dst").alias("m"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(one.select("src", F.lit(0), F.lit(1)))
+    ways = ends.groupBy("m").agg(F.sum("i").cast("double").alias("i"), F.sum("o").cast("double").alias("o"))
+    big = written(ways.filter(F.col("i") * F.col("o") > most).select("m"), "heavy")
+    into = one.join(big, F.col("dst") == F.col("m"), "left_anti").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    out = one.join(big, F.col("src") == F.col("m"), "left_anti").select(F.col("src").alias("b"), F.col("dst").alias("c"))
+    pairs = one.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(into.join(out, "b").filter("a <> c").select("a", F.col("c").alias("b")))
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    found = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min("a").alias("source")).select("source", F.when(F.col("source") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("target"))
+    sides = one.join(big, F.col("dst") == F.col("m")).select(F.col("m").alias("middle"), F.col("src").alias("path"), F.lit("in").alias("side"))
+    sides = sides.union(one.join(big, F.col("src") == F.col("m")).select("m", "dst", F.lit("out")))
+    return found, sides
+
+
 def graph_health(notes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: notes, links, average, orphans, components, broken edges, and the hubs.
 

@@ -11,6 +11,7 @@ from quillspark.operators import graph as G
 from quillspark.operators.audit import edits
 from quillspark.operators.bridges import project_docs
 
+# Sections that other steps own, the group of a project's topmost notes, and where archived projects lie.
 PRESERVED = ["## Related Projects", "## Key Concepts"]
 CORE = "Core Docs"
 ARCHIVED = "99-Archives/projects"
@@ -64,6 +65,7 @@ def project_links(notes: DataFrame, config: VaultConfig | None = None) -> DataFr
     return inside.groupBy("name").agg(hub.alias("hub")).select(F.when(F.col("hub") == 1, F.concat(folder, "name")).otherwise(folder).alias("link"))
 
 
+# The index note's headings, and what stands under one that has nothing.
 SECTIONS = ["Areas", "Active Projects", "Zettelkasten (Wiki Layer)", "Key Concepts", "Governance"]
 EMPTY = ["No area notes found", "No active projects found", "No zettelkasten notes found", "Build vault graph first to see key concepts", ""]
 
@@ -138,18 +140,31 @@ def book_export_plan(files: DataFrame, name: str, folder: str) -> DataFrame:
     return kept.select("path", F.lit("copy").alias("action"), F.concat(F.lit(f"{folder}/{name}/"), rest).alias("new_path"), F.col("content").alias("new_content"), F.lit("book export").alias("reason"))
 
 
+# The two notes of a new book, its folders, and where its sources lead.
+BOOK_PRD = "---\ntitle: {name}\ngenre: {genre}\nlanguage: {lang}\ntarget_audience: \nword_count_goal: 0\n---\n\n# {name}\n\n## Overview\n\n## Target Audience\n\n## Goals\n\n## Word Count Target\n"
+BOOK_STYLE = "---\ntype: style-guide\n---\n\n# Style Guide\n\n## Voice\n\n## Tone\n\n## Forbidden Patterns\n"
+BOOK_FOLDERS = ["drafts", "edits", "publish/cover"]
+BOOK_SOURCES = "03-Resources"
+
+
 def book_init_plan(files: DataFrame, name: str, genre: str = "", lang: str = "en") -> DataFrame:
     """A book's two notes where they are absent."""
-    heads = lambda *h: "".join(f"\n## {x}\n" for x in h)
-    texts = {
-        "PRD.md": f"---\ntitle: {name}\ngenre: {genre}\nlanguage: {lang}\ntarget_audience: \nword_count_goal: 0\n---\n\n# {name}\n" + heads("Overview", "Target Audience", "Goals", "Word Count Target"),
-        "STYLE.md": "---\ntype: style-guide\n---\n\n# Style Guide\n" + heads("Voice", "Tone", "Forbidden Patterns"),
-    }
-    new = files.sparkSession.createDataFrame([(f"01-Projects/{name}/{f}", t) for f, t in texts.items()], "path string, new_content string")
+    root = f"01-Projects/{name}/"
+    texts = [(root + "PRD.md", BOOK_PRD.format(name=name, genre=genre, lang=lang)), (root + "STYLE.md", BOOK_STYLE)]
+    new = files.sparkSession.createDataFrame(texts, "path string, new_content string")
     out = new.join(files.select("path"), "path", "left_anti")
     return out.select("path", F.lit("write").alias("action"), F.lit(None).cast("string").alias("new_path"), "new_content", F.lit("book").alias("reason"))
 
 
+def book_folder_plan(files: DataFrame, name: str) -> DataFrame:
+    """A book's folders, and its ``sources`` as a link to the resources, each where nothing is there or under it."""
+    root = f"01-Projects/{name}/"
+    rows = [(root + f, "folder", None) for f in BOOK_FOLDERS] + [(BOOK_SOURCES, "link", root + "sources")]
+    new = files.sparkSession.createDataFrame(rows, "path string, action string, new_path string").withColumn("at", F.coalesce("new_path", "path"))
+    held = files.filter(F.col("path").startswith(root)).select(F.explode(F.concat(F.array("path"), F.array_compact(G.ancestors(F.col("path"))))).alias("at")).distinct()
+    return new.join(held, "at", "left_anti").select("path", "action", "new_path", F.lit(None).cast("string").alias("new_content"), F.lit("book").alias("reason"))
+
+
 def folder_status(files: DataFrame, folders: list[str], names: list[str]) -> DataFrame:
     """``(name, present, items)``: entries right in each folder (null for an absent one), and whether each file is there (0 items)."""
     spark = files.sparkSession
@@ -162,13 +177,25 @@ def folder_status(files: DataFrame, folders: list[str], names: list[str]) -> Dat
     return asked.join(found.union(there), "name", "left").select("name", F.col("items").isNotNull().alias("present"), "items")
 
 
-def commit_summary(changes: DataFrame) -> DataFrame:
-    """One line for a set of changed files ``(file)``: hubs, bridge notes and sources are named."""
-    f = F.col("file")
-    top = F.split(f, "/")
-    flags = changes.agg(
-        F.max((f.contains("/") & f.endswith(F.concat(top[0], F.lit(".md")))).cast("int")).alias("moc"), F.max((f.contains("Zettelkasten") | f.contains("zettelkasten")).cast("int")).alias("zk"),
-        F.max((f.contains("/src/") | f.endswith(".rs")).cast("int")).alias("src"), F.count("*").alias("n"),
+def status_rollup(files: DataFrame) -> DataFrame:
+    """``(level, folder, ext, state, files, notes, bytes)``: every folder's files at any depth, by extension and by review state.
+
+    Each file counts in all its folders (the whole vault is the folder without a
+    name, of level 0): the folders are exploded once, without texts, and one
+    aggregation makes the sets (folder), (folder, ext) and (folder, state); ext and
+    state are null where they are summed over.  A state is the frontmatter's
+    ``status``, ``none`` without one.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    state = F.coalesce(F.nullif(T.unquoted(F.regexp_extract(F.split("content", "\n---", 2)[0], r"(?dm)^status:[^\S\n]*([^\n]*)$", 1)), F.lit("")), F.lit("none"))
+    one = files.select(
+        F.concat(F.array(F.lit("")), F.array_compact(G.ancestors(F.col("path")))).alias("folders"), F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1)).otherwise(F.lit("")).alias("ext"),
+        F.when(F.col("content").startswith("---\n"), state).otherwise(F.lit("none")).alias("state"), F.col("path").endswith(".md").alias("note"), F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size"),
     )
-    parts = F.concat_ws(", ", F.when(F.col("moc") == 1, "MOC"), F.when(F.col("zk") == 1, "bridge notes"), F.when(F.col("src") == 1, "source"))
-    return flags.select(F.concat(F.lit("chore(vault): auto-update "), F.when(parts == "", "vault content").otherwise(parts), F.lit(" ("), F.col("n").cast("string"), F.lit(" files)")).alias("message"))
+    # Summed by a file's own folder first, so that what is exploded grows with folders and not with files.
+    own = one.groupBy("folders", "ext", "state").agg(F.count("*").alias("n"), F.count_if("note").alias("notes"), F.sum("size").alias("bytes"))
+    rows = own.select(F.explode("folders").alias("folder"), "ext", "state", "n", "notes", "bytes")
+    sets = rows.groupingSets([[F.col("folder")], [F.col("folder"), F.col("ext")], [F.col("folder"), F.col("state")]], F.col("folder"), F.col("ext"), F.col("state"))
+    out = sets.agg(F.sum("n").alias("files"), F.sum("notes").alias("notes"), F.sum("bytes").alias("bytes"))
+    level = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
+    return out.select(level.alias("level"), "folder", "ext", "state", "files", "notes", "bytes")

@@ -9,18 +9,20 @@ from quillspark.functions import text as T
 from quillspark.operators import graph as G
 
 
-def text_stems(files: DataFrame) -> DataFrame:
+def text_stems(files: DataFrame, exclude: list[str] | None = None) -> DataFrame:
     """``.txt`` files by lower-cased path without extension: the smallest path of each."""
-    txt = files.filter(F.col("path").endswith(".txt") & ~G.excluded(F.col("path"), G.EXCLUDED_DIRS))
+    names = G.EXCLUDED_DIRS if exclude is None else exclude
+    txt = files.filter(F.col("path").endswith(".txt"))
+    txt = txt.filter(~G.excluded(F.col("path"), names)) if names else txt
     return txt.groupBy(F.expr("lower(left(path, length(path) - 4))").alias("k")).agg(F.min("path").alias("txt_path"))
 
 
-def check_links(files: DataFrame, notes: DataFrame) -> DataFrame:
+def check_links(files: DataFrame, notes: DataFrame, exclude: list[str] | None = None) -> DataFrame:
     """``(source, pos, target, issue, match)``; issue null where the link resolves.
 
     In order: a note; a ``.txt`` file of that name (``extension_mismatch``); a
     note after hyphens become spaces, or spaces hyphens (``filename_mismatch``);
-    else ``unresolved``.
+    else ``unresolved``.  ``exclude`` is what ``notes`` were made with.
     """
     found = G.links(notes).withColumn("clean", F.regexp_replace("raw_target", r"\.md\z", ""))
     found = G.resolved(found, notes, "clean")
@@ -28,7 +30,7 @@ def check_links(files: DataFrame, notes: DataFrame) -> DataFrame:
         "t": F.lower("clean"), "s1": F.replace(F.lower("clean"), F.lit("-"), F.lit(" ")), "h1": F.replace(F.lower("clean"), F.lit(" "), F.lit("-")),
     }).withColumns({"s2": G.last_part(F.col("s1")), "h2": G.last_part(F.col("h1"))})
     paths, stems = G.path_index(notes), G.stem_index(notes)
-    asked = asked.join(text_stems(files).withColumnRenamed("k", "t"), "t", "left")
+    asked = asked.join(text_stems(files, exclude).withColumnRenamed("k", "t"), "t", "left")
     for key, index in (("s1", paths), ("s2", stems), ("h1", paths), ("h2", stems)):
         asked = asked.join(index.select(F.col("k").alias(key), F.col("p").alias(f"p_{key}")), key, "left")
     asked = asked.select("clean", "txt_path", F.coalesce("p_s1", "p_s2", "p_h1", "p_h2").alias("near"))
@@ -46,6 +48,12 @@ def issue_counts(checked: DataFrame) -> DataFrame:
     return checked.groupBy(F.coalesce("issue", F.lit("resolved")).alias("issue")).agg(F.count("*").alias("links"), F.count_distinct("source").alias("files"))
 
 
+def link_totals(checked: DataFrame) -> DataFrame:
+    """``(check, scanned, issues, fixed)`` of link occurrences: resolved ones among those scanned; fixed are those that a repair can mend."""
+    broken, mended = F.col("issue").isNotNull(), F.col("issue").isin("extension_mismatch", "filename_mismatch")
+    return checked.agg(F.lit("links").alias("check"), F.count("*").alias("scanned"), F.count_if(broken).alias("issues"), F.count_if(mended).alias("fixed"))
+
+
 def repair_plan(checked: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
     """Edits for fixable links: ``.txt`` files renamed; misnamed notes renamed to the target where nothing links to them, else the link rewritten.
 

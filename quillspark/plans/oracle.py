@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillspark.config import EXCLUDED_DIRS, FOLDER_TYPE_TAGS, STEM_TAGS, TYPE_TAGS, VaultConfig
-from quillspark.sources.fixture import CONCEPTS, DUCK_SQL
+from quillspark.sources.fixture import CONCEPTS, DUCK_SQL, LATER_DUCK, NESTED_DUCK
 
 CONFIG = VaultConfig(concepts=CONCEPTS)
 
@@ -42,8 +42,9 @@ def field_set(content: str, name: str, value: str) -> str:
 
 PATH_PARTS = "string_split(path, '/')"
 WORD = "upper(x[1]) || x[2:]"
-SECTION = "string_split('Areas|Active Projects|Zettelkasten (Wiki Layer)|Key Concepts|Governance', '|')"
-NONE = "string_split('No area notes found|No active projects found|No zettelkasten notes found|Build vault graph first to see key concepts|', '|')"
+# The index note's headings, and what stands under one that has nothing.
+SECTION = "['Areas', 'Active Projects', 'Zettelkasten (Wiki Layer)', 'Key Concepts', 'Governance']"
+NONE = "['No area notes found', 'No active projects found', 'No zettelkasten notes found', 'Build vault graph first to see key concepts', '']"
 CTES = {
     "files": DUCK_SQL,
     "notes": f"""SELECT *, left(path, length(path) - 3) AS stem_path, regexp_extract(path, '([^/]*)\\.md$', 1) AS stem, regexp_matches(content, '{FM}') AS has_fm,
@@ -149,6 +150,30 @@ CTES = {
 }
 
 
+def again(of: str, prefix: str, names: str) -> dict[str, str]:
+    """CTEs of ``names`` once more, on another table of files."""
+    import re
+
+    todo = names.split()
+    swap = {"files": of} | {n: prefix + n for n in todo}
+    return {prefix + n: re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {swap.get(m[2], m[2])}", CTES[n]) for n in todo}
+
+
+CTES |= {"later": LATER_DUCK, **again("later", "l_", "notes found links pidx sidx res edges")}
+CTES |= {"nestedfiles": NESTED_DUCK, **again("nestedfiles", "n_", "notes")}
+CTES |= {
+    "repos": r"SELECT DISTINCT regexp_extract(path, '^(.+?)/\.git(/.*)?$', 1) AS root FROM nestedfiles WHERE regexp_matches(path, '^.+/\.git(/|$)')",
+    "diff": """SELECT path, CASE WHEN a.content IS NULL THEN 'added' WHEN b.content IS NULL THEN 'removed' ELSE 'changed' END AS kind, coalesce(b.content, a.content) AS text
+      FROM files a FULL JOIN later b USING (path) WHERE a.content IS DISTINCT FROM b.content""",
+    "pair": "SELECT text, max(path) FILTER (kind = 'added') AS path, max(path) FILTER (kind = 'removed') AS old_path FROM diff WHERE kind <> 'changed' GROUP BY 1 HAVING count(*) FILTER (kind = 'added') = 1 AND count(*) FILTER (kind = 'removed') = 1",
+    "changed": """SELECT path, kind, NULL::VARCHAR AS old_path FROM diff WHERE kind = 'changed' OR (path NOT IN (SELECT path FROM pair) AND path NOT IN (SELECT old_path FROM pair)) UNION ALL SELECT path, 'renamed', old_path FROM pair""",
+    "one": r"""SELECT string_split(path, '/') AS p, CASE WHEN contains(string_split(path, '/')[-1], '.') THEN string_split(string_split(path, '/')[-1], '.')[-1] ELSE '' END AS ext, path LIKE '%.md' AS note, strlen(content) AS size,
+      CASE WHEN starts_with(content, '---' || chr(10)) THEN coalesce(nullif(trim(regexp_extract(string_split(content, chr(10) || '---')[1], '(?m)^status:[ \t]*([^\n]*)$', 1)), ''), 'none') ELSE 'none' END AS state FROM files""",
+    "up": "SELECT CASE WHEN n = 0 THEN '' ELSE array_to_string(p[1:n], '/') END AS folder, n, ext, state, note, size FROM (SELECT *, unnest(range(len(p))) AS n FROM one)",
+    "touched": "SELECT path AS file FROM changed UNION ALL SELECT old_path FROM changed WHERE old_path IS NOT NULL",
+}
+
+
 def sql(query: str) -> str:
     """The query after those of ``CTES`` that it needs, in order."""
     import re
@@ -270,7 +295,23 @@ QUERIES = {
         max(path LIKE '01-Projects/%/publish/%') AS publish, max(path LIKE '01-Projects/%/sources/%') AS sources FROM files WHERE path LIKE '01-Projects/%/%' GROUP BY 1) WHERE prd AND style""",
     "book_sources": "SELECT path FROM files WHERE path LIKE '%.md' AND starts_with(content, '---' || chr(10)) AND contains(string_split(substr(content, 5), chr(10) || '---')[1], 'layer/raw')",
     "note_count": f"SELECT count(*) AS notes FROM files WHERE path LIKE '%.md' AND NOT list_contains({listed(CONFIG.all_system_dirs())}, string_split(path, '/')[1])",
-    "commit_summary": "SELECT 'chore(vault): auto-update MOC, bridge notes (' || count(*) || ' files)' AS message FROM files",
+    "commit_summary": r"""SELECT 'chore(vault): auto-update ' || coalesce(nullif(concat_ws(', ', CASE WHEN (SELECT count(*) FROM touched WHERE contains(file, '/') AND ends_with(file, string_split(file, '/')[1] || '.md')) > 0 THEN 'MOC' END,
+          CASE WHEN (SELECT count(*) FROM touched WHERE regexp_matches(file, '[Zz]ettelkasten')) > 0 THEN 'bridge notes' END, CASE WHEN (SELECT count(*) FROM touched WHERE contains(file, '/src/') OR ends_with(file, '.rs')) > 0 THEN 'source' END), ''), 'vault content')
+        || ' (' || count(*) || ' files)' AS message, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'changed') AS changed, count(*) FILTER (kind = 'renamed') AS renamed, count(*) FILTER (kind = 'removed') AS removed FROM changed""",
+    "snapshot_changes": "SELECT path, kind, old_path FROM changed",
+    "delta_edges": "SELECT src, dst FROM l_edges",
+    "edge_changes": "SELECT src, dst, 'added' AS change FROM l_edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM edges) UNION ALL SELECT src, dst, 'removed' FROM edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM l_edges)",
+    "outside_nested": "SELECT path, stem FROM n_notes WHERE NOT EXISTS (SELECT 1 FROM repos WHERE starts_with(path, root || '/'))",
+    "nested_repos": "SELECT root FROM repos",
+    "check_totals": """SELECT 'tags' AS "check", (SELECT count(*) FROM needed) AS scanned, (SELECT count(*) FROM tagissues) AS issues, (SELECT count(*) FROM tagissues) AS fixed
+      UNION ALL SELECT 'frontmatter', (SELECT count(*) FROM notes), (SELECT count(*) FROM fmissues), (SELECT count(DISTINCT file) FROM fmissues WHERE issue <> 'empty_tags')
+      UNION ALL SELECT 'links', (SELECT count(*) FROM checked), (SELECT count(*) FROM checked WHERE issue IS NOT NULL), (SELECT count(*) FROM checked WHERE issue IN ('extension_mismatch', 'filename_mismatch'))""",
+    "status_rollup": r"""SELECT CAST(n AS INTEGER) AS level, folder, ext, state, count(*) AS files, count(*) FILTER (note) AS notes, CAST(sum(size) AS BIGINT) AS bytes FROM up GROUP BY GROUPING SETS ((n, folder), (n, folder, ext), (n, folder, state))""",
+    "two_hop_classes": """SELECT count(*) AS pairs, CAST(0 AS INTEGER) AS members FROM (SELECT DISTINCT least(a, b) AS l, greatest(a, b) AS h FROM (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION ALL SELECT x.src, y.dst FROM edges x JOIN edges y ON x.dst = y.src WHERE x.src <> x.dst AND y.src <> y.dst AND x.src <> y.dst))""",
+    "home_plan": """SELECT 'Home.md' AS path, 'write' AS action, md5('---' || chr(10) || 'type: moc' || chr(10) || 'tags: [home]' || chr(10) || '---' || chr(10) || chr(10) || '# Home' || chr(10) || chr(10) || '## Projects' || chr(10) || string_agg('- [[' || project || '/' || project || ']]' || chr(10), '' ORDER BY project)) AS digest FROM (SELECT DISTINCT project FROM pdocs)""",
+    "book_folder_plan": """SELECT path, action, new_path FROM (SELECT '01-Projects/' || b || '/' || f AS path, 'folder' AS action, NULL::VARCHAR AS new_path, '01-Projects/' || b || '/' || f AS spot FROM (SELECT unnest(['book0', 'book7']) AS b), (SELECT unnest(['drafts', 'edits', 'publish/cover']) AS f)
+        UNION ALL SELECT '03-Resources', 'link', '01-Projects/' || b || '/sources', '01-Projects/' || b || '/sources' FROM (SELECT unnest(['book0', 'book7']) AS b))
+      WHERE NOT EXISTS (SELECT 1 FROM files WHERE files.path = spot OR starts_with(files.path, spot || '/'))""",
     "page_link_graph": r"""SELECT DISTINCT l.page_id, l.href, coalesce(t.target_id, -1) AS target_id FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=["'']([^"''#\s>]+)', 1)) AS href FROM pages) l LEFT JOIN (SELECT url, min(page_id) AS target_id FROM pages GROUP BY 1) t ON t.url = l.href""",
     "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 }

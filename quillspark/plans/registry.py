@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quillspark.config import VaultConfig
 from quillspark.functions import text as T
-from quillspark.operators import ai, audit, bridges, dashboard, edits, graph, hubs, inbox, links, tags
+from quillspark.operators import ai, audit, bridges, changes, dashboard, deltas, edits, graph, hubs, inbox, links, tags
 from quillspark.operators.components import written
 from quillspark.plans.oracle import SQL
 from quillspark.sources import fixture
 from quillspark.sources.vault import count_notes
+from quillspark.streaming import increments
 from quillspark.streaming.inbox import event_windows, sync
 
 CONFIG = VaultConfig(concepts=fixture.CONCEPTS)
@@ -287,8 +288,77 @@ def note_count(v):
     return count_notes(v.files, CONFIG.all_system_dirs())
 
 
+def change_set(v):
+    """What differs between the vault and its later state."""
+    return changes.changes(changes.digests(v.files), changes.digests(fixture.files(v.spark, v.dir, "later")))
+
+
 def commit_summary(v):
-    return hubs.commit_summary(v.files.select(F.col("path").alias("file")))
+    return changes.commit_summary(written(change_set(v), "changes"))
+
+
+def snapshot_changes(v):
+    return change_set(v)
+
+
+def edge_delta(v):
+    """The later graph from the one before and the change set of its notes."""
+    notes = graph.notes(fixture.files(v.spark, v.dir, "later"))
+    return deltas.updated(deltas.built(v.notes), notes, written(changes.changes(changes.digests(v.notes), changes.digests(notes)), "changes"))
+
+
+def delta_edges(v):
+    return edge_delta(v).state.edges()
+
+
+def edge_changes(v):
+    d = edge_delta(v)
+    return d.added.withColumn("change", F.lit("added")).unionByName(d.removed.withColumn("change", F.lit("removed")))
+
+
+def nested_repos(v):
+    return graph.nested_repos(fixture.files(v.spark, v.dir, "nested"))
+
+
+def outside_nested(v):
+    files = fixture.files(v.spark, v.dir, "nested")
+    return graph.notes(files, repos=graph.nested_repos(files)).select("path", "stem")
+
+
+def check_totals(v):
+    checked = links.check_links(v.files, v.notes)
+    return audit.tag_totals(v.notes).unionByName(audit.frontmatter_totals(v.notes)).unionByName(links.link_totals(checked))
+
+
+def status_rollup(v):
+    return hubs.status_rollup(v.files)
+
+
+def two_hop_classes(v):
+    """As many pairs as without classes, since no note here is heavy."""
+    pairs, sides = graph.two_hop_classes(v.edges(True), most=10**9)
+    return pairs.agg(F.count("*").alias("pairs")).join(sides.agg(F.count("*").cast("int").alias("members")), F.lit(True))
+
+
+def home_plan(v):
+    return hubs.home_plan(v.notes, CONFIG).select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def book_folder_plan(v):
+    return hubs.book_folder_plan(v.files, "book0").unionByName(hubs.book_folder_plan(v.files, "book7")).select("path", "action", "new_path")
+
+
+def relationship_manifest(v):
+    pairs = graph.two_hop_pairs(v.edges(True))
+    return edits.manifest_plan(ai.relationships(pairs, v.notes), ".tool").select("path", "action", F.md5("new_content").alias("digest"))
+
+
+def incremental_round(v):
+    """The later vault's round from what a round over the vault remembers: the notes it writes."""
+    first = increments.round_of_changes(v.files, None, CONFIG)
+    later = fixture.files(v.spark, v.dir, "later")
+    kept = first.plan.filter("new_content IS NOT NULL").join(later.select("path"), "path", "left_anti")
+    return increments.round_of_changes(edits.applied(later, kept), first.memory, CONFIG).plan.select("path", F.md5("new_content").alias("digest"))
 
 
 def page_link_graph(v):
@@ -354,6 +424,7 @@ NAMES = [
     auto_tags, auto_tag_plan, zones, zone_counts, note_cards, find_related, search_cards, recent_cards, card_summaries, moc_groups, moc_plan, moc_files, project_links, index_sections,
     index_plan, inbox_routing, inbox_plan, book_status, book_sources, note_count, commit_summary, page_link_graph, ai_relationships, ai_candidates, sync_round, virtual_apply,
     orphan_link_plan, inbox_count, folder_status, book_source_plan, book_export_plan, book_init_plan,
+    snapshot_changes, delta_edges, edge_changes, nested_repos, outside_nested, check_totals, status_rollup, two_hop_classes, home_plan, book_folder_plan, relationship_manifest, incremental_round,
 ]
 
 

@@ -47,13 +47,34 @@ SELECT '03-Resources/extra-' || CAST(r_regionkey AS {S}) || '.txt', 'plain', DAT
 UNION ALL
 SELECT '01-Projects/book' || CAST(r_regionkey AS {S}) || '/drafts/one.md', 'draft', DATE '2023-12-01' FROM region WHERE r_regionkey < 2
 """
+#: The vault some time later: notes edited, moved, dropped and added, some with names that others have or wait for. {files}: the vault.
+LATER = """
+SELECT CASE WHEN k % 23 = 5 THEN replace(path, '/note-', '/moved-') ELSE path END AS path,
+  CASE WHEN k % 19 = 3 THEN content || 'Now [[note-' || CAST(k % 7 AS {S}) || ']] and [[late-' || CAST(k % 6 AS {S}) || ']].' || chr(10) WHEN k % 31 = 8 THEN replace(content, '[[note-', '[[moved-') ELSE content END AS content, modified_on
+FROM (SELECT *, CAST(nullif(regexp_extract(path, '/note-([0-9]+)', 1), '') AS INT) AS k FROM ({files}) f) t WHERE k IS NULL OR k % 29 <> 7
+UNION ALL SELECT '00-A/note-' || CAST(r_regionkey AS {S}) || '.md', '# Shadow' || chr(10) || 'see [[note-' || CAST(r_regionkey + 40 AS {S}) || ']]' || chr(10), DATE '2024-02-01' FROM region
+UNION ALL SELECT 'src1/late-' || CAST(r_regionkey AS {S}) || '.md', '# Late' || chr(10) || '[[moved-5]] the token' || chr(10), DATE '2024-02-01' FROM region
+"""
+#: Files of repositories within the vault: the folder of a ``.git`` file or folder and all below it, one in another, one beside a folder whose name begins alike.
+NESTED = """
+SELECT path, content, modified_on FROM ({files}) f
+UNION ALL SELECT 'src1/' || d || '/' || f AS path, '# N' || chr(10) || 'see [[note-' || CAST(r_regionkey AS {S}) || ']]' || chr(10) AS content, DATE '2024-01-02' AS modified_on
+FROM (SELECT r_regionkey, CASE r_regionkey % 3 WHEN 0 THEN 'repo' WHEN 1 THEN 'repo/inner/deep' ELSE 'repo-not' END AS d, 'n' || CAST(r_regionkey AS {S}) || '.md' AS f FROM region) t
+UNION ALL SELECT 'src1/repo/.git/config', 'x', DATE '2024-01-02' FROM region WHERE r_regionkey = 0
+UNION ALL SELECT 'src1/repo/inner/.git', 'gitdir: x', DATE '2024-01-02' FROM region WHERE r_regionkey = 0
+UNION ALL SELECT 'src2/linked/.git', 'gitdir: y', DATE '2024-01-02' FROM region WHERE r_regionkey = 0
+UNION ALL SELECT 'src2/linked/b.md', '[[note-1]]', DATE '2024-01-02' FROM region WHERE r_regionkey < 2 AND r_regionkey > 0
+"""
 SPARK_SQL = VAULT.format(S="STRING", day="date_sub(DATE '2024-01-31', CAST(doc_id % 120 AS INT))")
 DUCK_SQL = VAULT.format(S="VARCHAR", day="DATE '2024-01-31' - CAST(doc_id % 120 AS INTEGER)")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``files(path, content, modified_on)`` of the synthetic vault."""
-    sql = SPARK_SQL
+LATER_DUCK, NESTED_DUCK = (x.format(S="VARCHAR", files="SELECT * FROM files") for x in (LATER, NESTED))
+
+
+def files(spark: SparkSession, sf_dir: str, kind: str = "now") -> DataFrame:
+    """``files(path, content, modified_on)`` of the synthetic vault, of its ``later`` state, or with ``nested`` repositories."""
+    sql = SPARK_SQL if kind == "now" else {"later": LATER, "nested": NESTED}[kind].format(S="STRING", files=SPARK_SQL)
     for t in ("documents", "nation", "region"):
         sql = sql.replace(f"FROM {t}", f"FROM parquet.`{sf_dir}/{t}.parquet`")
     return spark.sql(sql)
