@@ -148,10 +148,10 @@ def cut(c: Column, most: int) -> Column:
 def summary(yaml: Column, rest: Column, most: int = 200) -> Column:
     """The frontmatter's ``summary`` where it is a string to a YAML parser, else the first body line that is neither blank nor a heading.
 
-    What is not ``PLAIN``, and says ``summary``, goes through the parser.
+    What is odd, and says ``summary``, goes through the parser.
     """
     own = F.regexp_extract(yaml, r"(?dm)^summary: ([^\n]*)$", 1)
-    odd = F.when(~yaml.rlike(PLAIN) & yaml.contains("summary"), yaml)
+    odd = F.when(is_odd(yaml) & yaml.contains("summary"), yaml)
     said = F.when(odd.isNull(), F.when(own.rlike(PLAIN_TEXT), F.regexp_replace(own, r" +\z", ""))).otherwise(yaml_summary(odd))
     para = F.filter(lines(rest), lambda x: (trim(x) != "") & ~x.startswith("#"))
     return F.coalesce(said, cut(trim(F.get(para, F.lit(0))), most))
@@ -303,9 +303,15 @@ def masked_key(c: Column) -> Column:
 PLAIN = r"(?d)\A(?:(?!tags:)[A-Za-z_]+: [A-Za-z][\w/ -]*(?:\n|\z)|tags: \[(?:[A-Za-z][\w/-]*(?:, [A-Za-z][\w/-]*)*)?\](?:\n|\z))*\z"
 
 
+def is_odd(yaml: Column) -> Column:
+    """Not ``PLAIN``, or with a field that is named twice, which is no YAML."""
+    keys = F.regexp_extract_all(yaml, F.lit(r"(?dm)^([A-Za-z_]+):"), F.lit(1))
+    return ~yaml.rlike(PLAIN) | (F.size(keys) > F.size(F.array_distinct(keys)))
+
+
 def note_tags(yaml: Column) -> Column:
-    """Tags as a YAML parser has them; only what is not ``PLAIN``, and has any, goes through it."""
-    odd = F.when(~yaml.rlike(PLAIN) & yaml.contains("tags"), yaml)
+    """Tags as a YAML parser has them; only what is odd, and has any, goes through it."""
+    odd = F.when(is_odd(yaml) & yaml.contains("tags"), yaml)
     return F.when(odd.isNull(), inline_tags(yaml)).otherwise(yaml_tags(odd))
 
 
