@@ -199,6 +199,24 @@ EARNED = " UNION ".join(
     + [f"SELECT path, '{t}' FROM pdocs WHERE {UNTAGGED} AND (" + " OR ".join(f"contains(lower(content), '{k}')" for k in c.keywords) + ")" for c in CONCEPTS for t in c.tags if t != "evergreen"]
     + [f"SELECT path, '{t}' FROM pdocs WHERE {UNTAGGED} AND stem = '{s}'" for s, tags in STEM_TAGS.items() for t in tags]
 )
+#: The steps of a sync round, each on the files as the ones before left them; none of the notes here has a section yet that a step has to keep.
+CTES |= {
+    "homenew": """SELECT 'Home.md' AS path, NULL::VARCHAR AS content, '---' || chr(10) || 'type: moc' || chr(10) || 'tags: [home]' || chr(10) || '---' || chr(10) || chr(10) || '# Home' || chr(10) || chr(10) || '## Projects' || chr(10)
+        || string_agg('- [[' || project || '/' || project || ']]' || chr(10), '' ORDER BY project) AS new FROM (SELECT DISTINCT project FROM pdocs)""",
+    "indexnew": """SELECT 'index.md' AS path, NULL::VARCHAR AS content, '---' || chr(10) || 'project: root' || chr(10) || 'type: agent-index' || chr(10) || 'tags: [agent-entry, layer/raw]' || chr(10) || '---' || chr(10) || chr(10) || '# vault -- Agent Index' || chr(10) || chr(10) || string_agg(t, '' ORDER BY i) AS new FROM itext""",
+    "autonew": f"""SELECT path, content, CASE WHEN has_fm THEN '---' || chr(10) || fm_yaml || chr(10) || line || chr(10) || '---' || chr(10) || body ELSE '---' || chr(10) || line || chr(10) || '---' || chr(10) || chr(10) || content END AS new
+      FROM notes JOIN (SELECT path, 'tags: [' || string_agg(tag, ', ' ORDER BY tag) || ']' AS line FROM ({EARNED}) GROUP BY 1) e USING (path)""",
+}
+ROUND = [
+    ("hubnew", "notes pdocs grouped hubtext hubnew"), ("homenew", "notes pdocs homenew"), ("indexnew", "notes found links pidx sidx res edges hubs plinks isec itext indexnew"), ("bridged", "notes pdocs hits br bridged"),
+    ("linked", "notes pdocs zback linked"), ("related", "notes pdocs hits br shared near kept related"), ("autonew", "notes pdocs autonew"),
+]
+for _n, (_plan, _names) in enumerate(ROUND):
+    _files = f"after{_n}" if _n else "files"
+    CTES |= again(_files, f"r{_n}_", _names)
+    CTES[f"after{_n + 1}"] = f"SELECT path, coalesce(p.new, f.content) AS content FROM {_files} f FULL JOIN (SELECT path, new FROM r{_n}_{_plan} WHERE new IS DISTINCT FROM content) p USING (path)"
+
+
 PLAN = "SELECT path, 'write' AS action, md5(new) AS digest FROM {0} WHERE new IS DISTINCT FROM content"
 RULE = r"\A---\n(.*?\n)---\n"
 QUERIES = {
@@ -298,6 +316,7 @@ QUERIES = {
     "commit_summary": r"""SELECT 'chore(vault): auto-update ' || coalesce(nullif(concat_ws(', ', CASE WHEN (SELECT count(*) FROM touched WHERE contains(file, '/') AND ends_with(file, string_split(file, '/')[1] || '.md')) > 0 THEN 'MOC' END,
           CASE WHEN (SELECT count(*) FROM touched WHERE regexp_matches(file, '[Zz]ettelkasten')) > 0 THEN 'bridge notes' END, CASE WHEN (SELECT count(*) FROM touched WHERE contains(file, '/src/') OR ends_with(file, '.rs')) > 0 THEN 'source' END), ''), 'vault content')
         || ' (' || count(*) || ' files)' AS message, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'changed') AS changed, count(*) FILTER (kind = 'renamed') AS renamed, count(*) FILTER (kind = 'removed') AS removed FROM changed""",
+    "sync_round": f"SELECT a.path, md5(a.content) AS digest FROM after{len(ROUND)} a LEFT JOIN files f USING (path) WHERE a.content IS DISTINCT FROM f.content",
     "snapshot_changes": "SELECT path, kind, old_path FROM changed",
     "delta_edges": "SELECT src, dst FROM l_edges",
     "edge_changes": "SELECT src, dst, 'added' AS change FROM l_edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM edges) UNION ALL SELECT src, dst, 'removed' FROM edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM l_edges)",
