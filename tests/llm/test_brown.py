@@ -68,9 +68,97 @@ def test_exchange_finds_classes_and_raises_likelihood():
 
 
 def test_probabilities_of_known_tokens_sum_to_at_most_one(spark):
-    docs = spark.createDataFrame([(i, f"a b c d{i % 4} a", 1) for i in range(20)], "id long, text string, extra long")
-    got = b.score_texts(docs, top=3, classes=2).collect()
-    assert all(r.score < 0 for r in got)
+    """Texts of at most two words exclude each other: of all that known words make, the probabilities sum to below one."""
+    train = [f"a b c d{i % 4} a" for i in range(20)] + ["a", "b c", "c"] * 5
+    known = sorted({w for t in train for w in t.split()})
+    asked = ["", *known, *(f"{x} {y}" for x in known for y in known)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(train)] + [(1000 + i, t, 0) for i, t in enumerate(asked)], "id long, text string, extra long")
+    got = {r.id: r.score for r in b.score_texts(docs, top=3, classes=2).collect()}
+    total = sum(10 ** got[1000 + i] for i in range(len(asked)))
+    assert all(x < 0 for x in got.values()) and 0.2 < total < 1
+    more = spark.createDataFrame([(i, t, 1) for i, t in enumerate(train)] + [(2000 + i, t, 0) for i, t in enumerate(["new1", "nëw", "n-w", "never"])], "id long, text string, extra long")
+    unseen = [r.score for r in b.score_texts(more, top=3, classes=2).collect() if r.id >= 2000]
+    assert total + sum(10**x for x in unseen) < 1
+
+
+def brute_scores(docs, top, classes):
+    """Scores of ``(id, text, train)`` word by word; only ``exchange`` of the top words is the operator's (tested by itself)."""
+    import xxhash
+
+    digest = lambda w: xxhash.xxh3_64_intdigest(w)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    texts = {i: ([*b.fold_words((t or "").encode()), b.END], train) for i, t, train in docs}
+    learned = [w for w, train in texts.values() if train]
+    n = Counter(x for w in learned for x in w)
+    known = sorted(sorted((w for w in n if w != b.END), key=lambda w: (-n[w], signed(digest(w))))[:top], key=digest)
+    start, end, size = classes + b.TAILS, classes + b.TAILS + 1, classes + b.TAILS + 2
+    place = {w: i for i, w in enumerate(known)} | {b.END: top + b.TAILS + 1}
+    symbol = lambda w: place.get(w, top + b.tail_of(w))
+    m = np.zeros((top + b.TAILS + 2,) * 2, np.int64)
+    for w in learned:
+        for x, y in zip([top + b.TAILS, *map(symbol, w)], map(symbol, w)):
+            m[x, y] += 1
+    cls = b.exchange(m, top, classes)
+    first = {w: int(cls[symbol(w)]) for w in {x for w, _ in texts.values() for x in w}}
+    big = np.zeros((size, size))
+    beside = {}
+    for w in learned:
+        seq = [start, *(first[x] for x in w), start]
+        for k, x in enumerate(w):
+            big[seq[k], seq[k + 1]] += 1
+            if x != b.END and x not in place:
+                left, right = beside.setdefault(x, (Counter(), Counter()))
+                left[seq[k]] += 1
+                right[seq[k + 2]] += 1
+    h = lambda x: x * math.log(x) if x > 0 else 0.0
+    of = dict(first)
+    for w, (left, right) in beside.items():
+        gains = []
+        for c in range(classes):
+            g = sum(h(big[k, c] + x) - h(big[k, c]) for k, x in left.items()) + sum(h(big[c, k] + x) - h(big[c, k]) for k, x in right.items())
+            out_, in_ = big[c].sum(), big[:, c].sum()
+            gains.append(g - h(out_ + n[w]) + h(out_) - h(in_ + n[w]) + h(in_))
+        of[w] = max(range(classes), key=lambda c: (round(gains[c], 9), -c))
+    once = {w for w in beside if n[w] == 1}
+    trans, tokens = np.zeros((size, size)), Counter()
+    for w in learned:
+        prior, rare = start, None
+        for x in w:
+            c, tail = of[x], first[x] if x in once else None
+            tokens[c] += 1
+            trans[prior, c] += 1
+            if tail is not None:
+                trans[prior, tail] += 1
+            if rare is not None:
+                trans[rare, c] += 1
+                if tail is not None:
+                    trans[rare, tail] += 1
+            prior, rare = c, tail
+    types = Counter(of[w] for w in [*known, *beside])
+    probability = (trans + b.ADD) / (trans.sum(1, keepdims=True) + b.ADD * size)
+    out = {}
+    for i, (w, _) in texts.items():
+        total, prior = 0.0, start
+        for x in w:
+            c = of[x]
+            p = probability[prior, c]
+            if c < classes:
+                p *= (n[x] + b.ADD) / (tokens[c] + b.ADD * types[c])
+            elif c != end:
+                p *= b.ADD / (b.ADD * (1 + trans[:, c].sum()))
+            total, prior = total + math.log10(p), c
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("top,classes", [(5, 2), (30, 6), (500, 3)])
+def test_scores_equal_brute_force(spark, top, classes):
+    rng = np.random.default_rng(top)
+    pool = [f"w{i}" for i in range(40)] + [f"plain{chr(97 + i)}" for i in range(20)] + [f"é{i}" for i in range(9)] + ["a-b", "x_y", "Zed"]
+    text = lambda k: " ".join(pool[int(x) % len(pool)] for x in rng.zipf(1.4, k))
+    docs = [(i, text(int(rng.integers(0, 25))), int(i % 4 > 0)) for i in range(60)] + [(100, None, 1), (101, "", 0), (102, "never seen wörds 12 --", 0), (103, "once", 1), (104, "plaina " * 3000, 0)]
+    got = {r.id: r.score for r in b.score_texts(spark.createDataFrame(docs, "id long, text string, extra long"), top=top, classes=classes, block_bytes=600).collect()}
+    assert got == pytest.approx(brute_scores(docs, top, classes), rel=1e-9)
 
 
 def test_looks_of_many_words():
