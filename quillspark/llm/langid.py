@@ -1,16 +1,18 @@
 """Language of texts, also code-switched ones, by a linear-chain CRF over words.
 
 A word's features are its byte n-grams of 1 to 4 with the word's edges marked -
-those at an edge are its affixes - and the whole word, its lexicon entry; they
-are hashed into ``2 ** bits`` weights a language.  Transition weights between
+those at an edge are its affixes -, the whole word, and for every language whose
+lexicon holds it that it does (or that none does).  A language's lexicon is the
+words that its training texts hold ``LEAST`` times.  Features are hashed into
+``2 ** bits`` weights a language.  Transition weights between
 languages are learned with them: training sequences join runs of words from
 documents of several languages, and the gradient is that of the conditional
 likelihood, by forward-backward.
 
-Training takes a bounded sample: at most ``per_language`` labelled documents of
-every language, those first by a hash of text and id, of a very long one the first
-``most_chars`` characters; and of these texts, cut into runs of 12 words, random
-runs of at most ``most_words`` words a language.
+Training takes a bounded sample of labelled rows: at most ``per_language`` documents
+of every language, those first by a hash of text and id.  A document is learned
+from in runs of 12 words: all of them, or where it has more than ``most_runs``, as
+many spread evenly over the whole text.
 Every labelled language is learned.  Prediction covers every word of every text: forward-backward marginals, summed over words with letters; the
 language of largest mean marginal is the answer and that mean its score.
 
@@ -21,13 +23,15 @@ against that of labelled texts left out when the n-grams were gathered.
 
 Defined cases: ``und`` with score 0 for null, empty and letterless texts and
 where nothing could be learned (no labelled text); rows are judged one by one;
-ties go to the language first by name; extra columns are ignored.
+ties go to the language first by name; extra columns are ignored; an empty table
+gives no rows; texts of any length are predicted whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +43,34 @@ from quillspark.llm.common import batch, fold_words, mix64, slices, strings, tab
 UND = "und"
 BITS = 18
 GRAMS = (1, 2, 3, 4)
+#: Words of a training run, and how often a lexicon's words are found in training.
+RUN, LEAST = 12, 3
 
 
-def features(words: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+class Lexicon:
+    """Which languages' lexica hold a word; words by hash."""
+
+    def __init__(self, counts: list[dict[bytes, int]], least: int = LEAST):
+        held = [{w for w, n in c.items() if n >= least} for c in counts]
+        words = sorted(set().union(*held)) if held else []
+        keys = hashed(words)
+        order = np.argsort(keys)
+        self.keys, self.languages = keys[order], np.array([[w in h for h in held] for w in words], bool).reshape(len(words), len(held))[order]
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(word, code)`` of words given by hash: a code for each language that holds it, 0 for none."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        hit = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        word, language = np.nonzero(self.languages[at] & hit[:, None]) if len(self.keys) else (np.zeros(0, np.int64),) * 2
+        none = np.flatnonzero(~hit)
+        return np.concatenate([word, none]), np.concatenate([language + 1, np.zeros(len(none), np.int64)])
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64) if words else np.zeros(0, np.uint64)
+
+
+def features(words: list[bytes], bits: int = BITS, lexicon: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words: one flat array, and where each word's begin."""
     marked = [b"\x02" + w + b"\x03" for w in words]
     flat = np.frombuffer(b"".join(marked) + b"\0" * 8, np.uint8).astype(np.uint64)
@@ -56,16 +85,17 @@ def features(words: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
         keep = left >= n
         out.append(code[keep] + np.uint64(n << 40))
         owner.append(word[keep])
-    whole = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64) if words else np.zeros(0, np.uint64)
-    flat_out, owner = np.concatenate([*out, whole]), np.concatenate([*owner, np.arange(len(words))])
+    whole = hashed(words)
+    held, code = lexicon.of(whole) if lexicon is not None else (np.zeros(0, np.int64),) * 2
+    flat_out, owner = np.concatenate([*out, whole, code.astype(np.uint64) + np.uint64(9 << 40)]), np.concatenate([*owner, np.arange(len(words)), held])
     order = np.argsort(owner, kind="stable")
     slots = (mix64(flat_out[order]) >> np.uint64(64 - bits)).astype(np.int64)
     return slots, np.searchsorted(owner[order], np.arange(len(words)))
 
 
-def emissions(words: list[bytes], weights: np.ndarray) -> np.ndarray:
+def emissions(words: list[bytes], weights: np.ndarray, lexicon: Lexicon | None = None) -> np.ndarray:
     """A row a word: its features' weights summed, by language; long words count by the mean of as many as 40."""
-    slots, starts = features(words)
+    slots, starts = features(words, lexicon=lexicon)
     sums = np.add.reduceat(weights[slots], starts, axis=0)
     n = np.diff(np.append(starts, len(slots)))
     return sums * np.minimum(1.0, 40.0 / n)[:, None].astype(np.float32)
@@ -89,18 +119,15 @@ def marginals(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> tuple[np
     return post / post.sum(2, keepdims=True), fwd, bwd
 
 
-def learn(samples: list[tuple[str, bytes]], languages: list[str], bits: int = BITS, run: int = 24, most_words: int = 60_000, epochs: int = 3, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions from labelled texts, at most ``most_words`` words a language, by AdaGrad on the conditional likelihood."""
+def learn(samples: list[tuple[str, bytes]], languages: list[str], bits: int = BITS, epochs: int = 3, seed: int = 7) -> tuple[np.ndarray, np.ndarray, Lexicon]:
+    """Weights, transitions and lexica from labelled texts, by AdaGrad on the conditional likelihood."""
     k, rng = len(languages), np.random.default_rng(seed)
-    runs: dict[int, list[list[bytes]]] = {i: [] for i in range(k)}
+    halves, counts = [], [Counter() for _ in range(k)]
     for lang, text in samples:
-        w = fold_words(text)
-        runs[languages.index(lang)] += [w[i : i + run // 2] for i in range(0, len(w), run // 2)]
-    quota = max(1, most_words // (run // 2))
-    halves = []
-    for i, r in runs.items():
-        picked = rng.permutation(len(r))[:quota]
-        halves += [(i, r[j]) for j in picked]
+        w, i = fold_words(text), languages.index(lang)
+        counts[i].update(w)
+        halves += [(i, w[j : j + RUN]) for j in range(0, len(w), RUN)]
+    lexicon = Lexicon(counts)
     order = rng.permutation(len(halves))
     # A sequence is two runs: mostly of one language, at times of two, as in code-switched text.
     by: dict[int, list[list[bytes]]] = {i: [] for i in range(k)}
@@ -124,9 +151,9 @@ def learn(samples: list[tuple[str, bytes]], languages: list[str], bits: int = BI
             lengths = np.array([len(s) for s in part])
             n = lengths.max()
             words = [w for s in part for _, w in s]
-            slots, starts = features(words, bits)
-            counts = np.diff(np.append(starts, len(slots)))
-            scale = np.minimum(1.0, 40.0 / counts).astype(np.float32)
+            slots, starts = features(words, bits, lexicon)
+            sizes = np.diff(np.append(starts, len(slots)))
+            scale = np.minimum(1.0, 40.0 / sizes).astype(np.float32)
             flat = np.add.reduceat(weights[slots], starts, axis=0) * scale[:, None]
             mask = np.arange(n) < lengths[:, None]
             e, y = np.zeros((len(part), n, k)), np.zeros((len(part), n), int)
@@ -137,7 +164,7 @@ def learn(samples: list[tuple[str, bytes]], languages: list[str], bits: int = BI
             g = (error[mask].astype(np.float32) * scale[:, None]) / len(part)
             step = np.empty((1 << bits, k), np.float32)
             for c in range(k):
-                step[:, c] = np.bincount(slots, np.repeat(g[:, c], counts), 1 << bits)
+                step[:, c] = np.bincount(slots, np.repeat(g[:, c], sizes), 1 << bits)
             g_w += step * step
             weights -= 0.5 * step / np.sqrt(g_w)
             p = np.exp(e - e.max(2, keepdims=True))
@@ -149,11 +176,11 @@ def learn(samples: list[tuple[str, bytes]], languages: list[str], bits: int = BI
             step_t = (pair[both].sum(0) - want) / len(part)
             g_t += step_t**2
             trans -= 0.3 * step_t / np.sqrt(g_t)
-    return weights, trans
+    return weights, trans, lexicon
 
 
-def labelled(docs: DataFrame, per_language: int = 250, most_chars: int = 200_000) -> list[tuple[str, bytes]]:
-    """At most ``per_language`` texts of every language, first by a hash of id and text, then by text; of each its first ``most_chars`` characters.
+def labelled(docs: DataFrame, per_language: int = 250, most_runs: int = 100) -> list[tuple[str, bytes]]:
+    """At most ``per_language`` texts of every language, first by a hash of id and text, then by text; of each at most ``most_runs`` runs of words, from all over it.
 
     Labels are names of languages, some hundreds at most: their counts are broadcast, and each has a megabyte of weights.
     """
@@ -161,10 +188,24 @@ def labelled(docs: DataFrame, per_language: int = 250, most_chars: int = 200_000
     counts = some.groupBy("lang").count()
     # About three times as many as needed by a threshold on the hash, so that little is sorted.
     place = F.pmod("h", F.lit(1_000_003))
-    near = some.join(F.broadcast(counts), "lang").filter(place * F.col("count") < F.lit(3 * per_language * 1_000_003)).select("lang", F.left("text", F.lit(most_chars)).alias("text"), "h")
+    near = some.join(F.broadcast(counts), "lang").filter(place * F.col("count") < F.lit(3 * per_language * 1_000_003)).select("lang", "text", "h")
     order = Window.partitionBy("lang").orderBy("h", "text")
     first = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
-    return [(r.lang, r.text.encode("utf-8", "surrogatepass")) for r in first.orderBy("lang", "n").select("lang", "text").toLocalIterator()]
+
+    def spread(batches):
+        for whole in batches:
+            for b in slices(whole, "text"):
+                texts = []
+                for t in strings(b["text"]):
+                    w = fold_words(t)
+                    n = -(-len(w) // RUN)
+                    if n > most_runs:
+                        w = [x for i in range(most_runs) for x in w[i * n // most_runs * RUN :][:RUN]]
+                    texts.append(b" ".join(w))
+                yield pa.RecordBatch.from_arrays([b["lang"], b["n"], pa.array(texts, pa.binary())], names=["lang", "n", "words"])
+
+    runs = first.select("lang", "n", "text").mapInArrow(spread, "lang string, n int, words binary")
+    return [(r.lang, bytes(r.words)) for r in runs.orderBy("lang", "n").toLocalIterator()]
 
 
 def fours(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +226,8 @@ class Model:
     ``known``: hashed n-grams of each language; ``least``: the share of them below which a text is of none (None: cannot be told).
     """
 
-    def __init__(self, languages: list[str], weights: np.ndarray, trans: np.ndarray):
-        self.languages, self.weights, self.trans = languages, weights, trans
+    def __init__(self, languages: list[str], weights: np.ndarray, trans: np.ndarray, lexicon: Lexicon | None = None):
+        self.languages, self.weights, self.trans, self.lexicon = languages, weights, trans, lexicon
         self.known, self.least = np.zeros((1 << BITS, len(languages)), bool), None
 
     def gather(self, samples: list[tuple[str, bytes]], least_texts: int = 5, least_grams: int = 100) -> None:
@@ -226,7 +267,7 @@ class Model:
         todo = [i for i, x in enumerate(index) if len(x) and letters[x].any()]
         if not self.languages or not todo:
             return out
-        rows = emissions(list(place), self.weights)
+        rows = emissions(list(place), self.weights, self.lexicon)
         grams, starts = fours(list(place))
         have = np.add.reduceat(self.known[grams].astype(np.int32), starts, axis=0)
         n_grams = np.diff(np.append(starts, len(grams)))

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import zlib
 
@@ -60,4 +61,67 @@ def test_every_language_is_learned_from_an_ordered_sample(spark):
     assert one == two and len(one) == 280 and len({x for x, _ in one}) == 70
     model = g.train(df, 4)
     assert len(model.languages) == 70 and model.predict([b"w69a w69b w69c w69a w69b"])[0][0] == "l69"
-    assert max(len(t) for _, t in g.labelled(spark.createDataFrame([(1, "x " * 300_000, "en")], "doc_id long, text string, lang string"))) == 200_000
+    assert max(len(t) for _, t in g.labelled(spark.createDataFrame([(1, "x " * 300_000, "en")], "doc_id long, text string, lang string"))) == 2 * 1200 - 1
+
+
+def plain(model, text):
+    """Language and score word by word in plain loops: features, forward-backward by sums of products, means over words with letters."""
+    words = g.fold_words((text or "").encode())
+    k = len(model.languages)
+    slot = lambda x: int(g.mix64(np.array([x % (1 << 64)], np.uint64))[0] >> np.uint64(64 - g.BITS))
+    lexica = {int(key): [i for i, x in enumerate(row) if x] for key, row in zip(model.lexicon.keys, model.lexicon.languages)}
+    rows, letters = [], []
+    for w in words:
+        marked, slots = b"\x02" + w + b"\x03", []
+        for n in (1, 2, 3, 4):
+            slots += [slot(int.from_bytes(marked[i : i + n], "little") + (n << 40)) for i in range(len(marked) - n + 1)]
+        key = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        slots.append(slot(key))
+        slots += [slot((9 << 40) + i + 1) for i in lexica[key]] if key in lexica else [slot(9 << 40)]
+        rows.append(model.weights[slots].astype(float).sum(0) * min(1.0, 40 / len(slots)))
+        letters.append(any(c.isalpha() for c in w.decode("utf-8", "replace")))
+    if not any(letters):
+        return "und", 0.0
+    t, p = np.exp(model.trans), [np.exp(r - r.max()) for r in rows]
+    fwd, bwd = [p[0]], [np.ones(k)]
+    for x in p[1:]:
+        nxt = np.array([sum(fwd[-1][a] * t[a, b] for a in range(k)) * x[b] for b in range(k)])
+        fwd.append(nxt / nxt.sum())
+    for x in reversed(p[1:]):
+        nxt = np.array([sum(t[a, b] * x[b] * bwd[0][b] for b in range(k)) for a in range(k)])
+        bwd.insert(0, nxt / nxt.sum())
+    post = [f * b / (f * b).sum() for f, b in zip(fwd, bwd)]
+    mean = sum(q for q, x in zip(post, letters) if x) / sum(letters)
+    return model.languages[int(mean.argmax())], float(mean.max())
+
+
+def test_predictions_equal_brute_force(spark, tmp_path):
+    """A small table: learned as the query learns, then every text predicted in plain loops."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").filter("doc_id % 7 = 0 AND length(text) < 3000").collect()
+    texts = [(r.doc_id, r.text, r.lang) for r in rows] + [(10**6 + i, t, None) for i, t in enumerate([*AWKWARD, "12 34 .. --", "mixed: der Hund und the dog le chien"])]
+    folder = saved(spark.createDataFrame(texts, "doc_id long, text string, lang string"), tmp_path)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = g.train(docs.filter(~g.held_out(docs["doc_id"])))
+    got = as_dict(g.op4_language(spark, folder))
+    assert len(got) == len(texts) and model.lexicon.languages.any(0).all()
+    for i, t, _ in texts:
+        lang, score = plain(model, t)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-3, (i, got[i], lang, score)
+
+
+def test_lexica_hold_what_training_texts_repeat():
+    x = g.Lexicon([{b"der": 5, b"und": 3, b"rar": 2}, {b"the": 9, b"und": 4}])
+    word, code = x.of(g.hashed([b"der", b"und", b"the", b"rar", b"new"]))
+    assert sorted(zip(word.tolist(), code.tolist())) == [(0, 1), (1, 1), (1, 2), (2, 2), (3, 0), (4, 0)]
+    assert g.Lexicon([]).of(g.hashed([b"a"]))[1].tolist() == [0]
+
+
+def test_long_texts_are_learned_from_all_over_and_predicted_whole(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long, "xx"), (2, "kurz und gut", "de")], "doc_id long, text string, lang string")
+    words = {lang: t.split() for lang, t in g.labelled(docs, most_runs=10)}
+    assert len(words["xx"]) == 120 and words["xx"][0] == b"w0" and int(words["xx"][-1][1:]) > 50_000 and words["de"] == [b"kurz", b"und", b"gut"]
+    model = g.train(spark.read.parquet(f"{SF}/documents.parquet"), 40)
+    some = {lang: t.decode() for lang, t in g.labelled(spark.read.parquet(f"{SF}/documents.parquet"), 2)}
+    turns = some["en"] + " " + (some["de"] + " ") * (2_000_000 // len(some["de"]))
+    assert model.predict([turns.encode()])[0][0] == "de"
