@@ -3,6 +3,13 @@
 A stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``documents``
 (the last one token ids); between stages rows are written as Parquet and read
 again.
+
+Defined cases, for every stage: columns beside those of ``documents`` are dropped,
+whatever their names; texts of any length are taken whole; rows are judged one by
+one, so repeated rows share their fate, but for near duplicates, of which one row
+stays; a null doc_id is a document like others, and none is another's copy; an
+empty table stays empty.  Null, empty and letterless texts are of no language and
+go in the first stage; where a later one is given them, they stay.
 """
 
 from __future__ import annotations
