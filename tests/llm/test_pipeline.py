@@ -92,3 +92,37 @@ def test_foreign_texts_and_gibberish_go_and_mixed_texts_stay(spark, languages):
     assert [i for i in range(len(FOREIGN)) if 10**6 + i in kept] == [] and 10**6 + len(FOREIGN) in kept
     print(languages, docs.count(), len(kept) - 1)
     assert len(kept) - 1 > 0.95 * docs.count()
+
+
+def test_awkward_rows_in_every_stage(spark, tmp_path):
+    """Nulls, repeats, very long and empty texts, and columns whose names clash with those the stages use."""
+    import hashlib
+
+    from tests.llm.helpers import AWKWARD
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    clean = [r.text for r in docs.filter("lang = 'en' AND n_chars BETWEEN 800 AND 3000").orderBy("doc_id").limit(40).collect()]
+    words = " ".join(clean).split()
+    long = " ".join(words[(i * i) % len(words)] for i in range(150_000))
+    odd = [(10**6 + i, t, None, None, None) for i, t in enumerate(AWKWARD)] + [(None, clean[0] + " one more", "en", "s", 1), (2 * 10**6, long, "en", "s", 1), *[(2 * 10**6 + 1, " ".join(words[i * 7 % len(words)] for i in range(400)), "en", "s", 1)] * 2]
+    clash = {c: F.lit("x") for c in ("lang_pred", "score", "fits", "component_id", "n_hit", "n_words", "bad_id", "spans", "ids", "row", "kind", "node", "sig", "n")}
+    rows = docs.union(spark.createDataFrame(odd, docs.schema)).withColumns(clash)
+    none = rows.filter(F.col("text").isNull() | (F.trim("text") == "")).count()
+    assert none >= 3
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (rows, rows.limit(0)):
+            stage(spark, given, SF).write.mode("overwrite").parquet(f"{tmp_path}/{name}{given is rows}")
+        got = spark.read.parquet(f"{tmp_path}/{name}True")
+        assert spark.read.parquet(f"{tmp_path}/{name}False").count() == 0
+        if name != "byte_bpe":
+            assert got.columns == corpus_pipeline.COLUMNS
+            kept = {}
+            for r in got.collect():
+                kept.setdefault(r.doc_id, []).append(r.text)
+            assert kept[2 * 10**6] == [long] and None in kept
+            assert len(kept[2 * 10**6 + 1]) == (1 if name == "near_duplicates" else 2)
+            empty = sum(t is None or not t.strip(" \t\n\x0b\x0c\r") for x in kept.values() for t in x)
+            assert empty == 0 if name == "language_id" else empty >= 3
+        else:
+            sha = {r.doc_id: r.decoded_sha256 for r in got.collect()}
+            assert got.count() == rows.count() and sha[2 * 10**6] == hashlib.sha256(long.encode()).hexdigest() and sha[10**6] == hashlib.sha256(b"").hexdigest()
