@@ -256,6 +256,15 @@ class Model:
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
         return [x[:2] for x in self.judged(texts)]
 
+    def looked_up(self, words: list[bytes], some: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions, known n-grams by language and all n-grams of each word, made for ``some`` words at a time."""
+        out = []
+        for at in range(0, len(words), some):
+            part = words[at : at + some]
+            grams, starts = fours(part)
+            out.append((emissions(part, self.weights, self.lexicon), np.add.reduceat(self.known[grams].astype(np.int32), starts, axis=0), np.diff(np.append(starts, len(grams)))))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
     def judged(self, texts: list[bytes], most_cells: int = 400_000) -> list[tuple[str, float, float, float]]:
         """Language, score, known n-grams and all n-grams of each text."""
         cut = [fold_words(t) for t in texts]
@@ -267,10 +276,7 @@ class Model:
         todo = [i for i, x in enumerate(index) if len(x) and letters[x].any()]
         if not self.languages or not todo:
             return out
-        rows = emissions(list(place), self.weights, self.lexicon)
-        grams, starts = fours(list(place))
-        have = np.add.reduceat(self.known[grams].astype(np.int32), starts, axis=0)
-        n_grams = np.diff(np.append(starts, len(grams)))
+        rows, have, n_grams = self.looked_up(list(place))
         todo.sort(key=lambda i: len(index[i]))
         while todo:
             n = len(index[todo[-1]])

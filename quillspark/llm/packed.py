@@ -101,8 +101,11 @@ def totals(t: pa.Table, half: bool = False, n_kind: str = "<u4", wide: bool = Fa
     """Of one range: distinct keys, their sums, each sent key's place among them, and how many each row sent."""
     raw, kind = t["keys"].to_pylist(), WIDE if wide else np.dtype("<u4" if half else "<u8")
     keys, sizes = np.frombuffer(b"".join(raw), kind), [len(x) // kind.itemsize for x in raw]
-    n = np.concatenate([np.ones(s, np.int64) if x is None else np.frombuffer(x, n_kind).astype(np.int64) for s, x in zip(sizes, t["n"].to_pylist())])
-    found, at, _ = distinct(keys)
+    found, at, times = distinct(keys)
+    n = t["n"].to_pylist()
+    if all(x is None for x in n):
+        return found, times, at, sizes
+    n = np.concatenate([np.ones(s, n_kind) if x is None else np.frombuffer(x, n_kind) for s, x in zip(sizes, n)])
     return found, np.bincount(at, n, len(found)).astype(np.int64), at, sizes
 
 
@@ -112,6 +115,8 @@ def answers(sends: DataFrame, give: Callable[[np.ndarray], np.ndarray], kind: st
     def answer(t: pa.Table) -> pa.Table:
         _, sums, at, sizes = totals(t, half, n_kind, wide)
         out = give(sums).astype(kind)[at]
+        del at, sums
+        trim_memory()
         ends = np.cumsum(sizes)
         return pa.table({"block": t["block"], "part": t["part"], "n": pa.array([out[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())})
 
