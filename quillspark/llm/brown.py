@@ -23,7 +23,9 @@ only these matrices, of fixed size, and the ``top`` words reach the driver.
 Defined cases: null and empty texts hold the end alone; rows are scored one by
 one, so repeated rows repeat (and count as often in training); a null doc_id
 counts as the empty string for the split; with no training text every token is
-unknown; extra columns are ignored.
+unknown; extra columns are ignored; an empty table gives no rows; texts of any
+length are scored whole; equally common words go by their hash, and equal gains to
+the class of smaller number.
 """
 
 from __future__ import annotations

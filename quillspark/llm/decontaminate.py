@@ -14,7 +14,9 @@ the same and no task ever holds more than one block.
 
 Defined cases: a null or wordless text has no words and is never contaminated;
 items without words or with a null id are ignored; repeated item ids count
-once; document rows are judged one by one, so repeated rows repeat.
+once; document rows are judged one by one, so repeated rows repeat; texts of any
+length are taken whole; without items or documents there are no hits or no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations

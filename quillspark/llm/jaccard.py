@@ -26,7 +26,8 @@ Sets are the distinct ``size``-word shingles of whole texts, hashed to 64 bits.
 Defined cases: without words or text a set is empty and linked with nothing;
 with fewer words than ``size`` it is the whole sequence; rows of one doc_id are
 one node; a null doc_id takes part in nothing and has a null component; extra
-columns are ignored.
+columns are ignored; an empty table gives no rows; a text of any length is one row
+of a block and taken whole; ties between leaders go to the smaller doc_id.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ complement stands within ``scope`` code points in the same document:
 The link is an interval join: parts are binned by position, complements are
 offered to three bins, and a left semi join keeps weak parts with a partner, so
 no pairs are made.  Parts are far smaller than the texts; they are written once
-to the shared folder and the patterns run once over each text.  A text of many
+to the shared folder; a text is gone through three times a pattern (whether it
+matches, what lies between matches, the matches), whatever its length.  A text of many
 matches (a dump of keys) costs their number times its root.
 
 Defined cases: a null or empty text has no spans; rows are judged one by one,

@@ -22,7 +22,8 @@ A bounded two-generation table keeps chunks between blocks.
 
 Defined cases: a null text is empty and holds the end id alone; null doc ids
 come first; rows of equal doc_id follow by their number of ids and their bytes;
-repeated rows repeat; extra columns are ignored; an empty table gives no shards.
+repeated rows repeat; extra columns are ignored; an empty table gives no shards; a
+text of any length is encoded whole, chunk by chunk, and is one frame.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ to end where its archive ends; if it does not, reading fails.
 Defined cases: a null html is empty; rows are judged one by one, so repeated
 rows give repeated records; all rows of a payload's smallest page_id are
 responses; a null page_id is never referred to while another id has the payload;
-a null url has no target header; an empty table gives no archives and no rows.
+a null url has no target header; an empty table gives no archives and no rows; a
+payload of any length is one record, written and read whole; extra columns are
+ignored.
 """
 
 from __future__ import annotations
