@@ -126,7 +126,7 @@ def serve(spark: SparkSession, vaults: list[dict], checkpoints: str, as_of: Call
     """
     import threading
 
-    from quillspark.sources.vault import read_vault
+    from quillspark.sources.walk import read_folder
 
     configs = {v["name"]: (config or (lambda v: VaultConfig.load(v["path"])))(v) for v in vaults if v.get("enabled", True)}
     ended = threading.Event()
@@ -137,7 +137,7 @@ def serve(spark: SparkSession, vaults: list[dict], checkpoints: str, as_of: Call
         while not ended.is_set() and (times is None or n < times):
             bad = []
             try:
-                files = read_vault(spark, v["path"], c.graph_excluded())
+                files = written(read_folder(spark, v["path"], c.graph_excluded()), "vault")
                 after, bad = sync(files, c)
                 E.apply_to_disk(changes_to_plan(files, after), v["path"])
             except Exception as e:  # the other vaults, and the next round, go on
