@@ -35,6 +35,17 @@ class Concept:
     tags: list[str] = field(default_factory=list)
 
 
+@dataclass
+class ModelConfig:
+    """Which model answers, and how many questions may be out at a time."""
+
+    provider: str = "ollama"
+    model: str = "gemma3"
+    base_url: str | None = None
+    api_key: str | None = None
+    max_concurrent: int | None = None  #: 5, if not given
+
+
 @dataclass
 class VaultConfig:
     name: str = "vault"
@@ -49,8 +60,18 @@ class VaultConfig:
     tool_dirs: list[str] = field(default_factory=list)
     protected_files: list[str] = field(default_factory=lambda: ["index.md"])
     concepts: list[Concept] = field(default_factory=list)
+    backlinks: bool = True
+    bridge_notes: bool = True
+    auto_tags: bool = True
+    related_projects: bool = True
     sync_minutes: int | None = None
     daemon_seconds: int | None = None
+    model: ModelConfig = field(default_factory=ModelConfig)
+
+    def steps(self) -> list[str]:
+        """The steps of a sync round that are switched on, in order."""
+        on = {"bridge notes": self.bridge_notes, "backlinks": self.backlinks, "related": self.related_projects, "auto tags": self.auto_tags}
+        return ["hubs", "home", "index", *(name for name, x in on.items() if x)]
 
     def all_system_dirs(self) -> list[str]:
         own = [self.inbox_dir, self.zettelkasten_dir, self.archive_dir, self.attachments_dir, self.templates_dir]
@@ -67,24 +88,46 @@ class VaultConfig:
         return cli or self.daemon_seconds or (self.sync_minutes and self.sync_minutes * 60) or 300
 
     @classmethod
-    def load(cls, root: str, defaults: dict | None = None) -> VaultConfig:
-        """``vault.toml`` under ``root``; values of ``defaults`` hold where the file's are unset or as built in."""
+    def load(cls, root: str, defaults: dict | None = None, shared: str | None = None) -> VaultConfig:
+        """``vault.toml`` under ``root``, over the settings of all vaults in the file ``shared``.
+
+        A shared section holds where the vault's own is as built in (``projects``,
+        ``graph``), a shared value where the vault sets none (intervals, ``ai``).
+        Values of ``defaults`` hold where what results is unset or as built in.
+        """
         path = Path(root) / "vault.toml"
         raw = tomllib.loads(path.read_text()) if path.exists() else {}
-        flat = {**raw.get("vault", {}), **{k: v for k, v in raw.get("projects", {}).items() if k == "exclude"}}
-        if "interval_minutes" in raw.get("sync", {}):
-            flat["sync_minutes"] = raw["sync"]["interval_minutes"]
-        if "interval_seconds" in raw.get("daemon", {}):
-            flat["daemon_seconds"] = raw["daemon"]["interval_seconds"]
-        concepts = [Concept(c["name"], list(c.get("keywords", [])), list(c.get("tags", []))) for c in raw.get("graph", {}).get("concepts", [])]
-        known = {k: v for k, v in flat.items() if k in cls.__dataclass_fields__}
-        out, plain = cls(**known, concepts=concepts), cls()
+        more = tomllib.loads(Path(shared).read_text()) if shared and Path(shared).exists() else {}
+        plain = cls()
+        out = cls(**{k: v for k, v in raw.get("vault", {}).items() if k in cls.__dataclass_fields__ and k not in SECTIONED})
+        for section, read in (("projects", _projects), ("graph", _graph)):
+            own = read(raw.get(section, {}))
+            for k, v in (own if own != read({}) else read(more.get(section, {}))).items():
+                setattr(out, k, v)
+        for section, key, name in (("sync", "interval_minutes", "sync_minutes"), ("daemon", "interval_seconds", "daemon_seconds")):
+            setattr(out, name, raw.get(section, {}).get(key) or more.get(section, {}).get(key))
+        known = ModelConfig.__dataclass_fields__
+        own, theirs = (ModelConfig(**{k: v for k, v in x.get("ai", {}).items() if k in known}) for x in (raw, more))
+        out.model = ModelConfig(**{k: getattr(theirs, k) if getattr(own, k) == f.default else getattr(own, k) for k, f in known.items()})
         for k, v in (defaults or {}).items():
             if k in cls.__dataclass_fields__ and getattr(out, k) == getattr(plain, k):
                 setattr(out, k, v)
         return out
 
 
+#: Settings of other sections than ``vault``.
+SECTIONED = {"exclude", "concepts", "backlinks", "bridge_notes", "auto_tags", "related_projects", "sync_minutes", "daemon_seconds", "model"}
+
+
+def _projects(section: dict) -> dict:
+    return {"exclude": list(section.get("exclude", []))}
+
+
+def _graph(section: dict) -> dict:
+    flags = {k: bool(section.get(k, True)) for k in ("backlinks", "bridge_notes", "auto_tags", "related_projects")}
+    return flags | {"concepts": [Concept(c["name"], list(c.get("keywords", [])), list(c.get("tags", []))) for c in section.get("concepts", [])]}
+
+
 def resolve_vault(flag: str | None = None, env: str = "VAULT_PATH", cwd: str | None = None, registered: list[str] | None = None, levels: int = 6) -> str | None:
     """The vault to work on: the flag, the environment, the nearest folder upwards with ``vault.toml``, or the only one registered."""
     if flag or os.environ.get(env):

@@ -182,7 +182,7 @@ def rounds(load: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame]
 def sync(files: DataFrame, config: VaultConfig | None = None, only: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """A sync round without disk: hubs, home, index, then bridge notes, backlinks, related projects, auto tags, each planned on what the ones before wrote.
 
-    ``only`` names the steps to take (all, if not given). Returns the files as they
+    ``only`` names the steps to take (those the config has switched on, if not given). Returns the files as they
     would be and the steps that failed; a failing step does not stop the next.
     """
     config = config or VaultConfig()
@@ -200,7 +200,7 @@ def sync(files: DataFrame, config: VaultConfig | None = None, only: list[str] |
     }
     failed = []
     for name, step in steps.items():
-        if only is not None and name not in only:
+        if name not in (config.steps() if only is None else only):
             continue
         try:
             files = written(E.applied(files, step(G.notes(files, config.graph_excluded()))), "sync")

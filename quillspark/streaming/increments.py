@@ -60,8 +60,11 @@ class Memory:
 
     @classmethod
     def loaded(cls, spark: SparkSession, folder: str) -> Memory:
-        read = lambda name: spark.read.parquet(f"{folder}/{name}")
-        return cls({k: read(f"seen-{i}") for i, k in enumerate(STEPS)}, read("hits"), read("found"))
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        read = lambda name: spark.read.parquet(f"{folder}/{name}") if fs.exists(path(f"{folder}/{name}/_SUCCESS")) else None
+        seen = {k: read(f"seen-{i}") for i, k in enumerate(STEPS)}
+        return cls({k: x for k, x in seen.items() if x is not None}, read("hits"), read("found"))
 
 
 @dataclass
@@ -126,6 +129,10 @@ def round_of_changes(files: DataFrame, memory: Memory | None = None, config: Vau
         return B.project_docs(notes, config)
 
     def step(name: str, plan: DataFrame | None, outputs: int) -> None:
+        if name not in config.steps():  # without a memory it plans all once it is switched on
+            planned[name] = 0
+            new.seen.pop(name, None)
+            return
         planned[name] = outputs
         if plan is not None:
             v.take(written(plan, "plan"))

@@ -220,3 +220,45 @@ def test_grams_in_slices(spark, monkeypatch, size):
     df = frame(spark, {"a": "abcdefgh\U0001f600é\nabc", "b": "", "c": "xy"})
     by = df.select("path", F.explode(bridges.slices(F.col("content"))).alias("s")).select("path", F.explode(bridges.grams(F.col("s"))).alias("g")).distinct()
     assert rows(by) == rows(df.select("path", F.explode(bridges.grams(F.col("content"))).alias("g")).distinct())
+
+
+def test_settings_of_all_vaults(tmp_path):
+    """Whole sections where a vault's own is as built in, single values where it sets none."""
+    shared = tmp_path / "shared.toml"
+    shared.write_text('[projects]\nexclude = ["x"]\n[graph]\nauto_tags = false\n[[graph.concepts]]\nname = "c"\nkeywords = ["k"]\n[sync]\ninterval_minutes = 9\n[daemon]\ninterval_seconds = 77\n[ai]\nprovider = "openai"\nmodel = "m"\nmax_concurrent = 3\n')
+    (tmp_path / "a").mkdir()
+    c = VaultConfig.load(str(tmp_path / "a"), shared=str(shared))
+    assert (c.exclude, c.auto_tags, [x.name for x in c.concepts], c.interval_seconds()) == (["x"], False, ["c"], 77)
+    assert c.steps() == ["hubs", "home", "index", "bridge notes", "backlinks", "related"] and (c.model.provider, c.model.max_concurrent) == ("openai", 3)
+    (tmp_path / "a/vault.toml").write_text('[vault]\nname = "v"\nprotected_files = []\n[projects]\nexclude = ["y"]\n[graph]\nbacklinks = false\n[daemon]\ninterval_seconds = 5\n[ai]\nmodel = "mine"\n')
+    c = VaultConfig.load(str(tmp_path / "a"), {"inbox_dir": "In"}, str(shared))
+    assert (c.name, c.exclude, c.concepts, c.auto_tags, c.backlinks, c.interval_seconds(), c.sync_minutes, c.inbox_dir, c.protected_files) == ("v", ["y"], [], True, False, 5, 9, "In", [])
+    assert (c.model.provider, c.model.model) == ("openai", "mine")
+    assert VaultConfig.load(str(tmp_path / "none"), shared=str(tmp_path / "no")) == VaultConfig()
+
+
+def test_steps_that_are_switched_off(spark):
+    from quillspark.streaming import increments, inbox
+
+    files = frame(spark, {"p/a.md": "await\nx\ny\n", "q/b.md": "await\nx\ny\n", "index.md": "mine"})
+    c = VaultConfig(concepts=[Concept("async", ["await"])], backlinks=False, auto_tags=False, related_projects=False)
+    after, failed = inbox.sync(files, c)
+    text = dict(rows(after.select("path", "content")))
+    assert not failed and "10-Zettelkasten/async.md" in text and text["p/a.md"] == "await\nx\ny\n"
+    r = increments.round_of_changes(files, None, c)
+    assert dict(rows(r.plan.select("path", "new_content"))) == {p: t for p, t in text.items() if p not in ("p/a.md", "q/b.md", "index.md")}
+    assert r.planned["backlinks"] == r.planned["auto tags"] == 0 and "backlinks" not in r.memory.seen
+
+
+def test_registry_prompts_and_lists(spark, tmp_path):
+    from quillspark.config import load_prompts, resolve_vault
+
+    vaults = [{"name": "a", "path": "/a", "watch": True}, {"name": "b", "path": "/b", "enabled": False, "watch": True}, {"name": "c", "path": "/c"}]
+    assert rows(V.registered(spark, vaults).select("name")) == [("a",), ("c",)] and rows(V.registered(spark, vaults, watched=True).select("name")) == [("a",)]
+    (tmp_path / "p.yaml").write_text("summary_template: mine {content}\nother: 3\n")
+    p = load_prompts([str(tmp_path / "none.yaml"), str(tmp_path / "p.yaml")])
+    assert p["summary_template"] == "mine {content}" and "{content}" in p["category_template"] and "other" not in p
+    assert resolve_vault("/flag") == "/flag" and resolve_vault(cwd=str(tmp_path), env="NO_SUCH", registered=["/one"]) == "/one"
+    assert resolve_vault(cwd=str(tmp_path), env="NO_SUCH", registered=["/one", "/two"]) is None
+    c = VaultConfig(system_dirs=["10-Zettelkasten", "mine"])
+    assert c.all_system_dirs().count("10-Zettelkasten") == 1 and c.all_system_dirs()[-1] == "mine"
