@@ -35,11 +35,12 @@ def jaccard(docs: DataFrame, most: float = SIMILAR) -> DataFrame:
 
     Only tags that share a document can, so pairs come from the documents' own
     tag lists - at most a few dozen tags each - and are counted, not compared.
-    Set sizes go with the tags and pairs that their sizes rule out are not made.
+    Set sizes go with the tags, and pairs that their sizes rule out become no rows.
     """
     sized = docs.join(doc_counts(docs), "tag").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("tag", "docs"))).alias("t"))
     left = sized.select("t", F.posexplode("t").alias("i", "a"))
-    pairs = left.select("a", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("b")).filter((F.least("a.docs", "b.docs") / F.greatest("a.docs", "b.docs")) > most)
+    alike = lambda y: F.least(F.col("a.docs"), y["docs"]) / F.greatest(F.col("a.docs"), y["docs"]) > most
+    pairs = left.select("a", F.explode(F.filter(F.slice("t", F.col("i") + 2, F.size("t")), alike)).alias("b"))
     both = pairs.groupBy(F.col("a.tag").alias("a"), F.col("b.tag").alias("b"), F.col("a.docs").alias("na"), F.col("b.docs").alias("nb")).agg(F.count("*").alias("both"))
     ratio = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     return both.withColumn("ratio", F.round(ratio, 6)).filter(ratio > most).select("a", "b", "both", "ratio")
