@@ -14,14 +14,16 @@ so it never ends with fewer than there are.  One rule for tables of all sizes.
 Search: by the pigeonhole principle a code within radius ``r = s * m + a`` of
 ``s`` substrings differs by at most ``m`` bits in one of the first ``a + 1``
 substrings or by at most ``m - 1`` in one of the others, so the buckets of those
-values hold every code within the radius.  There are two plans for finding them,
-with the same candidates: where probing is estimated to touch under an eighth of
-the table, every code is entered into the buckets of its substrings and a join on
-(substring, value) meets the queries' probes; else - the radii of vectors without
-structure, around two fifths of all bits, leave no bucket out - codes are scanned in
-blocks of bounded size by their whole Hamming distance.  Either way only the codes
-within the radius have their inner products taken, on the original vectors in
-double precision.  ``exact=True`` takes the largest radius there is.
+values hold every code within the radius.  Rows are always found by probing
+buckets; there are two plans for where they lie, with the same candidates.  Where
+probing is estimated to touch under an eighth of the table, every code is entered
+into the buckets of its substrings and a join on (substring, value) meets the
+queries' probes.  Else - the radii of vectors without structure, around two fifths
+of all bits, reach into every part of the table - rows are dealt into groups of
+bounded size, a task enters its group's codes into buckets of its own, and the
+queries stream past.  Either way only the codes within the radius have their inner
+products taken, on the original vectors in double precision.  ``exact=True`` takes
+the largest radius there is.
 
 Defined cases: vectors that are null, empty, zero, of another than the
 commonest length, or with null or non-finite components take no part, nor do
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table, written
+from quillspark.llm.common import settings, table, written
 
 WIDTH = 16  # bits of a substring
 BLOCK_ARROW = pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("radii", pa.binary())])
@@ -130,7 +132,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def packed_blocks(rows: DataFrame, coder, block: int, k: int | None = None) -> DataFrame:
-    """Blocks of ids, vectors and codes; those of queries (``k`` given) with their radii."""
+    """Blocks of ids, vectors and codes, those of queries (``k`` given) with their radii; ``g`` is the partition they were made in."""
 
     def deal(batches):
         c = pickle.loads(coder.value)
@@ -154,7 +156,7 @@ def packed_blocks(rows: DataFrame, coder, block: int, k: int | None = None) -> D
         if n:
             yield made(np.concatenate(ids), np.concatenate(xs))
 
-    return written(rows.mapInArrow(deal, BLOCK), "vectors")
+    return written(rows.mapInArrow(deal, BLOCK).withColumn("g", F.spark_partition_id()), "vectors")
 
 
 def unpacked(b, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +180,7 @@ def ball(m: int) -> np.ndarray:
 
 
 def probed_share(coder: Coder, k: int, some: int = 256) -> tuple[float, float]:
-    """Estimated part of a table's rows that a query's probes touch, and the number of its probes."""
+    """Estimated part of a table's rows that a query's probes touch (rows in several probed buckets count as often), and the number of its probes."""
     asked = coder.sample[:some]
     s = asked.shape[1] * 8 // WIDTH
     may = bounds(coder.radii(asked, k), s)
@@ -188,40 +190,81 @@ def probed_share(coder: Coder, k: int, some: int = 256) -> tuple[float, float]:
     return touched, probes
 
 
-def best(q_ids, q, x_ids, x, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` of largest inner product among the pairs (i, j) of each query: query ids, row ids, scores."""
-    other = q_ids[i] != x_ids[j]
-    i, j = i[other], j[other]
-    score = np.empty(len(i))
-    for at in range(0, len(i), 50_000):
-        score[at : at + 50_000] = (q[i[at : at + 50_000]] * x[j[at : at + 50_000]]).sum(1)  # in one order of addition, so that equal vectors tie
-    order = np.lexsort((x_ids[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-    return q_ids[i[keep]], x_ids[j[keep]], score[keep]
+class Buckets:
+    """Codes by the buckets of their substrings: for each substring the rows in order of its value, and where a value's begin."""
+
+    def __init__(self, codes: np.ndarray):
+        self.whole, parts = codes.view("<u8"), codes.view("<u2")
+        self.rows = [np.argsort(p, kind="stable") for p in parts.T]
+        self.starts = [np.append(0, np.cumsum(np.bincount(p, minlength=1 << WIDTH))) for p in parts.T]
+        self.balls: dict[int, np.ndarray] = {}
+
+    def within(self, asked: np.ndarray, radius: int) -> np.ndarray:
+        """Rows of the codes within ``radius`` of one, each once: those of the probed buckets whose whole distance is."""
+        seen = np.zeros(len(self.whole), bool)
+        for part, m, rows, starts in zip(asked.view("<u2").tolist(), bounds(np.array([radius]), len(self.rows))[0].tolist(), self.rows, self.starts):
+            if m not in self.balls:
+                self.balls[m] = ball(m)
+            values = self.balls[m] ^ part
+            first = starts[values]
+            n = starts[values + 1] - first
+            first, n = first[n > 0], n[n > 0]
+            seen[rows[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        found = np.flatnonzero(seen)
+        return found[np.bitwise_count(self.whole[found] ^ asked.view("<u8")).sum(1) <= radius]
+
+
+def best(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the ``k`` rows of largest inner product with ``q``."""
+    score = (x * q).sum(1)  # in one order of addition, so that equal vectors tie
+    if len(ids) > k:
+        near = score >= np.partition(score, -k)[-k]
+        ids, score = ids[near], score[near]
+    order = np.lexsort((ids, -score))[:k]
+    return ids[order], score[order]
 
 
 FOUND = "query_id long, vec_id long, score double"
 FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def by_blocks(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Candidates by scanning codes: every pair of a query block and an index block is a row of bounded size."""
-    groups = max(1, index.count())
-    index = index.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    queries = queries.select(F.struct("ids", "vectors", "codes", "radii").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+def by_groups(index: DataFrame, queries: DataFrame, groups: int, k: int) -> DataFrame:
+    """Candidates by probing the buckets of every group of rows; the queries are dealt into as many parts as keep all cores at work.
+
+    A task holds one group and a few query blocks at a time.
+    """
+    spark = index.sparkSession
+    parts = max(1, min(queries.count(), -(-spark.sparkContext.defaultParallelism // groups)))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = index.select("g", numbers(parts).alias("p"), F.lit(0).alias("kind"), "ids", "vectors", "codes", "radii")
+    asked = queries.select(numbers(groups).alias("g"), F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("p"), F.lit(1).alias("kind"), "ids", "vectors", "codes", "radii")
+    both = held.union(asked).repartition(groups * parts, "g", "p").sortWithinPartitions("g", "p", "kind")
 
     def search(batches):
+        at, blocks, buckets = None, [], None
         for b in batches:
             for n in range(b.num_rows):
-                q = {c: [b["q"][n][c]] for c in ("ids", "vectors", "codes")}
-                q_ids, qs, asked = unpacked(q, 0)
-                ids, x, codes = unpacked(b, n)
-                radii = np.frombuffer(b["q"][n]["radii"].as_py(), "<i8")
-                i, j = np.nonzero(distances(asked, codes) <= radii[:, None])
-                yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "vec_id", "score"), best(q_ids, qs, ids, x, i, j, k))), schema=FOUND_ARROW)
-
-    return queries.join(index, "g").select("q", "ids", "vectors", "codes").mapInArrow(search, FOUND)
+                cell = b["g"][n].as_py(), b["p"][n].as_py()
+                if cell != at:
+                    at, blocks, buckets = cell, [], None
+                if b["kind"][n].as_py() == 0:
+                    blocks.append(unpacked(b, n))
+                    continue
+                if buckets is None and blocks:
+                    ids, x, codes = (np.concatenate(c) for c in zip(*blocks))
+                    blocks, buckets = [], Buckets(codes)
+                if buckets is None:  # no row is in this group
+                    continue
+                q_ids, q, asked = unpacked(b, n)
+                found = []
+                for i, radius in enumerate(np.frombuffer(b["radii"][n].as_py(), "<i8").tolist()):
+                    rows = buckets.within(asked[i], radius)
+                    rows = rows[ids[rows] != q_ids[i]]
+                    found.append(best(q[i], ids[rows], x[rows], k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(i) for i, _ in found])), *(pa.array(np.concatenate(c)) for c in zip(*found))], schema=FOUND_ARROW)
+
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):  # rows are blocks
+        return written(both.mapInArrow(search, FOUND), "found")
 
 
 def by_buckets(index: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -271,10 +314,11 @@ def by_buckets(index: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFra
     return both.select("query_id", "vec_id", "q", "x").mapInArrow(scored, FOUND)
 
 
-def nearest(vectors: DataFrame, query_ids, k: int = 20, bits: int = 256, recall: float = 0.97, exact: bool = False, plan: str | None = None, sample_rows: int = 8192, index_block: int = 8192, query_block: int = 256) -> DataFrame:
+def nearest(vectors: DataFrame, query_ids, k: int = 20, bits: int = 256, recall: float = 0.97, exact: bool = False, plan: str | None = None, sample_rows: int = 8192, index_block: int = 8192, query_block: int = 256, group_rows: int = 65_536) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for rows of ``vectors`` where the column ``query_ids`` holds, their ``k`` nearest others.
 
-    ``recall``: of neighbours within the sample, from which radii are learned; ``plan``: ``buckets`` or ``blocks``, else by estimate.
+    ``recall``: of neighbours within the sample, from which radii are learned; ``plan``: ``buckets`` (joined by value) or
+    ``blocks`` (in groups of ``group_rows`` rows), else by estimate.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -290,9 +334,10 @@ def nearest(vectors: DataFrame, query_ids, k: int = 20, bits: int = 256, recall:
         touched, probes = probed_share(coder, k)
         plan = "buckets" if touched * n + probes < n / 8 and ids == n else "blocks"  # repeated ids have several vectors
     shared = spark.sparkContext.broadcast(pickle.dumps(coder))  # of fixed size: sample_rows codes and the rotations
-    index = packed_blocks(rows, shared, index_block)
+    groups = -(-n // group_rows)
+    index = packed_blocks(rows.repartition(groups) if plan == "blocks" else rows, shared, index_block)
     queries = packed_blocks(rows.filter(query_ids), shared, query_block, k)
-    found = by_blocks(index, queries, k) if plan == "blocks" else by_buckets(index, queries, rows)
+    found = by_groups(index, queries, groups, k) if plan == "blocks" else by_buckets(index, queries, rows)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

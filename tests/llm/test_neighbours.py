@@ -94,3 +94,25 @@ def test_probes_touch_few_rows_of_clusters():
     touched, probes = n.probed_share(coder, 20)
     within = (n.distances(coder.asked(x[:200]), coder.sample) <= coder.radii(coder.asked(x[:200]), 20)[:, None]).mean()
     assert within < 0.02 and touched * 100_000 + probes < 100_000 / 8
+
+
+def test_groups_and_parts_hold_every_code_within_the_radius(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((700, 20))
+    x[::3] = x[0]  # a third are copies of one
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = exact(np.arange(700), x)
+    for rows in (150, 65_536):  # five groups; one, its queries in several parts
+        got = found(n.nearest(df, F.col("id") % 20 == 0, exact=True, plan="blocks", index_block=64, query_block=8, group_rows=rows))
+        assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_buckets_of_a_group():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 256, (600, 16), np.uint8)
+    codes[200:400] = codes[0]
+    held = n.Buckets(codes)
+    for i, radius in ((0, 0), (1, 40), (2, 55), (3, 128)):
+        assert held.within(codes[i], radius).tolist() == np.flatnonzero(n.distances(codes[i : i + 1], codes)[0] <= radius).tolist()
