@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytebpe, decontaminate, jaccard, langid, secrets
-from quillspark.llm.common import table, written
+from quillspark.llm.common import settings, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Whole texts go to Python and back beside a model: few at a time, and row groups that do not fill the heap.
+SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "parquet.block.size": str(16 << 20)}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         return docs.select(*COLUMNS)
     known = langid.identify(docs.select(*COLUMNS), model, fits=True)
-    return known.filter((F.col("lang_pred") != langid.UND) & F.col("fits")).select(*COLUMNS)
+    kept = known.filter((F.col("lang_pred") != langid.UND) & F.col("fits")).select(*COLUMNS)
+    with settings(spark, SMALL):
+        return written(kept, "known")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
