@@ -32,6 +32,8 @@ of a block and taken whole; ties between leaders go to the smaller doc_id.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -48,25 +50,36 @@ CHOICES = (1, 2, 3, 4, 6, 8)
 
 
 class Shingler:
-    """Distinct shingle hashes of texts; word hashes are kept for a while, in bounded number."""
-
-    def __init__(self, size: int, most: int = 300_000):
-        self.size, self.most, self.known = size, most, {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        """Sorted distinct uint64."""
-        words = fold_words(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > self.most:
-            known.clear()
-        h = np.array([known.get(w) or known.setdefault(w, digest(w)) for w in words], np.uint64)
-        n = min(self.size, len(h))
-        out = np.full(len(h) - n + 1, n, np.uint64)
+    """Distinct shingle hashes of texts, made for all texts of a block at once."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def shingles(self, h: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all runs of ``n`` words."""
+        out = np.full(max(0, len(h) - n + 1), n, np.uint64)
         for i in range(n):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)])
-        return np.unique(out)
+        return out
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' sorted distinct uint64, one text after another, and the ends of each text's."""
+        cut = [fold_words(t) for t in texts]
+        words = np.array([len(w) for w in cut], np.int64)
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, chain.from_iterable(cut))), ">u8").astype(np.uint64)
+        del cut
+        runs, last = self.shingles(h, self.size), np.cumsum(words)
+        count = np.where(words < self.size, np.minimum(words, 1), words - self.size + 1)
+        ends = np.cumsum(count)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+        for w, e, n, to in zip(words.tolist(), last.tolist(), count.tolist(), ends.tolist()):
+            if n:
+                out[to - n : to] = runs[e - w : e - w + n] if w >= self.size else self.shingles(h[e - w : e], w)
+                out[to - n : to].sort()
+        new = np.ones(len(out), bool)
+        new[1:] = out[1:] != out[:-1]
+        new[(ends - count)[count > 0]] = True
+        return out[new], np.concatenate([[0], np.cumsum(new)])[ends]
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
@@ -75,13 +88,12 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         cut = Shingler(size)
-        for b in batches:
-            n, sig, ids = [], [], b["doc_id"].to_pylist()
-            for i, t in zip(ids, strings(b["text"])):
-                s = cut(t)
-                n.append(len(s))
-                sig.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) and i is not None else None)
-            yield batch(schema, doc_id=ids, n=n, sig=sig)
+        for whole in batches:
+            for b in slices(whole, "text", 2 << 20):
+                keys, ends = cut(strings(b["text"]))
+                ids, n = b["doc_id"].to_pylist(), np.diff(ends, prepend=0)
+                sig = [xxhash.xxh3_128_hexdigest(keys[e - s : e].tobytes()) if s and i is not None else None for i, s, e in zip(ids, n.tolist(), ends.tolist())]
+                yield batch(schema, doc_id=ids, n=n, sig=sig)
 
     return written(docs.mapInArrow(run, "doc_id long, n long, sig string"), "signed")
 
@@ -113,7 +125,7 @@ def sends(blocks: DataFrame, size: int, parts: int) -> DataFrame:
     def run(batches):
         cut = Shingler(size)
         for block, texts in packed.each(batches, "block", "texts"):
-            keys, n = np.unique(np.concatenate([cut(t) for t in texts]), return_counts=True)
+            keys, n = np.unique(cut(texts)[0], return_counts=True)
             yield packed.sent(block, keys, n, parts, half=half, n_kind="u1")
 
     return blocks.select("block", "texts").mapInArrow(run, packed.SENT)
@@ -130,22 +142,21 @@ def prefixes(blocks: DataFrame, got: DataFrame, size: int, tenths: int) -> DataF
     def run(batches):
         cut = Shingler(size)
         for ids, texts, sums in packed.each(batches, "ids", "texts", "got"):
-            sets = [cut(t) for t in texts]
-            keys = np.unique(np.concatenate(sets))
-            counts = packed.received(sums, "u1")
+            sets, ends = cut(texts)
+            size_of = np.diff(ends, prepend=0)
+            df = packed.received(sums, "u1")[packed.distinct(sets)[1]]
+            common = np.diff(np.concatenate([[0], np.cumsum(df > 1)])[ends], prepend=0)
             rows: list[tuple] = []
-            for rid, x in zip(ids.tolist(), sets):
-                df = counts[np.searchsorted(keys, x)]
-                n, s = len(x), int((df > 1).sum())
-                if s < needed(n, tenths):
-                    continue
-                order = np.lexsort((x, df))
-                l, length = choose(n, df[order], tenths)
+            for i in np.flatnonzero((size_of > 0) & (common >= needed(size_of, tenths))).tolist():
+                rid, n, s = int(ids[i]), int(size_of[i]), int(common[i])
+                x, d = sets[ends[i] - n : ends[i]], df[ends[i] - n : ends[i]]
+                order = np.argsort(d, kind="stable")  # by (frequency, hash), as hashes are in order
+                l, length = choose(n, d[order], tenths)
                 tokens = x[order[n - s : length]]
-                shared = x[df > 1]
+                shared = x[d > 1]
                 rows.append(("set", rid, n, s, l, None, shared.tobytes()))
                 rows += [("token", rid, n, s, l, t, None) for t in tokens.view(np.int64).tolist()]
-                rows += [("min", rid, n, s, i, int(mix64(shared ^ salt).min().view(np.int64)), None) for i, salt in enumerate(salts)]
+                rows += [("min", rid, n, s, k, t, None) for k, t in enumerate(mix64(shared ^ salts[:, None]).min(1).view(np.int64).tolist())]
             if rows:
                 yield batch(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
 

@@ -80,6 +80,18 @@ def test_whole_table(spark):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute([r.doc_id for r in rows], [r.text for r in rows])
 
 
+@pytest.mark.parametrize("size", [1, 3, 5])
+def test_a_block_is_cut_at_once(size):
+    rng = np.random.default_rng(7)
+    texts = [(t or "").encode() for t in AWKWARD] + [" ".join(f"w{k}" for k in rng.integers(0, 20, n)).encode() for n in range(40)]
+    keys, ends = j.Shingler(size)(texts)
+    parts = [keys[s:e] for s, e in zip([0, *ends[:-1]], ends)]
+    brute_sets = sets([t.decode() for t in texts], size)
+    assert len(parts) == len(texts) and all((p[1:] > p[:-1]).all() for p in parts)
+    assert all(len(set(p.tolist()) & set(q.tolist())) == len(a & b) for p, a in zip(parts, brute_sets) for q, b in zip(parts, brute_sets))
+    assert [len(x) for x in j.Shingler(size)([])] == [0, 0]
+
+
 def test_prefix_shares_enough():
     rng = np.random.default_rng(6)
     for _ in range(300):
