@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import packed
-from quillspark.llm.common import batch, connected_components, fold_words, mix64, slices, strings, table, written
+from quillspark.llm.common import batch, connected_components, fold_words, mix64, settings, slices, strings, table, trim_memory, written
 
 SALTS = 4
 #: What reading a posting costs against verifying one token of a candidate.
@@ -94,6 +94,8 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 ids, n = b["doc_id"].to_pylist(), np.diff(ends, prepend=0)
                 sig = [xxhash.xxh3_128_hexdigest(keys[e - s : e].tobytes()) if s and i is not None else None for i, s, e in zip(ids, n.tolist(), ends.tolist())]
                 yield batch(schema, doc_id=ids, n=n, sig=sig)
+        keys = sig = b = whole = None
+        trim_memory()
 
     return written(docs.mapInArrow(run, "doc_id long, n long, sig string"), "signed")
 
@@ -361,7 +363,11 @@ def candidates(tokens: DataFrame, comps: DataFrame | None, tenths: int, families
 
 def jaccard_groups(docs: DataFrame, size: int = 3, tenths: int = 9, block_bytes: int = 2 << 20) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, where sets of Jaccard similarity of ``tenths`` tenths link."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with settings(docs.sparkSession, packed.FEW_BLOCKS):
+        return _groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, tenths, block_bytes)
+
+
+def _groups(docs: DataFrame, size: int, tenths: int, block_bytes: int) -> DataFrame:
     signs = signed(docs, size)
     classes = signs.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rid"))
     ids = classes.select(F.col("rid").alias("doc_id")).distinct()

@@ -1,3 +1,5 @@
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +29,18 @@ def test_language_keeps_clean_documents(stages):
     assert not any(r["lang"] is None for i, r in before.items() if i not in after)
 
 
+def test_language_writes_no_texts_between(spark):
+    from quillspark.llm.common import shared_folder
+
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    docs, before = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), size()
+    foreign = spark.createDataFrame([(10**6 + i, t, None, "x", len(t)) for i, t in enumerate([FOREIGN[0], "", "1 2", FOREIGN[0]])] + [(10**6 + 4, None, None, "x", 0)], docs.select(*corpus_pipeline.COLUMNS).schema)
+    left = corpus_pipeline.language(spark, docs.select(*corpus_pipeline.COLUMNS).union(foreign), SF)
+    assert size() - before < 0.05 * pathlib.Path("/root/testdata/sf0.01/documents.parquet").stat().st_size
+    assert left.columns == corpus_pipeline.COLUMNS and left.filter("doc_id >= 1000000").count() == 0 and left.count() > 0.95 * docs.count()
+
+
 def test_one_of_each_group_stays(stages):
     before, after = stages["near_duplicates"]
     groups = test_jaccard.brute(list(before), [r["text"] for r in before.values()], 5, 8)
