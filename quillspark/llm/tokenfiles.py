@@ -49,6 +49,11 @@ NULL_ID = -(1 << 63)  # stands for a null doc_id in an index
 PART = "\x01"
 
 
+#: A tokenizer that parts texts so parts a letter or digit from a mark after it, whatever else stands around them.
+PARTED = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Marks that are taken off a chunk's end.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
+
 #: What the fast way below stands in for: composition, white space to one space, lower case.
 FOLDS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
@@ -59,10 +64,12 @@ class ChunkCoder:
     Where the tokenizer's normalizer is ``FOLDS``, texts of characters below U+0100
     (which composition leaves alone) are put in lower case before they are cut, and
     their chunks encoded without a normalizer.  A tokenizer that keeps white space,
-    or joins across it, gets whole texts.
+    or joins across it, gets whole texts.  A new chunk that ends with marks is put
+    together from its stem and them, where the tokenizer parts texts by ``PARTED``:
+    stems are far fewer than chunks, and have a table of their own.
     """
 
-    def __init__(self, file: str, most: int = 150_000):
+    def __init__(self, file: str, most: int = 100_000, most_stems: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,11 +78,13 @@ class ChunkCoder:
         self.lib = Tokenizer.from_file(file)
         self.folds = (raw.get("normalizer") or {}).get("normalizers") == FOLDS
         self.plain = Tokenizer.from_str(json.dumps(raw | {"normalizer": None})) if self.folds else self.lib
+        first = next(iter((raw.get("pre_tokenizer") or {}).get("pretokenizers") or []), {})
+        self.stems = self.folds and [first.get(k) for k in ("pattern", "behavior", "invert")] == [{"Regex": PARTED}, "Removed", True]
         self.part = self._ids(self.lib, PART)
         self.marks = [t["content"] for t in raw.get("added_tokens") or []]
         ab, a, b = (self._ids(self.lib, x) for x in ("Ab, \n\n cd", "Ab,", "cd"))
         self.cuts = ab == a + b and not self._ids(self.lib, " \n ") and self._ids(self.lib, " Ab, ") == a
-        self.most = most
+        self.most, self.most_stems, self.young_stems, self.old_stems = most, most_stems, {}, {}
         self.tables: dict[bool, list[dict[str, bytes]]] = {x: [{}, {}] for x in (False, True)}  # young and old chunks, by whether they are folded
 
     @staticmethod
@@ -101,6 +110,19 @@ class ChunkCoder:
         for c in alone:
             young[c] = np.array(self._ids(lib, c), "<u4").tobytes()
 
+    def _by_stems(self, chunks: list[str], folded: bool, young: dict[str, bytes]) -> None:
+        """Ids of new chunks, each those of its stem and of the marks at its end."""
+        if len(self.young_stems) > self.most_stems:
+            self.young_stems, self.old_stems = {}, self.young_stems
+        stems, old = self.young_stems, self.old_stems
+        cut = [h if (h := c.rstrip(MARKS)) and h[-1].isalnum() else c for c in chunks]
+        ends = [c[len(h) :] for c, h in zip(chunks, cut)]
+        new = set(cut).union(ends).difference(stems)
+        kept = new & old.keys()
+        stems.update((p, old[p]) for p in kept)
+        self._encode(list(new - kept), folded, stems)
+        young.update((c, stems[h] + stems[e] if e else stems[h]) for c, h, e in zip(chunks, cut, ends))
+
     def _folds(self, text: str) -> bool:
         if not self.folds or PART in text or any(m.lower() in text.lower() for m in self.marks):
             return False
@@ -126,7 +148,7 @@ class ChunkCoder:
             new = set().union(*cut).difference(young)
             kept = new & old.keys()
             young.update((c, old[c]) for c in kept)
-            self._encode(list(new - kept), folded, young)
+            (self._by_stems if folded and self.stems else self._encode)(list(new - kept), folded, young)
             get = young.__getitem__
             for i, c in zip(which, cut):
                 out[i] = b"".join(map(get, c))

@@ -31,6 +31,23 @@ def test_query_equals_library(spark, tmp_path):
     assert t.op1_token_files(spark, saved(documents(spark, TEXTS).limit(0), tmp_path / "e")).count() == 0
 
 
+def test_stems_are_encoded_once():
+    """Marks at a chunk's end, after all that they may not be parted from; a stem with many endings goes to the library once."""
+    rng = np.random.default_rng(3)
+    pieces = ["a", "zq", "é", "7", "½", "'s", "'re", "'", "’", "ª", "²", "µ", "\xad", "\xb4", "«", "_", "-", "***", "&", ".", ",", "\"", "()", "\x85", "ÿ"]
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 7))) + " x" for _ in range(3000)]
+    c = t.ChunkCoder(FILE, most=500, most_stems=300)
+    for at in range(0, 3000, 300):
+        for text, got in zip(texts[at : at + 300], c.block(texts[at : at + 300])):
+            assert got == brute(text)[:-1].tobytes(), text
+    c, asked = t.ChunkCoder(FILE), []
+    encode = c._encode
+    c._encode = lambda chunks, *rest: (asked.extend(chunks), encode(chunks, *rest))
+    for end in ("", ",", ".", "!?", "***"):
+        c.block([" ".join(f"stem{chr(97 + k)}{end}" for k in range(26))])
+    assert len(asked) == len(set(asked)) and sum(x.startswith("stem") for x in asked) == 26
+
+
 def test_files_and_random_access(spark, tmp_path):
     folder = f"file://{tmp_path}/f"
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
