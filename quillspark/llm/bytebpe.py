@@ -150,8 +150,9 @@ class MergeReplay:
             if (some := new >= 0).any():
                 enter(places[some], new[some])
         keep = tok[:n] >= 0
-        out = np.split(tok[:n][keep], np.cumsum(np.add.reduceat(keep, ends - sizes, dtype=np.int64))[:-1])
-        out = [x.tolist() for x in out]
+        edges = np.concatenate([[0], np.cumsum(np.add.reduceat(keep, ends - sizes, dtype=np.int64))]).tolist()
+        flat = tok[:n][keep].tolist()
+        out = [flat[x:y] for x, y in zip(edges, edges[1:])]
         for i in np.unique(np.searchsorted(ends, np.concatenate(odd), "right")).tolist() if odd else ():
             out[i] = self.alone(pieces[i])
         return out

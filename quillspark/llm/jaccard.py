@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import packed
-from quillspark.llm.common import batch, connected_components, fold_words, mix64, settings, slices, strings, table, trim_memory, written
+from quillspark.llm.common import batch, connected_components, discarded, fold_words, mix64, settings, slices, strings, swept, table, trim_memory, written
 
 SALTS = 4
 #: What reading a posting costs against verifying one token of a candidate.
@@ -380,13 +380,17 @@ def _groups(docs: DataFrame, size: int, tenths: int, block_bytes: int) -> DataFr
     else:
         got = packed.merged_answers(sends(blocks, size, parts), most, "u1", parts, -(-int(total) // block_bytes), n_kind="u1")
     kept = written(prefixes(blocks, got, size, tenths), "prefixes")
+    discarded(blocks)  # what follows reads sets, no texts
+    swept(docs.sparkSession)
     sets, tokens, mins = (kept.filter(F.col("kind") == k) for k in ("set", "token", "min"))
     family = deltas(leaders(mins), sets, tenths)
     edges = written(family.filter("link").select(F.col("leader").alias("u"), F.col("rid").alias("v")), "links")
     comps = written(connected_components(edges), "components")
     members = written(family.select("leader", "rid", "n", "common", "missing", "extra").union(own_families(family, sets)), "families")
+    swept(docs.sparkSession)
     edges = written(edges.union(in_families(members, comps, tenths)), "links")
     comps = written(connected_components(edges), "components")
+    swept(docs.sparkSession)
     edges = edges.union(verified(candidates(tokens, comps, tenths, members), sets, tenths))
     comps = connected_components(edges)
     named = classes.join(comps.select(F.col("node").alias("rid"), "component"), "rid", "left").select("sig", F.coalesce("component", "rid").alias("component_id"))

@@ -75,6 +75,28 @@ def test_ids(stages):
         assert after[i]["ids"] == test_bytebpe.LIBRARY.encode_ordinary(r["text"])
 
 
+def test_ids_are_made_of_few_texts_at_a_time(spark, monkeypatch):
+    """However large the session's batches are: a task holds a batch on both sides of the pipe."""
+    import pyarrow as pa
+
+    def sizes(docs, *_, **__):
+        return docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+
+    monkeypatch.setattr(bytebpe, "encode_decode", sizes)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(cast(id as string), 3000)").alias("text"), F.lit("en").alias("lang"), F.lit("x").alias("source"), F.lit(9).alias("n_chars"))
+    got = [r.n for r in corpus_pipeline.token_ids(spark, docs, SF).collect()]
+    assert sum(got) > 30 << 20 and max(got) < 1 << 20
+
+
+def test_near_duplicates_leave_no_copy_of_the_texts(spark):
+    from quillspark.llm.common import shared_folder
+
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.rglob("blocks-*"))
+    left = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert not set(folder.rglob("blocks-*")) - before and left.count() > 0
+
+
 def test_run_equals_stages(spark, stages):
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {i: r["ids"] for i, r in stages["byte_bpe"][1].items()}
