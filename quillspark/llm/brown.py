@@ -31,6 +31,7 @@ the class of smaller number.
 from __future__ import annotations
 
 import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import packed
-from quillspark.llm.common import batch, fold_words, settings, slices, table, written
+from quillspark.llm.common import batch, fold_words, settings, slices, strings, swept, table, written
 
 END = b" end"  # no word holds a space
 END_KEY = np.uint64(xxhash.xxh3_64_intdigest(END))
@@ -85,6 +86,35 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     return at[np.array(flat, np.int64)], np.array(sizes, np.int64), keys, [words[i] for i in first]
 
 
+TOKENS = "block string, ids array<long>, extra array<long>, n_bytes long, sizes array<long>, keys binary, looks binary, at binary"
+TOKENS_ARROW = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64())), ("n_bytes", pa.int64()), ("sizes", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("keys", "looks", "at"))])
+CUT = ["sizes", "keys", "looks", "at"]
+
+
+def token_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """``packed.blocks`` of texts cut once for all passes: tokens a text, the sorted distinct hashes, their words' looks, and each token's place among them."""
+
+    def deal(batches):
+        for whole in batches:
+            for b in slices(whole, "text", block_bytes):
+                texts = strings(b["text"])
+                at, sizes, keys, words = tokens(texts)
+                yield batch(
+                    TOKENS_ARROW, block=[uuid.uuid4().hex], ids=[b["id"].to_pylist()], extra=[b["extra"].to_pylist()], n_bytes=[sum(map(len, texts))], sizes=[sizes],
+                    keys=[keys.astype("<u8").tobytes()], looks=[looks(words).astype(np.uint8).tobytes()], at=[at.astype("<u2" if len(keys) <= 1 << 16 else "<u4").tobytes()],
+                )
+        packed.trim_memory()
+
+    rows = docs.select(F.col("id").cast("long").alias("id"), "text", F.col("extra").cast("long").alias("extra")).mapInArrow(deal, TOKENS)
+    with settings(docs.sparkSession, {"parquet.block.size": str(8 << 20)}):  # blocks can then be dealt to many tasks when read again
+        return written(rows, "tokens")
+
+
+def uncut(sizes: np.ndarray, keys: bytes, look: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``tokens`` gives them, with looks in place of words."""
+    return np.frombuffer(at, "<u2" if len(keys) <= 8 << 16 else "<u4").astype(np.int64), sizes, np.frombuffer(keys, "<u8"), np.frombuffer(look, np.uint8).astype(np.int64)
+
+
 def count_kind(parts: int) -> str:
     """Of counts sent: a block's fit 32 bits, those merged of many blocks need not."""
     return "<i8" if parts > packed.FAN else "<u4"
@@ -94,12 +124,12 @@ def sends(blocks: DataFrame, parts: int) -> DataFrame:
     kind, coarse = count_kind(parts), min(parts, packed.FAN)
 
     def run(batches):
-        for block, texts, train in packed.each(batches, "block", "texts", "extra"):
-            at, sizes, keys, _ = tokens(texts)
+        for block, train, *cut in packed.each(batches, "block", "extra", *CUT):
+            at, sizes, keys, _ = uncut(*cut)
             learned = np.repeat(train > 0, sizes)
             yield packed.sent(block, keys, np.bincount(at[learned], minlength=len(keys)), coarse, n_kind=kind)
 
-    return blocks.select("block", "texts", "extra").mapInArrow(run, packed.SENT)
+    return blocks.select("block", "extra", *CUT).mapInArrow(run, packed.SENT)
 
 
 def counted(sent: DataFrame, top: int, kind: str) -> DataFrame:
@@ -126,18 +156,15 @@ def bigrams(blocks: DataFrame, vocabulary: np.ndarray, top: int) -> np.ndarray:
 
     def run(batches):
         known, m = shared.value, np.zeros(size * size, np.int64)
-        for texts, train in packed.each(batches, "texts", "extra"):
-            texts = [t for t, x in zip(texts, train) if x]
-            if not texts:
-                continue
-            ids, sizes = symbols(*tokens(texts), known, top)
+        for train, *cut in packed.each(batches, "extra", *CUT):
+            at, sizes, keys, look = uncut(*cut)
+            ids = symbol_of(keys, look, known, top)[at]
             before = np.concatenate([[top + TAILS], ids[:-1]])
             before[np.cumsum(sizes)[:-1]] = top + TAILS
-            pair, n = np.unique(before * size + ids, return_counts=True)
-            m[pair] += n
+            m += np.bincount((before * size + ids)[np.repeat(train > 0, sizes)], minlength=size * size)
         yield from by_row(m.reshape(size, size))
 
-    return summed(blocks.select("texts", "extra").mapInArrow(run, ROW), size)
+    return summed(blocks.select("extra", *CUT).mapInArrow(run, ROW), size)
 
 
 ROW = "row int, at binary, n binary"
@@ -167,18 +194,13 @@ def summed(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def symbols(at, sizes, keys, words, known: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens as rows of the bigram matrix."""
-    return symbol_of(keys, words, known, top)[at], sizes
-
-
-def symbol_of(keys, words, known: np.ndarray, top: int) -> np.ndarray:
+def symbol_of(keys, look, known: np.ndarray, top: int) -> np.ndarray:
     """``known``: sorted hashes; its places are the symbols, then come tails, start and end."""
     i = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
     hit = known[i] == keys if len(known) else np.zeros(len(keys), bool)
     out = np.where(hit, i, 0).astype(np.int64)
     rest = np.flatnonzero(~hit)
-    out[rest] = np.where(keys[rest] == END_KEY, top + TAILS + 1, top + looks([words[j] for j in rest.tolist()]))
+    out[rest] = np.where(keys[rest] == END_KEY, top + TAILS + 1, top + look[rest])
     return out
 
 
@@ -248,9 +270,9 @@ class Seeds:
         one[np.arange(len(m)), self.cls] = 1
         self.big = one.T @ m.astype(float) @ one
 
-    def of(self, keys: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, keys: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of a block's words their classes, tails where not of the ``top``; and which of them are still to be placed."""
-        sym = symbol_of(keys, words, self.known, self.top)
+        sym = symbol_of(keys, look, self.known, self.top)
         return self.cls[sym], (sym >= self.top) & (keys != END_KEY)
 
 
@@ -316,9 +338,9 @@ def contexts(blocks: DataFrame, seeds, parts: int) -> DataFrame:
 
     def run(batches):
         s = pickle.loads(seeds.value)
-        for block, texts, train in packed.each(batches, "block", "texts", "extra"):
-            at, sizes, keys, words = tokens(texts)
-            c, rare = s.of(keys, words)
+        for block, train, *cut in packed.each(batches, "block", "extra", *CUT):
+            at, sizes, keys, look = uncut(*cut)
+            c, rare = s.of(keys, look)
             c_at = c[at]
             before = np.concatenate([[s.start], c_at[:-1]])
             before[np.cumsum(sizes)[:-1]] = s.start
@@ -330,7 +352,7 @@ def contexts(blocks: DataFrame, seeds, parts: int) -> DataFrame:
             used = [i for i in range(parts) if edges[i] < edges[i + 1]]
             yield batch(CONTEXT_ARROW, block=[block] * len(used), part=used, **near.cut(edges, used, whole))
 
-    return blocks.select("block", "texts", "extra").mapInArrow(run, CONTEXT)
+    return blocks.select("block", "extra", *CUT).mapInArrow(run, CONTEXT)
 
 
 def merging(size: int):
@@ -441,7 +463,7 @@ def transitions(rows: DataFrame, size: int, start: int, classes: int) -> tuple[n
 
 def score_texts(docs: DataFrame, top: int = 1000, classes: int = 48, block_bytes: int = 1 << 20, part_bytes: int = 8 << 20) -> DataFrame:
     """``docs(id, text, extra)``, extra 1 for training texts: id, extra, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks = packed.blocks(docs, block_bytes)
+    blocks = token_blocks(docs, block_bytes)
     with settings(docs.sparkSession, packed.FEW_BLOCKS):
         return block_scores(blocks, top, classes, block_bytes, part_bytes)
 
@@ -449,12 +471,13 @@ def score_texts(docs: DataFrame, top: int = 1000, classes: int = 48, block_bytes
 def block_scores(blocks: DataFrame, top: int, classes: int, block_bytes: int, part_bytes: int) -> DataFrame:
     """``score_texts`` of what is dealt into blocks."""
     spark = blocks.sparkSession
-    size = blocks.select(F.expr("aggregate(texts, 0L, (a, x) -> a + octet_length(x))").alias("n")).agg(F.sum("n")).first()[0] or 0
+    size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     parts = packed.parts_for(size, part_bytes)
     way, kind = packed.levels(parts, -(-int(size) // block_bytes), packed.FAN), count_kind(parts)
     fold, places = packed.summing(kind)
     last, steps = packed.climbed(sends(blocks, parts), way, fold, packed.SENT)
     counts = counted(last, top, kind)
+    swept(spark)  # of what was sent, before more is
     sums = packed.descended(counts.filter("block IS NOT NULL").select("block", "part", "n"), steps, places, "<u8")
     total, types = (int(x or 0) for x in counts.agg(F.sum("tokens"), F.sum("types")).first())
     common = counts.filter(F.col("key").isNotNull() & (F.col("key") != int(END_KEY.view(np.int64)))).orderBy(F.desc("count"), "key").limit(top).select("key").collect()
@@ -464,15 +487,16 @@ def block_scores(blocks: DataFrame, top: int, classes: int, block_bytes: int, pa
     fold, places = merging(seeds.size)
     last, steps = packed.climbed(contexts(blocks, shared, parts), way, fold, CONTEXT)
     answers = placed(last, shared, bool(way))
+    swept(spark)
     found = packed.descended(answers.filter("block IS NOT NULL").select("block", "part", "n"), steps, places, "u1")
     schema = pa.schema([("id", pa.int64()), ("extra", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("words", pa.float64()), ("seq", pa.binary())])
 
     def mark(batches):
         s = pickle.loads(shared.value)
-        for ids, texts, train, sums, cls in packed.each(batches, "ids", "texts", "extra", "got", "cls"):
+        for ids, train, sums, cls, *cut in packed.each(batches, "ids", "extra", "got", "cls", *CUT):
             sums = packed.received(sums, "<u8").astype(np.float64)
-            at, sizes, keys, words = tokens(texts)
-            c, rare = s.of(keys, words)
+            at, sizes, keys, look = uncut(*cut)
+            c, rare = s.of(keys, look)
             given, tail = packed.received(cls, "u1").astype(np.int64), c[rare] - s.classes
             c[rare] = np.where(given == UNSEEN, c[rare], np.where(given >= ONCE, s.size + tail * s.classes + given - ONCE, given))
             starts = np.cumsum(sizes) - sizes
@@ -485,7 +509,7 @@ def block_scores(blocks: DataFrame, top: int, classes: int, block_bytes: int, pa
             )
 
     both = packed.with_answers(packed.with_answers(blocks, packed.gathered(sums, "got")), packed.gathered(found, "cls"))
-    rows = written(both.select("ids", "texts", "extra", "got", "cls").mapInArrow(mark, "id long, extra long, n_tokens long, n_known long, base_score double, words double, seq binary"), "marked")
+    rows = written(both.select("ids", "extra", "got", "cls", *CUT).mapInArrow(mark, "id long, extra long, n_tokens long, n_known long, base_score double, words double, seq binary"), "marked")
     in_class = np.zeros(classes) + np.bincount(seeds.cls[: len(known)], minlength=classes)
     for r in answers.filter("types IS NOT NULL").select(F.posexplode("types").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect():
         in_class[r.c] += r.n

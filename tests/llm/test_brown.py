@@ -235,3 +235,16 @@ def test_near_counts_survive_packing():
             w = int(np.flatnonzero(keys & mask == got.keys[got.word[j]])[0])
             total[w, int(got.code[j])] += int(got.count[j])
         assert total == {k: 2 * n for k, n in want.items()}
+
+
+def test_texts_are_cut_once(spark):
+    """Every pass reads blocks of places, hashes and looks, no texts; also with more words than two bytes tell apart."""
+    many = " ".join(f"w{i}" for i in range(70_000))
+    for texts in ([many, "w1 w2", None, "w2 é 12", many], ["a b-c", "", "A 1"]):
+        docs = spark.createDataFrame([(i, t, int(i > 0)) for i, t in enumerate(texts)], "id long, text string, extra long").coalesce(1)
+        blocks = b.token_blocks(docs, 1 << 22)
+        (row,) = b.packed.each(blocks.select("ids", "n_bytes", *b.CUT).toArrow().to_batches(), "ids", "n_bytes", *b.CUT)
+        raw = [(t or "").encode() for t in texts]
+        *want, words = b.tokens(raw)
+        assert "texts" not in blocks.columns and row[0].tolist() == list(range(len(texts))) and row[1] == sum(map(len, raw))
+        assert [x.tolist() for x in b.uncut(*row[2:])] == [*(x.tolist() for x in want), b.looks(words).tolist()]
