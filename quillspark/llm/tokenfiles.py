@@ -18,7 +18,7 @@ Encoding calls the tokenizers library once for each distinct white-space-free
 chunk of a block where the tokenizer drops white space and nothing in it reaches
 across (tried on probes when it is loaded), so that a text's ids are its chunks'
 ids in a row; tests compare with whole texts.  Other tokenizers get whole texts.
-A bounded two-generation table keeps chunks between blocks.
+A bounded two-generation table keeps chunks (or their stems) between blocks.
 
 Defined cases: a null text is empty and holds the end id alone; null doc ids
 come first; rows of equal doc_id follow by their number of ids and their bytes;
@@ -66,7 +66,9 @@ class ChunkCoder:
     their chunks encoded without a normalizer.  A tokenizer that keeps white space,
     or joins across it, gets whole texts.  A new chunk that ends with marks is put
     together from its stem and them, where the tokenizer parts texts by ``PARTED``:
-    stems are far fewer than chunks, and have a table of their own.
+    stems are far fewer than chunks, and have a table of their own.  There chunks are
+    cut and told apart as Arrow columns, so only a block's distinct stems become Python
+    strings, and stems of letters alone, which nothing parts, are encoded by white space.
     """
 
     def __init__(self, file: str, most: int = 100_000, most_stems: int = 250_000):
@@ -78,8 +80,15 @@ class ChunkCoder:
         self.lib = Tokenizer.from_file(file)
         self.folds = (raw.get("normalizer") or {}).get("normalizers") == FOLDS
         self.plain = Tokenizer.from_str(json.dumps(raw | {"normalizer": None})) if self.folds else self.lib
-        first = next(iter((raw.get("pre_tokenizer") or {}).get("pretokenizers") or []), {})
+        first, *then = (raw.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.stems = self.folds and [first.get(k) for k in ("pattern", "behavior", "invert")] == [{"Regex": PARTED}, "Removed", True]
+        self.letters, suffix = None, raw["model"].get("end_of_word_suffix")
+        if self.stems and suffix:
+            spaced = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *then]}
+            self.letters = Tokenizer.from_str(json.dumps(raw | {"normalizer": None, "pre_tokenizer": spaced, "added_tokens": []}))
+            vocabulary = raw["model"]["vocab"]
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.part = self._ids(self.lib, PART)
         self.marks = [t["content"] for t in raw.get("added_tokens") or []]
         ab, a, b = (self._ids(self.lib, x) for x in ("Ab, \n\n cd", "Ab,", "cd"))
@@ -97,6 +106,17 @@ class ChunkCoder:
         whole = lambda c: PART in c or any(m in c for m in self.marks)
         alone = [c for c in chunks if whole(c)] if not folded else []  # texts with either are not folded
         rest = [c for c in chunks if not whole(c)] if alone else chunks
+        if folded and self.letters:
+            words, rest = [c for c in rest if c.isalpha()], [c for c in rest if not c.isalpha()]
+            for i in range(0, len(words), 5000):
+                g = words[i : i + 5000]
+                ids = np.array(self._ids(self.letters, " ".join(g)), "<u4")
+                ends = np.flatnonzero(self.last[ids])
+                if len(ends) != len(g) or ends[-1] != len(ids) - 1:
+                    alone += g
+                    continue
+                raw, edges = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
+                young.update(zip(g, [raw[s:t] for s, t in zip(edges, edges[1:])]))
         for i in range(0, len(rest), per_call):
             g = rest[i : i + per_call]
             ids = np.array(self._ids(lib, f" {PART} ".join(g)), "<u4")
@@ -110,51 +130,94 @@ class ChunkCoder:
         for c in alone:
             young[c] = np.array(self._ids(lib, c), "<u4").tobytes()
 
-    def _by_stems(self, chunks: list[str], folded: bool, young: dict[str, bytes]) -> None:
-        """Ids of new chunks, each those of its stem and of the marks at its end."""
+    def _by_stems(self, texts: list[str]) -> list[bytes]:
+        """Ids of folded texts, each chunk's those of its stem and of the marks at its end."""
+        import pyarrow.compute as pc
+
+        words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        chunks = words.values.dictionary_encode()
+        pieces = stems_and_ends(chunks.dictionary).dictionary_encode()
         if len(self.young_stems) > self.most_stems:
             self.young_stems, self.old_stems = {}, self.young_stems
         stems, old = self.young_stems, self.old_stems
-        cut = [h if (h := c.rstrip(MARKS)) and h[-1].isalnum() else c for c in chunks]
-        ends = [c[len(h) :] for c, h in zip(chunks, cut)]
-        new = set(cut).union(ends).difference(stems)
-        kept = new & old.keys()
-        stems.update((p, old[p]) for p in kept)
-        self._encode(list(new - kept), folded, stems)
-        young.update((c, stems[h] + stems[e] if e else stems[h]) for c, h, e in zip(chunks, cut, ends))
-
-    def _folds(self, text: str) -> bool:
-        if not self.folds or PART in text or any(m.lower() in text.lower() for m in self.marks):
-            return False
+        asked = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary), " ")[0].as_py().split(" ")  # none holds a space
+        new = [p for p in asked if p not in stems]
+        stems.update((p, old[p]) for p in new if p in old)
+        self._encode([p for p in new if p not in old], True, stems)
+        ids = [stems[p] for p in asked]
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids])
+        flat, sizes = gathered(flat, sizes, pieces.indices.to_numpy())
+        flat, sizes = gathered(flat, sizes[::2] + sizes[1::2], chunks.indices.to_numpy())
+        ends = np.append(0, np.cumsum(sizes))[words.offsets.to_numpy()].tolist()
+        return [flat[i:j].tobytes() for i, j in zip(ends, ends[1:])]
+
+    def _folded(self, text: str) -> str | None:
+        """The text in lower case, if that and no more is what the normalizer would do before it is cut."""
+        if not self.folds or PART in text:
+            return None
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return False
-        return True
+            return None
+        low = text.lower()
+        return None if any(m.lower() in low for m in self.marks) else low
 
     def block(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [np.array(self._ids(self.lib, t), "<u4").tobytes() for t in texts]
         out: list[bytes] = [b""] * len(texts)
-        folds = [self._folds(t) for t in texts]
+        low = [self._folded(t) for t in texts]
         for folded in (False, True):
-            which = [i for i, x in enumerate(folds) if x == folded]
+            which = [i for i, x in enumerate(low) if (x is not None) == folded]
             if not which:
                 continue
+            if folded and self.stems:
+                for i, x in zip(which, self._by_stems([low[i] for i in which])):
+                    out[i] = x
+                continue
             if len(self.tables[folded][0]) > self.most:
                 self.tables[folded] = [{}, self.tables[folded][0]]
             young, old = self.tables[folded]
-            cut = [(texts[i].lower() if folded else texts[i]).replace("\n", " ").split(" ") for i in which]
+            cut = [(low[i] if folded else texts[i]).replace("\n", " ").split(" ") for i in which]
             new = set().union(*cut).difference(young)
             kept = new & old.keys()
             young.update((c, old[c]) for c in kept)
-            (self._by_stems if folded and self.stems else self._encode)(list(new - kept), folded, young)
+            self._encode(list(new - kept), folded, young)
             get = young.__getitem__
             for i, c in zip(which, cut):
                 out[i] = b"".join(map(get, c))
         return out
 
 
+#: Characters below U+0100 that are letters or digits.
+ALNUM = np.array([chr(c).isalnum() for c in range(256)])
+
+
+def stems_and_ends(chunks: pa.StringArray) -> pa.StringArray:
+    """Of each chunk of characters below U+0100 its stem and then the marks at its end, none where no letter or digit is before them: the same bytes with more offsets."""
+    import pyarrow.compute as pc
+
+    edges = np.frombuffer(chunks.buffers()[1], "<i4")[chunks.offset : chunks.offset + len(chunks) + 1]
+    data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
+    ends = edges[:-1] + pc.binary_length(pc.ascii_rtrim(chunks, characters=MARKS)).to_numpy()
+    some = np.flatnonzero(ends > edges[:-1])
+    last = data[ends[some] - 1].astype(np.int64)
+    wide = np.flatnonzero(last >= 0x80)  # the second of two bytes
+    last[wide] = (data[ends[some[wide]] - 2].astype(np.int64) & 3) << 6 | last[wide] & 0x3F
+    cut = np.zeros(len(chunks), bool)
+    cut[some] = ALNUM[last]
+    both = np.empty(2 * len(chunks) + 1, "<i4")
+    both[::2], both[1::2] = edges, np.where(cut, ends, edges[1:])
+    return pa.StringArray.from_buffers(2 * len(chunks), pa.py_buffer(both), chunks.buffers()[2])
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs that lie in ``flat`` one after another, those that ``at`` names in its order, and their sizes."""
+    n = sizes[at]
+    ends = np.cumsum(n)
+    return flat[np.arange(n.sum()) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n)], n
+
+
 _coders: dict[str, ChunkCoder] = {}
 
 
@@ -203,7 +266,7 @@ def encoded(docs: DataFrame, file: str, dictionary: bytes | None, width: int, en
         c = coder(file)
         zip_ = compressor(shared.value).compress if shared.value else bytes
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
+            for b in slices(whole, "text", 4 << 20):
                 ids = [np.frombuffer(x + end, "<u4") for x in c.block([x or "" for x in b["text"].to_pylist()])]
                 yield batch(schema, doc_id=b["doc_id"], n_tokens=[len(x) for x in ids], frame=[zip_(x.astype(f"<u{width}").tobytes()) for x in ids])
         trim_memory()

@@ -48,6 +48,20 @@ def test_stems_are_encoded_once():
     assert len(asked) == len(set(asked)) and sum(x.startswith("stem") for x in asked) == 26
 
 
+def test_only_distinct_stems_become_strings():
+    """Folded chunks are told apart as columns: the library is asked for a block's distinct stems, those of letters alone in one call, with ids of every text as the library's."""
+    c, calls = t.ChunkCoder(FILE), []
+    ids = c._ids
+    c._ids = lambda lib, text: (calls.append((lib is c.letters, text)), ids(lib, text))[1]
+    texts = ["Été stem, stem! stem7 \xaa\xb5 \xb2... ,", "", "stem  stem\n\nétÉ?! it's", "a\xa0b,", "stem," * 3, *(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}," for i in range(600))]
+    assert c.block(texts) == [brute(x)[:-1].tobytes() for x in texts]
+    letters = [x.split(" ") for fast, x in calls if fast]
+    assert len(letters) == 1 and len(letters[0]) == len(set(letters[0])) and {"stem", "été", "ªµ"} < set(letters[0])
+    assert not any("stem" in x.split(" ") for fast, x in calls if not fast)
+    calls.clear()
+    assert c.block(texts) == [brute(x)[:-1].tobytes() for x in texts] and not calls
+
+
 def test_files_and_random_access(spark, tmp_path):
     folder = f"file://{tmp_path}/f"
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
