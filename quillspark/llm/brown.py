@@ -45,6 +45,7 @@ from quillspark.llm.common import batch, fold_words, settings, slices, strings,
 END = b" end"  # no word holds a space
 END_KEY = np.uint64(xxhash.xxh3_64_intdigest(END))
 UNSEEN, ONCE = 255, 128  # as a placed word's class: none, and a flag on it
+TO_PLACE = 128  # a flag on a word's class before: it is of its look, and still to be placed
 TAILS = 4
 ADD = 0.1
 
@@ -110,9 +111,31 @@ def token_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         return written(rows, "tokens")
 
 
+def places_of(at: bytes, words: int) -> np.ndarray:
+    """Each token's place among a block's words, of which there are so many."""
+    return np.frombuffer(at, "<u2" if words <= 1 << 16 else "<u4").astype(np.int64)
+
+
 def uncut(sizes: np.ndarray, keys: bytes, look: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``tokens`` gives them, with looks in place of words."""
-    return np.frombuffer(at, "<u2" if len(keys) <= 8 << 16 else "<u4").astype(np.int64), sizes, np.frombuffer(keys, "<u8"), np.frombuffer(look, np.uint8).astype(np.int64)
+    return places_of(at, len(keys) // 8), sizes, np.frombuffer(keys, "<u8"), np.frombuffer(look, np.uint8).astype(np.int64)
+
+
+def classed(blocks: DataFrame, seeds) -> DataFrame:
+    """Blocks to be joined with answers: a byte a word in place of its hash and look, the class of a ``top`` word or the end, or the tail of one to be placed (flagged)."""
+    kept = ["block", "ids", "extra", "sizes", "at"]
+
+    def run(batches):
+        s = pickle.loads(seeds.value)
+        for b in batches:
+            kinds = []
+            for keys, look in zip(b["keys"], b["looks"]):
+                c, rare = s.of(np.frombuffer(keys.as_buffer(), "<u8"), np.frombuffer(look.as_buffer(), np.uint8).astype(np.int64))
+                kinds.append((c | rare * TO_PLACE).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(kinds, pa.binary())], names=[*kept, "kinds"])
+        packed.trim_memory()
+
+    return blocks.select(*kept, "keys", "looks").mapInArrow(run, "block string, ids array<long>, extra array<long>, sizes array<long>, at binary, kinds binary")
 
 
 def count_kind(parts: int) -> str:
@@ -493,23 +516,24 @@ def block_scores(blocks: DataFrame, top: int, classes: int, block_bytes: int, pa
 
     def mark(batches):
         s = pickle.loads(shared.value)
-        for ids, train, sums, cls, *cut in packed.each(batches, "ids", "extra", "got", "cls", *CUT):
+        for ids, train, sums, cls, sizes, at, kinds in packed.each(batches, "ids", "extra", "got", "cls", "sizes", "at", "kinds"):
             sums = packed.received(sums, "<u8").astype(np.float64)
-            at, sizes, keys, look = uncut(*cut)
-            c, rare = s.of(keys, look)
+            kinds = np.frombuffer(kinds, np.uint8).astype(np.int64)
+            at, c, rare = places_of(at, len(kinds)), kinds % TO_PLACE, kinds >= TO_PLACE
+            end = c == s.size - 1  # the end alone is of that class
             given, tail = packed.received(cls, "u1").astype(np.int64), c[rare] - s.classes
             c[rare] = np.where(given == UNSEEN, c[rare], np.where(given >= ONCE, s.size + tail * s.classes + given - ONCE, given))
             starts = np.cumsum(sizes) - sizes
             add = lambda x: np.add.reduceat(x[at], starts)
-            counted_ = np.where(keys == END_KEY, 0.0, np.log10(sums + ADD))
+            counted_ = np.where(end, 0.0, np.log10(sums + ADD))
             seq = c[at].astype(np.uint8)
             yield batch(
                 schema, id=ids, extra=train, n_tokens=sizes, n_known=add((sums > 0).astype(np.int64)), base_score=add(np.log10((sums + ADD) / (total + ADD * (types + 1)))), words=add(counted_),
                 seq=[seq[i : i + n].tobytes() for i, n in zip(starts.tolist(), sizes.tolist())],
             )
 
-    both = packed.with_answers(packed.with_answers(blocks, packed.gathered(sums, "got")), packed.gathered(found, "cls"))
-    rows = written(both.select("ids", "extra", "got", "cls", *CUT).mapInArrow(mark, "id long, extra long, n_tokens long, n_known long, base_score double, words double, seq binary"), "marked")
+    both = packed.with_answers(packed.with_answers(classed(blocks, shared), packed.gathered(sums, "got")), packed.gathered(found, "cls"))
+    rows = written(both.select("ids", "extra", "got", "cls", "sizes", "at", "kinds").mapInArrow(mark, "id long, extra long, n_tokens long, n_known long, base_score double, words double, seq binary"), "marked")
     in_class = np.zeros(classes) + np.bincount(seeds.cls[: len(known)], minlength=classes)
     for r in answers.filter("types IS NOT NULL").select(F.posexplode("types").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect():
         in_class[r.c] += r.n

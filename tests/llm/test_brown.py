@@ -248,3 +248,26 @@ def test_texts_are_cut_once(spark):
         *want, words = b.tokens(raw)
         assert "texts" not in blocks.columns and row[0].tolist() == list(range(len(texts))) and row[1] == sum(map(len, raw))
         assert [x.tolist() for x in b.uncut(*row[2:])] == [*(x.tolist() for x in want), b.looks(words).tolist()]
+
+
+def test_answers_are_joined_with_a_byte_a_word(spark, monkeypatch):
+    """The last shuffle of blocks carries no hashes and looks, but what scoring needs of them; scores are those of brute force, also in several blocks."""
+    joined, join = [], b.packed.with_answers
+    monkeypatch.setattr(b.packed, "with_answers", lambda blocks, got: (joined.append(blocks), join(blocks, got))[1])
+    texts = {i: f"the w{i % 7} of é{i % 3} {i} end END the" for i in range(60)} | {60: None, 61: "new-word 7"}
+    docs = spark.createDataFrame([(i, t, int(zlib.crc32(str(i).encode()) % 10 != 0)) for i, t in texts.items()], "id long, text string, extra long")
+    got = {r["id"]: {**r.asDict(), "held_out": r.extra == 0} for r in b.score_texts(docs, top=5, classes=2, block_bytes=300).collect()}
+    check(got, texts)
+    assert not {"keys", "looks"} & set(joined[0].columns)
+    rows = joined[0].collect()
+    assert len(rows) > 3
+    for r in rows:
+        at = b.places_of(bytes(r["at"]), len(r.kinds))
+        kinds = np.frombuffer(bytes(r.kinds), np.uint8)[at]
+        starts = np.cumsum(r.sizes) - r.sizes
+        for i, s, n in zip(r.ids, starts, r.sizes):
+            raw = [b.END if w is None else w.encode() for w in words(texts[i])]
+            assert n == len(raw)
+            for w, k in zip(raw, kinds[s : s + n].tolist()):
+                assert (k == 2 + b.TAILS + 1) == (w == b.END)
+                assert k < 2 or w == b.END or k == 2 + b.tail_of(w) + b.TO_PLACE
