@@ -271,3 +271,9 @@ def test_answers_are_joined_with_a_byte_a_word(spark, monkeypatch):
             for w, k in zip(raw, kinds[s : s + n].tolist()):
                 assert (k == 2 + b.TAILS + 1) == (w == b.END)
                 assert k < 2 or w == b.END or k == 2 + b.tail_of(w) + b.TO_PLACE
+
+
+def test_a_null_id_is_kept(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c d"), (None, "a b c d"), (1 << 60 | 1, "x y")], "doc_id long, text string")
+    got = as_dict(b.op10_class_bigrams(spark, saved(df, tmp_path)))
+    check({"" if i is None else i: r for i, r in got.items()}, {1: "a b c d", "": "a b c d", 1 << 60 | 1: "x y"})
