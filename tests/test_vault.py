@@ -375,3 +375,53 @@ def test_backlinks_equal_all_documents_against_all_names(files):
         if t.count("\n") >= 2 and len(name.replace("-", " ").split()) >= 2 and all(w in t.lower() for w in name.replace("-", " ").lower().split())
     ]
     assert found == sorted(wanted) and len(found) > 5
+
+
+def shuffled(spark) -> int:
+    """Bytes that the session's shuffles have written so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_backlinks_shuffle_what_is_found_alone(spark, files):
+    """Every document holds every three figures of the names' numbers, but one number: no text, trigram or candidate leaves a task."""
+    figures = " ".join(f"{i:03}" for i in range(1000))
+    f = files({**{f"p/{i}.md": f"note\n{figures}\n{10_000 + 7 * i}\n" for i in range(200)}, **{f"10-Zettelkasten/note-{10_000 + i}.md": "" for i in range(1000)}})
+    n = graph.notes(f)
+    before = shuffled(spark)
+    found = rows(bridges.backlinks(bridges.project_docs(n), n))
+    assert {(f"p/{i}.md", f"note-{10_000 + 7 * i}") for i in range(143)} <= set(found)
+    assert shuffled(spark) - before < 100_000
+
+
+def test_names_in_blocks_places_and_candidates_in_parts(spark, files, monkeypatch):
+    """Words of any number of bytes, over the ends of parts and at those of texts, names in several blocks: as all documents against all names."""
+    from quillspark.operators import names as N
+
+    monkeypatch.setattr(bridges, "NAMES", 7)
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abé\0") for _ in range(n))
+    words = [some(n) for n in (1, 1, 2, 2, 3, 4, 5, 6, 7, 8, 8, 9, 9, 12, 20)]
+    words += [words[9] + x for x in ("a", "bé", "ab" * 9)]
+    names = sorted({"-".join(rng.choice(words) for _ in range(rng.choice((2, 2, 3, 4)))) for _ in range(80)})
+    texts = ["\n\n\n", *("\n\n\n" + "".join(rng.choice([*words, "\n", some(3)]) for _ in range(rng.choice((1, 5, 40)))) for _ in range(30))]
+    f = files({**{f"p/{i}.md": t for i, t in enumerate(texts)}, **{f"10-Zettelkasten/{x}.md": "" for x in names}})
+    n = graph.notes(f)
+    wanted = sorted((f"p/{i}.md", x) for i, t in enumerate(texts) for x in names if all(w in t for w in x.split("-")))
+    assert rows(bridges.backlinks(bridges.project_docs(n), n)) == wanted and len(wanted) > 50
+    monkeypatch.setattr(N, "PLACES", 5)
+    monkeypatch.setattr(N, "MANY", 3)
+    import pyarrow as pa
+
+    block = N.Names(pa.array(names), pa.array([x.split("-") for x in names]))
+    part = pa.RecordBatch.from_pydict({"path": [f"p/{i}.md" for i in range(len(texts))], "text": texts}).slice(1)
+    got = [x for b in block.rows([part, part.slice(0, 0)]) for x in zip(b["path"].to_pylist(), b["zettel"].to_pylist())]
+    assert sorted(got) == wanted
+
+
+def test_line_counts(spark):
+    from quillspark.functions import text as T
+
+    df = spark.createDataFrame([(x,) for x in ("", "\n", "a", "a\n", "a\nb", "a\r\n\n", "é\n\nz", None)], "c string")
+    assert df.filter(~F.size(T.lines(F.col("c"))).eqNullSafe(T.line_count(F.col("c")))).filter("c IS NOT NULL").count() == 0
