@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.components import written
+from quillspark.operators.components import discarded, swept, written
 
 
 def settled(plan: DataFrame) -> DataFrame:
@@ -42,6 +42,43 @@ def applied(files: DataFrame, plan: DataFrame) -> DataFrame:
     return out.select(*(cols.get(c, F.col(c)).alias(c) for c in files.columns))
 
 
+class Overlay:
+    """Files under the edits of the steps so far: a small table over a large one, which no step writes again.
+
+    What asks for some paths moves the texts of these alone: filters on paths go
+    through to both tables.
+    """
+
+    def __init__(self, files: DataFrame):
+        self.base, self.edits = files.select("path", "content"), None
+
+    def files(self, paths: DataFrame | list[str] | None = None) -> DataFrame:
+        def some(df):
+            return df if paths is None else df.filter(F.col("path").isin(paths)) if isinstance(paths, list) else df.join(paths, "path", "left_semi")
+
+        if self.edits is None:
+            return some(self.base)
+        return some(self.base).join(self.edits.select("path"), "path", "left_anti").unionByName(some(self.edits))
+
+    def take(self, plan: DataFrame) -> None:
+        """Put the new texts of a plan over the files. The plan is run once; what was read from the edits before is no more."""
+        new = written(plan.filter("new_content IS NOT NULL").select("path", F.col("new_content").alias("content")), "edits")
+        if new.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+            once = written(settled(new.select("path", F.col("content").alias("new_content"), F.lit(None).cast("string").alias("new_path"))).select("path", F.col("nc").alias("content")), "edits")
+            discarded(new)
+            new = once
+        if new.limit(1).count():
+            self.took(new)
+            old, self.edits = self.edits, new
+            if old is not None:
+                self.edits = written(new.unionByName(old.join(new.select("path"), "path", "left_anti")), "edits")
+                discarded(old, new)
+        swept(plan.sparkSession)
+
+    def took(self, new: DataFrame) -> None:
+        """Called with the edits of a step that has any."""
+
+
 #: Where a folder keeps the journals of plans that are applied to it; no note is ever read from there.
 JOURNALS = ".edits"
 JOURNAL = "path string, action string, new_path string, new_content string, staged string, before string, after string, done boolean"

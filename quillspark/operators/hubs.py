@@ -33,7 +33,9 @@ def hub_plan(notes: DataFrame, config: VaultConfig | None = None) -> DataFrame:
     text = parts.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["text"]), "").alias("text"))
     fresh = F.concat(F.lit("---\nproject: "), "project", F.lit("\ntype: moc\ntags: ["), "project", F.lit("]\n---\n\n# "), T.capitalized(F.col("project")), F.lit(" MOC\n\n"), "text")
     new = text.select(F.concat("project", F.lit("/"), "project", F.lit(".md")).alias("path"), fresh.alias("fresh"))
-    out = new.join(notes.select("path", "content"), "path", "left")
+    p = F.split("path", "/")
+    hubs = notes.select("path", "content").filter(F.col("path") == F.concat(p[0], F.lit("/"), p[0], F.lit(".md")))  # no other text is moved to the join
+    out = new.join(hubs, "path", "left")
     kept = F.when(F.col("content").isNull(), F.lit("")).otherwise(T.preserved_sections(F.col("content"), PRESERVED))
     return edits(out.withColumn("new_content", F.concat("fresh", kept)), "project hub")
 

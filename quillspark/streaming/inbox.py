@@ -179,11 +179,12 @@ def rounds(load: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame]
     return failed
 
 
-def sync(files: DataFrame, config: VaultConfig | None = None, only: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """A sync round without disk: hubs, home, index, then bridge notes, backlinks, related projects, auto tags, each planned on what the ones before wrote.
+def sync_edits(files: DataFrame, config: VaultConfig | None = None, only: list[str] | None = None) -> tuple[DataFrame | None, list[str]]:
+    """What a sync round writes: hubs, home, index, then bridge notes, backlinks, related projects, auto tags, each planned on what the ones before wrote.
 
-    ``only`` names the steps to take (those the config has switched on, if not given). Returns the files as they
-    would be and the steps that failed; a failing step does not stop the next.
+    ``only`` names the steps to take (those the config has switched on, if not given). Returns ``(path, content)`` of the
+    files with their last texts, null where no step has any, and the steps that failed; a failing step does not stop the
+    next. Steps keep their edits beside the files, so no step writes or moves the whole vault.
     """
     config = config or VaultConfig()
 
@@ -191,22 +192,31 @@ def sync(files: DataFrame, config: VaultConfig | None = None, only: list[str] |
         return B.project_docs(notes, config)
 
     def shared(notes):
-        return B.bridges(B.concept_hits(docs(notes), config.concepts), config.concepts)
+        return written(B.bridges(B.concept_hits(docs(notes), config.concepts), config.concepts), "shared")
 
     steps = {
         "hubs": lambda n: H.hub_plan(n, config), "home": lambda n: H.home_plan(n, config), "index": lambda n: H.index_plan(n, G.edges(n), config, protected=True),
         "bridge notes": lambda n: B.bridge_note_plan(shared(n), n, config), "backlinks": lambda n: B.backlink_plan(docs(n), B.backlinks(docs(n), n, config), config),
         "related": lambda n: B.related_plan(shared(n), n, config), "auto tags": lambda n: B.auto_tag_plan(docs(n), config.concepts),
     }
-    failed = []
+    v, failed = E.Overlay(files), []
     for name, step in steps.items():
         if name not in (config.steps() if only is None else only):
             continue
         try:
-            files = written(E.applied(files, step(G.notes(files, config.graph_excluded()))), "sync")
+            v.take(step(G.notes(v.files(), config.graph_excluded())))
         except Exception as e:
             failed.append(f"{name}: {e}")
-    return files, failed
+    return v.edits, failed
+
+
+def sync(files: DataFrame, config: VaultConfig | None = None, only: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """A sync round without disk: the files as ``sync_edits`` would make them, and the steps that failed."""
+    edits, failed = sync_edits(files, config, only)
+    if edits is not None:
+        plan = edits.select("path", F.lit("write").alias("action"), F.lit(None).cast("string").alias("new_path"), F.col("content").alias("new_content"))
+        files = E.applied(files, plan)
+    return written(files, "sync"), failed
 
 
 def event_windows(events: DataFrame, size: str = "1 day", late: str = "2 hours") -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+import os
 import random
 
 import pytest
@@ -425,3 +426,28 @@ def test_line_counts(spark):
 
     df = spark.createDataFrame([(x,) for x in ("", "\n", "a", "a\n", "a\nb", "a\r\n\n", "é\n\nz", None)], "c string")
     assert df.filter(~F.size(T.lines(F.col("c"))).eqNullSafe(T.line_count(F.col("c")))).filter("c IS NOT NULL").count() == 0
+
+
+def laid_down(spark) -> int:
+    """Bytes of what was written into the shared folder so far and lies there, and of all shuffles."""
+    from quillspark.operators.components import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    return shuffled(spark) + sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(folder) for x in names if x.endswith(".parquet"))
+
+
+def heavy_vault(files):
+    """Much text that no step changes, beside a project; and its bytes."""
+    rng = random.Random(3)
+    vault = {f"02-Areas/n{i}.md": rng.randbytes(50_000).hex() for i in range(40)}
+    return files({**vault, "index.md": "mine", "p/a.md": "await\nx\ny\n", "q/b.md": "await\nx\ny\n"}), sum(map(len, vault.values())) // 2
+
+
+def test_steps_of_a_sync_do_not_write_the_vault_again(spark, files):
+    from quillspark.streaming.inbox import sync
+
+    f, n = heavy_vault(files)
+    before = laid_down(spark)
+    after, failed = sync(f, VaultConfig(concepts=[Concept("async", ["await"])]), ["hubs", "home", "bridge notes", "auto tags"])
+    assert not failed and after.count() == 43 + 2 + 1 + 1
+    assert laid_down(spark) - before < 4 * n
