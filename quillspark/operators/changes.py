@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def digest(content):
+    return F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256)
+
+
 def digests(files: DataFrame) -> DataFrame:
     """``(path, digest)``: what a later round compares with; no texts."""
-    return files.select("path", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("digest"))
+    return files.select("path", digest(F.col("content")).alias("digest"))
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from quillspark.operators import bridges as B
 from quillspark.operators import edits as E
 from quillspark.operators import graph as G
 from quillspark.operators import hubs as H
-from quillspark.operators.changes import changes, digests
+from quillspark.operators.changes import changes, digest, digests
 from quillspark.operators.components import written
 
 STEPS = ["hubs", "home", "index", "bridge notes", "backlinks", "related", "auto tags"]
@@ -76,33 +76,28 @@ class Round:
     memory: Memory
 
 
-class _Vault:
-    """The files of a vault under the edits so far: a small table over a large one."""
+class _Vault(E.Overlay):
+    """The files of a vault under the edits so far, with their digests."""
 
     def __init__(self, files: DataFrame, config: VaultConfig):
-        self.base, self.config, self.edits = files.select("path", "content"), config, None
-        self.digests = written(digests(self.base), "digests")
+        super().__init__(files)
+        self.config, self.digests = config, written(digests(self.base), "digests")
+        self.before = self.digests
 
-    def files(self, paths: DataFrame | None = None) -> DataFrame:
-        base = self.base if paths is None else self.base.join(paths, "path", "left_semi")
-        if self.edits is None:
-            return base
-        new = self.edits if paths is None else self.edits.join(paths, "path", "left_semi")
-        return base.join(self.edits, "path", "left_anti").unionByName(new.select("path", "content"))
-
-    def notes(self, paths: DataFrame | None = None) -> DataFrame:
+    def notes(self, paths: DataFrame | list[str] | None = None) -> DataFrame:
         return G.notes(self.files(paths), self.config.graph_excluded())
 
     def names(self) -> DataFrame:
         """All notes without their texts."""
         return G.notes(self.digests.select("path", F.lit("").alias("content")), self.config.graph_excluded())
 
-    def take(self, plan: DataFrame) -> None:
-        new = E.settled(plan).select("path", F.col("nc").alias("content"))
-        if self.edits is not None:
-            new = new.unionByName(self.edits.join(new, "path", "left_anti"))
-        self.edits = written(new, "edits")
-        self.digests = written(self.digests.join(self.edits, "path", "left_anti").unionByName(digests(self.edits)), "digests")
+    def took(self, new: DataFrame) -> None:
+        self.digests = written(self.digests.join(new.select("path"), "path", "left_anti").unionByName(digests(new)), "digests")
+
+    def differing(self) -> DataFrame:
+        """Edits that change a file or make one; told by digests, no text of the files is moved for it."""
+        was = self.before.select("path", F.col("digest").alias("was"))
+        return self.edits.withColumn("now", digest(F.col("content"))).join(was, "path", "left").filter(~F.col("now").eqNullSafe(F.col("was"))).select("path", "content")
 
 
 def _project(path="path"):
@@ -135,7 +130,7 @@ def round_of_changes(files: DataFrame, memory: Memory | None = None, config: Vau
             return
         planned[name] = outputs
         if plan is not None:
-            v.take(written(plan, "plan"))
+            v.take(plan)
 
     def paths_of(df: DataFrame) -> DataFrame:
         return written(df.select("path").distinct(), "paths")
@@ -151,7 +146,7 @@ def round_of_changes(files: DataFrame, memory: Memory | None = None, config: Vau
     c = changed("home")
     touched = c is None or c.filter("kind <> 'changed' OR path = 'Home.md'").limit(1).count()
     if touched:
-        home = v.notes(_paths(v, ["Home.md"])).unionByName(v.names().filter("path <> 'Home.md'"))
+        home = v.notes(["Home.md"]).unionByName(v.names().filter("path <> 'Home.md'"))
         step("home", H.home_plan(home, config), 1)
     else:
         step("home", None, 0)
@@ -234,8 +229,7 @@ def round_of_changes(files: DataFrame, memory: Memory | None = None, config: Vau
     docs = docs_of(v.notes() if c is None else v.notes(paths_of(c.filter("kind <> 'removed'"))))
     step("auto tags", B.auto_tag_plan(docs, config.concepts), _count(docs_of(v.names()).select("path") if c is None else docs.select("path")))
 
-    none = files.sparkSession.createDataFrame([], "path string, content string")
-    out = (none if v.edits is None else v.edits).join(v.base.withColumnRenamed("content", "was"), "path", "left").filter(~F.col("content").eqNullSafe(F.col("was")))
+    out = files.sparkSession.createDataFrame([], "path string, content string") if v.edits is None else v.differing()
     plan = out.select("path", F.lit("write").alias("action"), F.lit(None).cast("string").alias("new_path"), F.col("content").alias("new_content"), F.lit("sync").alias("reason"))
     return Round(plan, planned, new)
 
@@ -248,10 +242,6 @@ def _quoted(name: str) -> str:
     return "\\Q" + name + "\\E"
 
 
-def _paths(v: _Vault, paths: list[str]) -> DataFrame:
-    return v.base.sparkSession.createDataFrame([(p,) for p in paths], "path string")
-
-
 def _as_notes(c: DataFrame, config: VaultConfig) -> DataFrame:
     return G.notes(c.select("path", F.lit("").alias("content")), config.graph_excluded())
 

@@ -451,3 +451,12 @@ def test_steps_of_a_sync_do_not_write_the_vault_again(spark, files):
     after, failed = sync(f, VaultConfig(concepts=[Concept("async", ["await"])]), ["hubs", "home", "bridge notes", "auto tags"])
     assert not failed and after.count() == 43 + 2 + 1 + 1
     assert laid_down(spark) - before < 4 * n
+
+
+def test_rounds_of_changes_do_not_move_the_vault(spark, files):
+    from quillspark.streaming import increments
+
+    f, n = heavy_vault(files)
+    before = laid_down(spark)
+    r = increments.round_of_changes(f, None, VaultConfig(concepts=[Concept("async", ["await"])]))
+    assert r.plan.count() == 2 + 1 + 1 + 2 and laid_down(spark) - before < n
