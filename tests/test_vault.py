@@ -460,3 +460,15 @@ def test_rounds_of_changes_do_not_move_the_vault(spark, files):
     before = laid_down(spark)
     r = increments.round_of_changes(f, None, VaultConfig(concepts=[Concept("async", ["await"])]))
     assert r.plan.count() == 2 + 1 + 1 + 2 and laid_down(spark) - before < n
+
+
+def test_backlink_plan_moves_its_documents_once(spark, files):
+    """Every document holds every three figures of the names' numbers, but one number."""
+    figures = " ".join(f"{i:03}" for i in range(1000))
+    docs = {f"p/{i}.md": f"note\n{figures}\n{10_000 + 7 * i}\n" for i in range(200)}
+    n = graph.notes(files({**docs, **{f"10-Zettelkasten/note-{10_000 + i}.md": "" for i in range(1000)}}))
+    own = bridges.project_docs(n)
+    before = shuffled(spark)
+    plan = dict(rows(bridges.backlink_plan(own, bridges.backlinks(own, n)).select("path", "new_content")))
+    assert set(plan) == set(docs) and "\n- [[10-Zettelkasten/note-10007]]\n" in plan["p/1.md"]
+    assert shuffled(spark) - before < sum(map(len, docs.values()))
